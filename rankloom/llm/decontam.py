@@ -26,15 +26,26 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, text_or_empty, written
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, A-Z being letters of words: the complement of the word pattern.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SIZE = 13
 #: Rows of one block of windows or terms, which is what may be broadcast at once (under 10 MB).
 BLOCK = 40_000
+#: Stands behind a document's last word, so that its row says how many words there are; no word has a space.
+END = " "
 
 
 def words(text: str | Column) -> Column:
-    """The lower-cased words of a text in order."""
-    return F.regexp_extract_all(ascii_lower(text_or_empty(text)), F.lit(WORD), F.lit(0))
+    """The words of a text in order, in their own case: A-Z is put in lower case where words are compared.
+
+    An empty string stands first or last where the text begins or ends between words.
+    """
+    return F.split(text_or_empty(text), BETWEEN, -1)
+
+
+def plain(word: Column) -> Column:
+    """A word with A-Z in lower case; most words are ASCII, where lower() does just that and is faster."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(ascii_lower(word))
 
 
 def index_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,10 +53,14 @@ def index_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), words(text_col).alias("tokens"))
 
 
+def item_words(text_col: str) -> Column:
+    return F.array_remove(F.split(ascii_lower(text_or_empty(text_col)), BETWEEN, -1), "")
+
+
 def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """(window, item, words): each window of each item; equal windows share the struct ``window`` that names their first place."""
     cut = (
-        items.select(F.col(id_col).alias("item"), words(text_col).alias("t"))
+        items.select(F.col(id_col).alias("item"), item_words(text_col).alias("t"))
         .where(F.size("t") > 0)
         .select("item", "t", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("t") - (size - 1)))).alias("at"))
         .select("item", "at", F.slice("t", F.col("at"), F.least(F.size("t"), F.lit(size))).alias("words"))
@@ -64,7 +79,7 @@ def _blocks(df: DataFrame, key: str, size: int) -> list[DataFrame]:
 
 def term_frequencies(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, n): how often each of the terms occurs in the whole corpus; counts are aggregated before the shuffle."""
-    postings = index.select(F.explode("tokens").alias("term"))
+    postings = index.select(F.explode_outer("tokens").alias("t")).select(plain(F.col("t")).alias("term"))
     counts = [postings.join(F.broadcast(block), "term").groupBy("term").agg(F.count("*").alias("n")) for block in _blocks(terms, "term", 4 * BLOCK)]
     out = counts[0]
     for more in counts[1:]:
@@ -87,19 +102,20 @@ def entries(index: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def phrase_matches(index: DataFrame, entry: DataFrame) -> DataFrame:
-    """(id, window, start, size): every place where a window occurs word for word."""
-    postings = index.select("id", "tokens", F.posexplode("tokens").alias("pos", "term"))
+    """(id, window, start, size): every place where a window occurs word for word, and for each row of the index
+    one row without a window whose start is the number of its words."""
+    postings = index.select("id", "tokens", F.posexplode(F.array_append("tokens", END)).alias("pos", "t")).select("id", "tokens", "pos", plain(F.col("t")).alias("term"))
     start = F.col("pos") - F.col("offset")
-    there = (
-        (start >= 0)
-        & (F.get("tokens", start) == F.get("words", F.lit(0)))
-        & (F.get("tokens", start + F.col("size") - 1) == F.get("words", F.col("size") - 1))
-        & (F.slice("tokens", F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("words"))
-    )
+    phrase = F.array_join(F.slice("tokens", F.greatest(start, F.lit(0)) + 1, F.col("size")), " ")
+    there = F.col("phrase").isNull() | ((start >= 0) & (plain(F.get("tokens", start + F.col("size") - 1)) == F.col("last")) & (ascii_lower(phrase) == F.col("phrase")))
+    empty = lambda k: F.coalesce(F.get("tokens", k) == "", F.lit(False)).cast("int")
+    n_words = F.col("pos") - empty(F.lit(0)) - F.when(F.col("pos") > 1, empty(F.col("pos") - 1)).otherwise(0)
+    rows = entry.select("window", F.array_join("words", " ").alias("phrase"), F.get("words", F.col("size") - 1).alias("last"), F.col("term").alias("rare"), "offset", "size")
     out = None
-    for block in _blocks(entry, "window", BLOCK):
-        b = F.broadcast(block.withColumnRenamed("term", "rare"))
-        hits = postings.join(b, (F.col("term") == F.col("rare")) & there).select("id", "window", start.alias("start"), "size")
+    for k, block in enumerate(_blocks(rows, "window", BLOCK)):
+        if not k:
+            block = block.unionByName(entry.sparkSession.range(1).select(F.lit(END).alias("rare"), F.lit(0).alias("offset"), F.lit(0).alias("size")), allowMissingColumns=True)
+        hits = postings.join(F.broadcast(block), (F.col("term") == F.col("rare")) & there).select("id", "window", F.when(F.col("phrase").isNull(), n_words).otherwise(start).alias("start"), "size")
         out = hits if out is None else out.union(hits)
     return out
 
@@ -107,10 +123,10 @@ def phrase_matches(index: DataFrame, entry: DataFrame) -> DataFrame:
 def proximity_matches(docs: DataFrame, items: DataFrame, reach: int, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id_col, item, pos): occurrences of an item's rarest term with all its other terms within ``reach`` words on either side."""
     index = index_rows(docs, id_col, text_col)
-    whole = items.select(F.col(item_id).alias("item"), words(item_text).alias("words")).where(F.size("words") > 0)
+    whole = items.select(F.col(item_id).alias("item"), item_words(item_text).alias("words")).where(F.size("words") > 0)
     entry = entries(index, whole.select(F.struct("item", F.lit(1).alias("at")).alias("window"), "item", "words"))
-    near = F.slice("tokens", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + reach + 1)
-    postings = index.select("id", "tokens", F.posexplode("tokens").alias("pos", "term"))
+    near = F.transform(F.slice("tokens", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)) + reach + 1), plain)
+    postings = index.select("id", "tokens", F.posexplode_outer("tokens").alias("pos", "t")).select("id", "tokens", "pos", plain(F.col("t")).alias("term"))
     out = None
     for block in _blocks(entry, "window", BLOCK):
         b = F.broadcast(block.withColumnRenamed("term", "rare"))
@@ -124,7 +140,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     index = index_rows(docs, id_col, text_col)
     found = written(windows(items, item_id, item_text, size), "windows")
     entry = written(entries(index, found), "entries")
-    hits = written(phrase_matches(index, entry).distinct(), "occurrences")
+    rows = written(phrase_matches(index, entry), "occurrences")
+    hits = rows.where("window is not null").distinct()
 
     before = Window.partitionBy("id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.select("id", "start", (F.col("start") + F.col("size")).alias("end"))
@@ -136,7 +153,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     per_item = hits.select("id", "window").distinct().join(found.select("window", "item"), "window").select("id", F.col("item").cast("string").alias("item")).distinct()
     named = per_item.groupBy("id").agg(F.sort_array(F.collect_list("item")).alias("items"))
     judged = covered.join(named, covered.id.eqNullSafe(named.id)).select(covered.id.alias("hit_id"), "n_hit", "items")
-    counts = docs.select(F.col(id_col).alias("id"), F.regexp_count(ascii_lower(text_or_empty(text_col)), F.lit(WORD)).cast("long").alias("n_words"))
+    counts = rows.where("window is null").select("id", F.col("start").cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return counts.join(judged, F.col("id").eqNullSafe(F.col("hit_id")), "left").select(
         F.col("id").alias(id_col),
