@@ -7,8 +7,8 @@ a copy of q without v, and uv is added beside every u, leading where v leads. Al
 arcs of a token then lead to one state, and a state is its parent without one
 token plus what later merges add beside tokens it has; so a transition is looked up
 through those few records and remembered in a table. Every prefix of a word has one
-accepted path, hence encoding carries one state for each byte position; decoding
-emits the arcs' labels.
+accepted path, hence a place in a word is reached in one state; decoding emits the
+arcs' labels.
 
 Words come from the usual split of byte-level vocabularies. Special tokens in a text
 are cut out first. Defined cases: null and empty texts have no tokens; an empty table
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the split of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -94,32 +94,52 @@ class Automaton:
             else:
                 state = self.parent[state]
 
+    def _arcs(self, word: bytes, at: int) -> list[int]:
+        """The tokens that the word goes on with at a place, shortest first."""
+        tree, ends, node, out = self.tree, self.ends, 0, []
+        for b in word[at:]:
+            node = tree[node].get(b)
+            if node is None:
+                break
+            if ends[node] >= 0:
+                out.append(ends[node])
+        return out
+
     def encode(self, word: bytes) -> list[int]:
-        """The ids of one pre-split word."""
-        n = len(word)
-        state, came = [-1] * (n + 1), [-1] * (n + 1)
-        state[0] = 0
-        tree, ends, step, size = self.tree, self.ends, self.step, self.size
-        for i in range(n):
-            here, node = state[i], 0
-            for j in range(i, n):
-                node = tree[node].get(word[j])
-                if node is None:
+        """The ids of one pre-split word.
+
+        Follows the longest token that the state has an arc for and steps back where there is none. A place
+        is reached in one state only, so a place that was left in vain is never entered again.
+        """
+        n, label, step, size = len(word), self.label, self.step, self.size
+        at, state, out, dead = 0, 0, [], set()
+        states, arcs = [0], [self._arcs(word, 0)]
+        while at < n:
+            open_arcs = arcs[-1]
+            while open_arcs:
+                token = open_arcs.pop()
+                to = at + len(label[token])
+                if to in dead:
+                    continue
+                key = state * size + token
+                then = step.get(key)
+                if then is None:
+                    if len(step) > 1_000_000:
+                        step.clear()
+                    then = step[key] = self.target[token] if self.may(state, token) else -1
+                if then >= 0:
+                    at, state = to, then
+                    out.append(token)
+                    states.append(then)
+                    arcs.append(self._arcs(word, at) if at < n else [])
                     break
-                token = ends[node]
-                if token >= 0:
-                    to = step.get(here * size + token)
-                    if to is None:
-                        if len(step) > 2_000_000:
-                            step.clear()
-                        to = step[here * size + token] = self.target[token] if self.may(here, token) else -1
-                    if to >= 0:
-                        state[j + 1], came[j + 1] = to, token
-        out = []
-        while n:
-            out.append(came[n])
-            n -= len(self.label[came[n]])
-        return out[::-1]
+            else:
+                dead.add(at)
+                states.pop()
+                arcs.pop()
+                at -= len(label[out.pop()])
+                state = states[-1]
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.label.__getitem__, ids))
