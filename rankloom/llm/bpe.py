@@ -21,6 +21,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,7 +30,9 @@ from pyspark.sql import functions as F
 #: Fixed value: the split of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
+#: Rows whose ids are held at once, and remembered transitions.
+ROWS, STEPS = 256, 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -124,7 +127,7 @@ class Automaton:
                 key = state * size + token
                 then = step.get(key)
                 if then is None:
-                    if len(step) > 1_000_000:
+                    if len(step) > STEPS:
                         step.clear()
                     then = step[key] = self.target[token] if self.may(state, token) else -1
                 if then >= 0:
@@ -198,7 +201,7 @@ def _coder(parts, key: str, with_ids: bool):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, known = _machine(key, parts.value)
         split, special = regex.compile(SPLIT), machine.special
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             counts, ids, hashes, back = [], [], [], []
             for t in batch.column(1):
                 text = t.as_py() or ""
@@ -211,7 +214,7 @@ def _coder(parts, key: str, with_ids: bool):
                 hashes.append(hashlib.sha256(joined.encode()).hexdigest())
                 back.append(hashlib.sha256(b"".join([g[2] for g in got]).decode("utf-8", "replace").encode()).hexdigest())
                 if with_ids:
-                    ids.append([int(x) for x in joined.split(",")] if joined else [])
+                    ids.append(np.array(joined.split(",") if joined else [], np.int32))
             out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(back)]
             yield pa.record_batch(out + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
