@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the split of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose tokens a worker remembers.
-REMEMBERED = 150_000
+#: Words whose tokens a worker remembers, twice.
+REMEMBERED = 120_000
 #: Rows whose ids are held at once, and remembered transitions.
 ROWS, STEPS = 256, 400_000
 
@@ -152,13 +152,16 @@ class _Remembered(dict):
     """word -> (ids joined by commas, their number, labels)."""
 
     def __init__(self, machine: Automaton):
-        self.machine = machine
+        self.machine, self.older = machine, {}
 
     def __missing__(self, word: str):
-        ids = self.machine.encode(word.encode())
-        out = ",".join(map(str, ids)), len(ids), self.machine.decode(ids)
+        out = self.older.get(word)
+        if out is None:
+            ids = self.machine.encode(word.encode())
+            out = ",".join(map(str, ids)), len(ids), self.machine.decode(ids)
         if len(word) <= 64:
-            if len(self) > REMEMBERED:
+            if len(self) > REMEMBERED:  # words in use move on from the older half, the others go
+                self.older = dict(self)
                 self.clear()
             self[word] = out
         return out
