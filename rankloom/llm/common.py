@@ -58,6 +58,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def among_least(df: DataFrame, key: str, sample: int) -> DataFrame:
+    """df, less most rows whose hash of the key is not among the ``sample`` smallest.
+
+    Twice the share of hashes that is wanted is let through, so that sorting for the
+    smallest ones moves a few rows of each task; where that is too few, all rows are.
+    Counting reads the key only.
+    """
+    n = df.count()
+    if n <= 4 * sample:
+        return df
+    near = df.where(F.xxhash64(key) <= F.lit(2 * sample * (1 << 64) // n - (1 << 63)))
+    return near if near.count() >= sample else df
+
+
 def filter_words(keys: DataFrame, key: Column, bits: int = FILTER_BITS) -> DataFrame:
     """A bitmap over hashed keys as rows (w, m) of 64-bit words: at most bits / 64 rows, whatever the input."""
     h = F.pmod(F.xxhash64(key), F.lit(bits))

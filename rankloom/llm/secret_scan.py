@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import among_least, text_or_empty, written
 
 #: Kind, pattern, group that is measured, its least characters.
 BASE = (
@@ -68,11 +68,8 @@ def _place(c: Column) -> Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """One row, one column ``ratios``: array<double> of log P(random) - log P(identifier) for each pair of characters."""
-    some = (
-        docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(sample)
-    )
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    some = written(among_least(rows, "id", sample).orderBy(F.xxhash64("id"), "id", "text").limit(sample), "sample")
     found = some.select("text", *base_spans(F.col("text")))
     secrets = found.select(F.explode(F.flatten(F.array(*[F.transform(k, lambda s: s["body"]) for k, *_ in BASE]))).alias("s"), F.lit(1).alias("random"))
     plain = found.where("size(assign) + size(access) + size(hex) = 0").select(F.explode(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0))).alias("s"), F.lit(0).alias("random"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rankloom.llm import bpe, chat, decontam, exact_dedup, html_text, near_dedup, quality, queries, secret_scan, toxicity, url_filter
+from rankloom.llm.common import among_least
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [(1, "a b c d e f"), (2, None), (3, ""), (4, "a b c d e f"), (5, " \n"), (6, "x"), (None, "x"), (7, "long " * 20000), (7, "long " * 20000)]
@@ -109,6 +110,15 @@ def test_secrets_against_re(spark):
         assert [x for x in got[k] if x[1] < 3] == sorted(want)
 
 
+def test_the_least_hashes_are_let_through(spark):
+    rows = spark.range(5000).selectExpr("cast(nullif(id % 2000, 7) as long) AS id")
+    first = lambda d: [r["id"] for r in d.orderBy(F.xxhash64("id"), "id").limit(90).collect()]
+    near = among_least(rows, "id", 90)
+    assert near.count() < 1000 and first(near) == first(rows)
+    same = spark.range(500).selectExpr("1L AS id")
+    assert among_least(same, "id", 9).count() == 500
+
+
 def test_random_strings_are_found(spark):
     model = secret_scan.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     rows = [(1, "see q8Zr2LkV9xTbN4mWc7Ys1HdJ there"), (2, "thenerationstherenderationones"), (3, "password=q8Zr2LkV9xTbN4mWc7Ys1HdJ")]
