@@ -4,9 +4,10 @@ A word is the mean of the embeddings of itself and of its character n-grams, all
 hashed into BUCKETS rows, so a misspelling shares most of its vectors with the word
 it hides. Words are averaged over a segment of SEGMENT words, a linear softmax gives
 the segment's margin, and a document is as toxic as its worst segment: toxic words
-are few, and a long text would wash them out. Training spreads a document's label over
-its segments, in mini-batches; a logistic fit on the other part of the sample
-calibrates the margin.
+are few, and a long text would wash them out. Training goes in mini-batches: it first
+spreads a document's label over its segments, then turns from epoch to epoch to the
+segments with the largest margins. A logistic fit on the other part of the sample
+calibrates the worst margin.
 
 The fit takes at most SAMPLE rows of each label outside the held-out fold, those with
 the smallest id hash. What is broadcast is one number for each bucket: the softmax is
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from .common import held_out
 from .quality import labelled_sample, logistic
 
-SAMPLE, BUCKETS, DIM, SEGMENT = 1500, 1 << 18, 6, 8
+SAMPLE, BUCKETS, DIM, SEGMENT = 1500, 1 << 18, 6, 3
 SHORTEST, LONGEST = 3, 6
-EPOCHS, RATE, BATCH, LEAST_DOCS, DAMP = 8, 0.3, 60, 3, 1e-12
+EPOCHS, RATE, BATCH, LEAST_DOCS, DAMP, SHARP = 8, 0.3, 60, 3, 1e-12, 6.0
 #: Words whose margins a worker remembers.
 REMEMBERED = 400_000
 
@@ -106,15 +107,17 @@ class _Batch:
 
     def __init__(self, pairs: list[tuple[str, int]]):
         place: dict[str, int] = {}
-        flat, docs, seg_len, labels = [], [], [], []
+        flat, docs, seg_len, seg_doc = [], [], [], []
         for d, (text, y) in enumerate(pairs):
             w = [place.setdefault(x, len(place)) for x in words(text)]
             flat += w
             docs += [d] * len(w)
             seg_len += [min(SEGMENT, len(w) - k) for k in range(0, len(w), SEGMENT)]
-            labels += [y] * -(-len(w) // SEGMENT)
+            seg_doc += [d] * -(-len(w) // SEGMENT)
         self.buckets, self.of_word = grams(list(place))
-        self.flat, self.seg_len, self.labels = np.array(flat), np.array(seg_len), np.array(labels)
+        self.flat, self.seg_len, self.seg_doc = np.array(flat), np.array(seg_len), np.array(seg_doc)
+        self.labels = np.array([y for _, y in pairs])
+        self.doc_cut = np.searchsorted(self.seg_doc, np.arange(len(pairs)))
         self.n_words = len(place)
         self.per_word = np.maximum(1, np.bincount(self.of_word, minlength=self.n_words)).astype(np.float32)[:, None]
         pair = np.unique(self.flat * len(pairs) + docs)
@@ -133,21 +136,28 @@ class _Batch:
         self.word_by_row, self.row_cut = of[order], np.searchsorted(rows[order], np.arange(len(self.ids)))
         self.by_word = np.argsort(self.flat, kind="stable")
         self.word_cut = np.searchsorted(self.flat[self.by_word], np.arange(self.n_words))
-        self.seg_by_word = np.repeat(np.arange(len(self.labels)), self.seg_len)[self.by_word]
+        self.seg_by_word = np.repeat(np.arange(len(self.seg_len)), self.seg_len)[self.by_word]
         self.seg_cut = np.r_[0, np.cumsum(self.seg_len)[:-1]]
         self.per_seg = self.seg_len[:, None].astype(np.float32)
         del self.buckets, self.of_word, self.docs
 
-    def gradients(self, e: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the mean cross entropy, labels weighing alike: by the rows of e at self.ids, and by w."""
+    def gradients(self, e: np.ndarray, w: np.ndarray, sharp: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean cross entropy, by the rows of e at self.ids, and by w.
+
+        Labels weigh alike and so do a label's documents; within one, a segment weighs
+        as e^(sharp * margin): 0 spreads the label evenly, more turns to the worst.
+        """
         word = np.zeros((self.n_words, DIM), np.float32)
         word[self.kept] = np.add.reduceat(e[self.ids][self.rows_by_word], self.kept_cut)
         word /= self.per_word
         seg = np.add.reduceat(word[self.flat], self.seg_cut) / self.per_seg
         z = seg @ w
-        p = 1 / (1 + np.exp(np.clip(z[:, 0] - z[:, 1], -30, 30)))
-        weight = (0.5 / np.maximum(1, np.bincount(self.labels, minlength=2)))[self.labels]
-        pull = ((p - self.labels) * weight).astype(np.float32)
+        margin = np.clip(z[:, 1] - z[:, 0], -30, 30)
+        p = 1 / (1 + np.exp(-margin))
+        part = np.exp(sharp * (margin - np.maximum.reduceat(margin, self.doc_cut)[self.seg_doc]))
+        part /= np.add.reduceat(part, self.doc_cut)[self.seg_doc]
+        weight = part * (0.5 / np.maximum(1, np.bincount(self.labels, minlength=2)))[self.labels][self.seg_doc]
+        pull = ((p - self.labels[self.seg_doc]) * weight).astype(np.float32)
         delta = np.stack([-pull, pull], 1)
         grad_seg = (delta @ w.T) / self.per_seg
         grad_word = np.add.reduceat(grad_seg[self.seg_by_word], self.word_cut) / self.per_word
@@ -170,7 +180,7 @@ def train(pairs: list[tuple[str, int]]) -> np.ndarray:
         for b in (batches[k] for k in draw.permutation(len(batches))):
             if not len(b.ids):
                 continue
-            by_e, by_w = b.gradients(e, w)
+            by_e, by_w = b.gradients(e, w, SHARP * epoch / EPOCHS)
             seen_e[b.ids] += by_e * by_e
             seen_w += by_w * by_w
             e[b.ids] -= rate * by_e / np.sqrt(seen_e[b.ids])
