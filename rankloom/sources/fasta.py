@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +64,9 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     both = old.withColumn("__v", F.lit(0)).unionByName(new.withColumn("__v", F.lit(1)))
     newest = Window.partitionBy(*keys).orderBy(F.col("__v").desc())
     return both.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__v", "__n")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="rankloom-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
