@@ -1,4 +1,4 @@
-"""Near duplicates by an LSH forest over MinHash labels, confirmed on full shingle sets.
+"""Near duplicates: an LSH forest over MinHash labels, then an exact prefix join; all links are confirmed on full shingle sets.
 
 1. Every text becomes its set of hashed word shingles; ``TREES * DEPTH`` MinHash
    values are cut to one byte each, and a tree's label string is DEPTH of them.
@@ -7,12 +7,21 @@
 3. All trees' label strings are range-partitioned and sorted together. In a sorted
    order the nearest rows have the longest common prefix: each row is paired with
    its next ``WINDOW`` rows of the same tree. How many labels they share adapts to
-   how crowded the region is, and ties go on into a sketch of further labels. The
-   first and last rows of each partition are returned as well and paired across
-   its border, so no neighbour is lost where partitions meet.
+   how crowded the region is, and ties go on into a sketch of the labels that follow
+   the tree's own, which is another one for every tree. The first and last rows of
+   each partition are returned as well and paired across its border, so no
+   neighbour is lost where partitions meet.
 4. Pairs whose sketch and sizes can't reach the threshold are dropped, the rest are
    confirmed on their whole sets, and confirmed links are joined into components by
    alternating star contractions that write each round to the shared folder.
+5. The forest is quick where copies are many, but it may miss links. What it has not
+   joined is therefore searched exactly. All sets are put into one order, shingles
+   that are common in a sample of the texts last; two sets similar enough share a
+   shingle within their first ``n - ceil(t * n) + 1``, at places that leave room for
+   the overlap needed. Postings of these prefixes meet by shingle, once for each
+   component, so a crowd that the forest has joined meets nothing of its own, and
+   pairs whose counts of shingles in 256 buckets rule out the overlap are dropped.
+   Whatever the sample holds, no pair is lost: it only decides how many are compared.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and
 are linked with nothing; a text of fewer words than the shingle length is one
@@ -30,11 +39,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_words, maybe_in, written
+from .common import filter_words, keep_only, maybe_in, written
 
 TREES, DEPTH, WINDOW, SKETCH = 24, 10, 2, 48
 #: Shingles that are hashed at once; bounds a task's memory on very long texts.
 CHUNK = 2048
+#: Texts that are sampled for common shingles, and how many of these are known at most; they decide the order of sets, never the result.
+SAMPLE, COMMON = 4_000, 1 << 16
+#: Rows of one shingle that meet in one task.
+SALT = 2000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -106,6 +119,43 @@ def _shingler(width: int):
     return cut
 
 
+def _prefixer(width: int, percent: int, common: tuple[np.ndarray, np.ndarray]):
+    """The shingles of each set's prefix, common ones last; common: sorted shingles and how often a sample has them."""
+    known, counts = common
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, prefixes, counted = [], [], []
+            for t in batch.column(1):
+                s = shingle_set(t.as_py(), width).view(np.int64)
+                n = len(s)
+                if len(known) and n:
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.lexsort((s, np.where(known[at] == s, counts[at], 0)))]
+                sizes.append(n)
+                in_bucket = np.bincount(s & 255, minlength=256)
+                counted.append(in_bucket.astype(np.uint8).tobytes() if n and in_bucket.max() < 256 else None)
+                prefixes.append(s[: n - (percent * n + 99) // 100 + 1])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counted, pa.binary())], names=["id", "n", "prefix", "counted"])
+
+    return cut
+
+
+def _overlapping(percent: int):
+    """Pairs whose overlap may be large enough: at most the sum of the lesser counts over 256 buckets of shingles. Rows: (a, b, sizes, x, y)."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                x, y = (np.frombuffer(b"".join(part.column(k).to_pylist()), np.uint8).reshape(-1, 256) for k in (3, 4))
+                most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+                ok = pa.array((100 + percent) * most >= percent * part.column(2).to_numpy())
+                yield pa.record_batch([part.column(0).filter(ok), part.column(1).filter(ok)], names=["a", "b"])
+
+    return keep
+
+
 def _close(tree, size, sketch, j: int, percent: int, least: int) -> np.ndarray:
     """Which rows i and i + j may be similar: same tree, sizes and sketches that allow it."""
     small, large = np.minimum(size[j:], size[:-j]), np.maximum(size[j:], size[:-j])
@@ -164,7 +214,7 @@ def candidate_pairs(reps: DataFrame, percent: int, trees: int = TREES, depth: in
         F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(labels, tree * {depth} + 1, {depth})")).alias("order"),
         "id",
         "n",
-        F.expr(f"substring(labels, 1, {SKETCH})").alias("sketch"),
+        F.expr(f"substring(concat(labels, labels), (tree * {depth} + {depth + depth // 2}) % {trees * depth} + 1, {SKETCH})").alias("sketch"),
     )
     ordered = rows.repartitionByRange("order", "sketch", "id").sortWithinPartitions("order", "sketch", "id")
     schema = "a long, b long, place long, `order` binary, id long, n long, sketch binary"
@@ -188,6 +238,47 @@ def confirmed_links(pairs: DataFrame, docs: DataFrame, width: int, percent: int)
     return both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
 
 
+def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample hold, sorted, with their counts; at most COMMON of about SAMPLE texts."""
+    n = docs.count()
+    some = docs.where(F.xxhash64("id") <= F.lit(SAMPLE * (1 << 64) // n - (1 << 63))) if n > SAMPLE else docs
+    held = some.mapInArrow(_shingler(width), "id long, shingles array<bigint>").select(F.explode("shingles").alias("s"))
+    rows = held.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).collect()
+    rows.sort()
+    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+
+
+def prefix_pairs(docs: DataFrame, roots: DataFrame, width: int, percent: int) -> DataFrame:
+    """All pairs (a < b) of different components that may reach the threshold, none missing. docs: (id, text), roots: (id, root)."""
+    cut = _prefixer(width, percent, common_shingles(docs, width))
+    sets = written(docs.mapInArrow(cut, "id long, n long, prefix array<bigint>, counted binary"), "prefixes")
+    # rest: how many shingles of the set can still be shared when this is the first one that is.
+    rows = sets.select("id", "n", F.posexplode("prefix").alias("place", "s")).select("s", "id", "n", (F.col("n") - F.col("place")).alias("rest"))
+    shared = written(rows.groupBy("s").count().where("count > 1").select("s", F.ceil(F.col("count") / SALT).cast("int").alias("parts")), "shared")
+    rows = maybe_in(rows, F.col("s"), filter_words(shared, F.col("s"))).join(shared, "s").join(roots, "id", "left")
+    rows = written(rows.select("s", F.coalesce("root", "id").alias("c"), "id", "n", "rest", "parts"), "postings")
+    groups = rows.groupBy("s", "c").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"), F.max("parts").alias("parts"))
+
+    def side(df: DataFrame, end: str, salt) -> DataFrame:
+        return df.withColumn("salt", salt).select("s", "salt", *[F.col(k).alias(f"{k}_{end}") for k in df.columns if k not in ("s", "parts")])
+
+    x = side(groups, "a", F.pmod(F.xxhash64("c"), "parts").cast("int"))
+    y = side(groups, "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    room = f"{100 + percent} * least(rest_a, rest_b) >= {percent} * "
+    met = x.join(y, ["s", "salt"]).where(f"c_a < c_b AND 100 * high_a >= {percent} * low_b AND 100 * high_b >= {percent} * low_a AND {room} (low_a + low_b)")
+    met = written(met.select("s", "c_a", "c_b", "id_a", "id_b", (F.col("id_a").eqNullSafe(F.col("last_a")) & F.col("id_b").eqNullSafe(F.col("last_b"))).alias("single")), "met")
+    of = lambda end: rows.select("s", *[F.col(k).alias(f"{k}_{end}") for k in ("c", "id", "n", "rest")])
+    many = met.where("not single").select("s", "c_a", "c_b").join(of("a"), ["s", "c_a"]).join(of("b"), ["s", "c_b"])
+    many = many.where(f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a AND {room} (n_a + n_b)")
+    pairs = met.where("single").select("id_a", "id_b").union(many.select("id_a", "id_b"))
+    pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).where("a < b").distinct()
+    # An upper bound of the overlap spares most pairs their whole sets; sets too large to be counted in bytes go on unchecked.
+    counts = lambda a, n, x: sets.select(F.col("id").alias(a), F.col("n").alias(n), F.col("counted").alias(x))
+    both = written(pairs.join(counts("a", "n", "x"), "a").join(counts("b", "m", "y"), "b"), "counted")
+    checked = both.where("x is not null and y is not null").select("a", "b", F.expr("n + m").alias("sizes"), "x", "y").mapInArrow(_overlapping(percent), "a long, b long")
+    return checked.union(both.where("x is null or y is null").select("a", "b")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the smallest id reachable over the links, for every id that has a link.
 
@@ -219,8 +310,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         signed.where("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("labels").alias("labels")),
         "classes",
     )
-    pairs = candidate_pairs(reps, percent)
-    roots = components(confirmed_links(pairs, slim.where("id is not null"), width, percent))
+    texts = slim.where("id is not null")
+    links = written(confirmed_links(candidate_pairs(reps, percent), texts, width, percent), "links")
+    roots = written(components(links), "roots")
+    copies = signed.where("same is not null and id is not null").select("id").join(reps.select("id"), "id", "left_anti").distinct()
+    alone = keep_only(texts, written(copies, "copies"), "id")
+    more = written(confirmed_links(prefix_pairs(alone, roots, width, percent), texts, width, percent), "more")
+    if not more.isEmpty():
+        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
     classes = reps.join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("component"))
     return signed.select("id", "n", F.coalesce("same", F.encode(F.concat(F.lit("none "), F.coalesce(F.col("id").cast("string"), F.lit(""))), "UTF-8")).alias("same")).join(
         classes, "same", "left"
