@@ -10,14 +10,15 @@ one counts, and in an article without any decided block undecided ones are good.
 Where an article or main element has good blocks, blocks outside of it are bad.
 
 Defined cases: null and empty pages, and pages without main text, give the empty
-text; unclosed tags end with their container, unclosed scripts, styles and comments
-with the page; ids and urls may be null or repeat, each row is a page of its own.
+text; unclosed tags end with their container, unclosed comments and raw text (scripts,
+styles, titles, text areas, iframes) with the page; ids and urls may be null or repeat, each row is a page of its own.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +36,8 @@ STOP_WORDS = frozenset(
     """.split()
 )
 # Elements by what they hold.
-SKIPPED = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select option button".split())
+RAW = frozenset("script style textarea title iframe".split())
+SKIPPED = frozenset("noscript template svg math object canvas audio video select option button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 CONTAINER = frozenset("html body article main section div nav header footer aside form menu ul ol dl table thead tbody tfoot tr td th figure fieldset blockquote details dialog head".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog head".split())
@@ -79,6 +81,8 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, banned, region
     parts: list[str] = []
     linked, links, regions, heading, at = 0, 0, 0, False, 0
+    skipped = 0  # place in the stack of the outermost skipped element, 0 outside of any
+    inside: Counter[str] = Counter()  # other tags opened in it
 
     def close() -> None:
         nonlocal linked
@@ -91,7 +95,7 @@ def blocks(page: str) -> list[Block]:
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not skipped:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if links:
@@ -104,11 +108,38 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
-        if tag in SKIPPED:
+        if tag in RAW:
             if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
+        if skipped or tag in SKIPPED:
+            if not closing:
+                if tag in SKIPPED or tag in CONTAINER:
+                    if not attributes.endswith("/"):
+                        if tag == stack[-1][0] == "option":
+                            stack.pop()
+                        skipped = skipped or len(stack)
+                        stack.append((tag, *stack[-1][1:]))
+                else:
+                    inside[tag] += 1
+                continue
+            if skipped and any(s[0] == tag for s in stack[skipped:]):
+                while stack.pop()[0] != tag:
+                    pass
+                if len(stack) <= skipped:
+                    skipped = 0
+                    inside.clear()
+                continue
+            if tag in SKIPPED or tag in CONTAINER and all(s[0] != tag for s in stack):
+                continue
+            if inside[tag]:
+                inside[tag] -= 1
+                continue
+            # The end of something around the skipped element ends it as well.
+            del stack[skipped:]
+            skipped = 0
+            inside.clear()
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1

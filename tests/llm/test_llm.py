@@ -98,6 +98,21 @@ def test_html():
     assert html_text.main_text("<article><p>Les.</p></article>") == "Les."
 
 
+def test_html_unclosed_elements_end_with_what_is_around_them():
+    first, last = "The first of all the texts that are in the world and for the reader of it to see.", "The last of all the texts that are in the world and for the reader of it to see."
+    for middle in [
+        "<datalist><option value=a><option value=b></datalist>",
+        "<div><select><option>x<option>y</div>",
+        *[f"<div><{t}>x</div>" for t in ("button", "noscript", "object", "video", "audio", "svg", "canvas", "template", "math", "option")],
+        *[f"<p><a href=x><{t}><b>x</b></a></p>" for t in ("button", "svg")],
+        "<div><object><p>x</p><div>y</div></div>",
+    ]:
+        page = f"<body><article><p>{first}</p>{middle}<p>{last}</p></article><footer><button>z</button></footer>"
+        assert html_text.main_text(page) == f"{first}\n{last}", middle
+    closed = f"<article><p>{first[:40]}<button><p>x</p> y</button><svg><g/><title>t</title></svg>{first[40:]}</p><p>{last}</p></article>"
+    assert html_text.main_text(closed) == f"{first}\n{last}"
+
+
 def test_secrets_against_re(spark):
     draw = random.Random(2)
     parts = ["password=abcdef1", 'Token : "x1y2z3w4"', "secret=short"[:10], "AKIA" + "A1B2" * 5, "0123456789abcdef" * 2, "héllo wörld", "api_key='AAAAAA", "deadbeef", "\n", "é" * 5, "q8Zr2LkV9xTbN4mWc7Ys1HdJ"]
