@@ -234,6 +234,13 @@ def k_neighbours(spark, d):
     return neighbours.nearest(q.select("q", "qv"), b.select("b", "bv"), 5).select("q", "b", F.round("d", 6).alias("d"), F.col("place").cast("long").alias("place"))
 
 
+@query("J13_W8_neighbours_of_all", sql("vecs", "SELECT * FROM (SELECT q.vec_id AS q, b.vec_id AS b, round(1 - list_dot_product(q.v, b.v), 6) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_dot_product(q.v, b.v), 9), b.vec_id) AS place FROM vecs q JOIN vecs b ON q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id) WHERE place <= 5"))
+def neighbours_of_all(spark, d):
+    v = A.vecs(spark, d)
+    q, b = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv")), v.select(F.col("vec_id").alias("b"), F.col("v").alias("bv"))
+    return neighbours.nearest(q, b, 5, exclude_self=True).select("q", "b", F.round("d", 6).alias("d"), F.col("place").cast("long").alias("place"))
+
+
 @query("G10_J14_hierarchical", sql("vecs", """, s AS (SELECT q.vec_id AS q, b.vec_id AS b, b.r0, b.r1, round(1 - list_dot_product(q.v, b.v), 9) AS d FROM vecs q JOIN vecs b ON q.vec_id % 5 = 0 AND b.vec_id % 5 <> 0),
 z0 AS (SELECT r0, count(*) AS size FROM vecs WHERE vec_id % 5 <> 0 GROUP BY r0), z1 AS (SELECT r0, r1, count(*) AS size FROM vecs WHERE vec_id % 5 <> 0 GROUP BY r0, r1),
 n0 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, b) AS n FROM s), v0 AS (SELECT q, r0, round(sum(1 / sqrt(size) / (d * d + 0.000001)), 6) AS v, max(size) AS size FROM n0 JOIN z0 USING (r0) WHERE n <= 20 GROUP BY q, r0),

@@ -100,3 +100,17 @@ def test_entry_and_every_oracle_has_a_query(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_neighbours_among_all_vectors(spark):
+    from rankloom import registry
+    from rankloom.plans import adapters
+
+    d = "/root/testdata/sf0.01"
+    vecs = {r["vec_id"]: r["v"] for r in adapters.vecs(spark, d).select("vec_id", "v").collect()}
+    want = set()
+    for q in (k for k in vecs if k % 100 == 0):
+        near = sorted((round(1 - sum(x * y for x, y in zip(vecs[q], v, strict=True)), 9), b) for b, v in vecs.items() if b != q)[:5]
+        want |= {(q, b, k + 1) for k, (_, b) in enumerate(near)}
+    got = {(r["q"], r["b"], r["place"]) for r in registry.QUERIES["J13_W8_neighbours_of_all"](spark, d).collect()}
+    assert got == want and any(b % 5 == 0 for _, b, _ in got)
