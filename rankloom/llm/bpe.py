@@ -100,7 +100,7 @@ class Automaton:
     def _arcs(self, word: bytes, at: int) -> list[int]:
         """The tokens that the word goes on with at a place, shortest first."""
         tree, ends, node, out = self.tree, self.ends, 0, []
-        for b in word[at:]:
+        for b in memoryview(word)[at:]:
             node = tree[node].get(b)
             if node is None:
                 break

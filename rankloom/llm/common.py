@@ -6,6 +6,7 @@ columns of the input, whatever they are called, never clash with its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,27 +36,55 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; a temporary one where none is set."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where none is set, a local session (as in tests) gets a temporary one; on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
-        held = tempfile.mkdtemp(prefix="rankloom-checkpoint-")
-        spark.sparkContext.setCheckpointDir(held)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rankloom-checkpoint-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back.
+class Scratch:
+    """Tables written to the shared folder, each removed once nothing reads it any more.
 
-    A lost executor then costs the tasks that ran on it, not what led up to them.
+    Reading a written table cuts the lineage: a lost executor then costs the tasks that
+    ran on it, not what led up to them. A table may be dropped when all that was read
+    from it has itself been written.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Remove the tables written under these names so far."""
+        jvm = self.spark._jvm
+        for name in names:
+            for path in self.paths.pop(name, []):
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def clear(self) -> None:
+        self.drop(*list(self.paths))
+        self.settle()
+
+    def settle(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of DataFrames that are gone."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def among_least(df: DataFrame, key: str, sample: int) -> DataFrame:
@@ -92,15 +121,37 @@ def maybe_in(df: DataFrame, key: Column, words: DataFrame, bits: int = FILTER_BI
     return df.join(words, on, "left_anti" if anti else "left_semi").drop("__h")
 
 
+def marked(df: DataFrame, key: Column, words: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
+    """df with a boolean column: whether the key may be in the bitmap."""
+    cols = df.columns
+    h = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = F.broadcast(words.select(F.col("w").alias("__w"), F.col("m").alias("__m")))  # bits / 64 rows at most
+    both = df.withColumn("__h", h).join(words, F.shiftright("__h", 6).cast("int") == F.col("__w"), "left")
+    return both.select(*cols, F.coalesce(F.expr("shiftright(__m, cast(__h & 63 as int)) & 1L") == 1, F.lit(False)).alias(name))
+
+
+def those_in(df: DataFrame, key: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of df whose key is in the one column of ids (distinct values).
+
+    While the bitmap is sparse it is the first filter and only what it lets through is
+    shuffled; where the counted ids would crowd it, all rows meet the ids in a shuffle.
+    """
+    name = ids.columns[0]
+    if ids.count() <= bits // 8:
+        df = maybe_in(df, F.col(key), filter_words(ids, F.col(name), bits), bits)
+    return df.join(ids.select(F.col(name).alias("__in")), F.col(key) == F.col("__in"), "left_semi")
+
+
 def keep_only(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     """docs without the rows whose id is in dropped (one long column ``id``), columns unchanged.
 
     The bitmap lets rows that are surely kept pass without a shuffle; the others
-    are checked exactly by an anti-join. Rows with a null id are kept.
+    are checked exactly by an anti-join. Rows with a null id are kept, and so are all
+    rows of ids that aren't whole numbers; every row of a dropped id goes.
     """
     words = filter_words(dropped, F.col("id"))
-    key = F.coalesce(docs[id_col].cast("long"), F.lit(-1))
+    key = F.coalesce(docs[id_col].try_cast("long"), F.lit(-1))
     sure = maybe_in(docs, key, words, anti=True)
     doubtful = maybe_in(docs, key, words)
-    checked = doubtful.join(dropped.select(F.col("id").alias("__id")), F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    checked = doubtful.join(dropped.select(F.col("id").alias("__id")), docs[id_col].try_cast("long") == F.col("__id"), "left_anti")
     return sure.unionByName(checked)

@@ -1,32 +1,37 @@
-"""Near duplicates: an LSH forest over MinHash labels, then an exact prefix join; all links are confirmed on full shingle sets.
+"""Near duplicates: an LSH forest over MinHash labels of adaptive depth; all links are confirmed on full shingle sets.
 
 1. Every text becomes its set of hashed word shingles; ``TREES * DEPTH`` MinHash
    values are cut to one byte each, and a tree's label string is DEPTH of them.
 2. Documents with equal sets collapse into one class by a partially aggregated
    ``groupBy``, so thousands of copies cost one row further on.
 3. All trees' label strings are range-partitioned and sorted together. In a sorted
-   order the nearest rows have the longest common prefix: each row is paired with
-   its next ``WINDOW`` rows of the same tree. How many labels they share adapts to
-   how crowded the region is, and ties go on into a sketch of the labels that follow
-   the tree's own, which is another one for every tree. The first and last rows of
-   each partition are returned as well and paired across its border, so no
-   neighbour is lost where partitions meet.
-4. Pairs whose sketch and sizes can't reach the threshold are dropped, the rest are
-   confirmed on their whole sets, and confirmed links are joined into components by
-   alternating star contractions that write each round to the shared folder.
-5. The forest is quick where copies are many, but it may miss links. What it has not
-   joined is therefore searched exactly. All sets are put into one order, shingles
-   that are common in a sample of the texts last; two sets similar enough share a
-   shingle within their first ``n - ceil(t * n) + 1``, at places that leave room for
-   the overlap needed. Postings of these prefixes meet by shingle, once for each
-   component, so a crowd that the forest has joined meets nothing of its own, and
-   pairs whose counts of shingles in 256 buckets rule out the overlap are dropped.
-   Whatever the sample holds, no pair is lost: it only decides how many are compared.
+   order the nearest rows have the longest common prefix: each row is paired with its
+   next ``WINDOW`` rows that share at least ``NEED`` labels with it. How many more they
+   share adapts to how crowded the region is. The first and last rows of each partition
+   are returned as well and paired across its border.
+4. Pairs are confirmed on their whole sets: first each class's pair that most trees
+   name, then those pairs whose ends are not yet in one component.
+5. Where more rows share NEED labels than the window reaches, a region is crowded. Rows
+   of a crowded region that the links have not made one component are searched exactly.
+   All sets are put into one order, shingles that are common in a sample of the texts
+   last; two sets similar enough share a shingle within their first
+   ``n - ceil(t * n) + 1``, at places that leave room for the overlap needed. Postings of
+   these prefixes meet by shingle, once for each component, and pairs whose counts of
+   shingles in 256 buckets rule out the overlap are dropped. Whatever the sample holds,
+   no pair is lost: it only decides how many are compared.
+
+What may be lost is a link whose ends share fewer than NEED labels in every tree: with
+24 trees and four labels, three in a million links at similarity 0.8 exactly, fewer
+above (``(1 - 0.8 ** 4) ** 24``). Nothing else is cut: no cap on partners, buckets or
+candidates, and filters between the steps only drop pairs that can't reach the
+threshold.
 
 Defined cases: null and empty texts, and texts without words, have no shingles and
 are linked with nothing; a text of fewer words than the shingle length is one
-shingle; a repeated id is one document twice; rows with a null id get a null
-component and take no part in links; an empty table gives no rows.
+shingle; a row that repeats an id gets the component of its own text's class, and two
+classes whose smallest ids are the same are one; rows with a null id (or one that is no
+whole number) get a null component and take no part in links; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -39,9 +44,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_words, keep_only, maybe_in, written
+from .common import Scratch, filter_words, maybe_in, those_in
 
-TREES, DEPTH, WINDOW, SKETCH = 24, 10, 2, 48
+#: Trees, labels of a tree, rows that a row is paired with, labels that a pair shares at least.
+TREES, DEPTH, WINDOW, NEED = 24, 8, 2, 4
+#: Rows of the borders between partitions that one task takes.
+BORDER = 200_000
+#: Sets that one Arrow batch holds.
+ROWS = 500
 #: Shingles that are hashed at once; bounds a task's memory on very long texts.
 CHUNK = 2048
 #: Texts that are sampled for common shingles, and how many of these are known at most; they decide the order of sets, never the result.
@@ -110,11 +120,18 @@ def _signer(width: int, n_labels: int):
     return sign
 
 
+def _counted(s: np.ndarray) -> bytes | None:
+    """How many shingles fall into each of 256 buckets; None where a byte can't hold a count."""
+    in_bucket = np.bincount(s & 255, minlength=256)
+    return in_bucket.astype(np.uint8).tobytes() if len(s) and in_bucket.max() < 256 else None
+
+
 def _shingler(width: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             sets = [shingle_set(t.as_py(), width).view(np.int64) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            counted = [_counted(s) for s in sets]
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(counted, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "n", "counted", "shingles"])
 
     return cut
 
@@ -124,7 +141,7 @@ def _prefixer(width: int, percent: int, common: tuple[np.ndarray, np.ndarray]):
     known, counts = common
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 4 * ROWS) for b in batches for at in range(0, b.num_rows, 4 * ROWS)):
             sizes, prefixes, counted = [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), width).view(np.int64)
@@ -133,8 +150,7 @@ def _prefixer(width: int, percent: int, common: tuple[np.ndarray, np.ndarray]):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.lexsort((s, np.where(known[at] == s, counts[at], 0)))]
                 sizes.append(n)
-                in_bucket = np.bincount(s & 255, minlength=256)
-                counted.append(in_bucket.astype(np.uint8).tobytes() if n and in_bucket.max() < 256 else None)
+                counted.append(_counted(s))
                 prefixes.append(s[: n - (percent * n + 99) // 100 + 1])
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counted, pa.binary())], names=["id", "n", "prefix", "counted"])
 
@@ -156,107 +172,114 @@ def _overlapping(percent: int):
     return keep
 
 
-def _close(tree, size, sketch, j: int, percent: int, least: int) -> np.ndarray:
-    """Which rows i and i + j may be similar: same tree, sizes and sketches that allow it."""
-    small, large = np.minimum(size[j:], size[:-j]), np.maximum(size[j:], size[:-j])
-    ok = (tree[j:] == tree[:-j]) & (100 * small >= percent * large)
-    at = np.flatnonzero(ok)
-    return at[(sketch[at] == sketch[at + j]).sum(axis=1) >= least]
+def _neighbours(percent: int, window: int, edges: bool):
+    """Pairs each row of a sorted run with the next rows; edges: also returns the first and last rows of the run.
 
+    Rows that come out: (a, b) a pair; (order, id) a row whose region reaches beyond the window, order being what
+    the region shares; (order, id, n, place) a row at an edge.
+    """
+    names, reach, shared = ["a", "b", "place", "order", "id", "n"], window + 1, 1 + NEED
+    none = lambda k, kind=pa.int64(): pa.nulls(k, kind)
 
-def _neighbours(percent: int, least: int, window: int, edges: bool):
-    """Pairs each row of a sorted run with the next rows; edges: also returns the first and last rows of the run."""
-    names = ["a", "b", "place", "order", "id", "n", "sketch"]
+    def edge_rows(t: pa.Table, at: int) -> pa.RecordBatch:
+        k = t.num_rows
+        return pa.record_batch([none(k), none(k), pa.array(range(at, at + k), pa.int64()), *(t.column(c).combine_chunks() for c in ("order", "id", "n"))], names=names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, place, first = None, 0, []
-
-        def edge_rows(t: pa.Table, at: int) -> pa.RecordBatch:
-            n = t.num_rows
-            return pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(at, at + n), pa.int64()), *(t.column(k).combine_chunks() for k in ("order", "id", "n", "sketch"))], names=names)
-
+        held, place = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             new = pa.Table.from_batches([batch])
-            if edges and place < window:
-                yield edge_rows(new.slice(0, window - place), place)
+            if edges and place < reach:
+                yield edge_rows(new.slice(0, reach - place), place)
             t = pa.concat_tables([held, new]).combine_chunks() if held is not None else new
-            old = held.num_rows if held is not None else 0
-            rows = t.num_rows
-            order = np.frombuffer(b"".join(t.column("order").to_pylist()), np.uint8).reshape(rows, -1)
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(rows, -1)
+            old, rows = held.num_rows if held is not None else 0, t.num_rows
+            head = np.frombuffer(b"".join(t.column("order").to_pylist()), np.uint8).reshape(rows, -1)[:, :shared]
             ids, size = t.column("id").to_numpy(), t.column("n").to_numpy()
-            for j in range(1, window + 1):
-                if rows <= j:
-                    break
-                at = _close(order[:, 0], size, sketch, j, percent, least)
+            for j in range(1, min(reach, rows - 1) + 1):
+                at = np.flatnonzero((head[j:] == head[:-j]).all(axis=1))
                 at = at[at + j >= old]
-                if len(at):
-                    a, b = np.minimum(ids[at], ids[at + j]), np.maximum(ids[at], ids[at + j])
-                    none = pa.nulls(len(at), pa.binary())
-                    yield pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(at), pa.int64()), none, pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), none], names=names)
+                if j <= window:
+                    small, large = np.minimum(size[at], size[at + j]), np.maximum(size[at], size[at + j])
+                    at = at[100 * small >= percent * large]
+                    if len(at):
+                        a, b = np.minimum(ids[at], ids[at + j]), np.maximum(ids[at], ids[at + j])
+                        yield pa.record_batch([pa.array(a), pa.array(b), none(len(at)), none(len(at), pa.binary()), none(len(at)), none(len(at))], names=names)
+                elif len(at):
+                    both = np.union1d(at, at + j)
+                    region = pa.array([h.tobytes() for h in head[both]], pa.binary())
+                    yield pa.record_batch([none(len(both)), none(len(both)), none(len(both)), region, pa.array(ids[both]), none(len(both))], names=names)
             place += batch.num_rows
-            held = t.slice(max(0, rows - window))
-        if edges and held is not None and place > window:
-            last = min(held.num_rows, place - window)
+            held = t.slice(max(0, rows - reach))
+        if edges and held is not None and place > reach:
+            last = min(held.num_rows, place - reach)
             yield edge_rows(held.slice(held.num_rows - last), place - last)
 
     return walk
 
 
-def candidate_pairs(reps: DataFrame, percent: int, trees: int = TREES, depth: int = DEPTH, window: int = WINDOW) -> DataFrame:
-    """Distinct candidate pairs (a < b) of longest-common-prefix neighbours in the trees' sorted orders. reps: (id, n, labels)."""
-    least = int(SKETCH * percent / 100 - 4 * (SKETCH * percent * (100 - percent) / 10_000) ** 0.5)
-    rows = reps.select(
-        F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "id", "n", "labels"
-    ).select(
-        F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(labels, tree * {depth} + 1, {depth})")).alias("order"),
-        "id",
-        "n",
-        F.expr(f"substring(concat(labels, labels), (tree * {depth} + {depth + depth // 2}) % {trees * depth} + 1, {SKETCH})").alias("sketch"),
+def forest(reps: DataFrame, percent: int, scratch: Scratch, trees: int = TREES, depth: int = DEPTH, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a < b, trees: how many name it) of longest-common-prefix neighbours, and (region, id) of rows in regions that the window doesn't cover. reps: (id, n, labels)."""
+    rows = reps.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "id", "n", "labels").select(
+        F.concat(F.unhex(F.lpad(F.hex("tree"), 2, "0")), F.expr(f"substring(labels, tree * {depth} + 1, {depth})")).alias("order"), "id", "n"
     )
-    ordered = rows.repartitionByRange("order", "sketch", "id").sortWithinPartitions("order", "sketch", "id")
-    schema = "a long, b long, place long, `order` binary, id long, n long, sketch binary"
-    found = written(ordered.mapInArrow(_neighbours(percent, least, window, True), schema), "neighbours")
-    pairs = found.where("a is not null").select("a", "b")
-    # At most 2 * window rows for each partition, whatever it holds: their pairs are those that a border separates.
-    border = found.where("a is null").select("order", "id", "n", "sketch").repartition(1).sortWithinPartitions("order", "sketch", "id")
-    across = border.mapInArrow(_neighbours(percent, least, window, False), schema).select("a", "b")
-    return pairs.union(across).where("a < b").distinct()
-
-
-def confirmed_links(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * |intersection| >= percent * |union|. docs: (id, text), ids once each."""
-    pairs = written(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = maybe_in(docs, F.col("id"), filter_words(ends, F.col("id"))).join(ends, "id", "left_semi")
-    sets = written(texts.mapInArrow(_shingler(width), "id long, shingles array<bigint>"), "shingles")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.where(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b")
+    schema = "a long, b long, place long, `order` binary, id long, n long"
+    ordered = rows.repartitionByRange("order", "id").sortWithinPartitions("order", "id")
+    found, out = scratch.write(ordered.mapInArrow(_neighbours(percent, window, True), schema), "neighbours"), []
+    while True:
+        out.append(found.where("place is null"))
+        # 2 * (window + 1) rows of each partition, whatever it holds: what a border separates is found among them.
+        border = found.where("place is not null").select("order", "id", "n")
+        parts = -(-border.count() // BORDER)
+        if parts <= 1:
+            out.append(border.repartition(1).sortWithinPartitions("order", "id").mapInArrow(_neighbours(percent, window, False), schema))
+            break
+        border = border.repartitionByRange(parts, "order", "id").sortWithinPartitions("order", "id")
+        found = scratch.write(border.mapInArrow(_neighbours(percent, window, True), schema), "neighbours")
+    all_rows = out[0]
+    for more in out[1:]:
+        all_rows = all_rows.unionByName(more)
+    pairs = all_rows.where("a < b").groupBy("a", "b").agg(F.count("*").alias("trees"))
+    crowded = all_rows.where("a is null").select(F.col("order").alias("region"), "id").distinct()
+    return scratch.write(pairs, "pairs"), scratch.write(crowded, "crowded")
+
+
+def confirmed_links(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose full sets have 100 * |intersection| >= percent * |union|. docs: (id, text); pairs: (a, b), written."""
+    ends = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    texts = those_in(docs, "id", ends)
+    sets = scratch.write(texts.mapInArrow(_shingler(width), "id long, n long, counted binary, shingles array<bigint>"), "shingles")
+    # An upper bound of the overlap spares most hopeless pairs their sets; sets too large to be counted in bytes go on unchecked.
+    of = lambda a, n, x, what: sets.select(F.col("id").alias(a), F.col("n").alias(n), F.col(what).alias(x))
+    both = scratch.write(pairs.select("a", "b").join(of("a", "n", "x", "counted"), "a").join(of("b", "m", "y", "counted"), "b"), "counted")
+    bounded = both.where("x is not null and y is not null").select("a", "b", F.expr("n + m").alias("sizes"), "x", "y").mapInArrow(_overlapping(percent), "a long, b long")
+    likely = scratch.write(bounded.union(both.where("x is null or y is null").select("a", "b")).distinct(), "likely")
+    met = likely.join(of("a", "n", "x", "shingles"), "a").join(of("b", "m", "y", "shingles"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    links = scratch.write(met.where(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b").distinct(), "links")
+    scratch.drop("ends", "shingles", "counted", "likely")
+    return links
 
 
 def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample hold, sorted, with their counts; at most COMMON of about SAMPLE texts."""
     n = docs.count()
     some = docs.where(F.xxhash64("id") <= F.lit(SAMPLE * (1 << 64) // n - (1 << 63))) if n > SAMPLE else docs
-    held = some.mapInArrow(_shingler(width), "id long, shingles array<bigint>").select(F.explode("shingles").alias("s"))
+    held = some.mapInArrow(_shingler(width), "id long, n long, counted binary, shingles array<bigint>").select(F.explode("shingles").alias("s"))
     rows = held.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).collect()
     rows.sort()
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
-def prefix_pairs(docs: DataFrame, roots: DataFrame, width: int, percent: int) -> DataFrame:
+def prefix_pairs(docs: DataFrame, roots: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """All pairs (a < b) of different components that may reach the threshold, none missing. docs: (id, text), roots: (id, root)."""
     cut = _prefixer(width, percent, common_shingles(docs, width))
-    sets = written(docs.mapInArrow(cut, "id long, n long, prefix array<bigint>, counted binary"), "prefixes")
+    sets = scratch.write(docs.mapInArrow(cut, "id long, n long, prefix array<bigint>, counted binary"), "prefixes")
     # rest: how many shingles of the set can still be shared when this is the first one that is.
     rows = sets.select("id", "n", F.posexplode("prefix").alias("place", "s")).select("s", "id", "n", (F.col("n") - F.col("place")).alias("rest"))
-    shared = written(rows.groupBy("s").count().where("count > 1").select("s", F.ceil(F.col("count") / SALT).cast("int").alias("parts")), "shared")
+    shared = scratch.write(rows.groupBy("s").count().where("count > 1").select("s", F.ceil(F.col("count") / SALT).cast("int").alias("parts")), "shared")
     rows = maybe_in(rows, F.col("s"), filter_words(shared, F.col("s"))).join(shared, "s").join(roots, "id", "left")
-    rows = written(rows.select("s", F.coalesce("root", "id").alias("c"), "id", "n", "rest", "parts"), "postings")
+    rows = scratch.write(rows.select("s", F.coalesce("root", "id").alias("c"), "id", "n", "rest", "parts"), "postings")
     groups = rows.groupBy("s", "c").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"), F.max("parts").alias("parts"))
 
     def side(df: DataFrame, end: str, salt) -> DataFrame:
@@ -266,64 +289,104 @@ def prefix_pairs(docs: DataFrame, roots: DataFrame, width: int, percent: int) ->
     y = side(groups, "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     room = f"{100 + percent} * least(rest_a, rest_b) >= {percent} * "
     met = x.join(y, ["s", "salt"]).where(f"c_a < c_b AND 100 * high_a >= {percent} * low_b AND 100 * high_b >= {percent} * low_a AND {room} (low_a + low_b)")
-    met = written(met.select("s", "c_a", "c_b", "id_a", "id_b", (F.col("id_a").eqNullSafe(F.col("last_a")) & F.col("id_b").eqNullSafe(F.col("last_b"))).alias("single")), "met")
+    met = scratch.write(met.select("s", "c_a", "c_b", "id_a", "id_b", (F.col("id_a").eqNullSafe(F.col("last_a")) & F.col("id_b").eqNullSafe(F.col("last_b"))).alias("single")), "met")
     of = lambda end: rows.select("s", *[F.col(k).alias(f"{k}_{end}") for k in ("c", "id", "n", "rest")])
     many = met.where("not single").select("s", "c_a", "c_b").join(of("a"), ["s", "c_a"]).join(of("b"), ["s", "c_b"])
     many = many.where(f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a AND {room} (n_a + n_b)")
     pairs = met.where("single").select("id_a", "id_b").union(many.select("id_a", "id_b"))
     pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).where("a < b").distinct()
-    # An upper bound of the overlap spares most pairs their whole sets; sets too large to be counted in bytes go on unchecked.
-    counts = lambda a, n, x: sets.select(F.col("id").alias(a), F.col("n").alias(n), F.col("counted").alias(x))
-    both = written(pairs.join(counts("a", "n", "x"), "a").join(counts("b", "m", "y"), "b"), "counted")
-    checked = both.where("x is not null and y is not null").select("a", "b", F.expr("n + m").alias("sizes"), "x", "y").mapInArrow(_overlapping(percent), "a long, b long")
-    return checked.union(both.where("x is null or y is null").select("a", "b")).distinct()
+    pairs = scratch.write(pairs, "pairs")
+    scratch.drop("prefixes", "shared", "postings", "met")
+    return pairs
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root): the smallest id reachable over the links, for every id that has a link.
 
-    Large-star and small-star rounds; a node's edges are never gathered, its
-    minimum is aggregated in parts and joined back to them.
+    Large-star and small-star rounds; a node's edges are never gathered. Its minimum is
+    aggregated in parts, written, and joined back to them, so both sides of that join are
+    scans and adaptive execution may split a centre's rows.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
-    while True:
+    edges, last = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges0"), None
+    for k in range(1, 1_000):
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        floor = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(floor, "u").select(
-            F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")
-        ).select("e.u", "e.v").where("u <> v").distinct()
-        edges = written(small, "edges")
+        low = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")), "low")
+        large = scratch.write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large")
+        floor = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "floor")
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
+        small = large.join(floor, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        edges = scratch.write(small, f"edges{k}")
+        scratch.drop("low", "large", "floor", f"edges{k - 1}")
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == state:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
-        state = now
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: id_col, n_shingles, component_id (smallest id reachable over links), kept."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(slim.mapInArrow(_signer(width, TREES * DEPTH), "id long, n long, same binary, labels binary"), "signatures")
-    reps = written(
-        signed.where("same is not null and id is not null").groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("labels").alias("labels")),
-        "classes",
-    )
-    texts = slim.where("id is not null")
-    links = written(confirmed_links(candidate_pairs(reps, percent), texts, width, percent), "links")
-    roots = written(components(links), "roots")
-    copies = signed.where("same is not null and id is not null").select("id").join(reps.select("id"), "id", "left_anti").distinct()
-    alone = keep_only(texts, written(copies, "copies"), "id")
-    more = written(confirmed_links(prefix_pairs(alone, roots, width, percent), texts, width, percent), "more")
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more))
-    classes = reps.join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("component"))
-    return signed.select("id", "n", F.coalesce("same", F.encode(F.concat(F.lit("none "), F.coalesce(F.col("id").cast("string"), F.lit(""))), "UTF-8")).alias("same")).join(
-        classes, "same", "left"
-    ).select(
+        if now == last:
+            break
+        last = now
+    roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+    roots = scratch.write(roots, "roots")
+    scratch.drop(f"edges{k}")
+    return roots
+
+
+def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(id, root) of all classes that have a link. reps: (id, n, labels); texts: (id, text)."""
+    pairs, crowded = forest(reps, percent, scratch)
+    scratch.drop("neighbours")
+    ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "trees").union(pairs.select("b", "a", "trees"))
+    best = ends.groupBy("id").agg(F.max_by("other", F.struct("trees", "other")).alias("other"))
+    first = scratch.write(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "first")
+    links = confirmed_links(first, texts, width, percent, scratch)
+    roots = components(links, scratch)
+    scratch.drop("links")
+
+    def root_of(rows: DataFrame, key: str, name: str) -> DataFrame:
+        met = rows.join(roots.select(F.col("id").alias("__id"), F.col("root").alias("__root")), F.col(key) == F.col("__id"), "left")
+        return met.select(*rows.columns, F.coalesce("__root", key).alias(name))
+
+    def merged(links: DataFrame) -> DataFrame:
+        held = scratch.write(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(links), "held")
+        scratch.drop("links", "roots")
+        got = components(held, scratch)
+        scratch.drop("held")
+        return got
+
+    others = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
+    apart = scratch.write(root_of(root_of(others, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"), "apart")
+    scratch.drop("first", "pairs")
+    links = confirmed_links(apart, texts, width, percent, scratch)
+    roots = merged(links)
+    scratch.drop("apart")
+    # Crowded regions that are not one component, and the ids of their rows.
+    placed = scratch.write(root_of(crowded, "id", "root"), "placed")
+    scratch.drop("crowded")
+    open_regions = placed.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    left = scratch.write(maybe_in(placed, F.col("region"), filter_words(open_regions, F.col("region"))).select("id").distinct(), "left")
+    scratch.drop("placed")
+    if not left.isEmpty():
+        links = confirmed_links(prefix_pairs(those_in(texts, "id", left), roots, width, percent, scratch), texts, width, percent, scratch)
+        if not links.isEmpty():
+            roots = merged(links)
+        scratch.drop("pairs", "links")
+    scratch.drop("left")
+    return roots
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
+    """One row per input row: id_col, n_shingles, component_id (smallest id reachable over links), kept. The result reads tables of ``scratch``."""
+    scratch = scratch or Scratch(docs.sparkSession)
+    slim = docs.select(F.col(id_col).try_cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    signed = scratch.write(slim.mapInArrow(_signer(width, TREES * DEPTH), "id long, n long, same binary, labels binary"), "signatures")
+    full = signed.where("same is not null and id is not null")
+    reps = scratch.write(full.groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("labels").alias("labels")), "classes")
+    roots = linked(reps.select("id", "n", "labels"), slim.where("id is not null"), width, percent, scratch)
+    named = scratch.write(reps.select("same", "id").join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("component")), "named")
+    # Rows without shingles stand alone.
+    alone = signed.where("same is null or id is null").select("id", "n", F.col("id").alias("component"))
+    rows = full.select("id", "n", "same").join(named, "same").select("id", "n", "component").unionByName(alone)
+    scratch.drop("classes", "roots")
+    scratch.settle()
+    return rows.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id") == F.col("id")).otherwise(True).alias("kept"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"),
     )

@@ -190,8 +190,9 @@ def train(pairs: list[tuple[str, int]]) -> np.ndarray:
     return out
 
 
-def fit(pairs: list[tuple[str, int]]) -> Model:
-    share = float(np.mean([y for _, y in pairs])) if pairs else 0.0
+def fit(pairs: list[tuple[str, int]], share: float | None = None) -> Model:
+    """share: of label 1, for texts without words; that of the pairs unless it is given."""
+    share = share if share is not None else float(np.mean([y for _, y in pairs])) if pairs else 0.0
     full = [(t, y) for t, y in pairs if t.split()]
     by = [[p for p in full if p[1] == y] for y in (0, 1)]
     if min(map(len, by)) < 4:
@@ -213,10 +214,7 @@ def scores(model: Model, known: _Margins | None, texts: list[str]) -> list[float
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cut: float = 0.5) -> DataFrame:
     """One row per row: id_col, held_out, score, predicted."""
-    pairs = []
-    for y in (0, 1):
-        pairs += labelled_sample(docs, labels.where(F.col("toxic") == y), "toxic", sample, id_col, text_col)
-    held = docs.sparkSession.sparkContext.broadcast(fit(pairs))  # 256 KB
+    held = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, "toxic", sample, id_col, text_col)))  # one number for each bucket: 1 MB
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rankloom.llm import bpe, chat, decontam, exact_dedup, html_text, near_dedup, quality, queries, secret_scan, toxicity, url_filter
-from rankloom.llm.common import among_least
+from rankloom.llm.common import Scratch, among_least
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [(1, "a b c d e f"), (2, None), (3, ""), (4, "a b c d e f"), (5, " \n"), (6, "x"), (None, "x"), (7, "long " * 20000), (7, "long " * 20000)]
@@ -207,8 +207,9 @@ def test_no_pair_is_lost_without_the_forest(spark):
                 t[draw.randrange(len(t))] = draw.choice(vocabulary)
             texts.append((len(texts), " ".join(t[: len(t) - draw.randint(0, len(t) // 8)])))
     docs = spark.createDataFrame(texts, "id long, text string")
-    links = near_dedup.confirmed_links(near_dedup.prefix_pairs(docs, spark.createDataFrame([], "id long, root long"), 2, 80), docs, 2, 80)
-    root = {r["id"]: r["root"] for r in near_dedup.components(links).collect()}
+    t = Scratch(spark)
+    links = near_dedup.confirmed_links(near_dedup.prefix_pairs(docs, spark.createDataFrame([], "id long, root long"), 2, 80, t), docs, 2, 80, t)
+    root = {r["id"]: r["root"] for r in near_dedup.components(links, t).collect()}
     assert {i: root.get(i, i) for i, _ in texts} == {i: c for i, (_, c) in _brute(texts, 2).items()}
 
 
