@@ -14,37 +14,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import bpe, decontam, exact_dedup, near_dedup, quality
-from rankloom.llm.common import keep_only, shared_folder, written
+from rankloom.llm.common import Scratch, keep_only, shared_folder
 
 #: Documents with a lower score are rejected.
 LEAST_QUALITY = 0.3
 
 
+def _without(docs: DataFrame, dropped: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs less the dropped ids. These are written to a table of their own, so that all that led up to them can be removed."""
+    own = Scratch(docs.sparkSession)
+    ids = own.write(dropped, "dropped")
+    scratch.clear()
+    return keep_only(docs, ids, "doc_id")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a score of LEAST_QUALITY or more; null and empty texts have the labelled rows' share of good ones as theirs."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = quality.fit(quality.labelled_sample(docs, labels, "quality", quality.SAMPLE))
-    kept = tuple(f"__{c}" for c in docs.columns)
-    rows = docs.select(F.col("doc_id"), F.col("text"), *[F.col(c).alias(k) for c, k in zip(docs.columns, kept, strict=True)])
-    return quality.score(rows, model, keep=kept).where(F.col("score") >= LEAST_QUALITY).select(*[F.col(k).alias(c) for c, k in zip(docs.columns, kept, strict=True)])
+    model = quality.fit(*quality.labelled_sample(docs, labels, "quality", quality.SAMPLE))
+    kept = tuple(f"__{k}" for k in range(len(docs.columns)))
+    rows = docs.toDF(*kept).select(*kept, F.col(kept[docs.columns.index("doc_id")]).alias("id"), F.col(kept[docs.columns.index("text")]).alias("body"))
+    return quality.score(rows, model, "id", "body", kept).where(F.col("score") >= LEAST_QUALITY).select(*kept).toDF(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = exact_dedup.exact_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").cast("long").alias("id"))
-    return keep_only(docs, written(dropped, "dropped"), "doc_id")
+    """Of rows with equal texts (null counts as empty) those with the largest id; rows with a null id stay."""
+    scratch = Scratch(spark)
+    found = exact_dedup.exact_duplicates(docs, scratch=scratch)
+    return _without(docs, found.where(~F.col("kept")).select(F.col("doc_id").cast("long").alias("id")), scratch)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    dropped = near_dedup.near_duplicates(docs, width=5, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("id"))
-    return keep_only(docs, written(dropped, "dropped"), "doc_id")
+    """One document of each component of near-duplicates; texts without words, and rows with a null id, stay."""
+    scratch = Scratch(spark)
+    found = near_dedup.near_duplicates(docs, width=5, percent=80, scratch=scratch)
+    return _without(docs, found.where(~F.col("kept")).select(F.col("doc_id").alias("id")), scratch)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    dropped = decontam.contamination(docs, items).where("contaminated").select(F.col("doc_id").cast("long").alias("id"))
-    return keep_only(docs, written(dropped, "dropped"), "doc_id")
+    """Rows that aren't contaminated; texts without words aren't."""
+    scratch = Scratch(spark)
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch=scratch)
+    return _without(docs, found.where("contaminated").select(F.col("doc_id").cast("long").alias("id")), scratch)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row of token ids for each row; null and empty texts have none."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
