@@ -2,16 +2,21 @@
 
 Pass one cuts a page into blocks and classifies each by link density, length and
 stop-word density: good, bad, or undecided when it is short or sparse in stop
-words. Containers that hold no article text by what they are (menus, forms,
-footers, adverts, comments ...) make their blocks bad at once. Pass two gives every
+words. Containers that hold no article text by what they are (menus, forms, footers ...)
+or by one of their class names as a whole (``ad``, ``comments`` ...) make their blocks bad
+at once; a class name that only has such a word in it does not. Pass two gives every
 undecided block the label of its nearest decided neighbours in the same region
 (the article or main element, else the page); between unlike neighbours the nearer
-one counts, and in an article without any decided block undecided ones are good.
-Where an article or main element has good blocks, blocks outside of it are bad.
+one counts. Where an article or main element has good blocks, blocks outside of it are bad.
+
+An article element is evidence of its own: inside it shorter and sparser blocks count as
+good, ties between unlike neighbours go to good, and where nothing is decided, undecided
+blocks are good.
 
 Defined cases: null and empty pages, and pages without main text, give the empty
 text; unclosed tags end with their container, unclosed comments and raw text (scripts,
-styles, titles, text areas, iframes) with the page; ids and urls may be null or repeat, each row is a page of its own.
+styles, titles, text areas, iframes) with the page; ids and urls may be null or repeat,
+each row is a page of its own; a page is read in one pass whatever its depth.
 """
 
 from __future__ import annotations
@@ -41,14 +46,18 @@ SKIPPED = frozenset("noscript template svg math object canvas audio video select
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 CONTAINER = frozenset("html body article main section div nav header footer aside form menu ul ol dl table thead tbody tfoot tr td th figure fieldset blockquote details dialog head".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog head".split())
-#: Class and id words of containers without article text.
+# Class and id names, as a whole, of containers without article text.
 NAMED = frozenset(
     """
-    ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer form
-    header login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond
-    rss search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar warning widget widgets
+    ad ads ad-slot ad-container advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comment-list commentlist comments-area comment-respond
+    consent cookie cookies cookie-banner cookie-notice copyright disqus disqus_thread footer site-footer form header site-header login masthead menu main-menu menubar modal nav nav-menu
+    navbar main-navigation post-navigation navigation newsletter newsletter-signup notice notices pager pagination popup promo promoted promotion related related-posts replies reply respond
+    rss search search-form share share-buttons sharing shoutbox sidebar left-sidebar right-sidebar widget-area signup skip-link social social-links sponsor sponsored subscribe subscription
+    tags toolbar warning widget widgets
     """.split()
 )
+# Names that also mark the layout of what has an article in it; an article inside ends their effect.
+LAYOUT = frozenset("sidebar left-sidebar right-sidebar banner header widget-area menu nav".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -66,30 +75,57 @@ class Block:
     label: str = ""
 
 
-def _banned(tag: str, attributes: str, in_article: bool) -> bool:
+#: What a container says of its blocks: nothing, bad unless an article begins inside, bad.
+FREE, LAID_OUT, BANNED = 0, 1, 2
+
+
+def _banned(tag: str, attributes: str, in_article: bool) -> int:
     if tag in BOILERPLATE or tag == "header" and not in_article:
-        return True
-    if tag in ("html", "body", "main") or "=" not in attributes:
-        return False
-    words = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & NAMED) or "hidden" in attributes.split()
+        return BANNED
+    if tag in ("html", "body", "main") or not attributes.strip():
+        return FREE
+    names = {w for m in _NAMES.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()}
+    if names & NAMED:
+        return LAID_OUT if names & NAMED <= LAYOUT else BANNED
+    return BANNED if "hidden" in attributes.split() else FREE
 
 
 def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, banned, region
+    stack: list[tuple[str, int, int]] = [("", FREE, 0)]  # tag, what it says, region
+    opened: Counter[str] = Counter()  # how often each tag is in the stack
+    within: Counter[str] = Counter()  # how often in the part of it that is skipped
     parts: list[str] = []
     linked, links, regions, heading, at = 0, 0, 0, False, 0
     skipped = 0  # place in the stack of the outermost skipped element, 0 outside of any
     inside: Counter[str] = Counter()  # other tags opened in it
 
+    def push(tag: str, says: int, region: int) -> None:
+        stack.append((tag, says, region))
+        opened[tag] += 1
+        if skipped:
+            within[tag] += 1
+
+    def pop() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        if skipped:
+            within[tag] -= 1
+        return tag
+
+    def resume() -> None:
+        nonlocal skipped
+        skipped = 0
+        inside.clear()
+        within.clear()
+
     def close() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, min(linked, len(text)), stack[-1][2], stack[-1][1], heading))
+                out.append(Block(text, min(linked, len(text)), stack[-1][2], stack[-1][1] != FREE, heading))
             parts.clear()
         linked = 0
 
@@ -118,28 +154,27 @@ def blocks(page: str) -> list[Block]:
                 if tag in SKIPPED or tag in CONTAINER:
                     if not attributes.endswith("/"):
                         if tag == stack[-1][0] == "option":
-                            stack.pop()
+                            pop()
                         skipped = skipped or len(stack)
-                        stack.append((tag, *stack[-1][1:]))
+                        push(tag, *stack[-1][1:])
                 else:
                     inside[tag] += 1
                 continue
-            if skipped and any(s[0] == tag for s in stack[skipped:]):
-                while stack.pop()[0] != tag:
+            if skipped and within[tag]:
+                while pop() != tag:
                     pass
                 if len(stack) <= skipped:
-                    skipped = 0
-                    inside.clear()
+                    resume()
                 continue
-            if tag in SKIPPED or tag in CONTAINER and all(s[0] != tag for s in stack):
+            if tag in SKIPPED or tag in CONTAINER and not opened[tag]:
                 continue
             if inside[tag]:
                 inside[tag] -= 1
                 continue
             # The end of something around the skipped element ends it as well.
-            del stack[skipped:]
-            skipped = 0
-            inside.clear()
+            while len(stack) > skipped:
+                pop()
+            resume()
         if tag in INLINE:
             if tag == "a":
                 links = 0 if closing else 1
@@ -151,13 +186,13 @@ def blocks(page: str) -> list[Block]:
         heading = not closing and len(tag) == 2 and tag[0] == "h" and tag[1] in "123456"
         if tag in CONTAINER:
             if not closing:
-                _, banned, region = stack[-1]
-                if tag in ("article", "main") and not region and not banned:
+                _, says, region = stack[-1]
+                if tag in ("article", "main") and not region and says != BANNED:
                     regions += 1
-                    region = regions
-                stack.append((tag, banned or _banned(tag, attributes, bool(region)), region))
-            elif any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
+                    says, region = FREE, regions
+                push(tag, max(says, _banned(tag, attributes, bool(region))), region)
+            elif opened[tag]:
+                while pop() != tag:
                     pass
     add(page[at:])
     close()
@@ -170,7 +205,7 @@ def classify(found: list[Block]) -> None:
         n = len(b.text)
         words = _WORD.findall(b.text.lower())
         stops = sum(map(STOP_WORDS.__contains__, words)) / len(words) if words else 0.0
-        if b.banned or b.linked > LINKS * n or "©" in b.text and n < LONG:
+        if b.banned or b.linked > LINKS * n:
             b.label = "bad"
         elif b.region:
             b.label = "good" if n >= SHORT and stops >= SPARSE else ""
@@ -183,7 +218,7 @@ def classify(found: list[Block]) -> None:
 def inherit(found: list[Block]) -> None:
     """Pass two: undecided blocks take the label of the nearest decided neighbours of their region."""
     for region in {b.region for b in found}:
-        own = [b for b in found if b.region == region and not (region and b.label == "bad")]
+        own = [b for b in found if b.region == region]
         decided = [k for k, b in enumerate(own) if b.label]
         labels = [b.label for b in own]
         place = 0
@@ -198,9 +233,11 @@ def inherit(found: list[Block]) -> None:
                 b.label = "good" if region else "bad"
             elif before is None or after is None:
                 side = labels[after if before is None else before]
-                b.label = side if region or b.heading or side == "bad" else "good"
-            elif labels[before] == labels[after] or after - k == k - before:
-                b.label = labels[before] if labels[before] == labels[after] else "good" if b.heading else "bad"
+                b.label = side
+            elif labels[before] == labels[after]:
+                b.label = labels[before]
+            elif after - k == k - before:
+                b.label = "good" if region or b.heading else "bad"
             else:
                 b.label = labels[before] if k - before < after - k else labels[after]
 

@@ -17,8 +17,9 @@ RULES = (
     url_filter.Rule("net", "/es/", "block"),
     url_filter.Rule("net", "/fr/", "block"),
 )
-#: Hosts with a label that begins like this make up the query's list of canonical URLs.
-LISTED_HOST = r"(^|\.)(adult|ads|casino|cheap|free|spam)-"
+#: Sites that the query's list holds, under each of the three domains.
+LISTED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_DOMAINS = ("example.com", "example.net", "example.org")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learned").cast("long").alias("loss_chars"),
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
     )
 
 
@@ -59,20 +61,26 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   sum(17 + length(role) + length(text)
       + length(regexp_extract_all(text, '<\\*/s>|\[\\*/?INST\]'))
-      + length(regexp_extract_all(role, '<\\*/s>|\[\\*/?INST\]')))::BIGINT AS formatted_chars
+      + length(regexp_extract_all(role, '<\\*/s>|\[\\*/?INST\]')))::BIGINT AS formatted_chars,
+  regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?user,assistant(,user,assistant)*') AS valid
 FROM t GROUP BY conv_id
 """
 
 
+def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(u): the sites above, and for each supplier the URL of a page that may not be linked."""
+    sites = spark.createDataFrame([(f"{site}.{domain}/",) for site in LISTED_SITES for domain in LISTED_DOMAINS], "u string")
+    return sites.union(table(spark, sf_dir, "supplier").select(F.concat(F.lit("tionble.example.net/en/"), F.col("s_suppkey").cast("string"))))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    host, path = url_filter.split_url("url")
-    listed = pages.select(F.concat(host, path).alias("u")).where(host.rlike(LISTED_HOST)).distinct()
-    return url_filter.judge(pages, RULES, listed)
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES, url_list(spark, sf_dir))
 
 
 OP3_SQL = r"""
-WITH s AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH l AS (SELECT a || '.' || b || '/' AS u FROM (VALUES ('ads-track'), ('adult-x'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) x(a), (VALUES ('example.com'), ('example.net'), ('example.org')) y(b)
+  UNION ALL SELECT 'tionble.example.net/en/' || s_suppkey FROM supplier),
+s AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
 r AS (SELECT *, CASE
@@ -83,7 +91,7 @@ r AS (SELECT *, CASE
   WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule FROM u)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-       WHEN regexp_matches(host, '(^|\.)(adult|ads|casino|cheap|free|spam)-') THEN 'block' ELSE 'allow' END AS verdict
+       WHEN EXISTS (FROM l WHERE host <> '' AND (l.u = regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '') OR ('.' || host || '/') LIKE '%.' || l.u)) THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
 

@@ -77,13 +77,16 @@ def test_chat_escapes_reversibly(spark):
 
 def test_url_rules_and_list(spark):
     rows = [(1, "http://WWW.example.com/en/x?q"), (2, "http://a.example.com/en/"), (3, "x://b.net/es/1"), (4, "http://c.org/p#f"), (5, None), (6, "nothing"), (7, "http://c.org/q"), (7, "http://c.org/q")]
+    rows += [(8, "http://www.a.b.bad.org/x"), (9, "http://www.c.org/p/?x"), (10, "http://notbad.org/" + "y" * 100_000 + "." * 300)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    listed = spark.createDataFrame([("c.org/p",), (None,), ("c.org/p",)], "u string")
+    listed = spark.createDataFrame([("c.org/p",), (None,), ("c.org/p",), ("bad.org/",)], "u string")
     got = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, queries.RULES, listed, "page_id").collect()}
     assert got[1] == ("www.example.com", "www.example.com/en/", "allow") and got[2][1:] == ("example.com/en/", "block")
     assert got[3][1:] == ("net/es/", "block") and got[4] == ("c.org", None, "block") and got[7][2] == "allow"
+    assert got[8][2] == got[9][2] == "block" and got[10][2] == "allow"
     assert got[5] == ("", None, "allow") and got[6] == ("", None, "allow")
     assert url_filter.judge(pages.limit(0), queries.RULES, listed, "page_id").count() == 0
+    assert url_filter.judge(pages, (), listed.limit(0), "page_id").where("verdict = 'block'").count() == 0
 
 
 def test_html():
@@ -98,6 +101,37 @@ def test_html():
     assert html_text.main_text("<article><p>Les.</p></article>") == "Les."
 
 
+def test_html_layout_classes_signs_and_depth():
+    good = "The first of all the texts that are in the world and for the reader of it to see."
+    for page in [
+        f"<div id='page' class='site right-sidebar'><article><p>{good}</p></article></div>",
+        f"<div class='has-banner ad-free no-comments'><p>{good}</p></div>",
+        f"<div class='sidebar'><main><p>{good}</p></main></div>",
+    ]:
+        assert html_text.main_text(page) == good, page
+    assert html_text.main_text(f"<article><p>{good}</p><p>© 2020 is what the sign in it says.</p><p>{good}</p></article>").count("\n") == 2
+    assert html_text.main_text(f"<div class='comments'><article><p>{good}</p></article></div>") == ""
+    assert html_text.main_text("<div>" * 100_000 + f"<p>{good}</p>" + "</div>" * 100_000) == good
+    assert html_text.main_text("<div><i>" * 50_000 + f"<p>{good}</p>" + "</section></div>" * 50_000) == good
+    assert html_text.main_text(f"<article><p>{good}</p>" + "<svg><div>x" * 30_000 + "</article>") == good
+    assert html_text.main_text(f"<article><p>{good}</p><ul>" + "<li><a href=x>More of it here</a></li>" * 3 + f"</ul><p>{good}</p></article>") == f"{good}\n{good}"
+    # A short block between a good and a bad one goes with the nearer of them; far from any good one it is bad.
+    links = "<p><a href=x>All of the menu is one link</a></p>"
+    assert html_text.main_text(f"<body><p>{good}</p><p>Short one.</p>{links}{links}<p>Lost one.</p>{links}</body>").startswith(good)
+    assert "Lost" not in html_text.main_text(f"<body><p>{good}</p><p>Short one.</p>{links}{links}<p>Lost one.</p>{links}</body>")
+
+
+def test_html_of_the_pages(spark):
+    """Every page of the test tables has one article: its blocks, and nothing else, by a plain reading of the markup."""
+    import html
+
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        cut = re.split(r"</?(?:p|h1|li|ul|div)[^>]*>", re.sub(r"<br>", " ", inner))
+        want = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in cut]
+        assert html_text.main_text(r["html"]) == "\n".join(x for x in want if x), r["page_id"]
+
+
 def test_html_unclosed_elements_end_with_what_is_around_them():
     first, last = "The first of all the texts that are in the world and for the reader of it to see.", "The last of all the texts that are in the world and for the reader of it to see."
     for middle in [
