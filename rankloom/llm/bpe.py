@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +32,9 @@ from pyspark.sql import functions as F
 #: Fixed value: the split of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a worker remembers, twice.
-REMEMBERED = 120_000
+REMEMBERED = 80_000
 #: Rows whose ids are held at once, and remembered transitions.
-ROWS, STEPS = 256, 400_000
+ROWS, STEPS = 256, 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -73,17 +75,19 @@ class Automaton:
             self.target[uv], self.left[uv], self.birth[uv] = after, u, rank
             alive.add(uv)
         self.step.clear()
-        self.tree: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
+        # The labels as one table: node * 256 + byte -> node, and the token that ends at a node.
+        self.tree: dict[int, int] = {}
+        ends = [-1]
         for k in alive:
             node = 0
             for b in self.label[k]:
-                if b not in self.tree[node]:
-                    self.tree[node][b] = len(self.tree)
-                    self.tree.append({})
-                    self.ends.append(-1)
-                node = self.tree[node][b]
-            self.ends[node] = k
+                if (node << 8 | b) not in self.tree:
+                    self.tree[node << 8 | b] = len(ends)
+                    ends.append(-1)
+                node = self.tree[node << 8 | b]
+            ends[node] = k
+        self.ends = array("i", ends)
+        self.parent, self.without, self.made, self.target, self.left, self.birth = (array("i", x) for x in (self.parent, self.without, self.made, self.target, self.left, self.birth))
 
     def may(self, state: int, token: int) -> bool:
         """Whether the token leaves the state."""
@@ -99,9 +103,9 @@ class Automaton:
 
     def _arcs(self, word: bytes, at: int) -> list[int]:
         """The tokens that the word goes on with at a place, shortest first."""
-        tree, ends, node, out = self.tree, self.ends, 0, []
+        step, ends, node, out = self.tree.get, self.ends, 0, []
         for b in memoryview(word)[at:]:
-            node = tree[node].get(b)
+            node = step(node << 8 | b)
             if node is None:
                 break
             if ends[node] >= 0:
@@ -168,19 +172,31 @@ class _Remembered(dict):
 
 
 def load(path: str) -> tuple[dict, list, dict]:
-    """Vocabulary, merges and special tokens of a tokenizer file; read once, on the driver."""
+    """Vocabulary, merges and special tokens of a tokenizer file; read once, on the driver.
+
+    Special tokens are cut out of a text as they stand; a file that wants more of them (white space around them
+    taken in, whole words only, normalised text) is an error.
+    """
     with open(path, encoding="utf-8") as f:
         told = json.load(f)
+    for t in told.get("added_tokens", []):
+        if any(t.get(flag) for flag in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError(f"special token with flags: {t['content']}")
     return told["model"]["vocab"], told["model"]["merges"], {t["content"]: t["id"] for t in told.get("added_tokens", [])}
 
 
+def packed(path: str) -> bytes:
+    """load(path) as bytes: what is broadcast, and unpacked where the automaton is compiled."""
+    return zlib.compress(json.dumps(load(path)).encode(), 1)
+
+
 _MACHINES: dict[str, tuple[Automaton, _Remembered]] = {}
 
 
-def _machine(key: str, parts) -> tuple[Automaton, _Remembered]:
+def _machine(key: str, parts: bytes) -> tuple[Automaton, _Remembered]:
     if key not in _MACHINES:
         _MACHINES.clear()
-        machine = Automaton(*parts)
+        machine = Automaton(*json.loads(zlib.decompress(parts)))
         _MACHINES[key] = machine, _Remembered(machine)
     return _MACHINES[key]
 
@@ -229,7 +245,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     The vocabulary (bounded by its file) is broadcast; each worker compiles it once.
     """
-    parts = docs.sparkSession.sparkContext.broadcast(load(path))
+    parts = docs.sparkSession.sparkContext.broadcast(packed(path))  # a megabyte or two
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
@@ -238,7 +254,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def decode(tokens: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id_col, text): the texts that lists of ids stand for; a null list gives the empty text."""
-    parts = tokens.sparkSession.sparkContext.broadcast(load(path))
+    parts = tokens.sparkSession.sparkContext.broadcast(packed(path))  # a megabyte or two
     kind = tokens.schema[id_col].dataType.simpleString()
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -66,7 +66,7 @@ class _Words(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) > 60_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

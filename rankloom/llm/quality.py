@@ -134,21 +134,21 @@ def scores(model: Model, sizes: _Sizes | None, texts: list[str]) -> np.ndarray:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, score and the columns to keep, a row for each row of docs."""
-    names = ["id", "score", *[f"c{k}" for k in range(len(keep))]]
+    """id_col, score and the columns to keep, a row for each row of docs. A kept column that is the text isn't sent twice."""
     told = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of DICTIONARY bytes at most
+    sent = list(dict.fromkeys([id_col, text_col, *keep]))
+    out = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = told.value
         sizes = _Sizes(held.good, held.bad) if held.weights is not None else None
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            got = scores(held, sizes, [t.as_py() or "" for t in batch.column(1)])
-            yield pa.record_batch([batch.column(0), pa.array(got), *[batch.column(2 + k) for k in range(len(keep))]], names=names)
+            got = scores(held, sizes, [str(t.as_py() or "") for t in batch.column(1)])
+            yield pa.record_batch([*[batch.column(sent.index(c)) for c in out], pa.array(got)], names=[*[f"c{k}" for k in range(len(out))], "score"])
 
-    kinds = [docs.schema[c].dataType.simpleString() for c in (id_col, *keep)]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)])
-    schema = f"id {kinds[0]}, score double" + "".join(f", c{k} {kind}" for k, kind in enumerate(kinds[1:]))
-    return rows.mapInArrow(run, schema).toDF(id_col, "score", *keep)
+    rows = docs.select(*[F.col(c).alias(f"s{k}") for k, c in enumerate(sent)])
+    schema = ", ".join([*[f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(out)], "score double"])
+    return rows.mapInArrow(run, schema).toDF(*[f"c{k}" for k in range(len(out))], "score").select(F.col("c0").alias(id_col), "score", *[F.col(f"c{k + 1}").alias(c) for k, c in enumerate(keep)])
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cut: float = 0.3) -> DataFrame:
