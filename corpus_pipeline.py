@@ -33,8 +33,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(*quality.labelled_sample(docs, labels, "quality", quality.SAMPLE))
     kept = tuple(f"__{k}" for k in range(len(docs.columns)))
-    rows = docs.toDF(*kept).select(*kept, F.col(kept[docs.columns.index("doc_id")]).alias("id"), F.col(kept[docs.columns.index("text")]).alias("body"))
-    return quality.score(rows, model, "id", "body", kept).where(F.col("score") >= LEAST_QUALITY).select(*kept).toDF(*docs.columns)
+    own = dict(zip(docs.columns, kept, strict=True))
+    rows = docs.toDF(*kept)
+    others = tuple(c for c in kept if c != own["doc_id"])
+    return quality.score(rows, model, own["doc_id"], own["text"], others).where(F.col("score") >= LEAST_QUALITY).select(*kept).toDF(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
