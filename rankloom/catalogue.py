@@ -117,16 +117,16 @@ def repeated(spark, d):
     return panels.repeated_share(A.table(spark, d, "documents"), "text")
 
 
-@query("K5_K6_slack", sql("seqs", ", c AS (SELECT doc_id, left(dna, 40) AS s FROM seqs), o AS (SELECT *, (doc_id * 1103515245 + 12345) % 2147483648 % (41 - length(s)) AS shift FROM c) SELECT doc_id, shift, rpad(repeat('-', shift::INT) || s, 40, '-') AS fitted FROM o"))
+@query("K5_K6_slack", sql("seqs", ", c AS (SELECT doc_id, left(dna, 600) AS s FROM seqs), o AS (SELECT *, (doc_id * 1103515245 + 12345) % 2147483648 % (601 - length(s)) AS shift FROM c) SELECT doc_id, shift, rpad(repeat('-', shift::INT) || s, 600, '-') AS fitted FROM o"))
 def slack(spark, d):
-    rows = A.seqs(spark, d).select("doc_id", F.substring("dna", 1, 40).alias("s")).withColumn("shift", S.hashed(F.col("doc_id")) % (41 - F.length("s")))
-    return rows.select("doc_id", "shift", F.rpad(F.concat(F.repeat(F.lit("-"), F.col("shift").cast("int")), "s"), 40, "-").alias("fitted"))
+    rows = A.seqs(spark, d).select("doc_id", S.clamped(F.col("dna"), 600).alias("s")).withColumn("shift", S.slack_shift(F.col("s"), F.col("doc_id"), 600))
+    return rows.select("doc_id", "shift", S.shifted(F.col("s"), F.col("shift"), 600).alias("fitted"))
 
 
 @query("K8_J15_duplicates", "WITH s AS (SELECT c_custkey AS id FROM customer ORDER BY (c_custkey * 1103515245 + 12345) % 2147483648, c_custkey LIMIT (SELECT floor(count(*) * 0.1)::BIGINT FROM customer)) SELECT id + 1000000 AS duplicate, id AS original, c_mktsegment AS label FROM s JOIN customer ON id = c_custkey")
 def duplicates(spark, d):
     c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_mktsegment")
-    copies = curation.first_by_hash(c.select("id"), "id", int(c.count() * 0.1)).select((F.col("id") + 1000000).alias("duplicate"), "id")
+    copies = curation.share_by_hash(c.select("id"), "id", 0.1, down=True).select((F.col("id") + 1000000).alias("duplicate"), "id")
     return copies.join(c, "id").select("duplicate", F.col("id").alias("original"), F.col("c_mktsegment").alias("label"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The ranks from the top, and the prefixes of their labels.
 RANKS = ("domain", "phylum", "class", "order", "family", "genus", "species")
 PREFIXES = ("d__", "p__", "c__", "o__", "f__", "g__", "s__")
 
@@ -118,6 +119,23 @@ def truncated(seq: Column, key: Column, most_start: int, most_end: int, seed: in
     return F.substring(seq, first + 1, F.greatest(F.lit(1), F.length(seq) - first - end))
 
 
+def clamped(seq: Column, length: int, start_slack: Column | None = None) -> Column:
+    """At most ``length`` bases: up to ``start_slack`` go from the front first, the rest from the end."""
+    over = F.greatest(F.lit(0), F.length(seq) - length)
+    first = F.least(over, start_slack.cast("int")) if start_slack is not None else F.lit(0)
+    return F.substring(seq, first + 1, F.lit(length))
+
+
+def slack_shift(seq: Column, key: Column, length: int, seed: int = 0) -> Column:
+    """A random start from 0 to what is left of ``length`` behind the sequence."""
+    return hashed(key, seed) % (length + 1 - F.length(seq))
+
+
+def shifted(seq: Column, shift: Column, length: int, pad: str = "-") -> Column:
+    """The sequence ``shift`` places in, padded on both sides to ``length``."""
+    return F.rpad(F.concat(F.repeat(F.lit(pad), shift.cast("int")), seq), length, pad)
+
+
 # Vectors
 
 
@@ -198,6 +216,45 @@ def margin(true_ap: Column, true_an: Column, eps: float = 1.0) -> Column:
     return (true_an - true_ap) * eps
 
 
+def normalised_violation(ap: Column, an: Column, m: Column, true_ap: Column, true_an: Column) -> Column:
+    """The violation over the true distance between negative and positive."""
+    return (ap - an + m) / (true_an - true_ap)
+
+
+def signed_error(pred: Column, true: Column, eps: float | Column = 1e-3) -> Column:
+    """The relative error with the sign of the difference."""
+    return F.signum(pred - true) * relative_error(pred, true, eps)
+
+
+def required_genome_id(header: Column) -> Column:
+    """Between } and ~; a header without them is an error."""
+    got = F.regexp_extract(header, r"\}([^~ ]+)~", 1)
+    return F.when(got == "", F.raise_error(F.concat(F.lit("no genome id: "), header))).otherwise(got)
+
+
+def rank_name(rank: Column) -> Column:
+    """domain .. species for 0 .. 6, else rank_n."""
+    names = F.array(*[F.lit(r) for r in RANKS])
+    return F.coalesce(F.get(names, F.when(rank >= 0, rank.cast("int"))), F.concat(F.lit("rank_"), rank.cast("string")))
+
+
+def qualified(label: Column, rank: int) -> Column:
+    """A label with its rank's prefix, which makes it a key of its own rank."""
+    return F.concat(F.lit(PREFIXES[rank]), label)
+
+
+def joined(values: Column, digits: int = 4) -> Column:
+    """Numbers with a stated number of digits, |-joined; a missing one is a dash, one too small to show is <."""
+    least = 10.0**-digits
+    one = lambda x: F.when(x.isNull(), "-").when((x != 0) & (F.abs(x) < least), "<").otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
+    return F.array_join(F.transform(values, one), "|")
+
+
+def lent(borrowed: Column) -> Column:
+    """A map of bucket -> rows as bucket:rows, in order, comma-joined."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(borrowed)), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ",")
+
+
 def triplet_loss(ap: Column, an: Column, m: Column, scale: float = 1.0, cap: float = 4.0) -> Column:
     return F.least(F.lit(cap), F.greatest(F.lit(0.0), ap - an + m) * scale)
 

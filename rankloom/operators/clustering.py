@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import neighbours
+from ..plans.shared import written
+from . import evaluation, neighbours
+from .neighbours import matrix
 
 
 def _assign(centres: np.ndarray, spherical: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+            x = matrix(b.column(1))
             if spherical:
                 at = (x @ centres.T).argmax(axis=1) if len(x) else np.empty(0, int)
             else:
@@ -25,41 +27,58 @@ def _assign(centres: np.ndarray, spherical: bool):
     return run
 
 
+def _summed(at: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Sums of the rows of x by cluster."""
+    order = np.argsort(at, kind="stable")
+    cut = np.searchsorted(at[order], np.arange(k))
+    out, full = np.zeros((k, x.shape[1])), np.flatnonzero(np.bincount(at, minlength=k))
+    if len(full):
+        out[full] = np.add.reduceat(x[order], cut[full])
+    return out
+
+
 def _sums(centres: np.ndarray, spherical: bool):
     """Per partition one row for each cluster: its count and vector sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros_like(centres), np.zeros(len(centres), int)
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, centres.shape[1])
+            x = matrix(b.column(1)).reshape(b.num_rows, centres.shape[1])
             at = (x @ centres.T).argmax(axis=1) if spherical else ((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)).argmin(axis=1)
-            np.add.at(total, at, x)
+            total += (at[None, :] == np.arange(len(centres))[:, None]).astype(float) @ x if len(centres) <= 64 else _summed(at, x, len(centres))
             n += np.bincount(at, minlength=len(centres))
         yield pa.record_batch([pa.array(range(len(centres)), pa.int64()), pa.array(n, pa.int64()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["cluster", "n", "total"])
 
     return run
 
 
+def _added(part: pa.Table) -> pa.Table:
+    """The sums of one cluster, one row for each task, as one row."""
+    total = matrix(part.column("total").combine_chunks()).sum(axis=0)
+    return pa.table({"cluster": [part.column("cluster")[0].as_py()], "n": [int(part.column("n").to_numpy().sum())], "total": [total.tolist()]}, schema=pa.schema([("cluster", pa.int64()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))]))
+
+
 def kmeans(rows: DataFrame, key: str, vector: str, label: str, spherical: bool = True, rounds: int = 200, tol: float = 5e-4) -> DataFrame:
     """(key, cluster): as many clusters as labels, seeded with their means; an empty cluster keeps its centre.
 
     Only centres travel: each partition sums its rows by cluster, and the sums (clusters x dimensions) meet
     on the driver, whatever the number of rows.
     """
-    unit = rows.select(F.col(key).alias("id"), (F.transform(vector, lambda x: x.cast("double")) if not spherical else neighbours.S.normalised(F.col(vector))).alias("v"), F.col(label).alias("label"))
-    seeds = unit.select("label", F.posexplode("v").alias("at", "x")).groupBy("label", "at").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("c")).orderBy("label").collect()
+    unit = rows.select(F.col(key).cast("long").alias("id"), (F.transform(vector, lambda x: x.cast("double")) if not spherical else neighbours.S.normalised(F.col(vector))).alias("v"), F.col(label).alias("label"))
+    unit = written(unit, "vectors")
+    seeds = unit.select("label", F.posexplode("v").alias("at", "x")).groupBy("label", "at").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("c")).orderBy("label").collect()  # one row for each cluster
     centres = np.array([r["c"] for r in seeds])
+    if not len(centres):
+        return unit.select(F.col("id").alias(key), F.lit(0).cast("long").alias("cluster"))
     length = lambda c: np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     centres = centres / length(centres) if spherical else centres
     for _ in range(rounds):
+        # A task's sums are clusters x dimensions; they are added up by cluster in tasks, and one row of each cluster comes back.
         got = unit.select("id", "v").mapInArrow(_sums(centres, spherical), "cluster long, n long, total array<double>")
-        held = got.select("cluster", "n", F.posexplode("total").alias("at", "x")).groupBy("cluster", "at").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect()
+        held = got.groupBy("cluster").applyInArrow(_added, "cluster long, n long, total array<double>").toArrow()
+        at, n = held.column("cluster").to_numpy(), held.column("n").to_numpy()
         new = centres.copy()
-        total = np.zeros_like(centres)
-        n = np.zeros(len(centres))
-        for r in held:
-            total[r["cluster"], r["at"]], n[r["cluster"]] = r["x"], r["n"]
-        new[n > 0] = total[n > 0] / n[n > 0, None]
+        new[at[n > 0]] = matrix(held.column("total").combine_chunks())[n > 0] / n[n > 0, None]
         new = new / length(new) if spherical else new
         shift = float(np.linalg.norm(new - centres, axis=1).mean())
         centres = new
@@ -75,7 +94,7 @@ def projection(rows: DataFrame, key: str, vector: str, dims: int = 2, iterations
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram, total, n = 0.0, 0.0, 0
         for b in batches:
-            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+            x = matrix(b.column(1))
             gram, total, n = gram + x.T @ x, total + x.sum(0), n + len(x)
         if n:
             yield pa.record_batch([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([gram.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "t", "g"])
@@ -90,3 +109,26 @@ def projection(rows: DataFrame, key: str, vector: str, dims: int = 2, iterations
     mean = F.array(*[F.lit(float(x)) for x in t / n])
     centred = F.zip_with("v", mean, lambda x, m: x - m)
     return unit.select(F.col("id").alias(key), *[neighbours.S.dot(centred, F.array(*[F.lit(float(x)) for x in axes[:, k]])).alias(f"x{k}") for k in range(dims)])
+
+
+def scored_subset(clusters: DataFrame, rows: DataFrame, key: str, label: str, subset) -> DataFrame:
+    """Agreement of all rows' clusters with the labels of those that the condition picks: clusters of everything, scored on a part."""
+    return evaluation.agreement(clusters.join(rows.where(subset).select(key, label), key), label, "cluster")
+
+
+def evaluated(rows: DataFrame, key: str, vector: str, ranks: list[str], cases: dict, methods: tuple[bool, ...] = (True, False), rounds: int = 200) -> DataFrame:
+    """(spherical, rank, case, n_rows, homogeneity, completeness, v_measure, adjusted_rand): every method, seeded and judged by every rank, scored on every case.
+
+    cases: name -> condition on the rows that are scored. A case with fewer than two labels has no row.
+    """
+    out = None
+    for spherical in methods:
+        for rank in ranks:
+            got = written(kmeans(rows, key, vector, rank, spherical, rounds), "clusters")
+            for name, subset in cases.items():
+                part = got.join(rows.where(subset).select(key, F.col(rank).alias("label")), key)
+                size = part.agg(F.count("*").alias("n_rows"), F.count_distinct("label").alias("n_labels"))
+                one = evaluation.agreement(part, "label", "cluster").join(F.broadcast(size)).where("n_labels > 1")
+                one = one.select(F.lit(spherical).alias("spherical"), F.lit(rank).alias("rank"), F.lit(name).alias("case"), "n_rows", "homogeneity", "completeness", "v_measure", "adjusted_rand")
+                out = one if out is None else out.unionByName(one)
+    return out

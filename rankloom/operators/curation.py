@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import ordering
 
 
 def members(rows: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
@@ -16,13 +17,26 @@ def unmatched(rows: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
     return leaves.select(key).distinct().join(rows.select(key), key, "left_anti")
 
 
+def required_leaves(rows: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
+    """rows, all of which must have a leaf: otherwise an error that names up to 20 of the missing."""
+    missing = unmatched(leaves, rows, key).orderBy(key).limit(20).agg(F.count("*").alias("__n"), F.array_join(F.sort_array(F.collect_list(F.col(key).cast("string"))), ", ").alias("__names"))
+    ok = F.when(F.col("__n") > 0, F.raise_error(F.concat(F.lit("no leaf: "), "__names"))).otherwise(True)
+    return rows.join(F.broadcast(missing)).where(ok).drop("__n", "__names")
+
+
+def filter_counts(rows: DataFrame, domain: str, filters: dict[str, Column]) -> DataFrame:
+    """(domain, n_rows, one count for each filter): how many rows each filter alone would remove, overall ('All') and by domain."""
+    counts = [F.count("*").alias("n_rows"), *[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in filters.items()]]
+    return rows.rollup(F.col(domain).alias("domain")).agg(*counts).withColumn("domain", F.coalesce("domain", F.lit("All")))
+
+
 def resolved(rows: DataFrame, path: str, least: int = 6) -> DataFrame:
     return rows.where(F.size(path) >= least)
 
 
 def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key: the key's least order is aggregated in parts, so a hot key is no hot task."""
-    first = rows.groupBy(key).agg(F.min(order).alias(order))
+    """The first row of each key. Keys are grouped by length and digest, so long ones aren't shuffled, and the least order is aggregated in parts, so a hot key is no hot task."""
+    first = rows.groupBy(F.length(key).alias("__n"), F.sha2(F.col(key).cast("string"), 256).alias("__h")).agg(F.min(order).alias(order))
     return rows.join(first.select(order), order, "left_semi")
 
 
@@ -66,18 +80,18 @@ def hash_rank(key: Column, seed: int) -> tuple[Column, Column]:
 
 
 def first_by_hash(rows: DataFrame, key: str, n: int, seed: int = 0, inside: tuple[str, ...] = ()) -> DataFrame:
-    """Exactly n rows (of each stratum) by hash; the limit reaches below the shuffle."""
-    if not inside:
-        return rows.orderBy(*hash_rank(F.col(key), seed)).limit(n)
-    w = Window.partitionBy(*inside).orderBy(*hash_rank(F.col(key), seed))
-    return rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+    """Exactly n rows (of each stratum) by hash; places are counted over partitions of the hash order, so no task takes them all."""
+    return _by_hash(rows, key, seed, inside).where(F.col("__place") < n).drop("__place", "__size", "__h")
+
+
+def share_by_hash(rows: DataFrame, key: str, share: float, seed: int = 0, inside: tuple[str, ...] = (), down: bool = False) -> DataFrame:
+    """round(share * n) rows of each stratum, or the whole number below it."""
+    most = F.col("__size") * share
+    return _by_hash(rows, key, seed, inside).where(F.col("__place") < (F.floor(most) if down else F.round(most))).drop("__place", "__size", "__h")
 
 
-def share_by_hash(rows: DataFrame, key: str, share: float, seed: int = 0, inside: tuple[str, ...] = ()) -> DataFrame:
-    """round(share * n) rows of each stratum."""
-    w = Window.partitionBy(*inside).orderBy(*hash_rank(F.col(key), seed))
-    sizes = rows.groupBy(*inside).agg(F.round(F.count("*") * share).alias("__m"))
-    return rows.withColumn("__n", F.row_number().over(w)).join(sizes, list(inside)).where(F.col("__n") <= F.col("__m")).drop("__n", "__m")
+def _by_hash(rows: DataFrame, key: str, seed: int, inside: tuple[str, ...]) -> DataFrame:
+    return ordering.numbered(rows.withColumn("__h", S.hashed(F.col(key), seed)), list(inside), ["__h", key], "__place", "__size")
 
 
 def excluded_taxa(rows: DataFrame, rank: str, low: int, high: int, n: int) -> DataFrame:
@@ -86,30 +100,37 @@ def excluded_taxa(rows: DataFrame, rank: str, low: int, high: int, n: int) -> Da
 
 
 def length_stats(rows: DataFrame, seq: str, group: str) -> DataFrame:
-    """min, max, mean, median, sample std and percentiles of the lengths, over all rows and by group, in one pass of grouping sets."""
-    n = F.length(seq)
-    q = lambda p: F.percentile("__len", F.lit(p))
-    return (
-        rows.withColumn("__len", n)
-        .rollup(group)
-        .agg(
-            F.count("*").alias("n_rows"), F.min("__len").cast("long").alias("shortest"), F.max("__len").cast("long").alias("longest"), F.round(F.avg("__len"), 6).alias("mean"), F.round(F.stddev_samp("__len"), 6).alias("std"),
-            *[F.round(q(p), 6).alias(name) for name, p in (("p1", 0.01), ("p10", 0.1), ("median", 0.5), ("p90", 0.9), ("p99", 0.99))],
-        )
-        .withColumn(group, F.coalesce(group, F.lit("All")))
-    )
-
-
-def funnel(rows: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
-    """(step, name, removed, remaining): how many rows each condition in turn removes; one pass over the rows."""
+    """min, max, mean, median, sample std and percentiles of the lengths, over all rows and by group; all of it from counted lengths."""
+    sizes = rows.groupBy(group, F.length(seq).alias("__len")).agg(F.count("*").alias("__w"))
+    total, mean = F.sum("__w"), F.sum(F.col("__len") * F.col("__w")) / F.sum("__w")
+    spread = (F.sum(F.col("__len") * F.col("__len") * F.col("__w")) - total * mean * mean) / (total - 1)
+    stats = [
+        total.alias("n_rows"), F.min("__len").cast("long").alias("shortest"), F.max("__len").cast("long").alias("longest"), F.round(mean, 6).alias("mean"),
+        F.round(F.when(total > 1, F.sqrt(F.greatest(F.lit(0.0), spread))), 6).alias("std"),
+    ]
+    points = {"p1": 0.01, "p10": 0.1, "median": 0.5, "p90": 0.9, "p99": 0.99}
+    parts = []
+    for g in (F.lit("All"), F.coalesce(F.col(group).cast("string"), F.lit("All"))):
+        counted = sizes.groupBy(g.alias(group), "__len").agg(F.sum("__w").alias("__w"))
+        parts.append(ordering.weighted_quantiles(counted, [group], "__len", "__w", points, stats))
+    return parts[0].unionByName(parts[1])
+
+
+def funnel(rows: DataFrame, steps: list[tuple[str, Column]], group: str | None = None) -> DataFrame:
+    """(group, step, name, removed, remaining, percent): how many rows each condition in turn removes, overall ('All') and by group; one pass over the rows.
+
+    percent: of the rows that reached the step. What is summed up is one row for each group and step.
+    """
     stage = F.lit(len(steps))
     for k in range(len(steps) - 1, -1, -1):
         stage = F.when(~steps[k][1], k).otherwise(stage)
-    out = rows.groupBy(stage.alias("step")).agg(F.count("*").alias("removed"))
-    names = rows.sparkSession.createDataFrame([(k, name) for k, (name, _) in enumerate(steps)], "step int, name string")
-    after = Window.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
-    both = out.join(F.broadcast(names), "step", "full").na.fill({"removed": 0})
-    return both.withColumn("remaining", F.coalesce(F.sum("removed").over(after), F.lit(0)).cast("long")).where("name is not null").select(F.col("step").cast("long").alias("step"), "name", "removed", "remaining")
+    groups = F.array(F.lit("All")) if group is None else F.array(F.lit("All"), F.coalesce(F.col(group).cast("string"), F.lit("")))
+    each = rows.select(stage.alias("s"), F.explode(groups).alias("group"))
+    counted = [x for k in range(len(steps)) for x in (F.count_if(F.col("s") == k).alias(f"r{k}"), F.count_if(F.col("s") > k).alias(f"m{k}"))]
+    wide = each.groupBy("group").agg(F.count("*").alias("n"), *counted)
+    lines = F.array(*[F.struct(F.lit(k).cast("long").alias("step"), F.lit(name).alias("name"), F.col(f"r{k}").alias("removed"), F.col(f"m{k}").alias("remaining")) for k, (name, _) in enumerate(steps)])
+    out = wide.select("group", F.explode(lines).alias("x")).select("group", "x.*")
+    return out.withColumn("percent", F.round(F.try_divide(100 * F.col("removed"), F.col("removed") + F.col("remaining")), 6))
 
 
 def duplicate_depth(rows: DataFrame, seq: str, ranks: list[str]) -> DataFrame:

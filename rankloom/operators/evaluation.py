@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import ordering
 
 
 def valid(pred: Column, in_train: Column, missing_counts: bool = True) -> Column:
@@ -34,8 +36,8 @@ def deepest_correct(trues: Column, preds: Column) -> Column:
 
 
 def confidence_spread(rows: DataFrame, by: list[str], conf: str) -> DataFrame:
-    q = lambda p: F.round(F.percentile(conf, F.lit(p)), 6)
-    return rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.min(conf).alias("least"), F.max(conf).alias("most"), *[q(p).alias(n) for n, p in (("p5", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95))])
+    stats = [F.count("*").alias("n_rows"), F.min(conf).alias("least"), F.max(conf).alias("most")]
+    return ordering.with_quantiles(rows.select(*by, conf), by, conf, {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}, stats)
 
 
 def calibration_width(rows: DataFrame, by: list[str], conf: str, correct: str, bins: int = 10, least: int = 10) -> DataFrame:
@@ -47,14 +49,9 @@ def calibration_width(rows: DataFrame, by: list[str], conf: str, correct: str, b
 def calibration_count(rows: DataFrame, by: list[str], conf: str, correct: str, key: str, chunks: int = 100) -> DataFrame:
     """Chunks of equal counts in order of confidence; a group with fewer rows than chunks is one chunk.
 
-    The chunk of a row follows from its place among all rows of its group. The place is found from counted
-    values of confidence, not from a window over the rows, and only rows of one value are numbered together.
+    The chunk of a row follows from its place among all rows of its group, which is counted over partitions of their order.
     """
-    values = rows.groupBy(*by, conf).agg(F.count("*").alias("__c"))
-    before = Window.partitionBy(*by).orderBy(conf).rowsBetween(Window.unboundedPreceding, -1)
-    placed = values.withColumn("__b", F.coalesce(F.sum("__c").over(before), F.lit(0))).withColumn("__n", F.sum("__c").over(Window.partitionBy(*by)))
-    same = Window.partitionBy(*by, conf).orderBy(key)
-    at = rows.join(placed.drop("__c"), [*by, conf]).withColumn("__r", F.col("__b") + F.row_number().over(same) - 1)
+    at = ordering.numbered(rows.select(*by, conf, correct, key), by, [conf, key], "__r", "__n")
     big, size = F.col("__n") % chunks, F.floor(F.col("__n") / chunks)
     cut = big * (size + 1)
     chunk = F.when(F.col("__n") < chunks, 1).when(F.col("__r") < cut, F.floor(F.col("__r") / (size + 1)) + 1).otherwise(big + F.floor((F.col("__r") - cut) / F.greatest(size, F.lit(1))) + 1)
@@ -126,24 +123,29 @@ def agreement(rows: DataFrame, label: str, cluster: str) -> DataFrame:
 
 
 def adjusted_mutual_information(rows: DataFrame, label: str, cluster: str) -> DataFrame:
-    """One row: ami. The expected information of each pair of margins is a sum of log-gamma terms, computed in Arrow batches."""
+    """One row: ami. The expected information follows from the margins' sizes alone: equal sizes are grouped, and each pair of
+    sizes is one vectorised sum of log-gamma terms in Arrow batches."""
     t = contingency(rows, label, cluster)
     margins = t.select("label", "a", "total").distinct().groupBy("a", "total").agg(F.count("*").alias("na"))
     others = t.select("cluster", "b").distinct().groupBy("b").agg(F.count("*").alias("nb"))
-    pairs = margins.join(F.broadcast(others))  # distinct margin sizes only
+    told = others.agg(F.collect_list(F.struct("b", "nb")).alias("others"))  # distinct sizes: at most the square root of twice the rows
+    pairs = margins.join(F.broadcast(told)).select("a", "total", "na", F.explode("others").alias("o")).select("a", F.col("o.b").alias("b"), "total", (F.col("na") * F.col("o.nb")).alias("m"))
 
     @F.pandas_udf("double")
     def expected(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-        def one(a: int, b: int, n: int) -> float:
-            lg, out = math.lgamma, 0.0
-            fixed = lg(a + 1) + lg(b + 1) + lg(n - a + 1) + lg(n - b + 1) - lg(n + 1)
-            for k in range(max(1, a + b - n), min(a, b) + 1):
-                out += k / n * math.log(n * k / (a * b)) * math.exp(fixed - lg(k + 1) - lg(a - k + 1) - lg(b - k + 1) - lg(n - a - b + k + 1))
-            return out
-
-        return pd.Series([one(int(x), int(y), int(z)) for x, y, z in zip(a, b, n, strict=True)], dtype="float64")
-
-    emi = pairs.agg(F.sum(F.col("na") * F.col("nb") * expected("a", "b", "total")).alias("emi"))
+        if not len(a):
+            return pd.Series([], dtype="float64")
+        top = int(n.max())
+        # log-gamma of the whole numbers up to n, as running sums of logarithms
+        lg = np.concatenate([[0.0, 0.0], np.cumsum(np.log(np.arange(1, top + 1)))])
+        out = np.zeros(len(a))
+        for at, (x, y, z) in enumerate(zip(a.astype(int), b.astype(int), n.astype(int), strict=True)):
+            k = np.arange(max(1, x + y - z), min(x, y) + 1)
+            fixed = lg[x + 1] + lg[y + 1] + lg[z - x + 1] + lg[z - y + 1] - lg[z + 1]
+            out[at] = (k / z * np.log(z * k / (x * y)) * np.exp(fixed - lg[k + 1] - lg[x - k + 1] - lg[y - k + 1] - lg[z - x - y + k + 1])).sum()
+        return pd.Series(out)
+
+    emi = pairs.agg(F.sum(F.col("m") * expected("a", "b", "total")).alias("emi"))
     n, a, b, m = (F.col(c).cast("double") for c in ("n", "a", "b", "total"))
     mi = t.agg(F.sum(n / m * F.log(n * m / (a * b))).alias("mi"))
     hc = t.select("label", "a", "total").distinct().agg(F.sum(-a / m * F.log(a / m)).alias("hc"))
@@ -152,6 +154,19 @@ def adjusted_mutual_information(rows: DataFrame, label: str, cluster: str) -> Da
     return one.select(F.round((F.col("mi") - F.col("emi")) / ((F.col("hc") + F.col("hk")) / 2 - F.col("emi")), 6).alias("ami"))
 
 
+def ordered_contingency(rows: DataFrame, label: str, cluster: str) -> DataFrame:
+    """contingency with row_place and col_place: clusters by size (then id), labels by the place of their largest cluster, then size there (then name).
+
+    Labels and clusters are few next to the rows; the orders are taken over their margins.
+    """
+    t = contingency(rows, label, cluster)
+    cols = ordering.numbered(t.select("cluster", (-F.col("b")).alias("size")).distinct(), [], ["size", "cluster"], "col_place").drop("size")
+    both = t.join(cols, "cluster")
+    best = both.groupBy("label").agg(F.min(F.struct((-F.col("n")).alias("n"), "col_place")).alias("m"))
+    order = ordering.numbered(best.select("label", F.col("m.col_place").alias("first"), F.col("m.n").alias("size")), [], ["first", "size", "label"], "row_place").drop("first", "size")
+    return both.join(order, "label").select("label", "cluster", "n", "row_place", "col_place")
+
+
 def dominant_clusters(rows: DataFrame, label: str, cluster: str) -> DataFrame:
     """(label, cluster, precision, recall, f1) of each label's largest cluster, the lowest id on ties."""
     best = contingency(rows, label, cluster).groupBy("label").agg(F.max(F.struct("n", (-F.col("cluster")).alias("c"), "a", "b")).alias("m"))
@@ -180,3 +195,72 @@ def best_k(scores: DataFrame, by: list[str], k: str, mean: str) -> DataFrame:
     return scores.groupBy(*by).agg(F.max(F.struct(F.col(mean), (-F.col(k)).alias("n"))).alias("b")).select(*by, (-F.col("b.n")).alias("best_k"), F.col(f"b.{mean}").alias("best_mean"))
 
 
+
+
+def method_accuracy(rows: DataFrame, by: list[str], methods: tuple[str, str], true: str = "true") -> DataFrame:
+    """(by, n_valid_x, accuracy_x of both methods, delta): the first method's accuracy less the second's. rows: true and pred_<method>; an empty prediction isn't valid, a missing one is wrong."""
+    cols = []
+    for m in methods:
+        pred = F.col(f"pred_{m}")
+        ok = F.coalesce(pred, F.lit("<missing>")) != ""
+        cols += [F.count_if(ok).alias(f"n_valid_{m}"), F.avg(F.when(ok, F.coalesce(pred == F.col(true), F.lit(False)).cast("double"))).alias(f"__{m}")]
+    got = rows.groupBy(*by).agg(*cols)
+    a, b = methods
+    return got.select(*by, f"n_valid_{a}", f"n_valid_{b}", F.round(f"__{a}", 6).alias(f"accuracy_{a}"), F.round(f"__{b}", 6).alias(f"accuracy_{b}"), F.round(F.col(f"__{a}") - F.col(f"__{b}"), 6).alias("delta"))
+
+
+def with_p_values(rows: DataFrame, r: str, n: str, name: str) -> DataFrame:
+    """rows with the two-sided p-value of a correlation r over n rows, from Student's t with n - 2 degrees of freedom."""
+
+    @F.pandas_udf("double")
+    def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_t_tail(float(x), int(k)) for x, k in zip(r, n, strict=True)], dtype="float64")
+
+    return rows.withColumn(name, F.round(p_value(F.col(r), F.col(n)), 6))
+
+
+def _t_tail(r: float, n: int) -> float | None:
+    """P(|t| is larger): the regularised incomplete beta I(1 - r^2; (n - 2) / 2, 1 / 2), by its continued fraction."""
+    if n < 3 or r != r:
+        return None
+    x, a, b = max(0.0, 1 - r * r), (n - 2) / 2, 0.5
+    if x == 0.0 or x == 1.0:
+        return x
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        x, a, b = 1 - x, b, a
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
+    # Terms from the last to the first: d(2m) and d(2m + 1) of the fraction.
+    value = 1.0
+    for k in range(400, 0, -1):
+        m = k // 2
+        d = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if k % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        value = 1 + d / value
+    out = front / value
+    return 1 - out if flip else out
+
+
+def misclassified(rows: DataFrame, ranks: list[str]) -> DataFrame:
+    """(rank, true, pred, n_rows, total_num_seqs) of rows whose true_<rank> and pred_<rank> differ, at the ranks to record, beside how many rows there are."""
+    total = rows.agg(F.count("*").alias("total_num_seqs"))
+    pairs = F.array(*[F.struct(F.lit(r).alias("rank"), F.col(f"true_{r}").alias("true"), F.col(f"pred_{r}").alias("pred")) for r in ranks])
+    wrong = rows.select(F.explode(pairs).alias("x")).select("x.*").where(~F.col("true").eqNullSafe(F.col("pred")))
+    return wrong.groupBy("rank", "true", "pred").agg(F.count("*").alias("n_rows")).join(F.broadcast(total))
+
+
+def sampled_congruency(vectors: DataFrame, item: str, vector: str, side: str, n: int, replicates: int, seed: int = 24, eps: float = 1e-5) -> DataFrame:
+    """(replicate, same, other, ssc): congruency of n items of each side, drawn anew by hash for each replicate; sums of vectors alone, no pairs."""
+    items = vectors.select(item, side).distinct().select(item, side, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    items = items.withColumn("__h", S.hashed(F.col(item) * 1_009 + F.col("replicate"), seed))
+    drawn = ordering.numbered(items, ["replicate", side], ["__h", item]).where(F.col("__place") < n).select("replicate", item)
+    dims = vectors.select(item, side, F.posexplode(vector).alias("at", "x")).withColumn("x", F.col("x").cast("double"))
+    own = dims.groupBy(item, side, "at").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("s2"), F.count("*").alias("m"))
+    whole = own.groupBy(item, side).agg(F.sum("s2").alias("q"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("m").alias("m"), F.transform(F.sort_array(F.collect_list(F.struct("at", "s"))), lambda z: z["s"]).alias("sum"))
+    held = drawn.join(whole, item)
+    m = F.col("m")
+    inside = held.where("m > 1").groupBy("replicate").agg(F.avg((m * F.col("q") - F.col("ss")) / (m * (m - 1) / 2)).alias("same"))
+    sets = held.select("replicate", side, "q", "m", F.posexplode("sum").alias("at", "s")).groupBy("replicate", side, "at").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("m").alias("m"))
+    a = sets.where(F.col(side) == 0).select("replicate", "at", (F.col("s") / F.col("m")).alias("m0"), (F.col("q") / F.col("m")).alias("q0"))
+    b = sets.where(F.col(side) == 1).select("replicate", "at", (F.col("s") / F.col("m")).alias("m1"), (F.col("q") / F.col("m")).alias("q1"))
+    other = a.join(b, ["replicate", "at"]).groupBy("replicate").agg((F.max("q0") + F.max("q1") - 2 * F.sum(F.col("m0") * F.col("m1"))).alias("other"))
+    return inside.join(other, "replicate").select("replicate", F.round("same", 6).alias("same"), F.round("other", 6).alias("other"), F.round((F.col("other") - F.col("same")) / (F.col("other") + eps), 6).alias("ssc"))

@@ -1,64 +1,133 @@
-"""Nearest neighbours and prototypes: flat, and hierarchical with votes that multiply down the ranks."""
+"""Nearest neighbours and prototypes: flat, and hierarchical with votes that multiply down the ranks.
+
+Searches take a stated query set. The queries go out in blocks of a checked size in
+bytes; each base row is scored where it lies, a batch at a time as a matrix product, and a
+task keeps only each query's k nearest rows, so a shuffle sees k rows of each query and
+task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.shared import written
+
+#: Bytes of the query vectors that are broadcast at once, and base rows of one matrix product.
+BLOCK, ROWS = 32 << 20, 2000
+
 
-#: Query rows that are broadcast at once; beyond them the queries go in blocks.
-BLOCK = 20_000
+def matrix(column: pa.ListArray) -> np.ndarray:
+    """A column of equally long lists as a matrix of doubles."""
+    n = len(column)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.empty((0, 0))
 
 
-def _blocks(queries: DataFrame, key: str) -> list[DataFrame]:
-    n = -(-queries.count() // BLOCK)
+def _blocks(queries: DataFrame, key: str, vector: str) -> list[DataFrame]:
+    told = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(8 * F.size(vector) + 64), F.lit(0)).alias("bytes")).first()
+    n = -(-told["bytes"] // BLOCK)
     return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int = 1, distance=S.cosine_distance, exclude_self: bool = False) -> DataFrame:
-    """(q, b, d, place): each query's k nearest base rows. queries: (q, qv); base: (b, bv).
+class _Nearest:
+    """Each query's k nearest of the rows seen so far, by distance rounded to nine places, then by id."""
 
-    A stated query set against all rows: each block of queries is broadcast by its
-    counted size, every base row is scored where it lies, and Spark keeps k rows of
-    each query in a partition before the shuffle.
-    """
+    def __init__(self, n: int, k: int):
+        self.d, self.b = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        self.k = k
+
+    def see(self, d: np.ndarray, ids: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+        both, who = np.concatenate([self.d[rows], d], axis=1), np.concatenate([self.b[rows], np.broadcast_to(ids, d.shape)], axis=1)
+        if both.shape[1] > 4 * self.k:  # the k-th least bounds what must be sorted
+            bound = np.partition(both, self.k - 1, axis=1)[:, self.k - 1]
+            most = int((both <= bound[:, None]).sum(axis=1).max())
+            at = np.argpartition(both, most - 1, axis=1)[:, :most]
+            both, who = np.take_along_axis(both, at, 1), np.take_along_axis(who, at, 1)
+        order = np.lexsort((who, both), axis=1)[:, : self.k]
+        self.d[rows], self.b[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
+
+    def out(self, ids: np.ndarray, names: list[str]) -> pa.RecordBatch:
+        q, j = np.nonzero(np.isfinite(self.d))
+        return pa.record_batch([pa.array(ids[q]), pa.array(self.b[q, j]), pa.array(self.d[q, j])], names=names)
+
+
+def _distances(x: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
+    """Rows of x against rows of y, rounded to nine places."""
+    d = 1 - x @ y.T if kind == "cosine" else (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)
+    return np.round(d, 9) + 0.0
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int = 1, distance: str = "cosine", exclude_self: bool = False) -> DataFrame:
+    """(q, b, d, place): each query's k nearest base rows, ties by id. queries: (q, qv); base: (b, bv); ids are integers; distance: cosine or squared."""
     out = None
-    for block in _blocks(queries, "q"):
-        met = base.join(F.broadcast(block), F.col("q") != F.col("b") if exclude_self else F.lit(True))
-        scored = met.select("q", "b", F.round(distance(F.col("qv"), F.col("bv")), 9).alias("d"))
-        if k == 1:
-            best = scored.groupBy("q").agg(F.min(F.struct("d", "b")).alias("m")).select("q", "m.b", "m.d", F.lit(1).alias("place"))
-        else:
-            best = scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("d", "b"))).where(F.col("place") <= k)
+    for block in _blocks(queries, "q", "qv"):
+        held = block.select(F.col("q").cast("long").alias("q"), F.transform("qv", lambda x: x.cast("double")).alias("qv")).toArrow()  # BLOCK bytes at most
+        told = base.sparkSession.sparkContext.broadcast((held.column("q").to_numpy(), matrix(held.column("qv").combine_chunks())))
+
+        def search(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            ids, x = told.value
+            best = _Nearest(len(ids), k)
+            for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+                if len(ids) and batch.num_rows:
+                    rows = batch.column(0).to_numpy(zero_copy_only=False)
+                    d = _distances(x, matrix(batch.column(1)), distance)
+                    best.see(np.where(rows[None, :] == ids[:, None], np.inf, d) if exclude_self else d, rows)
+            yield best.out(ids, ["q", "b", "d"])
+
+        found = base.select(F.col("b").cast("long").alias("b"), "bv").mapInArrow(search, "q long, b long, d double")
+        best = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("d", "b"))).where(F.col("place") <= k)
         out = best if out is None else out.unionByName(best)
     return out
 
 
-def hierarchical(queries: DataFrame, base: DataFrame, ranks: list[str], ks: list[int], size_how: str = "sqrt") -> DataFrame:
-    """(q, p0.., c0..): rank by rank, the k nearest base rows inside the predicted prefix vote; confidence multiplies.
+def hierarchical(queries: DataFrame, base: DataFrame, ranks: list[str], ks: list[int], size_how: str = "sqrt", exclude_self: bool = False) -> DataFrame:
+    """(q, p_.., c_..): rank by rank, the k nearest base rows inside the predicted prefix vote; confidence multiplies.
 
     A vote weighs 1 / sqrt(size of its taxon among the candidates) times 1 / (d^2 + 1e-6); ties
     go to the larger votes, then the larger taxon, then the larger name. queries: (q, qv); base: (b, bv, ranks).
     """
-    state = queries.select("q", "qv", F.lit(1.0).alias("conf"))
+    state = queries.select(F.col("q").cast("long").alias("q"), "qv", F.lit(1.0).alias("conf"))
     done: list[str] = []
     for r, (rank, k) in enumerate(zip(ranks, ks, strict=True)):
         sizes = base.groupBy(*ranks[: r + 1]).agg(F.count("*").alias("size"))
-        side = base.join(sizes, ranks[: r + 1]).select("b", "bv", F.col(rank).alias("taxon"), "size", *[F.col(x).alias(f"_{x}") for x in ranks[:r]])
+        prefix = F.array(*[F.col(x).cast("string") for x in ranks[:r]]) if r else F.array().cast("array<string>")
+        side = base.select(F.col("b").cast("long").alias("b"), "bv", prefix.alias("prefix"))
         near = None
-        for block in _blocks(state, "q"):
-            on = F.lit(True)
-            for x in ranks[:r]:
-                on = on & (F.col(f"_{x}") == F.col(f"p_{x}"))
-            scored = side.join(F.broadcast(block.select("q", "qv", *done)), on).select("q", "taxon", "size", F.round(S.cosine_distance(F.col("qv"), F.col("bv")), 9).alias("d"), "b")
-            top = scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("d", "b"))).where(F.col("place") <= k)
+        for block in _blocks(state, "q", "qv"):
+            wanted = F.array(*[F.col(x).cast("string") for x in done]) if done else F.array().cast("array<string>")
+            held = block.select("q", F.transform("qv", lambda x: x.cast("double")).alias("qv"), wanted.alias("prefix")).toArrow()  # BLOCK bytes at most
+            groups: dict[tuple, list[int]] = {}
+            for at, p in enumerate(held.column("prefix").to_pylist()):
+                groups.setdefault(tuple(p), []).append(at)
+            told = base.sparkSession.sparkContext.broadcast((held.column("q").to_numpy(), matrix(held.column("qv").combine_chunks()), {p: np.array(v) for p, v in groups.items()}))
+
+            def search(batches: Iterator[pa.RecordBatch], told=told, k=k) -> Iterator[pa.RecordBatch]:
+                ids, x, groups = told.value
+                best = _Nearest(len(ids), k)
+                for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+                    rows, y = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))
+                    own: dict[tuple, list[int]] = {}
+                    for at, p in enumerate(batch.column(2).to_pylist()):
+                        own.setdefault(tuple(p), []).append(at)
+                    for p, at in own.items():
+                        if p in groups:
+                            d = _distances(x[groups[p]], y[at], "cosine")
+                            best.see(np.where(rows[at][None, :] == ids[groups[p]][:, None], np.inf, d) if exclude_self else d, rows[at], groups[p])
+                yield best.out(ids, ["q", "b", "d"])
+
+            found = side.mapInArrow(search, "q long, b long, d double")
+            top = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("d", "b"))).where(F.col("place") <= k)
             near = top if near is None else near.unionByName(top)
-        votes = near.groupBy("q", "taxon").agg(F.round(F.sum(S.size_vote(F.col("size"), size_how) * S.distance_vote(F.col("d"))), 6).alias("vote"), F.max("size").alias("size"))
+        named = near.join(base.select(F.col("b").cast("long").alias("b"), *ranks[: r + 1]), "b").join(sizes, ranks[: r + 1]).select("q", F.col(rank).alias("taxon"), "size", "d")
+        votes = named.groupBy("q", "taxon").agg(F.round(F.sum(S.size_vote(F.col("size"), size_how) * S.distance_vote(F.col("d"))), 6).alias("vote"), F.max("size").alias("size"))
         won = votes.groupBy("q").agg(F.max(F.struct("vote", "size", "taxon")).alias("w"), F.sum("vote").alias("all"))
-        state = state.join(won, "q").select(
-            "q", "qv", (F.col("conf") * F.col("w.vote") / F.col("all")).alias("conf"), *done, *[f"c_{x}" for x in ranks[:r]], F.col("w.taxon").alias(f"p_{rank}"), (F.col("conf") * F.col("w.vote") / F.col("all")).alias(f"c_{rank}")
-        )
+        share = F.col("conf") * F.col("w.vote") / F.col("all")
+        state = written(state.join(won, "q").select("q", "qv", share.alias("conf"), *done, *[f"c_{x}" for x in ranks[:r]], F.col("w.taxon").alias(f"p_{rank}"), share.alias(f"c_{rank}")), "voted")
         done.append(f"p_{rank}")
     return state.select("q", *done, *[F.round(f"c_{x}", 6).alias(f"c_{x}") for x in ranks])
 
@@ -70,15 +139,37 @@ def centroids(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
     return packed.select(*by, "n", (F.sqrt(S.dot(F.col("sum"), F.col("sum"))) / F.col("n")).alias("resultant"), S.normalised(F.col("sum"), 1e-12, "safe").alias("centroid"))
 
 
-def prototype_classes(queries: DataFrame, protos: DataFrame, label: str, kappa: float = 0.02, size_alpha: float | None = None) -> DataFrame:
-    """(q, predicted, confidence): the most similar centroid and its softmax share at temperature kappa."""
-    sim: Column = S.dot(S.normalised(F.col("qv")), F.col("centroid"))
+def prototype_classes(queries: DataFrame, protos: DataFrame, label: str, kappa: float = 0.02, size_alpha: float | None = None, quality_alpha: float | None = None) -> DataFrame:
+    """(q, predicted, confidence): the most similar centroid (the first name of equals) and its softmax share at temperature kappa.
+
+    size_alpha and quality_alpha damp a similarity by n / (n + alpha) and by the resultant over (n + alpha). Prototypes
+    are one row for each taxon; they go out in blocks of a checked size, and queries are scored where they lie.
+    """
+    factor = F.lit(1.0)
     if size_alpha is not None:
-        sim = sim * F.col("n") / (F.col("n") + size_alpha)
-    out = None
-    for block in _blocks(queries, "q"):
-        s = protos.join(F.broadcast(block)).select("q", F.col(label).alias("label"), F.round(sim, 9).alias("sim"))
-        top = s.groupBy("q").agg(F.max("sim").alias("most"), F.min_by("label", F.struct(-F.col("sim"), F.col("label"))).alias("predicted"))
-        shares = s.join(top, "q").groupBy("q", "predicted").agg((1 / F.sum(F.exp((F.col("sim") - F.col("most")) / kappa))).alias("confidence"))
-        out = shares if out is None else out.unionByName(shares)
-    return out.select("q", "predicted", F.round("confidence", 6).alias("confidence"))
+        factor = factor * F.col("n") / (F.col("n") + size_alpha)
+    if quality_alpha is not None:
+        factor = factor * F.col("resultant") * F.col("n") / (F.col("n") + quality_alpha)
+    kind = protos.schema[label].dataType.simpleString()
+    parts = None
+    for block in _blocks(protos, label, "centroid"):
+        held = block.select(F.col(label).alias("label"), "centroid", factor.alias("factor")).orderBy("label").toArrow()  # BLOCK bytes at most
+        told = protos.sparkSession.sparkContext.broadcast((held.column("label").to_pylist(), matrix(held.column("centroid").combine_chunks()), held.column("factor").to_numpy()))
+
+        def judge(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            names, c, f = told.value
+            for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+                if names and batch.num_rows:
+                    x = matrix(batch.column(1))
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
+                    sim = np.round((x @ c.T) * f, 9)
+                    top, whole = sim.argmax(axis=1), sim.max(axis=1)
+                    rest = np.exp((sim - whole[:, None]) / kappa).sum(axis=1)
+                    yield pa.record_batch([batch.column(0), pa.array([names[k] for k in top]), pa.array(whole), pa.array(rest)], names=["q", "label", "sim", "rest"])
+
+        got = queries.select(F.col("q").cast("long").alias("q"), "qv").mapInArrow(judge, f"q long, label {kind}, sim double, rest double")
+        parts = got if parts is None else parts.unionByName(got)
+    # Blocks of prototypes meet by their own maxima.
+    top = parts.groupBy("q").agg(F.max("sim").alias("most"), F.min_by("label", F.struct(-F.col("sim"), F.col("label"))).alias("predicted"), F.collect_list(F.struct("sim", "rest")).alias("all"))
+    share = 1 / F.aggregate("all", F.lit(0.0), lambda s, x: s + x["rest"] * F.exp((x["sim"] - F.col("most")) / kappa))
+    return top.select("q", "predicted", F.round(share, 6).alias("confidence"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from . import curation
+from . import curation, ordering
 
 
 # Regions
@@ -56,8 +56,8 @@ def hierarchy(rows: DataFrame, ranks: list[str]) -> DataFrame:
 
 def length_quantiles(rows: DataFrame, seq: str, by: list[str], points: tuple[float, ...]) -> DataFrame:
     """(by, n_rows, q0, q1, ...): interpolated quantiles of lengths, all from one pass."""
-    got = rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.percentile(F.length(seq), F.array(*map(F.lit, points))).alias("q"))
-    return got.select(*by, "n_rows", *[F.round(F.col("q")[k], 6).alias(f"q{k}") for k in range(len(points))])
+    sizes = rows.select(*by, F.length(seq).alias("__len"))
+    return ordering.with_quantiles(sizes, by, "__len", {f"q{k}": p for k, p in enumerate(points)}, [F.count("*").alias("n_rows")])
 
 
 def repeated_share(rows: DataFrame, taxon: str) -> DataFrame:
@@ -105,7 +105,7 @@ def scaled_counts(counts: DataFrame, domain: str, count: str, kept: DataFrame) -
 
 def local_codes(rows: DataFrame, label: str, unknown: int = -1) -> DataFrame:
     """rows with code: the place of the label among the sorted ones; missing labels get ``unknown``."""
-    codes = rows.where(F.col(label) != "").select(label).distinct().withColumn("code", F.dense_rank().over(Window.orderBy(label)).cast("long") - 1)
+    codes = ordering.numbered(rows.where(F.col(label) != "").select(label).distinct(), [], [label], "code")
     return rows.join(codes, label, "left").withColumn("code", F.coalesce("code", F.lit(unknown)))
 
 
@@ -119,3 +119,80 @@ def inside(pairs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     for end in ("i", "j"):
         pairs = pairs.join(keys.select(F.col(key).alias(end)), end, "left_semi")
     return pairs
+
+
+def enough_regions(pool: DataFrame, least: int) -> DataFrame:
+    """The pool; fewer regions than asked for are an error."""
+    n = pool.agg(F.count_distinct("region_idx").alias("__n"))
+    ok = F.when(F.col("__n") < least, F.raise_error(F.concat(F.lit("too few regions: "), F.col("__n").cast("string")))).otherwise(True)
+    return pool.join(F.broadcast(n)).where(ok).drop("__n")
+
+
+def capped(rows: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """At most ``most`` rows by hash, in no other order than they had."""
+    return curation.first_by_hash(rows, key, most, seed)
+
+
+def some_regions(records: DataFrame, item: str, region: str, most: int, seed: int = 0) -> DataFrame:
+    """At most ``most`` random regions of each item that it has a record in; one for training rows. An item's records are few."""
+    w = Window.partitionBy(item).orderBy(S.hashed(F.col(item) * 131 + F.col(region), seed), region)
+    return records.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+
+
+def run_regions(runs: DataFrame, regions: list[int], seed: int = 0) -> DataFrame:
+    """runs (run) with one region each that all its rows share: the regions in one hash order, none again before all have been."""
+    order = sorted(regions, key=lambda r: ((r * 1103515245 + 12345 + seed) % 2147483648, r))
+    return runs.withColumn("region", F.get(F.array(*[F.lit(r).cast("long") for r in order]), (F.col("run") % len(order)).cast("int")))
+
+
+def panel_rows(rows: DataFrame, key: str, rank: str, taxon: str, n: int, seed: int = 0) -> DataFrame:
+    """n random rows of one taxon."""
+    return curation.first_by_hash(rows.where(F.col(rank) == taxon), key, n, seed)
+
+
+def with_features(rows: DataFrame, features: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
+    """rows with a region each and the feature that this region has of them. features: (region, key, feature)."""
+    return rows.withColumn("region", region_choice(F.col(key), n, seed)).join(features, ["region", key])
+
+
+def run_specs(panels: DataFrame, representations: list[str], ks: list[int]) -> DataFrame:
+    """One row for each panel, representation and number of clusters."""
+    spec = F.array(*[F.struct(F.lit(r).alias("representation"), F.lit(k).alias("k")) for r in representations for k in ks])
+    return panels.select("*", F.explode(spec).alias("__s")).select(*panels.columns, "__s.representation", "__s.k")
+
+
+def split_checks(rows: DataFrame, splits: DataFrame, key: str) -> DataFrame:
+    """(check, n_bad): rows in no split, rows in several, and split ids that no row has. splits: (key, split)."""
+    n = splits.groupBy(key).agg(F.count_distinct("split").alias("n"))
+    none = rows.join(n, key, "left_anti").agg(F.count("*").alias("n_bad")).select(F.lit("uncovered").alias("check"), "n_bad")
+    several = n.where("n > 1").agg(F.count("*").alias("n_bad")).select(F.lit("overlapping").alias("check"), "n_bad")
+    unknown = n.join(rows, key, "left_anti").agg(F.count("*").alias("n_bad")).select(F.lit("unknown").alias("check"), "n_bad")
+    return none.unionByName(several).unionByName(unknown)
+
+
+def leading_masks(records: DataFrame, codes: str, by: list[str]) -> DataFrame:
+    """(by, n_rows, n_masked, shortest, longest): sequences that begin with a pad, and whether all have one length."""
+    size = F.size(codes)
+    return records.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count_if(F.get(codes, F.lit(0)) == 4).alias("n_masked"), F.min(size).cast("long").alias("shortest"), F.max(size).cast("long").alias("longest"))
+
+
+def missing_of(wanted: list[int], held: DataFrame, column: str) -> DataFrame:
+    """Wanted numbers (the k of k-mer tables, say) that the table lacks."""
+    return held.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(wanted)], f"{column} long").join(held.select(F.col(column).cast("long").alias(column)), column, "left_anti")
+
+
+def full_paths(rows: DataFrame, paths: DataFrame, key: str, path: str, ranks: int = 7) -> DataFrame:
+    """rows with their full path; ids are compared as numbers, whatever they are written as; what is missing or isn't ``ranks`` long has none, and says why."""
+    told = paths.select(F.col(key).try_cast("long").alias("__k"), F.col(path).alias("path"))
+    both = rows.withColumn("__r", F.col(key).try_cast("long")).join(told, F.col("__r") == F.col("__k"), "left")
+    state = F.when(F.col("path").isNull(), "missing").when(F.size("path") != ranks, "malformed").otherwise("ok")
+    return both.withColumn("state", state).withColumn("path", F.when(F.col("state") == "ok", F.col("path"))).drop("__r", "__k")
+
+
+def with_origin(parts: dict[str, DataFrame]) -> DataFrame:
+    """All parts in one table, with which of them a row comes from."""
+    out = None
+    for name, rows in parts.items():
+        rows = rows.withColumn("origin", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out

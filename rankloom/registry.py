@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import clustering, curation, evaluation, kmers, logs, mining, neighbours, taxonomy
+from .operators import clustering, curation, evaluation, kmers, logs, mining, neighbours, ordering, taxonomy
 from .plans import adapters as A
 from .plans.adapters import sql
 
@@ -40,20 +40,20 @@ def headers(spark, d):
     return _headers(spark, d).select("doc_id", S.genome_id(h).alias("genome_id"), S.header_index(h).alias("idx"), S.header_region(h).alias("region"), F.get(pad, F.lit(0)).alias("t0"), F.get(pad, F.lit(1)).alias("t1"), F.get(pad, F.lit(6)).alias("t6"), F.size(path).cast("long").alias("n_ranks"), F.concat(F.lit(S.PREFIXES[0]), F.get(pad, F.lit(0))).alias("qualified"), S.rank_label(pad, 6).alias("label6"))
 
 
-@query("S7_S9_base_codes", sql("seqs", "SELECT doc_id, length(dna)::BIGINT AS n, list_sum(list_transform(string_split(left(dna, 30), ''), lambda c: CASE c WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END))::BIGINT + 4 * greatest(0, 30 - length(dna)) AS code_sum FROM seqs WHERE length(dna) > 0"))
+@query("S7_S9_base_codes", sql("seqs", "SELECT doc_id, length(dna)::BIGINT AS n, list_sum(list_transform(string_split(left(dna, 600), ''), lambda c: CASE c WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'G' THEN 2 WHEN 'T' THEN 3 ELSE 0 END))::BIGINT + 4 * greatest(0, 600 - length(dna)) AS code_sum FROM seqs WHERE length(dna) > 0"))
 def base_codes(spark, d):
-    codes = S.fitted(S.base_codes(F.col("dna")), 30)
+    codes = S.fitted(S.base_codes(F.col("dna")), 600)
     return A.seqs(spark, d).where("length(dna) > 0").select("doc_id", F.length("dna").cast("long").alias("n"), F.aggregate(codes, F.lit(0), lambda s, x: s + x).cast("long").alias("code_sum"))
 
 
-@query("S11_S13_vectors", sql("vecs", "SELECT a.vec_id, round(1 - list_dot_product(a.v, b.v), 6) AS cosine, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS sq FROM vecs a JOIN vecs b ON b.vec_id = a.vec_id + 1"))
+@query("S12_S13_vectors", sql("vecs", "SELECT a.vec_id, round(1 - list_dot_product(a.v, b.v), 6) AS cosine, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS sq FROM vecs a JOIN vecs b ON b.vec_id = a.vec_id + 1"))
 def vectors(spark, d):
     v = A.vecs(spark, d)
     a, b = v.select("vec_id", F.col("v").alias("a")), v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("b"))
     return a.join(b, "vec_id").select("vec_id", F.round(S.cosine_distance(F.col("a"), F.col("b")), 6).alias("cosine"), F.round(S.squared_distance(F.col("a"), F.col("b")), 6).alias("sq"))
 
 
-@query("S14_S31_scores", sql("mined", """SELECT i, j, round(0.6 * pow(CASE WHEN rank >= 0 THEN true_ * 0.75 END, log2(2 / 0.6)), 6) AS adjusted, round(err, 6) AS rel, round(exp(greatest(-20, least(20, 0.5 * sign(pred - true_)))), 6) AS bias,
+@query("S14_S16_S19_S21_S25_S28_scores", sql("mined", """SELECT i, j, round(0.6 * pow(CASE WHEN rank >= 0 THEN true_ * 0.75 END, log2(2 / 0.6)), 6) AS adjusted, round(err, 6) AS rel, round(exp(greatest(-20, least(20, 0.5 * sign(pred - true_)))), 6) AS bias,
  round(least(2.0, err), 6) AS loss, round(least(4.0, greatest(0.0, pred - true_ + 0.3)), 6) AS tri, round(0.5 * exp(-0.1) * err + 0.05, 6) AS weighted, round(1.0 / (pred * pred + 0.000001), 4) AS vote,
  CASE WHEN rank <= 2 THEN 1.0 WHEN rank >= 5 THEN 0.0 ELSE round(1.0 - (rank - 2) / 3.0, 6) END AS warm, 'Full-R' || (rank + 1) AS regions FROM mined"""))
 def scores(spark, d):
@@ -117,7 +117,7 @@ def split(spark, d):
     return t.join(test, "id", "left").select("id", F.coalesce("is_test", F.lit(False)).alias("is_test"))
 
 
-@query("F16_F24_F27_stratified", sql("tax4", "SELECT id, r1 FROM (SELECT *, row_number() OVER (PARTITION BY r1 ORDER BY (id * 1103515245 + 12350) % 2147483648, id) AS n, round(count(*) OVER (PARTITION BY r1) * 0.3) AS m FROM tax4) WHERE n <= m"))
+@query("F16_stratified", sql("tax4", "SELECT id, r1 FROM (SELECT *, row_number() OVER (PARTITION BY r1 ORDER BY (id * 1103515245 + 12350) % 2147483648, id) AS n, round(count(*) OVER (PARTITION BY r1) * 0.3) AS m FROM tax4) WHERE n <= m"))
 def stratified(spark, d):
     return curation.share_by_hash(A.tax4(spark, d), "id", 0.3, 5, ("r1",)).select("id", "r1")
 
@@ -134,10 +134,13 @@ def length_stats(spark, d):
     return curation.length_stats(A.seqs(spark, d), "dna", "lang")
 
 
-@query("G3_W2_funnel", sql("seqs", ", s AS (SELECT CASE WHEN length(dna) < 40 THEN 0 WHEN length(dna) > 600 THEN 1 WHEN lang = 'fr' THEN 2 ELSE 3 END AS step FROM seqs) SELECT k.step::BIGINT AS step, k.name, (SELECT count(*) FROM s WHERE s.step = k.step) AS removed, (SELECT count(*) FROM s WHERE s.step > k.step) AS remaining FROM (VALUES (0, 'short'), (1, 'long'), (2, 'language')) k(step, name)").replace("\n, s AS", ", s AS"))
+@query("G3_W2_funnel", sql("seqs", """, s AS (SELECT lang, CASE WHEN length(dna) < 40 THEN 0 WHEN length(dna) > 600 THEN 1 WHEN lang = 'fr' THEN 2 ELSE 3 END AS step FROM seqs), g AS (SELECT 'All' AS grp, step FROM s UNION ALL SELECT lang, step FROM s),
+k AS (SELECT DISTINCT grp, step, name FROM g AS x(grp, ignored), (VALUES (0, 'short'), (1, 'long'), (2, 'language')) y(step, name)),
+c AS (SELECT k.grp, k.step, k.name, (SELECT count(*) FROM g WHERE g.grp = k.grp AND g.step = k.step) AS removed, (SELECT count(*) FROM g WHERE g.grp = k.grp AND g.step > k.step) AS remaining FROM k)
+SELECT grp AS "group", step::BIGINT AS step, name, removed, remaining, round(100 * removed / nullif(removed + remaining, 0), 6) AS percent FROM c""").replace("\n, s AS", ", s AS"))
 def funnel(spark, d):
     n = F.length("dna")
-    return curation.funnel(A.seqs(spark, d), [("short", n >= 40), ("long", n <= 600), ("language", F.col("lang") != "fr")])
+    return curation.funnel(A.seqs(spark, d), [("short", n >= 40), ("long", n <= 600), ("language", F.col("lang") != "fr")], "lang")
 
 
 @query("G4_duplicate_depth", "WITH g AS (SELECT text, count(*) AS c, count(DISTINCT lang) AS l, count(DISTINCT source) AS s FROM documents GROUP BY text HAVING count(*) > 1) SELECT CASE WHEN s = 1 THEN 'source' WHEN l = 1 THEN 'lang' ELSE 'none' END AS rank, count(*) AS n_sequences, sum(c - 1)::BIGINT AS n_extra FROM g GROUP BY 1")
@@ -169,9 +172,17 @@ def homonyms(spark, d):
     return taxonomy.homonyms(p, "p_partkey", ["p_brand", "p_type", "b5", "t5"])
 
 
-@query("J4_shared_rank", sql("tax4", "SELECT a.id AS i, b.id AS j, CASE WHEN a.r2 = b.r2 THEN 2 ELSE 1 END::BIGINT AS shared_rank FROM tax4 a JOIN tax4 b ON a.r0 = b.r0 AND a.r1 = b.r1 AND a.id < b.id"))
+@query("J4_shared_rank", sql("tax4", """SELECT a.id AS i, b.id AS j, CASE WHEN a.r1 <> b.r1 THEN 0 WHEN a.r2 <> b.r2 THEN 1 ELSE 2 END::BIGINT AS shared_rank
+FROM tax4 a JOIN tax4 b ON a.r0 = b.r0 AND a.id <> b.id WHERE a.id % 100 = 0"""))
 def shared_rank(spark, d):
-    return taxonomy.pairs_sharing(A.tax4(spark, d), "id", ["r0", "r1", "r2"], 1)
+    t = A.tax4(spark, d)
+    return taxonomy.shared_ranks(t.where("id % 100 = 0"), t, "id", ["r0", "r1", "r2"])
+
+
+@query("J4_taxon_classes", sql("tax4", """SELECT id, min(id) OVER (PARTITION BY r0) || ',' || min(id) OVER (PARTITION BY r0, r1) || ',' || min(id) OVER (PARTITION BY r0, r1, r2) AS taxa FROM tax4"""))
+def taxon_classes(spark, d):
+    got = taxonomy.taxon_classes(A.tax4(spark, d), "id", ["r0", "r1", "r2"])
+    return got.select("id", F.array_join(F.transform("taxa", lambda x: x.cast("string")), ",").alias("taxa"))
 
 
 @query("G40_rank_histogram", sql("tax4", "SELECT CASE WHEN a.r0 <> b.r0 THEN -1 WHEN a.r1 <> b.r1 THEN 0 WHEN a.r2 <> b.r2 THEN 1 ELSE 2 END::BIGINT AS shared_rank, count(*) AS n_pairs FROM tax4 a JOIN tax4 b ON a.id < b.id GROUP BY 1"))
@@ -179,12 +190,16 @@ def rank_histogram(spark, d):
     return taxonomy.shared_rank_counts(A.tax4(spark, d), ["r0", "r1", "r2"])
 
 
-@query("J6_tree_distance", "SELECT a.n_nationkey::BIGINT AS i, b.n_nationkey::BIGINT AS j, CASE WHEN a.n_regionkey = b.n_regionkey THEN 0.6 ELSE 0.9 END::DOUBLE AS distance FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
+@query("J6_tree_distance", sql("tax4", """SELECT a.id AS i, b.id AS j, CASE WHEN a.r1 = b.r1 THEN 0.3 WHEN a.r0 = b.r0 THEN 0.6 ELSE 0.9 END::DOUBLE AS distance
+FROM tax4 a JOIN tax4 b ON a.id <> b.id WHERE a.id % 100 = 0"""))
 def tree(spark, d):
-    n = A.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), (F.col("n_regionkey") + 1000).cast("long").alias("parent"), F.lit(0.0).alias("dist"))
-    r = A.table(spark, d, "region").select((F.col("r_regionkey") + 1000).cast("long").alias("node"), F.lit(9999).cast("long").alias("parent"), F.lit(0.6).alias("dist"))
-    top = spark.range(1).select(F.lit(9999).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0.9).alias("dist"))
-    return taxonomy.tree_distances(n.select(F.col("node").alias("leaf")), n.unionByName(r).unionByName(top), 3, 1.65)
+    c = A.table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("parent"), F.lit(0.0).alias("dist"))
+    n = A.table(spark, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent"), F.lit(0.3).alias("dist"))
+    r = A.table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.lit("root").alias("parent"), F.lit(0.6).alias("dist"))
+    top = spark.range(1).select(F.lit("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0.9).alias("dist"))
+    leaves = c.select(F.col("node").alias("leaf"))
+    got = taxonomy.tree_distances(leaves.where(F.substring("leaf", 2, 20).try_cast("long") % 100 == 0), leaves, c.unionByName(n).unionByName(r).unionByName(top), 4, 1.65)
+    return got.select(F.substring("i", 2, 20).try_cast("long").alias("i"), F.substring("j", 2, 20).try_cast("long").alias("j"), "distance")
 
 
 # k-mers
@@ -192,7 +207,7 @@ def tree(spark, d):
 
 @query("K1_kmers", sql("seqs", "SELECT doc_id, kmer, count(*) AS n FROM (SELECT doc_id, substr(dna, unnest(generate_series(1, length(dna) - 3)), 4) AS kmer FROM seqs) GROUP BY ALL"))
 def kmer_counts(spark, d):
-    return kmers.kmer_counts(A.seqs(spark, d), "doc_id", "dna", 4)
+    return kmers.kmer_counts(A.seqs(spark, d), "doc_id", "dna", 4).drop("kmer_idx")
 
 
 @query("S10_G56_kmer_moments", sql("seqs", ", c AS (SELECT doc_id, kmer, count(*) AS n FROM (SELECT doc_id, substr(dna, unnest(generate_series(1, length(dna) - 3)), 4) AS kmer FROM seqs) GROUP BY ALL), t AS (SELECT count(*)::DOUBLE AS m FROM seqs) SELECT kmer, list_sum(list_transform(generate_series(1, 4), lambda k: (strpos('ACGT', kmer[k]) - 1) * pow(4, 4 - k)))::BIGINT AS kmer_idx, round(sum(n) / max(m), 6) AS mean, round(sqrt(greatest(0, sum(n * n) / max(m) - pow(sum(n) / max(m), 2))), 6) AS std FROM c, t GROUP BY kmer").replace("\n, c AS", ", c AS"))
@@ -206,52 +221,58 @@ def truncation(spark, d):
     return A.seqs(spark, d).where("length(dna) > 0").select("doc_id", S.truncated(F.col("dna"), F.col("doc_id"), 10, 10).alias("cut"))
 
 
-@query("S8_K4_mutated")
+@query("K4_mutated", sql("seqs", """SELECT doc_id, list_aggregate(list_transform(string_split(dna, ''), lambda c, i: CASE WHEN (((doc_id * 8191 + i - 1) % 2147483648) * 1103515245 + 12345) % 2147483648 + 0.5 < 0.05 * 2147483648.0
+  THEN xor(strpos('ACGT', c) - 1, 1 + (((doc_id * 8191 + i - 1) % 2147483648) * 1103515245 + 12346) % 2147483648 % 3) ELSE strpos('ACGT', c) - 1 END), 'string_agg', '') AS codes FROM seqs WHERE length(dna) > 0"""))
 def mutation(spark, d):
     codes = S.base_codes(F.col("dna"))
-    return A.seqs(spark, d).select("doc_id", F.array_join(S.mutated(codes, F.col("doc_id"), 0.05), "").alias("codes"))
+    return A.seqs(spark, d).where("length(dna) > 0").select("doc_id", F.array_join(S.mutated(codes, F.col("doc_id"), 0.05), "").alias("codes"))
 
 
 # Neighbours
 
 
 def _sides(spark, d):
+    """The query set, every row whose id is divisible by 100, and all rows."""
     v = A.vecs(spark, d)
-    return v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), "r0", "r1"), v.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("b"), F.col("v").alias("bv"), "r0", "r1")
+    return v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"), "r0", "r1"), v.select(F.col("vec_id").alias("b"), F.col("v").alias("bv"), "r0", "r1")
+
 
+_MET = "vecs q JOIN vecs b ON q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id"
 
-@query("G28_knn_classification", sql("vecs", ", s AS (SELECT q.vec_id AS q, q.r1 AS t, b.r1 AS p, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_dot_product(q.v, b.v), 9), b.vec_id) AS n FROM vecs q JOIN vecs b ON q.vec_id % 5 = 0 AND b.vec_id % 5 <> 0) SELECT t AS true_label, count(*) AS n_valid, round(avg((t = p)::INT), 6) AS accuracy FROM s WHERE n = 1 GROUP BY t").replace("\n, s AS", ", s AS"))
+
+@query("J13_G13_knn_classification", sql("vecs", f""", s AS (SELECT q.vec_id AS q, q.r1 AS t, b.r1 AS p, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_dot_product(q.v, b.v), 9), b.vec_id) AS n FROM {_MET})
+SELECT t AS true_label, count(*) AS n_valid, round(avg((t = p)::INT), 6) AS accuracy FROM s WHERE n = 1 GROUP BY t""").replace("\n, s AS", ", s AS"))
 def knn_classification(spark, d):
     q, b = _sides(spark, d)
-    near = neighbours.nearest(q.select("q", "qv"), b.select("b", "bv"))
+    near = neighbours.nearest(q.select("q", "qv"), b.select("b", "bv"), exclude_self=True)
     rows = near.join(q.select("q", F.col("r1").alias("true")), "q").join(b.select("b", F.col("r1").alias("pred")), "b")
     return evaluation.accuracy(rows.withColumn("true_label", F.col("true")), ["true_label"])
 
 
-@query("J13_W8_neighbours", sql("vecs", "SELECT * FROM (SELECT q.vec_id AS q, b.vec_id AS b, round(1 - list_dot_product(q.v, b.v), 6) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_dot_product(q.v, b.v), 9), b.vec_id) AS place FROM vecs q JOIN vecs b ON q.vec_id % 5 = 0 AND b.vec_id % 5 <> 0) WHERE place <= 5"))
-def k_neighbours(spark, d):
+@query("J13_W9_euclidean", sql("vecs", f"""SELECT q, b, d FROM (SELECT q.vec_id AS q, b.vec_id AS b, round(list_distance(q.v, b.v) ** 2, 6) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.v, b.v) ** 2, 9), b.vec_id) AS place FROM {_MET}) WHERE place = 1"""))
+def nearest_euclidean(spark, d):
     q, b = _sides(spark, d)
-    return neighbours.nearest(q.select("q", "qv"), b.select("b", "bv"), 5).select("q", "b", F.round("d", 6).alias("d"), F.col("place").cast("long").alias("place"))
+    return neighbours.nearest(q.select("q", "qv"), b.select("b", "bv"), 1, "squared", exclude_self=True).select("q", "b", F.round("d", 6).alias("d"))
 
 
-@query("J13_W8_neighbours_of_all", sql("vecs", "SELECT * FROM (SELECT q.vec_id AS q, b.vec_id AS b, round(1 - list_dot_product(q.v, b.v), 6) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_dot_product(q.v, b.v), 9), b.vec_id) AS place FROM vecs q JOIN vecs b ON q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id) WHERE place <= 5"))
+@query("J13_W8_neighbours", sql("vecs", "SELECT * FROM (SELECT q.vec_id AS q, b.vec_id AS b, round(1 - list_dot_product(q.v, b.v), 6) AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_dot_product(q.v, b.v), 9), b.vec_id) AS place FROM vecs q JOIN vecs b ON q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id) WHERE place <= 5"))
 def neighbours_of_all(spark, d):
     v = A.vecs(spark, d)
     q, b = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv")), v.select(F.col("vec_id").alias("b"), F.col("v").alias("bv"))
     return neighbours.nearest(q, b, 5, exclude_self=True).select("q", "b", F.round("d", 6).alias("d"), F.col("place").cast("long").alias("place"))
 
 
-@query("G10_J14_hierarchical", sql("vecs", """, s AS (SELECT q.vec_id AS q, b.vec_id AS b, b.r0, b.r1, round(1 - list_dot_product(q.v, b.v), 9) AS d FROM vecs q JOIN vecs b ON q.vec_id % 5 = 0 AND b.vec_id % 5 <> 0),
-z0 AS (SELECT r0, count(*) AS size FROM vecs WHERE vec_id % 5 <> 0 GROUP BY r0), z1 AS (SELECT r0, r1, count(*) AS size FROM vecs WHERE vec_id % 5 <> 0 GROUP BY r0, r1),
-n0 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, b) AS n FROM s), v0 AS (SELECT q, r0, round(sum(1 / sqrt(size) / (d * d + 0.000001)), 6) AS v, max(size) AS size FROM n0 JOIN z0 USING (r0) WHERE n <= 20 GROUP BY q, r0),
+@query("G10_J14_hierarchical", sql("vecs", f""", s AS (SELECT q.vec_id AS q, b.vec_id AS b, b.r0, b.r1, round(1 - list_dot_product(q.v, b.v), 9) AS d FROM {_MET}),
+z0 AS (SELECT r0, count(*) AS size FROM vecs GROUP BY r0), z1 AS (SELECT r0, r1, count(*) AS size FROM vecs GROUP BY r0, r1),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, b) AS n FROM s), v0 AS (SELECT q, r0, round(sum(1 / sqrt(size) / (d * d + 0.000001)), 6) AS v, max(size) AS size FROM n0 JOIN z0 USING (r0) WHERE n <= 75 GROUP BY q, r0),
 w0 AS (SELECT q, r0, v / sum(v) OVER (PARTITION BY q) AS c, row_number() OVER (PARTITION BY q ORDER BY v DESC, size DESC, r0 DESC) AS n FROM v0),
 n1 AS (SELECT s.*, row_number() OVER (PARTITION BY s.q ORDER BY d, b) AS n FROM s JOIN w0 ON s.q = w0.q AND s.r0 = w0.r0 AND w0.n = 1),
-v1 AS (SELECT q, r0, r1, round(sum(1 / sqrt(size) / (d * d + 0.000001)), 6) AS v, max(size) AS size FROM n1 JOIN z1 USING (r0, r1) WHERE n <= 10 GROUP BY q, r0, r1),
+v1 AS (SELECT q, r0, r1, round(sum(1 / sqrt(size) / (d * d + 0.000001)), 6) AS v, max(size) AS size FROM n1 JOIN z1 USING (r0, r1) WHERE n <= 50 GROUP BY q, r0, r1),
 w1 AS (SELECT q, r1, v / sum(v) OVER (PARTITION BY q) AS c, row_number() OVER (PARTITION BY q ORDER BY v DESC, size DESC, r1 DESC) AS n FROM v1)
 SELECT w0.q, w0.r0 AS p_r0, w1.r1 AS p_r1, round(w0.c, 6) AS c_r0, round(w0.c * w1.c, 6) AS c_r1 FROM w0 JOIN w1 USING (q) WHERE w0.n = 1 AND w1.n = 1""").replace("\n, s AS", ", s AS"))
 def hierarchical(spark, d):
     q, b = _sides(spark, d)
-    return neighbours.hierarchical(q.select("q", "qv"), b, ["r0", "r1"], [20, 10])
+    return neighbours.hierarchical(q.select("q", "qv"), b, ["r0", "r1"], [75, 50], exclude_self=True)
 
 
 @query("G11_centroids", sql("vecs", ", e AS (SELECT r1, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM vecs), s AS (SELECT r1, k, sum(x) AS s, count(*) AS n FROM e GROUP BY r1, k) SELECT r1, max(n) AS n, round(sqrt(sum(s * s)) / max(n), 5) AS resultant FROM s GROUP BY r1").replace("\n, e AS", ", e AS"))
@@ -259,10 +280,15 @@ def centroids(spark, d):
     return neighbours.centroids(A.vecs(spark, d), ["r1"], "v").select("r1", "n", F.round("resultant", 5).alias("resultant"))
 
 
-@query("G12_S23_prototypes")
+@query("G12_S23_prototypes", sql("vecs", """, u AS (SELECT vec_id, r1, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 0.00000001)) AS v FROM vecs),
+e AS (SELECT r1, k, sum(x) AS s FROM (SELECT r1, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM u) GROUP BY r1, k), c AS (SELECT r1, list(s ORDER BY k) AS s FROM e GROUP BY r1),
+p AS (SELECT r1, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) AS c FROM c),
+m AS (SELECT vec_id AS q, p.r1, round(list_dot_product(v, c), 9) AS sim FROM u JOIN p ON vec_id % 100 = 0), t AS (SELECT *, max(sim) OVER (PARTITION BY q) AS most, row_number() OVER (PARTITION BY q ORDER BY sim DESC, r1) AS n FROM m)
+SELECT q, max(CASE WHEN n = 1 THEN r1 END) AS predicted, round(1 / sum(exp((sim - most) / 0.02)), 5) AS confidence FROM t GROUP BY q""").replace("\n, u AS", ", u AS"))
 def prototypes(spark, d):
     q, b = _sides(spark, d)
-    return neighbours.prototype_classes(q.select("q", "qv"), neighbours.centroids(b, ["r1"], "bv"), "r1")
+    got = neighbours.prototype_classes(q.select("q", "qv"), neighbours.centroids(b, ["r1"], "bv"), "r1")
+    return got.select("q", "predicted", F.round("confidence", 5).alias("confidence"))
 
 
 # Evaluation
@@ -270,7 +296,7 @@ def prototypes(spark, d):
 _RIGHT = "(true_ = pred)::INT"
 
 
-@query("G14_G18_accuracy", sql("preds", f"SELECT region, count(*) AS n_valid, round(avg({_RIGHT}), 6) AS accuracy FROM preds WHERE pred <> '' GROUP BY region"))
+@query("G14_accuracy", sql("preds", f"SELECT region, count(*) AS n_valid, round(avg({_RIGHT}), 6) AS accuracy FROM preds WHERE pred <> '' GROUP BY region"))
 def accuracy(spark, d):
     p = A.preds(spark, d)
     return evaluation.accuracy(p.where(evaluation.valid(F.col("pred"), F.lit(True))), ["region"])
@@ -365,6 +391,16 @@ def best_k(spark, d):
     return evaluation.best_k(evaluation.run_scores(A.history(spark, d), ["rank", "bucket"], "batch", "loss"), ["rank"], "bucket", "mean")
 
 
+@query("C1_C2_first_round", sql("vecs", """, u AS (SELECT vec_id, r1, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 0.00000001)) AS v FROM vecs),
+e AS (SELECT r1, k, avg(x) AS s FROM (SELECT r1, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM u) GROUP BY r1, k), c AS (SELECT dense_rank() OVER (ORDER BY r1) - 1 AS k, s FROM (SELECT r1, list(s ORDER BY k) AS s FROM e GROUP BY r1)),
+a AS (SELECT vec_id, v, arg_min(k, (-sim, k)) AS k FROM (SELECT vec_id, v, k, list_dot_product(v, s) / sqrt(list_dot_product(s, s)) AS sim FROM u, c) GROUP BY vec_id, v),
+f AS (SELECT k, p, sum(x) AS s FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a) GROUP BY k, p), n AS (SELECT k, list(s ORDER BY p) AS s FROM f GROUP BY k),
+m AS (SELECT c.k, coalesce(n.s, c.s) AS s FROM c LEFT JOIN n USING (k))
+SELECT vec_id, arg_min(k, (-sim, k))::BIGINT AS cluster FROM (SELECT vec_id, k, list_dot_product(v, s) / sqrt(list_dot_product(s, s)) AS sim FROM u, m) GROUP BY vec_id""").replace("\n, u AS", ", u AS"))
+def first_round(spark, d):
+    return clustering.kmeans(A.vecs(spark, d), "vec_id", "v", "r1", rounds=1)
+
+
 @query("C1_C2_spherical_kmeans")
 def spherical(spark, d):
     return clustering.kmeans(A.vecs(spark, d), "vec_id", "v", "r1")
@@ -375,7 +411,7 @@ def euclidean(spark, d):
     return clustering.kmeans(A.vecs(spark, d), "vec_id", "v", "r1", spherical=False)
 
 
-@query("C7_C9_projection")
+@query("C7_projection")
 def projected(spark, d):
     return clustering.projection(A.vecs(spark, d), "vec_id", "v").select("vec_id", F.round("x0", 5).alias("x0"), F.round("x1", 5).alias("x1"))
 
@@ -403,7 +439,7 @@ def representatives(spark, d):
 
 @query("M3_W6_W7_mined_pairs")
 def mined_pairs(spark, d):
-    got = mining.mine_pairs(A.mined(spark, d), 1000, 400, [0.5, 0.25, 0.15, 0.1], [0.25, 0.25, 0.25, 0.25, 0.0])
+    got, _ = mining.mine_pairs(A.mined(spark, d), 40_000, 3_840, beta=0.5)
     return got.select("i", "j", F.col("rank").cast("long").alias("rank"), F.col("bucket").cast("long").alias("bucket"), F.round("err", 6).alias("err"))
 
 
@@ -442,13 +478,13 @@ def endpoints(spark, d):
 
 @query("W15_batches", sql("preds", "SELECT batch, count(*) AS n_rows FROM (SELECT floor((row_number() OVER (ORDER BY event_id) - 1) / 256)::BIGINT AS batch FROM events) GROUP BY batch").replace("WITH h AS", "WITH h AS"))
 def batches(spark, d):
-    return mining.in_batches(A.history(spark, d), F.col("event_id"), 256).groupBy("batch").agg(F.count("*").alias("n_rows"))
+    return mining.in_batches(A.history(spark, d), "event_id", 256).groupBy("batch").agg(F.count("*").alias("n_rows"))
 
 
 # Logs and histories
 
 
-@query("G42_G46_loss_stats", sql("history", """SELECT coalesce(r, 'All') AS rank, coalesce(b, 'All') AS bucket, count(*) AS n_rows, round(min(loss), 6) AS least, round(quantile_cont(loss, 0.05), 6) AS p5, round(quantile_cont(loss, 0.25), 6) AS p25, round(quantile_cont(loss, 0.5), 6) AS median, round(quantile_cont(loss, 0.75), 6) AS p75, round(quantile_cont(loss, 0.95), 6) AS p95, round(max(loss), 6) AS most, round(avg(loss), 6) AS mean, round(stddev_samp(loss), 6) AS std
+@query("G42_loss_stats", sql("history", """SELECT coalesce(r, 'All') AS rank, coalesce(b, 'All') AS bucket, count(*) AS n_rows, round(min(loss), 6) AS least, round(quantile_cont(loss, 0.05), 6) AS p5, round(quantile_cont(loss, 0.25), 6) AS p25, round(quantile_cont(loss, 0.5), 6) AS median, round(quantile_cont(loss, 0.75), 6) AS p75, round(quantile_cont(loss, 0.95), 6) AS p95, round(max(loss), 6) AS most, round(avg(loss), 6) AS mean, round(stddev_samp(loss), 6) AS std
 FROM (SELECT rank AS r, bucket::VARCHAR AS b, loss FROM history) GROUP BY GROUPING SETS ((), (r), (b))"""))
 def loss_stats(spark, d):
     return logs.loss_stats(A.history(spark, d), "rank", "bucket", "loss")
@@ -472,11 +508,12 @@ def combinations(spark, d):
 
 @query("G48_W14_changes", sql("history", ", t AS (SELECT batch, rank, round(quantile_cont(loss, 0.5), 6) AS cut FROM history GROUP BY ALL), l AS (SELECT *, lag(cut) OVER (PARTITION BY rank ORDER BY batch) AS b FROM t) SELECT batch, rank, cut, round((cut - b) / nullif(abs(b), 0), 6) AS change FROM l").replace("\n, t AS", ", t AS"))
 def changes(spark, d):
-    t = A.history(spark, d).groupBy("batch", "rank").agg(F.round(F.percentile("loss", F.lit(0.5)), 6).alias("cut"))
+    q = ordering.quantiles(A.history(spark, d).select("batch", "rank", "loss"), ["batch", "rank"], "loss", [0.5])
+    t = q.select("batch", "rank", F.round(F.get("q", F.lit(0)), 6).alias("cut"))
     return logs.relative_changes(t, ["rank"], "batch", "cut")
 
 
-@query("G49_G51_history", sql("history", "SELECT batch, round(avg(loss) FILTER (rank = 'click'), 6) AS click, round(avg(loss) FILTER (rank = 'view'), 6) AS \"view\" FROM history GROUP BY batch"))
+@query("G51_history", sql("history", "SELECT batch, round(avg(loss) FILTER (rank = 'click'), 6) AS click, round(avg(loss) FILTER (rank = 'view'), 6) AS \"view\" FROM history GROUP BY batch"))
 def history_rows(spark, d):
     return logs.wide(A.history(spark, d), "batch", "rank", "loss", ["click", "view"])
 
@@ -487,13 +524,13 @@ def filled(spark, d):
     return logs.filled_down(h, ["rank"], "event_id", "score").select("event_id", "score")
 
 
-@query("G53_size_score", sql("tax4", ", t AS (SELECT r0, r1, count(*) AS n, max(id % 13) AS s FROM tax4 GROUP BY ALL) SELECT r0, count(*) AS n_taxa, round(corr(log2(n), s), 6) AS r FROM t GROUP BY r0 HAVING count(*) > 2 AND stddev_pop(n) > 0 AND stddev_pop(s) > 0").replace("\n, t AS", ", t AS"))
+@query("G53_size_score", sql("tax4", ", t AS (SELECT r0, r1, count(*) AS n, sum((id % 13 = 0)::INT) AS s FROM tax4 GROUP BY ALL) SELECT r0, count(*) AS n_taxa, round(corr(log2(n), s), 6) AS r FROM t GROUP BY r0 HAVING count(*) > 2 AND stddev_pop(n) > 0 AND stddev_pop(s) > 0").replace("\n, t AS", ", t AS"))
 def size_score(spark, d):
-    t = A.tax4(spark, d).groupBy("r0", "r1").agg(F.count("*").alias("n"), F.max(F.col("id") % 13).alias("s"))
+    t = A.tax4(spark, d).groupBy("r0", "r1").agg(F.count("*").alias("n"), F.count_if(F.col("id") % 13 == 0).alias("s"))
     return logs.size_score_correlation(t, "r0", "n", "s")
 
 
-@query("U1_U4_sets", "SELECT c_nationkey::BIGINT AS k, 'both' AS side FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier UNION ALL (SELECT DISTINCT c_nationkey, 'customer' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier))")
+@query("U2_U3_U4_sets", "SELECT c_nationkey::BIGINT AS k, 'both' AS side FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier UNION ALL (SELECT DISTINCT c_nationkey, 'customer' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier))")
 def sets(spark, d):
     c = A.table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("k"))
     s = A.table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("k"))

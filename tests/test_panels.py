@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom import catalogue, registry
+from rankloom import catalogue, inventory, registry
 from rankloom.operators import panels
 
 REGIONS = [(0, "FULL"), (1, "V3"), (2, "V4")]
@@ -59,7 +59,7 @@ def test_series_and_codes(spark):
     assert sorted((r["l"] or "", r["code"]) for r in panels.local_codes(rows, "l").collect()) == [("", -1), ("", -1), ("a", 0), ("b", 1), ("b", 1)]
 
 
-NEW = [n for n, f in catalogue.QUERIES.items() if f.__module__ == catalogue.__name__]
+NEW = [n for n, f in registry.QUERIES.items() if f.__module__ in (catalogue.__name__, inventory.__name__) and n in registry.ORACLE_SQL]
 
 
 def plain(rows):
@@ -73,6 +73,6 @@ def test_against_sql(spark, sf, name):
         con.execute(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{sf}/{file}'")
     got = registry.QUERIES[name](spark, sf)
     cols = sorted(got.columns)
-    want = con.sql(catalogue.ORACLE_SQL[name])
+    want = con.sql(registry.ORACLE_SQL[name])
     assert sorted(want.columns) == cols
     assert plain(got.select(*cols).collect()) == plain(want.select(*[duckdb.ColumnExpression(c) for c in cols]).fetchall())
