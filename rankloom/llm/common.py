@@ -111,23 +111,26 @@ def filter_words(keys: DataFrame, key: Column, bits: int = FILTER_BITS) -> DataF
     )
 
 
+def _bitmap(df: DataFrame, key: Column, words: DataFrame, bits: int) -> tuple[DataFrame, Column, Column]:
+    """The bitmap to broadcast, under names that df doesn't have, the join's condition, and whether the key's bit is set in the word met."""
+    w, m = "__w", "__m"
+    while {w, m} & set(df.columns):
+        w, m = w + "_", m + "_"
+    h = F.pmod(F.xxhash64(key), F.lit(bits))
+    bit = F.call_function("shiftright", F.col(m), h.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    return F.broadcast(words.select(F.col("w").alias(w), F.col("m").alias(m))), F.shiftright(h, 6).cast("int") == F.col(w), bit
+
+
 def maybe_in(df: DataFrame, key: Column, words: DataFrame, bits: int = FILTER_BITS, anti: bool = False) -> DataFrame:
     """Rows of df whose key may be in the bitmap (anti: surely is not); the broadcast side has at most bits / 64 rows."""
-    h = F.pmod(F.xxhash64(key), F.lit(bits))
-    df = df.withColumn("__h", h)
-    bit = F.expr("shiftright(__m, cast(__h & 63 as int)) & 1L") == 1
-    words = F.broadcast(words.select(F.col("w").alias("__w"), F.col("m").alias("__m")))
-    on = (F.shiftright("__h", 6).cast("int") == F.col("__w")) & bit
-    return df.join(words, on, "left_anti" if anti else "left_semi").drop("__h")
+    words, on, bit = _bitmap(df, key, words, bits)
+    return df.join(words, on & bit, "left_anti" if anti else "left_semi")
 
 
 def marked(df: DataFrame, key: Column, words: DataFrame, name: str, bits: int = FILTER_BITS) -> DataFrame:
     """df with a boolean column: whether the key may be in the bitmap."""
-    cols = df.columns
-    h = F.pmod(F.xxhash64(key), F.lit(bits))
-    words = F.broadcast(words.select(F.col("w").alias("__w"), F.col("m").alias("__m")))  # bits / 64 rows at most
-    both = df.withColumn("__h", h).join(words, F.shiftright("__h", 6).cast("int") == F.col("__w"), "left")
-    return both.select(*cols, F.coalesce(F.expr("shiftright(__m, cast(__h & 63 as int)) & 1L") == 1, F.lit(False)).alias(name))
+    words, on, bit = _bitmap(df, key, words, bits)
+    return df.join(words, on, "left").select(*[df[c] for c in df.columns], F.coalesce(bit, F.lit(False)).alias(name))
 
 
 def those_in(df: DataFrame, key: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
@@ -139,7 +142,8 @@ def those_in(df: DataFrame, key: str, ids: DataFrame, bits: int = FILTER_BITS) -
     name = ids.columns[0]
     if ids.count() <= bits // 8:
         df = maybe_in(df, F.col(key), filter_words(ids, F.col(name), bits), bits)
-    return df.join(ids.select(F.col(name).alias("__in")), F.col(key) == F.col("__in"), "left_semi")
+    ids = ids.select(F.col(name).alias("__in"))
+    return df.join(ids, df[key] == ids["__in"], "left_semi")
 
 
 def keep_only(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
@@ -153,5 +157,6 @@ def keep_only(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     key = F.coalesce(docs[id_col].try_cast("long"), F.lit(-1))
     sure = maybe_in(docs, key, words, anti=True)
     doubtful = maybe_in(docs, key, words)
-    checked = doubtful.join(dropped.select(F.col("id").alias("__id")), docs[id_col].try_cast("long") == F.col("__id"), "left_anti")
+    ids = dropped.select(F.col("id").alias("__id"))
+    checked = doubtful.join(ids, doubtful[id_col].try_cast("long") == ids["__id"], "left_anti")
     return sure.unionByName(checked)

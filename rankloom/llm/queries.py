@@ -125,6 +125,30 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+#: Words on either side of an item's rarest word within which its other words count as near.
+REACH = 60
+
+
+def items_nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other search of operator 6's index: documents that hold all words of an item close together, in whatever order."""
+    found = decontam.proximity_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), REACH)
+    return found.groupBy("doc_id", F.col("item").alias("item_id")).agg(F.count("*").alias("n_places"))
+
+
+NEARBY_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+dp AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM d),
+bp AS (SELECT item_id, w, min(p) AS p FROM (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM b) GROUP BY item_id, w),
+t AS (SELECT w, count(*) AS n FROM dp GROUP BY w),
+r AS (SELECT item_id, count(*) AS n_all, arg_min(w, (coalesce(n, 0), p)) AS rare FROM bp LEFT JOIN t USING (w) GROUP BY item_id HAVING min(coalesce(n, 0)) > 0),
+c AS (SELECT doc_id, pos, item_id, n_all FROM dp JOIN r ON w = rare)
+SELECT doc_id, item_id, count(*) AS n_places FROM (
+  SELECT c.doc_id, c.item_id, c.pos FROM c JOIN dp ON dp.doc_id = c.doc_id AND dp.pos BETWEEN c.pos - {REACH} AND c.pos + {REACH} JOIN bp ON bp.item_id = c.item_id AND bp.w = dp.w
+  GROUP BY c.doc_id, c.item_id, c.pos, c.n_all HAVING count(DISTINCT dp.w) = c.n_all) GROUP BY doc_id, item_id
+"""
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     of = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long")
@@ -170,6 +194,6 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_chat, op3_url_filter, op4_toxicity, op5_html, op6_decontamination, op7_secrets, op8_exact_dedup, op9_bpe, op10_near_dedup)
+    for f in (op1_quality, op2_chat, op3_url_filter, op4_toxicity, op5_html, op6_decontamination, op7_secrets, op8_exact_dedup, op9_bpe, op10_near_dedup, items_nearby)
 }
-ORACLE_SQL = {"op2_chat": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_decontamination": OP6_SQL, "op8_exact_dedup": OP8_SQL, "op10_near_dedup": OP10_SQL}
+ORACLE_SQL = {"op2_chat": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_decontamination": OP6_SQL, "items_nearby": NEARBY_SQL, "op8_exact_dedup": OP8_SQL, "op10_near_dedup": OP10_SQL}

@@ -2,16 +2,18 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
 import public_tokenizers
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rankloom.llm import bpe, chat, decontam, exact_dedup, html_text, near_dedup, quality, queries, secret_scan, toxicity, url_filter
-from rankloom.llm.common import Scratch, among_least
+from rankloom.llm.common import Scratch, among_least, keep_only
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [(1, "a b c d e f"), (2, None), (3, ""), (4, "a b c d e f"), (5, " \n"), (6, "x"), (None, "x"), (7, "long " * 20000), (7, "long " * 20000)]
@@ -175,6 +177,113 @@ def test_random_strings_are_found(spark):
     assert got == {1: [(4, 3, 28)], 2: [], 3: [(0, 0, 33)]}
 
 
+def test_random_spans_against_a_plain_reading(spark):
+    """Planted strings and identifiers: the model's spans are those of a twin that adds the ratios up, and it tells the two apart."""
+    draw = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secret_scan.train(docs)
+    ratios = model.first()["ratios"]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    plain = [w for r in docs.limit(200).collect() for w in re.findall(r"[A-Za-z]{4,}", r["text"] or "")]
+    planted = ["".join(draw.choices(letters, k=draw.randint(24, 40))) for _ in range(200)]
+    names = ["_".join(draw.choices(plain, k=5)).lower() for _ in range(200)]
+    rows = [(k, f"see {x} there, {y} and") for k, (x, y) in enumerate(zip(planted, names, strict=True))]
+    got = {r["doc_id"]: [tuple(x) for x in r["found"]] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()}
+    place = lambda c: (secret_scan.ALPHABET.find("_" if c == "-" else c) + 65) % 65
+    hits = false = 0
+    for k, t in rows:
+        base = [x for x in got[k] if x[1] < 3]
+        want = []
+        for m in re.finditer(secret_scan.CANDIDATE, t):
+            p = [place(c) for c in m[0]]
+            if sum(ratios[a * 65 + b] for a, b in zip(p, p[1:], strict=False)) >= secret_scan.LEAST and not any(b[0] < m.end() and m.start() < b[2] for b in base):
+                want.append((m.start(), 3, m.end()))
+        assert [x for x in got[k] if x[1] == 3] == want
+        hits += any(x[0] == 4 for x in got[k])
+        false += any(x[0] > 4 + len(planted[k]) for x in got[k])
+    assert hits >= 190 and false <= 4
+
+
+def test_many_matches_in_one_text(spark):
+    t = "héllo " + " ".join(f"{k:024x}" for k in range(1500)) + " token=abcdef123"
+    got = secret_scan.scan(spark.createDataFrame([(1, t)], "doc_id long, text string"), model=spark.createDataFrame([([0.0] * 4225,)], "ratios array<double>")).first()["found"]
+    assert [(x["start"], x["end"]) for x in got if x["kind"] == 2] == [(m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}", t)] and sum(x["kind"] == 0 for x in got) == 1
+
+
+def test_chat_odd_tables_and_long_conversations(spark):
+    kind = "conv_id long, turn long, role string, text string, segments int, valid string"
+    long = [(1, k, "user" if k % 2 == 0 else "assistant", f"t{k}", 0, "") for k in range(1200)]
+    tied = [(2, 0, "user", "b", 0, ""), (2, 0, "user", "a", 0, ""), (3, 0, "user", "x", 0, ""), (3, 0, "user", "x", 0, ""), (None, None, None, None, 0, ""), (4, 0, "system", "s", 0, ""), (4, 1, "user", "u", 0, ""), (4, 2, "assistant", "y" * 200_000, 0, "")]
+    df = spark.createDataFrame(long + tied, kind).repartition(5)
+    out = chat.format_chats(df)
+    got = {r["conv_id"]: r for r in out.select("conv_id", "valid", chat.read_back(chat.formatted(F.col("segments"))).alias("turns"), chat.loss_text(F.col("segments")).alias("learned")).collect()}
+    assert got[1]["valid"] and [t["text"] for t in got[1]["turns"]] == [f"t{k}" for k in range(1200)] and got[1]["learned"] == "".join(f"t{k}" for k in range(1, 1200, 2))
+    assert [t["text"] for t in got[2]["turns"]] == ["a", "b"] and len(got[3]["turns"]) == 2 and not got[2]["valid"] and not got[3]["valid"]
+    assert got[None]["learned"] == "" and got[4]["valid"] and len(got[4]["learned"]) == 200_000
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_chat_template_decides_the_loss(spark):
+    t = chat.Template(moves={("start", "user"): ("start", "learned"), ("start", "assistant"): ("start", "told")}, accept=("start",), out_of_order={})
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (2, 0, "tool", "d")], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: (r["valid"], r["l"]) for r in chat.format_chats(rows, t).select("conv_id", "valid", chat.loss_text(F.col("segments"), t).alias("l")).collect()}
+    assert got == {1: (True, "ac"), 2: (False, "")}
+
+
+def test_scores_depend_on_the_text_alone(spark, labels):
+    rows = [(k, draw_text(k), "x") for k in range(120)] + [(5, "another text of id five", "x"), (None, draw_text(3), "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    marks = spark.createDataFrame([(k, k % 2, (k // 2) % 2) for k in range(120)] + [(7, 0, 0), (7, 1, 1)], "doc_id long, quality int, toxic int")
+    for f in (quality.quality, toxicity.toxicity):
+        a = f(df.repartition(3), marks)
+        b = f(df.repartition(9).withColumn("lang", F.lit("zz")), marks)
+        key = lambda d: sorted((r["doc_id"] is None, r["doc_id"], r["score"], r["predicted"], r["held_out"]) for r in d.collect())
+        assert key(a) == key(b)
+        assert all(0 <= r["score"] <= 1 for r in a.collect())
+    pairs, share = quality.labelled_sample(df, marks, "quality", 30)
+    assert len(pairs) <= 60 and share is not None and not any(t == draw_text(7) for t, _ in pairs)
+    model = quality.fit(*quality.labelled_sample(df, marks, "quality", quality.SAMPLE))
+    for r in quality.quality(df, marks).join(df.select("doc_id", "text"), "doc_id").where("doc_id <> 5").collect():
+        sizes = [len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_checksum=False, write_dict_id=False).compress(r["text"].encode())) for x in (model.bad, model.good)]
+        x = (sizes[0] - sizes[1]) / len(r["text"].encode()) ** quality.POWER
+        assert abs(r["score"] - 1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * x)))) < 0.05
+
+
+def draw_text(k):
+    draw = random.Random(k)
+    good, bad = "the of and to in that is for it with as on".split(), "zxq kkq wwz buy now click 000 $$$".split()
+    return " ".join(draw.choices(good if k % 2 else bad, k=40)) + (" awful slur" if (k // 2) % 2 else " kind word")
+
+
+def test_keep_only(spark):
+    rows = spark.createDataFrame([(k, "t", 1, "x") for k in range(500)] + [(None, None, 1, "x"), (3, "again", 1, "x")], "doc_id long, text string, id int, __h string")
+    left = keep_only(rows, spark.createDataFrame([(3,), (400,), (9999,)], "id long"), "doc_id").collect()
+    assert len(left) == 502 - 3 and {r["doc_id"] for r in left} == ({None} | set(range(500))) - {3, 400} and left[0].__fields__ == rows.columns
+    assert keep_only(rows.limit(0), spark.createDataFrame([(3,)], "id long"), "doc_id").count() == 0
+    assert keep_only(rows, spark.createDataFrame([], "id long"), "doc_id").count() == 502
+
+
+def test_recall_of_the_forest(spark):
+    """Links just over the threshold among many texts just under it, with and without what is searched exactly."""
+    draw = random.Random(11)
+    texts = []
+    for k in range(1000):
+        words = [f"b{k // 20}w{p}" for p in range(100)]
+        for p in draw.sample(range(100), 4 if k % 10 else 1):
+            words[p] = f"x{k}p{p}"
+        texts.append((k, " ".join(words)))
+    want = _brute(texts, 2)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(docs, width=2).collect()}
+    assert got == want
+
+
+def test_a_repeated_id_of_two_texts(spark):
+    rows = [(1, "a b c d e f g h i j k l"), (1, "q r s t u v w x y z"), (2, "a b c d e f g h i j k l"), (3, "q r s t u v w x y z"), (None, "a b c d e f g h i j k l")]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1), (None, None)}
+
+
 def _brute(texts, width):
     sets = {}
     for i, t in texts:
@@ -248,9 +357,54 @@ def test_no_pair_is_lost_without_the_forest(spark):
 
 
 def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "x alpha y z beta"), (2, "alpha " + "y " * 30 + "beta")], "doc_id long, text string")
-    items = spark.createDataFrame([(9, "Beta alpha")], "item_id long, text string")
-    assert [r["doc_id"] for r in decontam.proximity_matches(docs, items, 5).collect()] == [1]
+    docs = spark.createDataFrame([(1, "x alpha y z beta"), (2, "alpha " + "y " * 30 + "beta"), (2, "beta, ALPHA"), (None, "beta alpha")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "Beta alpha"), (8, "none of it"), (7, None)], "item_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["item"], r["pos"]) for r in decontam.proximity_matches(docs, items, 5).collect())
+    assert got in ([(0, 9, 0), (1, 9, 4), (2, 9, 0)], [(0, 9, 1), (1, 9, 1), (2, 9, 1)])
+    assert decontam.proximity_matches(docs.limit(0), items, 5).count() == 0
+
+
+def _windows(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    n = min(13, len(w))
+    return w, n
+
+
+def _contaminated(texts, items):
+    """id -> (words, words hit, items), by comparing every place with every window."""
+    found = {}
+    for i, t in items:
+        w, n = _windows(t)
+        for k in range(len(w) - n + 1 if w else 0):
+            found.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+    sizes, out = {len(w) for w in found}, {}
+    for i, t in texts:
+        w, _ = _windows(t)
+        hit, named = set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                got = found.get(tuple(w[k : k + n]))
+                if got:
+                    named |= got
+                    hit |= set(range(k, k + n))
+        out[i] = (len(w), len(hit), sorted(named))
+    return out
+
+
+def test_decontamination_against_all_windows(spark):
+    draw = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(12)]  # few words: rare terms tie, windows overlap and repeat
+    items = [(k, " ".join(draw.choices(vocabulary, k=draw.choice([0, 1, 5, 13, 14, 30])))) for k in range(30)] + [(30, "W1, w1 w1"), (30, "other words"), (31, None)]
+    texts = []
+    for k in range(200):
+        words = draw.choices(vocabulary, k=draw.randint(0, 60))
+        if k % 3 == 0:
+            words[draw.randint(0, len(words)) :] += items[draw.randrange(len(items) - 1)][1].split()
+        texts.append((k, draw.choice([" ", ", ", "--"]).join(words) + draw.choice(["", ".", " "])))
+    texts += [(1000, None), (1001, "w1 " * 30_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == _contaminated(texts, items)
 
 
 def test_held_out_quality_and_toxicity(spark):
@@ -261,28 +415,54 @@ def test_held_out_quality_and_toxicity(spark):
         assert got >= least
 
 
-def test_pipeline_matches_its_stages_by_brute_force(spark, sf):
+def test_encoding_query_against_the_library(spark, sf):
+    ref = Tokenizer.from_file(PATH)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op9_bpe(spark, sf).collect():
+        ids = ref.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        told = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(ref.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), *told)
+    machine = bpe.Automaton(*bpe.load(PATH))
+    long = ("ab" * 40_000).encode()
+    assert machine.decode(machine.encode(long)) == long
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    """run() over the whole small table: each stage by a plain reading of what the one before it kept."""
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    for name, stage in p.STAGES[:-1]:
-        before = docs
-        docs = spark.createDataFrame(stage(spark, before, sf).collect(), before.schema)
-        assert docs.columns == columns, name
-        rows = {r["doc_id"]: r["text"] for r in before.collect()}
-        left = {r["doc_id"] for r in docs.collect()}
-        if name == "exact dedup":
-            last = {}
-            for i in sorted(rows):
-                last[rows[i]] = i
-            assert left == set(last.values())
-        if name == "minhash near-dedup":
-            assert left == {i for i, (_, root) in _brute(list(rows.items()), 5).items() if i == root}
-    done = p.STAGES[-1][1](spark, docs, sf).collect()
-    ref = Tokenizer.from_file(PATH)
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert {r["doc_id"] for r in done} == set(texts)
-    for r in done[:50]:
-        ids = ref.encode(texts[r["doc_id"]], add_special_tokens=False).ids
-        assert r["ids"] == ids and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    model = quality.fit(*quality.labelled_sample(docs, spark.read.parquet(f"{sf}/labels.parquet"), "quality", quality.SAMPLE))
+    sizes = quality._Sizes(model.good, model.bad) if model.weights is not None else None
+    kept = [i for i in texts if quality.scores(model, sizes, [texts[i] or ""])[0] >= p.LEAST_QUALITY]
+    last = {}
+    for i in sorted(kept):
+        last[texts[i] or ""] = i
+    kept = sorted(last.values())
+    kept = [i for i, (_, root) in _brute([(i, texts[i]) for i in kept], 5).items() if i == root]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    hit = _contaminated([(i, texts[i]) for i in kept], items)
+    kept = {i for i in kept if not (hit[i][1] > 0 and 20 * hit[i][1] >= hit[i][0])}
+    ref = Tokenizer.from_file(PATH)
+    done = p.run(spark, sf).collect()
+    assert {r["doc_id"] for r in done} == kept and len(done) == len(kept)
+    for r in done:
+        assert r["ids"] == ref.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+
+
+def test_stages_on_odd_tables(spark, sf):
+    import corpus_pipeline as p
+
+    rows = [(1, "a b c d e f", "en", "x", 1, "k"), (2, None, None, None, None, None), (3, "", "en", "x", 0, "k"), (4, "a b c d e f", "en", "x", 1, "k"), (None, None, None, None, None, None), (4, "a b c d e f", "en", "x", 1, "k"), (7, "long " * 40_000, "en", "x", 1, "k")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score string")
+    left = {"quality classifier": None, "exact dedup": {3, 4, 7, None}, "minhash near-dedup": {1, 2, 3, 7, None}, "benchmark decontamination": {1, 2, 3, 4, 7, None}}
+    for name, stage in p.STAGES:
+        assert stage(spark, odd.limit(0), sf).count() == 0, name
+        got = stage(spark, odd, sf)
+        if name in left:
+            assert got.columns == odd.columns, name
+            if left[name] is not None:
+                assert {r["doc_id"] for r in got.collect()} == left[name], name
+        else:
+            assert got.count() == len(rows)
