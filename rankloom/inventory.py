@@ -11,6 +11,7 @@ from .plans import adapters as A
 from .plans.adapters import sql
 from .registry import ORACLE_SQL, QUERIES, _triplets, query
 from .sources import fasta
+from .streaming import state
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -475,3 +476,21 @@ def log_texts(spark, d):
 def last_snapshot(spark, d):
     h = A.history(spark, d).select("rank", "event_id", F.round("loss", 6).alias("loss"))
     return logs.last_snapshot(h, ["rank"], "event_id")
+
+
+# Streams
+
+
+@query("G38_streamed_average", "SELECT event_type, round(avg(value), 6) AS ema FROM events GROUP BY event_type")
+def streamed_average(spark, d):
+    schema = A.table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    path = fasta.work_folder(spark, "averages")
+    state.moving_averages(events, "event_type", "value", f"{path}/state", f"{path}/checkpoint", once=True).awaitTermination()
+    return state.newest(spark, f"{path}/state").select("event_type", F.round("ema", 6).alias("ema"))
+
+
+@query("G50_windowed_counts", "SELECT strftime(time_bucket(INTERVAL '10 minutes', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n_events FROM events GROUP BY ALL")
+def windowed_counts(spark, d):
+    got = state.windowed_counts(A.table(spark, d, "events"), "ts", "event_type")
+    return got.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n_events")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def moving_averages(events: DataFrame, key: str, value: str, path: str, checkpoint: str, alpha: float = 0.05) -> StreamingQuery:
-    """Starts a query that keeps (key, ema, batch) under ``path``, a folder for each batch; a batch that is run again writes the same folder."""
+def moving_averages(events: DataFrame, key: str, value: str, path: str, checkpoint: str, alpha: float = 0.05, once: bool = False) -> StreamingQuery:
+    """Starts a query that keeps (key, ema, batch) under ``path``, a folder for each batch; a batch that is run again writes the same folder.
+
+    once: take what is there in as many batches as it needs, then stop.
+    """
     spark = events.sparkSession
 
     def update(batch: DataFrame, number: int) -> None:
@@ -20,7 +23,15 @@ def moving_averages(events: DataFrame, key: str, value: str, path: str, checkpoi
             both = seen.withColumnRenamed("seen", "ema")
         both.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return events.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).start()
+    out = events.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out).start()
+
+
+def newest(spark, path: str) -> DataFrame:
+    """(key, ema, batch) as the last batch left it."""
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("batch").alias("__b"))
+    return rows.join(F.broadcast(last), F.col("batch") == F.col("__b")).drop("__b")
 
 
 def windowed_counts(events: DataFrame, ts: str, key: str, width: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
