@@ -50,6 +50,8 @@ from .common import Scratch, filter_words, maybe_in, those_in
 TREES, DEPTH, WINDOW, NEED = 24, 8, 2, 4
 #: Rows of the borders between partitions that one task takes.
 BORDER = 200_000
+#: Edges from which on a round writes the minima that it joins back.
+MANY = 200_000
 #: Sets that one Arrow batch holds.
 ROWS = 500
 #: Shingles that are hashed at once; bounds a task's memory on very long texts.
@@ -303,24 +305,26 @@ def prefix_pairs(docs: DataFrame, roots: DataFrame, width: int, percent: int, sc
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root): the smallest id reachable over the links, for every id that has a link.
 
-    Large-star and small-star rounds; a node's edges are never gathered. Its minimum is
-    aggregated in parts, written, and joined back to them, so both sides of that join are
-    scans and adaptive execution may split a centre's rows.
+    Large-star and small-star rounds until every component is a star: each node has one edge, to a node
+    that has none downwards. A node's edges are never gathered. Its minimum is aggregated in parts and joined
+    back to them; where edges are many it is written first, so that both sides of that join are scans and
+    adaptive execution may split a centre's rows.
     """
-    edges, last = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges0"), None
-    for k in range(1, 1_000):
+    edges, k = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges0"), 0
+    while True:
+        told = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("m")).first()
+        if told["n"] == told["m"] and edges.select("v").join(edges.select("u"), F.col("v") == F.col("u"), "left_semi").isEmpty():
+            break
+        held = (lambda df, name: scratch.write(df, name)) if told["n"] > MANY else (lambda df, name: df)
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        low = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = held(both.groupBy("u").agg(F.min("v").alias("m")), "low")
         large = scratch.write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large")
-        floor = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "floor")
+        floor = held(large.groupBy("u").agg(F.min("v").alias("m")), "floor")
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
         small = large.join(floor, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        k += 1
         edges = scratch.write(small, f"edges{k}")
         scratch.drop("low", "large", "floor", f"edges{k - 1}")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == last:
-            break
-        last = now
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
     roots = scratch.write(roots, "roots")
     scratch.drop(f"edges{k}")
