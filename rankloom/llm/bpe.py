@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the split of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a worker remembers, twice.
-REMEMBERED = 80_000
+REMEMBERED = 100_000
 #: Rows whose ids are held at once, and remembered transitions.
 ROWS, STEPS = 256, 200_000
 
@@ -75,19 +74,18 @@ class Automaton:
             self.target[uv], self.left[uv], self.birth[uv] = after, u, rank
             alive.add(uv)
         self.step.clear()
-        # The labels as one table: node * 256 + byte -> node, and the token that ends at a node.
-        self.tree: dict[int, int] = {}
-        ends = [-1]
+        self.tree: list[dict[int, int]] = [{}]
+        self.ends = [-1]
         for k in alive:
             node = 0
             for b in self.label[k]:
-                if (node << 8 | b) not in self.tree:
-                    self.tree[node << 8 | b] = len(ends)
-                    ends.append(-1)
-                node = self.tree[node << 8 | b]
-            ends[node] = k
-        self.ends = array("i", ends)
-        self.parent, self.without, self.made, self.target, self.left, self.birth = (array("i", x) for x in (self.parent, self.without, self.made, self.target, self.left, self.birth))
+                if b not in self.tree[node]:
+                    self.tree[node][b] = len(self.tree)
+                    self.tree.append({})
+                    self.ends.append(-1)
+                node = self.tree[node][b]
+            self.ends[node] = k
+        self.longest = max(map(len, self.label), default=1)
 
     def may(self, state: int, token: int) -> bool:
         """Whether the token leaves the state."""
@@ -103,9 +101,9 @@ class Automaton:
 
     def _arcs(self, word: bytes, at: int) -> list[int]:
         """The tokens that the word goes on with at a place, shortest first."""
-        step, ends, node, out = self.tree.get, self.ends, 0, []
-        for b in memoryview(word)[at:]:
-            node = step(node << 8 | b)
+        tree, ends, node, out = self.tree, self.ends, 0, []
+        for b in word[at : at + self.longest]:
+            node = tree[node].get(b)
             if node is None:
                 break
             if ends[node] >= 0:
