@@ -42,7 +42,10 @@ def validated(spark, d):
     return got.select(S.genome_id(F.col("header")).alias("genome_id"), "seq")
 
 
-@query("A7_A8_regions", sql("seqs", "SELECT r AS region_id, count(*) AS n_rows, sum(length(dna))::BIGINT AS n_bases FROM seqs, (VALUES ('FULL'), ('V3'), ('V4')) x(r) WHERE length(dna) > 0 GROUP BY r"))
+@query("A7_A8_regions", sql("seqs", """SELECT r AS region_id, count(*) AS n_rows, sum(length(dna))::BIGINT AS n_bases
+FROM seqs, (VALUES ('FULL'), ('V3'), ('V4')) x(r)
+WHERE length(dna) > 0
+GROUP BY r"""))
 def region_files(spark, d):
     folder = fasta.work_folder(spark, "regions")
     for name in ("FULL_seqs", "V3_seqs", "V4_seqs", "failed_V4_seqs"):
@@ -58,7 +61,8 @@ def region_map(spark, d):
     return fasta.read_region_map(spark, path)
 
 
-@query("A16_A22_score_cache", "SELECT s_name AS test, round(CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal + 1 WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_acctbal END, 6) AS score FROM supplier")
+@query("A16_A22_score_cache", """SELECT s_name AS test, round(CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal + 1 WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_acctbal END, 6) AS score
+FROM supplier""")
 def score_cache(spark, d):
     path = fasta.work_folder(spark, "scores")
     s = A.table(spark, d, "supplier").select("s_suppkey", F.col("s_name").alias("test"), F.col("s_acctbal").alias("score"))
@@ -67,7 +71,10 @@ def score_cache(spark, d):
     return fasta.upsert(fasta.read_scores(spark, path, "test", "score"), s.where("s_suppkey % 3 = 0").select("test", F.round(F.col("score") + 1, 6).alias("score")), ["test"])
 
 
-@query("A18_benchmark_fasta", sql("seqs", ", n AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS idx FROM seqs) SELECT idx, 'V' || idx % 3 AS region, 'G' || doc_id AS genome_id, dna AS seq FROM n WHERE length(dna) > 0").replace("\n, n AS", ", n AS"))
+@query("A18_benchmark_fasta", sql("seqs", """, n AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS idx
+FROM seqs) SELECT idx, 'V' || idx % 3 AS region, 'G' || doc_id AS genome_id, dna AS seq
+FROM n
+WHERE length(dna) > 0"""))
 def benchmark_fasta(spark, d):
     path = fasta.work_folder(spark, "benchmark")
     rows = _records(spark, d).where("length(seq) > 0").withColumn("region_id", F.concat(F.lit("V"), (F.col("idx") % 3).cast("string")))
@@ -84,7 +91,15 @@ def true_classes(spark, d):
     return fasta.read_strings(spark, path)
 
 
-@query("A20_U1_index_union", "SELECT DISTINCT x AS id FROM (SELECT c_custkey AS x FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT s_suppkey FROM supplier)")
+@query("A20_U1_index_union", """SELECT DISTINCT x AS id
+FROM (SELECT c_custkey AS x
+FROM customer
+WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey
+FROM customer
+WHERE c_custkey % 5 = 0
+UNION ALL SELECT s_suppkey
+FROM supplier)""")
 def index_union(spark, d):
     path = fasta.work_folder(spark, "split")
     c, s = A.table(spark, d, "customer").select(F.col("c_custkey").alias("id")), A.table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
@@ -96,7 +111,9 @@ def index_union(spark, d):
 # Curation, samples, regions
 
 
-@query("F9_filter_counts", sql("seqs", "SELECT coalesce(lang, 'All') AS domain, count(*) AS n_rows, sum((length(dna) < 40)::INT)::BIGINT AS short, sum((length(dna) > 600)::INT)::BIGINT AS long FROM seqs GROUP BY ROLLUP (lang)"))
+@query("F9_filter_counts", sql("seqs", """SELECT coalesce(lang, 'All') AS domain, count(*) AS n_rows, sum((length(dna) < 40)::INT)::BIGINT AS short, sum((length(dna) > 600)::INT)::BIGINT AS long
+FROM seqs
+GROUP BY ROLLUP (lang)"""))
 def filter_counts(spark, d):
     return curation.filter_counts(A.seqs(spark, d), "lang", {"short": F.length("dna") >= 40, "long": F.length("dna") <= 600})
 
@@ -107,7 +124,8 @@ def enough(spark, d):
     return panels.enough_regions(panels.usable_regions(regions, 4, regions), 3).select("region_idx")
 
 
-@query("F18_warm_keep", sql("mined", "SELECT i, j, round(CASE WHEN rank BETWEEN -1 AND 5 THEN 0.25 + 0.75 * greatest(0.1, least(1, pow(50 / sqrt((i % 97 + 1) * (j % 89 + 1)), 0.7))) ELSE 1 END, 6) AS p FROM mined"))
+@query("F18_warm_keep", sql("mined", """SELECT i, j, round(CASE WHEN rank BETWEEN -1 AND 5 THEN 0.25 + 0.75 * greatest(0.1, least(1, pow(50 / sqrt((i % 97 + 1) * (j % 89 + 1)), 0.7))) ELSE 1 END, 6) AS p
+FROM mined"""))
 def warm_keep(spark, d):
     p = S.keep_probability(F.col("i") % 97 + 1, F.col("j") % 89 + 1, F.lit(50.0), 0.7, 0.1, 0.25)
     return A.mined(spark, d).select("i", "j", F.round(F.when(F.col("rank").between(-1, 5), p).otherwise(1.0), 6).alias("p"))
@@ -120,7 +138,9 @@ def split_checks(spark, d):
     return panels.split_checks(c, splits, "id")
 
 
-@query("F22_leading_masks", sql("seqs", "SELECT lang, count(*) AS n_rows, sum((length(dna) = 0)::INT)::BIGINT AS n_masked, 600::BIGINT AS shortest, 600::BIGINT AS longest FROM seqs GROUP BY lang"))
+@query("F22_leading_masks", sql("seqs", """SELECT lang, count(*) AS n_rows, sum((length(dna) = 0)::INT)::BIGINT AS n_masked, 600::BIGINT AS shortest, 600::BIGINT AS longest
+FROM seqs
+GROUP BY lang"""))
 def leading_masks(spark, d):
     rows = A.seqs(spark, d).select("lang", S.fitted(S.base_codes(F.col("dna")), 600).alias("codes"))
     return panels.leading_masks(rows, "codes", ["lang"])
@@ -131,12 +151,19 @@ def point_cap(spark, d):
     return panels.capped(A.tax4(spark, d).select("id"), "id", 500)
 
 
-@query("F26_run_regions", "SELECT run, list_extract((SELECT list(r ORDER BY (r * 1103515245 + 12345) % 2147483648, r) FROM range(1, 8) t(r)), (run % 7 + 1)::INT) AS region FROM range(20) x(run)")
+@query("F26_run_regions", """SELECT run, list_extract((SELECT list(r
+ORDER BY (r * 1103515245 + 12345) % 2147483648, r)
+FROM range(1, 8) t(r)), (run % 7 + 1)::INT) AS region
+FROM range(20) x(run)""")
 def run_regions(spark, d):
     return panels.run_regions(spark.range(20).select(F.col("id").alias("run")), list(range(1, 8)))
 
 
-@query("F27_some_regions", "SELECT id, region FROM (SELECT l_orderkey AS id, l_linenumber::BIGINT AS region, row_number() OVER (PARTITION BY l_orderkey ORDER BY ((l_orderkey * 131 + l_linenumber) * 1103515245 + 12345) % 2147483648, l_linenumber) AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) WHERE n <= 2")
+@query("F27_some_regions", """SELECT id, region
+FROM (SELECT l_orderkey AS id, l_linenumber::BIGINT AS region, row_number() OVER (PARTITION BY l_orderkey ORDER BY ((l_orderkey * 131 + l_linenumber) * 1103515245 + 12345) % 2147483648, l_linenumber) AS n
+FROM (SELECT DISTINCT l_orderkey, l_linenumber
+FROM lineitem))
+WHERE n <= 2""")
 def some_regions(spark, d):
     rows = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("region")).distinct()
     return panels.some_regions(rows, "id", "region", 2)
@@ -172,7 +199,7 @@ def disambiguated(spark, d):
 
 
 @query("S11_normalised", sql("vecs", """, n AS (SELECT vec_id, list_transform(v, lambda x: x * (vec_id % 4)) AS v FROM vecs), l AS (SELECT *, sqrt(list_dot_product(v, v)) AS l FROM n)
-SELECT vec_id, round(list_sum(v) / greatest(l, 0.00000001), 6) AS clip, round(list_sum(v) / (l + 0.00000001), 6) AS added, round(list_sum(v) / CASE WHEN l < 0.000000000001 THEN 1 ELSE l END, 6) AS safe FROM l""").replace("\n, n AS", ", n AS"))
+SELECT vec_id, round(list_sum(v) / greatest(l, 0.00000001), 6) AS clip, round(list_sum(v) / (l + 0.00000001), 6) AS added, round(list_sum(v) / CASE WHEN l < 0.000000000001 THEN 1 ELSE l END, 6) AS safe FROM l"""))
 def normalised(spark, d):
     total = lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x) + 0.0, 6)
     v = F.transform("v", lambda x: x.cast("double") * (F.col("vec_id") % 4))
@@ -197,7 +224,10 @@ def texts(spark, d):
     return A.table(spark, d, "part").select("p_partkey", S.confidence(told, True).alias("conf"), S.slug(F.col("p_name")).alias("slug"), F.round(S.learning_rate(F.col("p_size"), 0.001, 20), 9).alias("rate"), S.rank_name(F.col("p_size") % 9).alias("rank"))
 
 
-@query("S30_metrics_like", "SELECT p_brand AS metric, count(*) AS n_rows, substr(p_brand, 7) AS captured FROM part WHERE p_brand LIKE 'Brand#%3' OR p_brand LIKE 'Brand#%3%' AND FALSE GROUP BY ALL".replace("substr(p_brand, 7)", "substr(p_brand, 7, length(p_brand) - 7)"))
+@query("S30_metrics_like", """SELECT p_brand AS metric, count(*) AS n_rows, substr(p_brand, 7) AS captured
+FROM part
+WHERE p_brand LIKE 'Brand#%3' OR p_brand LIKE 'Brand#%3%' AND FALSE
+GROUP BY ALL""".replace("substr(p_brand, 7)", "substr(p_brand, 7, length(p_brand) - 7)"))
 def metrics_like(spark, d):
     return logs.metrics_like(A.table(spark, d, "part").groupBy(F.col("p_brand").alias("metric")).agg(F.count("*").alias("n_rows")), "metric", "Brand#*3")
 
@@ -210,7 +240,13 @@ def zero_kmers(spark, d):
 # Joins and sets
 
 
-@query("J5_pairs_by_rank", sql("mined", ", p AS (SELECT least(i, j) AS i, greatest(i, j) AS j, rank FROM mined WHERE i <> j), u AS (SELECT i, j, min(rank) AS rank FROM p GROUP BY i, j) SELECT i, j, rank::BIGINT AS rank, count(*) OVER (PARTITION BY rank) AS n_of_rank FROM u").replace("\n, p AS", ", p AS"))
+@query("J5_pairs_by_rank", sql("mined", """, p AS (SELECT least(i, j) AS i, greatest(i, j) AS j, rank
+FROM mined
+WHERE i <> j),
+u AS (SELECT i, j, min(rank) AS rank
+FROM p
+GROUP BY i, j) SELECT i, j, rank::BIGINT AS rank, count(*) OVER (PARTITION BY rank) AS n_of_rank
+FROM u"""))
 def pairs_by_rank(spark, d):
     return mining.pairs_by_rank(A.mined(spark, d).select("i", "j", "rank")).select("i", "j", F.col("rank").cast("long").alias("rank"), "n_of_rank")
 
@@ -218,7 +254,7 @@ def pairs_by_rank(spark, d):
 @query("J12_redrawn_positives", sql("mined", """, e AS (SELECT DISTINCT a, rank + 1 AS r FROM (SELECT i AS a, rank FROM mined UNION ALL SELECT j, rank FROM mined)), c AS (SELECT i AS a, j AS p, e.r FROM mined JOIN e ON e.a = mined.i AND e.r BETWEEN 1 AND 3 AND mined.rank >= e.r),
 n AS (SELECT i AS a, j AS p, pred FROM mined UNION ALL SELECT j, i, pred FROM mined), h AS (SELECT a, r, p, pred FROM c JOIN n USING (a, p)), m AS (SELECT *, count(*) OVER (PARTITION BY a, r) AS m FROM h), x AS (SELECT *, unnest(generate_series(1, m)) AS draw FROM m),
 g AS (SELECT *, round(2 * pred - ln(-ln(((((a * 100003 + p * 17 + draw * 7919 + r * 131) % 2147483648) * 1103515245 + 12345) % 2147483648 + 0.5) / 2147483648.0)), 9) AS g FROM x)
-SELECT a AS anchor, r::BIGINT AS rank, draw AS draw, p AS positive FROM (SELECT *, row_number() OVER (PARTITION BY a, r, draw ORDER BY g DESC, p DESC) AS o FROM g) WHERE o = 1""").replace("\n, e AS", ", e AS"))
+SELECT a AS anchor, r::BIGINT AS rank, draw AS draw, p AS positive FROM (SELECT *, row_number() OVER (PARTITION BY a, r, draw ORDER BY g DESC, p DESC) AS o FROM g) WHERE o = 1"""))
 def redrawn(spark, d):
     m = A.mined(spark, d)
     got = mining.redrawn_positives(mining.triplet_candidates(m, [1, 2, 3]), m, 2.0)
@@ -227,12 +263,14 @@ def redrawn(spark, d):
 
 @query("J11_several_negatives", sql("mined", """, b AS (SELECT i AS a, j AS n, rank + 1 AS r, pred FROM mined UNION ALL SELECT j, i, rank + 1, pred FROM mined), x AS (SELECT *, unnest([1, 2, 3]) AS draw FROM b),
 g AS (SELECT a, r, n, draw, round(-2 * pred - ln(-ln((((((a * 100003 + n * 17 + draw * 7919) % 2147483648) * 1103515245 + 12345) % 2147483648) + 0.5) / 2147483648.0)), 9) AS g FROM x)
-SELECT a AS anchor, r::BIGINT AS rank, draw::BIGINT AS draw, n AS negative FROM (SELECT *, row_number() OVER (PARTITION BY a, r, draw ORDER BY g DESC, n DESC) AS o FROM g) WHERE o = 1""").replace("\n, b AS", ", b AS"))
+SELECT a AS anchor, r::BIGINT AS rank, draw::BIGINT AS draw, n AS negative FROM (SELECT *, row_number() OVER (PARTITION BY a, r, draw ORDER BY g DESC, n DESC) AS o FROM g) WHERE o = 1"""))
 def several_negatives(spark, d):
     return mining.negatives(A.mined(spark, d), 2.0, draws=3).select("anchor", F.col("rank").cast("long").alias("rank"), F.col("draw").cast("long").alias("draw"), "negative")
 
 
-@query("J15_duplicate_pairs", sql("vecs", "SELECT o.vec_id AS i, o.vec_id + 1000000 AS j, 7::BIGINT AS rank, 0.0::DOUBLE AS \"true\", round(round(1 - list_dot_product(o.v, c.v), 9), 6) AS pred FROM vecs o JOIN vecs c ON c.vec_id = o.vec_id + 1 WHERE o.vec_id % 100 = 0"))
+@query("J15_duplicate_pairs", sql("vecs", """SELECT o.vec_id AS i, o.vec_id + 1000000 AS j, 7::BIGINT AS rank, 0.0::DOUBLE AS "true", round(round(1 - list_dot_product(o.v, c.v), 9), 6) AS pred
+FROM vecs o JOIN vecs c ON c.vec_id = o.vec_id + 1
+WHERE o.vec_id % 100 = 0"""))
 def duplicate_pairs(spark, d):
     v = A.vecs(spark, d)
     vectors = v.select(F.col("vec_id").alias("id"), "v").unionByName(v.select((F.col("vec_id") + 999_999).alias("id"), "v"))
@@ -246,7 +284,12 @@ def run_specs(spark, d):
     return panels.run_specs(A.table(spark, d, "region").select(F.col("r_name").alias("panel")), ["model", "kmer"], [4, 6])
 
 
-@query("J18_U4_with_origin", "SELECT c_custkey AS id, 'train' AS origin FROM customer WHERE c_custkey % 3 > 0 UNION ALL SELECT c_custkey, 'excluded' FROM customer WHERE c_custkey % 3 = 0")
+@query("J18_U4_with_origin", """SELECT c_custkey AS id, 'train' AS origin
+FROM customer
+WHERE c_custkey % 3 > 0
+UNION ALL SELECT c_custkey, 'excluded'
+FROM customer
+WHERE c_custkey % 3 = 0""")
 def with_origin(spark, d):
     c = A.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     return panels.with_origin({"train": c.where("id % 3 > 0"), "excluded": c.where("id % 3 = 0")})
@@ -257,7 +300,8 @@ def missing_k(spark, d):
     return panels.missing_of([4, 5, 9, 12, 5], A.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("k")).distinct(), "k")
 
 
-@query("O1_full_paths", sql("tax4", "SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'missing' WHEN c_custkey % 7 = 0 THEN 'malformed' ELSE 'ok' END AS state, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 7 > 0 THEN r0 || ';' || r1 || ';' || r2 END AS path FROM customer JOIN tax4 ON id = c_custkey"))
+@query("O1_full_paths", sql("tax4", """SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'missing' WHEN c_custkey % 7 = 0 THEN 'malformed' ELSE 'ok' END AS state, CASE WHEN c_custkey % 5 > 0 AND c_custkey % 7 > 0 THEN r0 || ';' || r1 || ';' || r2 END AS path
+FROM customer JOIN tax4 ON id = c_custkey"""))
 def full_paths(spark, d):
     t = A.tax4(spark, d)
     paths = t.where("id % 5 <> 0").select(F.col("id").cast("string").alias("id"), F.when(F.col("id") % 7 == 0, F.array("r0")).otherwise(F.array("r0", "r1", "r2")).alias("p"))
@@ -270,7 +314,9 @@ def required_leaves(spark, d):
     return curation.required_leaves(rows, A.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k")), "k")
 
 
-@query("O3_taxon_distances", sql("tax4", "SELECT id, label, CASE WHEN label = r1 THEN 0.3 WHEN label = r0 THEN 0.6 ELSE 1.65 END::DOUBLE AS distance FROM (SELECT *, CASE id % 3 WHEN 0 THEN r1 WHEN 1 THEN r0 ELSE 'all' END AS label FROM tax4)"))
+@query("O3_taxon_distances", sql("tax4", """SELECT id, label, CASE WHEN label = r1 THEN 0.3 WHEN label = r0 THEN 0.6 ELSE 1.65 END::DOUBLE AS distance
+FROM (SELECT *, CASE id % 3 WHEN 0 THEN r1 WHEN 1 THEN r0 ELSE 'all' END AS label
+FROM tax4)"""))
 def taxon_distances(spark, d):
     t = A.tax4(spark, d)
     edges = t.select(F.col("r1").alias("node"), F.col("r0").alias("parent"), F.lit(0.3).alias("dist")).unionByName(t.select(F.col("r0").alias("node"), F.lit("all").alias("parent"), F.lit(0.6).alias("dist"))).distinct()
@@ -279,7 +325,9 @@ def taxon_distances(spark, d):
     return taxonomy.root_distances(rows, edges, "label", 1.65).select("id", "label", "distance")
 
 
-@query("O9_features", sql("vecs", ", r AS (SELECT vec_id, (vec_id * 1103515245 + 12345) % 2147483648 % 3 AS region FROM vecs) SELECT vec_id, region, round(list_sum(v) * (region + 1), 6) AS feature FROM r JOIN vecs USING (vec_id)").replace("\n, r AS", ", r AS"))
+@query("O9_features", sql("vecs", """, r AS (SELECT vec_id, (vec_id * 1103515245 + 12345) % 2147483648 % 3 AS region
+FROM vecs) SELECT vec_id, region, round(list_sum(v) * (region + 1), 6) AS feature
+FROM r JOIN vecs USING (vec_id)"""))
 def features(spark, d):
     v = A.vecs(spark, d)
     total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
@@ -292,7 +340,7 @@ def features(spark, d):
 
 @query("G18_method_accuracy", sql("preds", """, t AS (SELECT region, true_, CASE WHEN id % 11 = 0 THEN NULL ELSE pred END AS a, CASE WHEN id % 4 = 0 THEN true_ ELSE pred END AS b FROM preds),
 s AS (SELECT region, avg((coalesce(a, '-') = true_)::INT) FILTER (coalesce(a, '-') <> '') AS x, count(*) FILTER (coalesce(a, '-') <> '') AS n, avg((b = true_)::INT) FILTER (b <> '') AS y, count(*) FILTER (b <> '') AS m FROM t GROUP BY region)
-SELECT region, n AS n_valid_a, m AS n_valid_b, round(x, 6) AS accuracy_a, round(y, 6) AS accuracy_b, round(x - y, 6) AS delta FROM s""").replace("\n, t AS", ", t AS"))
+SELECT region, n AS n_valid_a, m AS n_valid_b, round(x, 6) AS accuracy_a, round(y, 6) AS accuracy_b, round(x - y, 6) AS delta FROM s"""))
 def method_accuracy(spark, d):
     p = A.preds(spark, d).select("region", "true", F.when(F.col("id") % 11 != 0, F.col("pred")).alias("pred_a"), F.when(F.col("id") % 4 == 0, F.col("true")).otherwise(F.col("pred")).alias("pred_b"))
     return evaluation.method_accuracy(p, ["region"], ("a", "b"))
@@ -306,7 +354,7 @@ def p_values(spark, d):
 
 @query("G32_ordered_contingency", sql("preds", """, c AS (SELECT true_ AS l, pred AS k, count(*) AS n FROM preds GROUP BY ALL), b AS (SELECT k, row_number() OVER (ORDER BY sum(n) DESC, k) - 1 AS col_place FROM c GROUP BY k),
 m AS (SELECT l, n, col_place FROM (SELECT l, n, col_place, row_number() OVER (PARTITION BY l ORDER BY n DESC, col_place) AS o FROM c JOIN b USING (k)) WHERE o = 1), r AS (SELECT l, row_number() OVER (ORDER BY col_place, n DESC, l) - 1 AS row_place FROM m)
-SELECT l AS label, k AS cluster, n, row_place, col_place FROM c JOIN b USING (k) JOIN r USING (l)""").replace("\n, c AS", ", c AS"))
+SELECT l AS label, k AS cluster, n, row_place, col_place FROM c JOIN b USING (k) JOIN r USING (l)"""))
 def ordered_contingency(spark, d):
     return evaluation.ordered_contingency(A.preds(spark, d), "true", "pred")
 
@@ -315,14 +363,22 @@ def ordered_contingency(spark, d):
 p AS (SELECT item, side, r FROM (SELECT *, row_number() OVER (PARTITION BY r, side ORDER BY ((item * 1009 + r) % 2147483648 * 1103515245 + 12369) % 2147483648, item) AS n FROM i) WHERE n <= 20),
 x AS (SELECT r, w.item, w.side, vec_id, v FROM w JOIN p ON p.item = w.item), s AS (SELECT r, avg(d) AS same FROM (SELECT a.r, a.item, avg(list_distance(a.v, b.v) ** 2) AS d FROM x a JOIN x b ON a.r = b.r AND a.item = b.item AND a.vec_id < b.vec_id GROUP BY a.r, a.item) GROUP BY r),
 o AS (SELECT a.r, avg(list_distance(a.v, b.v) ** 2) AS other FROM x a JOIN x b ON a.r = b.r AND a.side = 0 AND b.side = 1 GROUP BY a.r)
-SELECT r::BIGINT AS replicate, round(same, 6) AS same, round(other, 6) AS other, round((other - same) / (other + 0.00001), 6) AS ssc FROM s JOIN o USING (r)""").replace("\n, w AS", ", w AS"))
+SELECT r::BIGINT AS replicate, round(same, 6) AS same, round(other, 6) AS other, round((other - same) / (other + 0.00001), 6) AS ssc FROM s JOIN o USING (r)"""))
 def sampled_congruency(spark, d):
     v = A.vecs(spark, d).select("vec_id", "v", F.floor(F.col("vec_id") / 5).alias("item"))
     got = evaluation.sampled_congruency(v.withColumn("side", F.col("item") % 2), "item", "v", "side", 20, 3)
     return got.withColumn("replicate", F.col("replicate").cast("long"))
 
 
-@query("O13_O14_misclassified", sql("preds", ", t AS (SELECT count(*) AS t FROM preds), w AS (SELECT 'flag' AS rank, true_ AS \"true\", pred FROM preds UNION ALL SELECT 'status', status, 'O' FROM preds) SELECT rank, \"true\", pred, count(*) AS n_rows, max(t) AS total_num_seqs FROM w, t WHERE \"true\" <> pred GROUP BY ALL").replace("\n, t AS", ", t AS"))
+@query("O13_O14_misclassified", sql("preds", """, t AS (SELECT count(*) AS t
+FROM preds),
+w AS (SELECT 'flag' AS rank, true_ AS "true", pred
+FROM preds
+UNION ALL SELECT 'status', status, 'O'
+FROM preds) SELECT rank, "true", pred, count(*) AS n_rows, max(t) AS total_num_seqs
+FROM w, t
+WHERE "true" <> pred
+GROUP BY ALL"""))
 def misclassified(spark, d):
     p = A.preds(spark, d).select(F.col("true").alias("true_flag"), F.col("pred").alias("pred_flag"), F.col("status").alias("true_status"), F.lit("O").alias("pred_status"))
     return evaluation.misclassified(p, ["flag", "status"])
@@ -359,20 +415,26 @@ def mined_triplets(spark, d):
     return got.select("anchor", "positive", "negative", F.col("rank").cast("long").alias("rank"), F.col("bucket").cast("long").alias("bucket"), F.round("violation", 6).alias("violation"), F.round("nv", 6).alias("nv"))
 
 
-@query("M_labelled_pairs", sql("vecs", """SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN a.r0 <> b.r0 THEN -1 WHEN a.r1 <> b.r1 THEN 0 WHEN a.r2 <> b.r2 THEN 1 ELSE 2 END::BIGINT AS rank, CASE WHEN a.r0 <> b.r0 THEN 1.6 WHEN a.r1 <> b.r1 THEN 0.9 WHEN a.r2 <> b.r2 THEN 0.5 ELSE 0.2 END::DOUBLE AS "true", round(round(1 - list_dot_product(a.v, b.v), 9), 6) AS pred
+@query("M_labelled_pairs", sql("vecs", """SELECT a.vec_id AS i, b.vec_id AS j,
+  CASE WHEN a.r0 <> b.r0 THEN -1 WHEN a.r1 <> b.r1 THEN 0 WHEN a.r2 <> b.r2 THEN 1 ELSE 2 END::BIGINT AS rank,
+  CASE WHEN a.r0 <> b.r0 THEN 1.6 WHEN a.r1 <> b.r1 THEN 0.9 WHEN a.r2 <> b.r2 THEN 0.5 ELSE 0.2 END::DOUBLE AS "true", round(round(1 - list_dot_product(a.v, b.v), 9), 6) AS pred
 FROM vecs a JOIN vecs b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND (b.vec_id % 100 <> 0 OR a.vec_id < b.vec_id)"""))
 def labelled(spark, d):
     return _pairs(spark, d).select("i", "j", F.col("rank").cast("long").alias("rank"), "true", F.round("pred", 6).alias("pred"))
 
 
-@query("M6_remapped", "SELECT o_orderkey AS k, o_custkey % 100 AS i, CASE WHEN o_orderkey % 50 >= 40 THEN o_orderkey % 50 - 40 ELSE o_orderkey % 50 + 1000 END AS j FROM orders".replace("o_custkey % 100 AS i", "CASE WHEN o_custkey % 50 >= 40 THEN o_custkey % 50 - 40 ELSE o_custkey % 50 + 1000 END AS i"))
+@query("M6_remapped", """SELECT o_orderkey AS k, o_custkey % 100 AS i, CASE WHEN o_orderkey % 50 >= 40 THEN o_orderkey % 50 - 40 ELSE o_orderkey % 50 + 1000 END AS j
+FROM orders""".replace("o_custkey % 100 AS i", "CASE WHEN o_custkey % 50 >= 40 THEN o_custkey % 50 - 40 ELSE o_custkey % 50 + 1000 END AS i"))
 def remapped(spark, d):
     ids = spark.range(50).select(F.col("id").alias("local"), (F.col("id") + 1000).alias("id"), F.when(F.col("id") >= 40, F.col("id") - 40).alias("original"))
     rows = A.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 50).alias("i"), (F.col("o_orderkey") % 50).alias("j"))
     return mining.remapped(rows, ids, ["i", "j"]).select("k", "i", "j")
 
 
-@query("W15_refilled", "SELECT 3::BIGINT AS batch, count(*) AS n_rows, sum(o_orderkey)::BIGINT AS key_sum FROM (SELECT o_orderkey FROM orders ORDER BY (o_orderkey >= 100), o_orderkey LIMIT 200)")
+@query("W15_refilled", """SELECT 3::BIGINT AS batch, count(*) AS n_rows, sum(o_orderkey)::BIGINT AS key_sum
+FROM (SELECT o_orderkey
+FROM orders
+ORDER BY (o_orderkey >= 100), o_orderkey LIMIT 200)""")
 def refilled(spark, d):
     o = A.table(spark, d, "orders").select("o_orderkey")
     cache = ordering.numbered(o.where("o_orderkey < 100"), [], ["o_orderkey"], "place")
@@ -380,37 +442,53 @@ def refilled(spark, d):
     return now.groupBy("batch").agg(F.count("*").alias("n_rows"), F.sum("o_orderkey").alias("key_sum"))
 
 
-@query("W16_aligned_shuffle", "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY (o_orderkey % 2147483648 * 1103515245 + 12348) % 2147483648, o_orderkey) - 1 AS position FROM orders")
+@query("W16_aligned_shuffle", """SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY (o_orderkey % 2147483648 * 1103515245 + 12348) % 2147483648, o_orderkey) - 1 AS position
+FROM orders""")
 def aligned_shuffle(spark, d):
     return mining.shuffled(A.table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey"), 3)
 
 
-@query("W5_weighted_representatives", sql("mined", """, g AS (SELECT *, i * 1000003 + j AS k, pow(2500 / ((i % 97 + 1) * (j % 89 + 1) + 0.000000001), 0.35) AS w FROM mined), u AS (SELECT *, round(ln(w) - ln(-ln((((k % 2147483648) * 1103515245 + 12345) % 2147483648 + 0.5) / 2147483648.0)), 9) AS g FROM g),
-n AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY g DESC, k) AS n FROM u) SELECT rank::BIGINT AS rank, count(*) AS n_rows, sum(i)::BIGINT AS i_sum FROM n WHERE n <= 200 GROUP BY rank""").replace("\n, g AS", ", g AS"))
+@query("W5_weighted_representatives", sql("mined", """, g AS (SELECT *, i * 1000003 + j AS k, pow(2500 / ((i % 97 + 1) * (j % 89 + 1) + 0.000000001), 0.35) AS w FROM mined),
+  u AS (SELECT *, round(ln(w) - ln(-ln((((k % 2147483648) * 1103515245 + 12345) % 2147483648 + 0.5) / 2147483648.0)), 9) AS g FROM g),
+n AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY g DESC, k) AS n FROM u) SELECT rank::BIGINT AS rank, count(*) AS n_rows, sum(i)::BIGINT AS i_sum FROM n WHERE n <= 200 GROUP BY rank"""))
 def weighted_representatives(spark, d):
     w = S.representative_weight(F.col("i") % 97 + 1, F.col("j") % 89 + 1, F.lit(50.0), 0.35)
     got = mining.representatives(A.mined(spark, d), F.col("i") * 1000003 + F.col("j"), 200, w)
     return got.groupBy(F.col("rank").cast("long").alias("rank")).agg(F.count("*").alias("n_rows"), F.sum("i").alias("i_sum"))
 
 
-@query("G37_triplet_hardness", sql("mined", "SELECT rank::BIGINT AS rank, round(3 * avg((pred >= true_)::INT) + avg((pred < true_ AND pred + 0.1 > true_)::INT), 6) AS hardness FROM mined GROUP BY rank"))
+@query("G37_triplet_hardness", sql("mined", """SELECT rank::BIGINT AS rank, round(3 * avg((pred >= true_)::INT) + avg((pred < true_ AND pred + 0.1 > true_)::INT), 6) AS hardness
+FROM mined
+GROUP BY rank"""))
 def triplet_hardness(spark, d):
     return mining.triplet_hardness(_triplets(spark, d))
 
 
-@query("G38_decayed_average", sql("mined", ", h AS (SELECT rank, round(3 * avg((pred >= true_)::INT) + avg((pred < true_ AND pred + 0.1 > true_)::INT), 6) AS h FROM mined WHERE rank < 4 GROUP BY rank) SELECT r::BIGINT AS rank, round(0.95 + CASE WHEN h IS NULL THEN 0 ELSE 0.05 * h END, 6) AS ema FROM range(6) t(r) LEFT JOIN h ON h.rank = r").replace("\n, h AS", ", h AS"))
+@query("G38_decayed_average", sql("mined", """, h AS (SELECT rank, round(3 * avg((pred >= true_)::INT) + avg((pred < true_ AND pred + 0.1 > true_)::INT), 6) AS h
+FROM mined
+WHERE rank < 4
+GROUP BY rank) SELECT r::BIGINT AS rank, round(0.95 + CASE WHEN h IS NULL THEN 0 ELSE 0.05 * h END, 6) AS ema
+FROM range(6) t(r)
+LEFT JOIN h ON h.rank = r"""))
 def decayed(spark, d):
     state = spark.range(6).select(F.col("id").alias("rank"), F.lit(1.0).alias("ema"))
     return mining.moving_average(state, mining.triplet_hardness(_triplets(spark, d).where("rank < 4")), decay=True).select("rank", F.round("ema", 6).alias("ema"))
 
 
-@query("G40_ignored_pairs", sql("mined", ", k AS (SELECT CASE WHEN rank = 0 AND (((i * 1000003 + j) % 2147483648) * 1103515245 + 12345) % 2147483648 + 0.5 >= 0.5 * 2147483648.0 THEN -2 WHEN rank = 1 THEN -2 ELSE rank END AS rank FROM mined) SELECT rank::BIGINT AS rank, count(*) AS n_pairs FROM k GROUP BY rank").replace("\n, k AS", ", k AS"))
+@query("G40_ignored_pairs", sql("mined", """, k AS (SELECT CASE WHEN rank = 0 AND (((i * 1000003 + j) % 2147483648) * 1103515245 + 12345) % 2147483648 + 0.5 >= 0.5 * 2147483648.0 THEN -2 WHEN rank = 1 THEN -2 ELSE rank END AS rank
+FROM mined) SELECT rank::BIGINT AS rank, count(*) AS n_pairs
+FROM k
+GROUP BY rank"""))
 def ignored(spark, d):
     cut = mining.dropped_by_rank(A.mined(spark, d), {0: 0.5, 1: 0.0}, F.col("i") * 1000003 + F.col("j"))
     return mining.rank_histogram(cut).select(F.col("rank").cast("long").alias("rank"), "n_pairs")
 
 
-@query("G41_G47_group_combinations", sql("mined", ", c AS (SELECT i % 7 AS low, j % 7 AS high, count(*) AS n FROM mined GROUP BY ALL) SELECT low, high, n AS n_rows, round(n / (SELECT sum(n) FROM c), 6) AS share FROM c").replace("\n, c AS", ", c AS"))
+@query("G41_G47_group_combinations", sql("mined", """, c AS (SELECT i % 7 AS low, j % 7 AS high, count(*) AS n
+FROM mined
+GROUP BY ALL) SELECT low, high, n AS n_rows, round(n / (SELECT sum(n)
+FROM c), 6) AS share
+FROM c"""))
 def group_combinations(spark, d):
     m = A.mined(spark, d).select("i", "j")
     groups = m.select("i").union(m.select("j")).distinct().select(F.col("i").alias("id"), (F.col("i") % 7).alias("grp"))
@@ -419,39 +497,61 @@ def group_combinations(spark, d):
 
 # Logs
 
-_BOX = "count(*) AS n_rows, round(min({v}), 6) AS least, round(quantile_cont({v}, 0.05), 6) AS p5, round(quantile_cont({v}, 0.25), 6) AS p25, round(quantile_cont({v}, 0.5), 6) AS median, round(quantile_cont({v}, 0.75), 6) AS p75, round(quantile_cont({v}, 0.95), 6) AS p95, round(max({v}), 6) AS most, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std"
+_BOX = """count(*) AS n_rows, round(min({v}), 6) AS least,
+  round(quantile_cont({v}, 0.05), 6) AS p5,
+  round(quantile_cont({v}, 0.25), 6) AS p25,
+  round(quantile_cont({v}, 0.5), 6) AS median,
+  round(quantile_cont({v}, 0.75), 6) AS p75,
+  round(quantile_cont({v}, 0.95), 6) AS p95, round(max({v}), 6) AS most, round(avg({v}), 6) AS mean, round(stddev_samp({v}), 6) AS std"""
 
 
-@query("G43_pair_loss_stats", sql("mined", ", e AS (SELECT rank::VARCHAR AS r, (i % 3)::VARCHAR AS b, abs(pred - true_) AS x, abs(pred - true_) / greatest(true_, 0.001) AS rel, sign(pred - true_) AS s FROM mined) SELECT coalesce(r, 'All') AS rank, coalesce(b, 'All') AS bucket, " + _BOX.format(v="x") + ", round(avg(rel), 6) AS mean_rel, sum((s > 0)::INT)::BIGINT AS n_over, sum((s < 0)::INT)::BIGINT AS n_under, sum((s = 0)::INT)::BIGINT AS n_equal FROM e GROUP BY GROUPING SETS ((), (r), (b))").replace("\n, e AS", ", e AS"))
+@query("G43_pair_loss_stats", sql("mined", """, e AS (SELECT rank::VARCHAR AS r, (i % 3)::VARCHAR AS b, abs(pred - true_) AS x, abs(pred - true_) / greatest(true_, 0.001) AS rel, sign(pred - true_) AS s
+FROM mined) SELECT coalesce(r, 'All') AS rank, coalesce(b, 'All') AS bucket, """ + _BOX.format(v="x") + ", round(avg(rel), 6) AS mean_rel, sum((s > 0)::INT)::BIGINT AS n_over, sum((s < 0)::INT)::BIGINT AS n_under, sum((s = 0)::INT)::BIGINT AS n_equal FROM e GROUP BY GROUPING SETS ((), (r), (b))"))
 def pair_losses(spark, d):
     return logs.pair_loss_stats(A.mined(spark, d).withColumn("bucket", F.col("i") % 3), "rank", "bucket")
 
 
-@query("G43_region_rank_matrix", sql("mined", ", e AS (SELECT least(i % 5, j % 5) AS low, greatest(i % 5, j % 5) AS high, unnest([rank::VARCHAR, 'All']) AS rank, err FROM mined) SELECT low, high, rank, count(*) AS n_rows, round(avg(err), 6) AS mean_err FROM e GROUP BY ALL").replace("\n, e AS", ", e AS"))
+@query("G43_region_rank_matrix", sql("mined", """, e AS (SELECT least(i % 5, j % 5) AS low, greatest(i % 5, j % 5) AS high, unnest([rank::VARCHAR, 'All']) AS rank, err
+FROM mined) SELECT low, high, rank, count(*) AS n_rows, round(avg(err), 6) AS mean_err
+FROM e
+GROUP BY ALL"""))
 def region_ranks(spark, d):
     m = A.mined(spark, d).withColumn("a", F.col("i") % 5).withColumn("b", F.col("j") % 5)
     return logs.region_rank_matrix(m, "a", "b", "rank", "err")
 
 
-@query("G44_pool_and_sample", sql("mined", ", p AS (SELECT 'pool' AS source, rank, i % 3 AS b, err, pred FROM mined UNION ALL SELECT 'sample', rank, i % 3, err, pred FROM mined WHERE j % 4 = 0), u AS (SELECT source, unnest(['err', 'pred']) AS value, unnest([err, pred]) AS x, rank::VARCHAR AS r, b::VARCHAR AS b FROM p) SELECT source, value, coalesce(r, 'All') AS rank, coalesce(b, 'All') AS bucket, " + _BOX.format(v="x") + " FROM u GROUP BY GROUPING SETS ((source, value), (source, value, r), (source, value, b))").replace("\n, p AS", ", p AS"))
+@query("G44_pool_and_sample", sql("mined", """, p AS (SELECT 'pool' AS source, rank, i % 3 AS b, err, pred
+FROM mined
+UNION ALL SELECT 'sample', rank, i % 3, err, pred
+FROM mined
+WHERE j % 4 = 0),
+u AS (SELECT source, unnest(['err', 'pred']) AS value, unnest([err, pred]) AS x, rank::VARCHAR AS r, b::VARCHAR AS b
+FROM p) SELECT source, value, coalesce(r, 'All') AS rank, coalesce(b, 'All') AS bucket, """ + _BOX.format(v="x") + " FROM u GROUP BY GROUPING SETS ((source, value), (source, value, r), (source, value, b))"))
 def pool_and_sample(spark, d):
     m = A.mined(spark, d).withColumn("bucket", F.col("i") % 3)
     return logs.pool_and_sample(m, m.where("j % 4 = 0"), "rank", "bucket", ["err", "pred"])
 
 
-@query("G45_stage_counts", sql("mined", "SELECT rank::BIGINT AS rank, count(*) AS n_pool, count(*) FILTER (round(pred - true_ + 0.1, 9) > 0) AS n_filtered, count(*) FILTER (i % 10 = 0) AS n_sampled FROM mined GROUP BY rank"))
+@query("G45_stage_counts", sql("mined", """SELECT rank::BIGINT AS rank, count(*) AS n_pool, count(*) FILTER (round(pred - true_ + 0.1, 9) > 0) AS n_filtered, count(*) FILTER (i % 10 = 0) AS n_sampled
+FROM mined
+GROUP BY rank"""))
 def stage_counts(spark, d):
     t = _triplets(spark, d)
     return logs.stage_counts({"pool": t, "filtered": t.where("violation > 0"), "sampled": t.where("(triplet - rank) / 10 % 10 = 0")}, ["rank"])
 
 
-@query("G46_rank_drops", sql("mined", "SELECT rank::BIGINT AS rank, count(*) AS n_before, count(*) FILTER (rank > 1 OR i % 3 = 0) AS n_after, count(*) FILTER (rank <= 1 AND i % 3 > 0) AS n_dropped, round(count(*) FILTER (rank <= 1 AND i % 3 > 0) / count(*), 6) AS share FROM mined GROUP BY rank"))
+@query("G46_rank_drops", sql("mined", """SELECT rank::BIGINT AS rank, count(*) AS n_before, count(*) FILTER (rank > 1 OR i % 3 = 0) AS n_after, count(*) FILTER (rank <= 1 AND i % 3 > 0) AS n_dropped, round(count(*) FILTER (rank <= 1 AND i % 3 > 0) / count(*), 6) AS share
+FROM mined
+GROUP BY rank"""))
 def rank_drops(spark, d):
     m = A.mined(spark, d).select("i", F.col("rank").cast("long").alias("rank"))
     return logs.rank_drops(m, m.withColumn("rank", F.when((F.col("rank") <= 1) & (F.col("i") % 3 > 0), -2).otherwise(F.col("rank"))))
 
 
-@query("G49_loss_history", sql("history", ", s AS (SELECT batch, avg(loss) AS m, avg(loss) FILTER (rank = 'click') AS c, avg(loss) FILTER (rank = 'view') AS w FROM history GROUP BY batch) SELECT batch, round(m, 6) AS total, round(0.5 * exp(-0.2) * m + 0.1, 6) AS weighted, round(c, 6) AS click, round(w, 6) AS \"view\" FROM s").replace("\n, s AS", ", s AS"))
+@query("G49_loss_history", sql("history", """, s AS (SELECT batch, avg(loss) AS m, avg(loss) FILTER (rank = 'click') AS c, avg(loss) FILTER (rank = 'view') AS w
+FROM history
+GROUP BY batch) SELECT batch, round(m, 6) AS total, round(0.5 * exp(-0.2) * m + 0.1, 6) AS weighted, round(c, 6) AS click, round(w, 6) AS "view"
+FROM s"""))
 def loss_history(spark, d):
     return logs.loss_history(A.history(spark, d), "batch", "rank", "loss", ["click", "view"], 0.2)
 
@@ -463,7 +563,7 @@ def domain_counts(spark, d):
 
 
 @query("O18_O19_texts", sql("history", """, b AS (SELECT rank, min(loss) AS a, quantile_cont(loss, 0.25) AS q1, quantile_cont(loss, 0.5) AS q2, quantile_cont(loss, 0.75) AS q3, max(loss) AS z FROM history GROUP BY rank)
-SELECT rank, printf('%.3f', round(a, 6)) || '|' || printf('%.3f', round(q2, 6)) || '|-|<' AS told, CASE WHEN rank = 'view' THEN NULL ELSE round(q3 - q1, 5) END AS spread, '1:5,2:7' AS lent FROM b""").replace("\n, b AS", ", b AS"))
+SELECT rank, printf('%.3f', round(a, 6)) || '|' || printf('%.3f', round(q2, 6)) || '|-|<' AS told, CASE WHEN rank = 'view' THEN NULL ELSE round(q3 - q1, 5) END AS spread, '1:5,2:7' AS lent FROM b"""))
 def log_texts(spark, d):
     b = logs.box_stats(A.history(spark, d), [["rank"]], "loss")
     low = F.when(F.col("rank") != "view", F.col("least"))

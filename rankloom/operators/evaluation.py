@@ -64,9 +64,8 @@ def correlations(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """(by, n_rows, pearson, spearman): average ranks come from counted values."""
 
     def ranked(col: str) -> DataFrame:
-        before = Window.partitionBy(*by).orderBy(col).rowsBetween(Window.unboundedPreceding, -1)
         counts = rows.groupBy(*by, col).agg(F.count("*").alias("c"))
-        return counts.select(*by, col, (F.coalesce(F.sum("c").over(before), F.lit(0)) + (F.col("c") + 1) / 2).alias(f"__{col}"))
+        return ordering.cumulated(counts, by, [col], "c", "__before").select(*by, col, (F.col("__before") + (F.col("c") + 1) / 2).alias(f"__{col}"))
 
     both = rows.select(*by, x, y).join(ranked(x), [*by, x]).join(ranked(y), [*by, y])
     return both.groupBy(*by).agg(F.count("*").alias("n_rows"), F.round(S.correlation(x, y), 6).alias("pearson"), F.round(S.correlation(f"__{x}", f"__{y}"), 6).alias("spearman")).where("n_rows >= 3")

@@ -45,6 +45,18 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], place: str = "__p
     return out.drop("__p", "__i", "__b", *([] if size == "__all" else ["__all"]))
 
 
+def cumulated(rows: DataFrame, by: list[str], order: list[str], weight: str, name: str, total: str | None = None) -> DataFrame:
+    """rows with the sum of a weight over the rows before them in their group, and over all of the group if it is named."""
+    cut = spread(rows, by, order)
+    sums = cut.groupBy(*by, "__p").agg(F.sum(weight).alias("__c"))
+    sums = sums.select(*by, "__p", _before(sums, by, "__c").alias("__b"), F.sum("__c").over(Window.partitionBy(*by)).alias("__all"))
+    inside = F.sum(weight).over(Window.partitionBy("__p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = _join(cut.withColumn("__r", F.coalesce(inside, F.lit(0))), sums, by).withColumn(name, F.col("__b") + F.col("__r"))
+    if total is not None:
+        out = out.withColumn(total, F.col("__all"))
+    return out.drop("__p", "__r", "__b", *([] if total == "__all" else ["__all"]))
+
+
 def quantiles(rows: DataFrame, by: list[str], value: str, points: list[float], name: str = "q", weight: str | None = None) -> DataFrame:
     """(by, n_rows, name): interpolated quantiles of a value inside each group as array<double>; nulls don't count.
 
@@ -52,12 +64,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, points: list[float], n
     """
     one = F.count("*") if weight is None else F.sum(weight)
     held = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(one.alias("__w"))
-    cut = spread(held, by, [value])
-    sums = cut.groupBy(*by, "__p").agg(F.sum("__w").alias("__c"))
-    sums = sums.select(*by, "__p", _before(sums, by, "__c").alias("__b"), F.sum("__c").over(Window.partitionBy(*by)).alias("__all"))
-    running = F.sum("__w").over(Window.partitionBy("__p", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    upto = F.col("__b") + F.col("__r")
-    at = _join(cut.withColumn("__r", running), sums, by).select(*by, F.col(value).cast("double").alias("__v"), (upto - F.col("__w")).alias("__from"), upto.alias("__upto"), F.col("__all").alias("n_rows"))
+    at = cumulated(held, by, [value], "__w", "__from", "n_rows").withColumn("__v", F.col(value).cast("double")).withColumn("__upto", F.col("__from") + F.col("__w"))
     place = lambda p: F.lit(float(p)) * (F.col("n_rows") - 1)
     low, high = [F.floor(F.round(place(p), 9)) for p in points], [F.ceil(F.round(place(p), 9)) for p in points]
     inside = lambda k: (F.col("__from") <= k) & (k < F.col("__upto"))
