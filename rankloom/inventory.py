@@ -404,7 +404,9 @@ def _pairs(spark, d) -> DataFrame:
 
 @query("M1_mined_batch")
 def mined_batch(spark, d):
-    pairs, triples, _ = mining.mine(_pairs(spark, d), 5, 4_000, 384, 4_000, 768, [0, 1, 2], uniform_until=2, done_at=10)
+    pairs, triples, _ = mining.mine_batch(
+        A.vecs(spark, d), "vec_id", ["r0", "r1", "r2"], "v", 5, F.col("vec_id") % 100 == 0, {0: 0.9, 1: 0.5, 2: 0.2}, 1.6, share=0.8, other_view=F.reverse, keep={-1: 0.5}, totals=(384, 768), uniform_until=2, done_at=10
+    )
     a = pairs.select("batch", "position", F.lit("pair").alias("kind"), "i", "j", F.lit(None).cast("long").alias("k"), F.col("rank").cast("long").alias("rank"), F.col("bucket").cast("long").alias("bucket"))
     return a.unionByName(triples.select("batch", "position", F.lit("triplet").alias("kind"), F.col("anchor").alias("i"), F.col("positive").alias("j"), F.col("negative").alias("k"), F.col("rank").cast("long").alias("rank"), F.col("bucket").cast("long").alias("bucket")))
 
@@ -423,6 +425,15 @@ def labelled(spark, d):
     return _pairs(spark, d).select("i", "j", F.col("rank").cast("long").alias("rank"), "true", F.round("pred", 6).alias("pred"))
 
 
+@query("F18_G9_thinned", sql("vecs", """, s AS (SELECT vec_id, count(*) OVER (PARTITION BY r0) AS s0, count(*) OVER (PARTITION BY r1) AS s1, count(*) OVER (PARTITION BY r2) AS s2 FROM vecs),
+p AS (SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN a.r0 <> b.r0 THEN -1 WHEN a.r1 <> b.r1 THEN 0 WHEN a.r2 <> b.r2 THEN 1 ELSE 2 END AS rank FROM vecs a JOIN vecs b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND (b.vec_id % 100 <> 0 OR a.vec_id < b.vec_id)),
+k AS (SELECT p.*, CASE rank WHEN -1 THEN 100 / sqrt(x.s0 * y.s0) WHEN 0 THEN 20 / sqrt(x.s1 * y.s1) WHEN 1 THEN 50 / sqrt(x.s2 * y.s2) ELSE 1 END AS q FROM p JOIN s x ON x.vec_id = i JOIN s y ON y.vec_id = j)
+SELECT i, j, CASE WHEN rank = 2 OR greatest(0.1, least(1, sqrt(q))) >= 0.999 OR ((((i * 1000003 + j) % 2147483648) * 1103515245 + 12345) % 2147483648 + 0.5) / 2147483648.0 < greatest(0.1, least(1, sqrt(q))) THEN rank ELSE -2 END::BIGINT AS rank FROM k"""))
+def thinned(spark, d):
+    sizes = taxonomy.sizes_by_row(A.vecs(spark, d), "vec_id", ["r0", "r1", "r2"]).withColumnRenamed("vec_id", "id")
+    return mining.thinned_by_size(_pairs(spark, d), sizes, [100.0, 20.0, 50.0], 0.5, 0.1).select("i", "j", F.col("rank").cast("long").alias("rank"))
+
+
 @query("M6_remapped", """SELECT o_orderkey AS k, o_custkey % 100 AS i, CASE WHEN o_orderkey % 50 >= 40 THEN o_orderkey % 50 - 40 ELSE o_orderkey % 50 + 1000 END AS j
 FROM orders""".replace("o_custkey % 100 AS i", "CASE WHEN o_custkey % 50 >= 40 THEN o_custkey % 50 - 40 ELSE o_custkey % 50 + 1000 END AS i"))
 def remapped(spark, d):
