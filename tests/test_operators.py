@@ -298,3 +298,15 @@ def test_scans_that_check_what_they_read(spark, tmp_path):
         curation.required_leaves(spark.createDataFrame([(1,), (3,), (2,)], "k long"), leaves, "k").collect()
     with pytest.raises(ValueError, match="k must be"):
         kmers.kmer_counts(spark.createDataFrame([(1, "AC")], "id long, s string"), "id", "s", 32)
+
+
+def test_a_batch_from_the_rows(spark):
+    x, label, rows = points(spark, 80)
+    rows = rows.select((F.col("id") * 7 + 3).alias("key"), (F.col("label") % 2).alias("top"), "label", "v")
+    hard, triples, states = mining.mine_batch(rows, "key", ["top", "label"], "v", 3, F.lit(True), {0: 0.8, 1: 0.3}, 1.6, share=0.5, copies=0.3, other_view=F.reverse, totals=(120, 60))
+    hard, triples = hard.collect(), triples.collect()
+    keys = {k * 7 + 3 for k in range(80)}
+    assert {r["i"] for r in hard} | {r["j"] for r in hard} <= keys and all((r["i"] == r["j"]) == (r["rank"] == 7) for r in hard) and any(r["rank"] == 7 for r in hard)
+    assert 0 < len(hard) <= 120 and sorted(r["position"] for r in hard) == list(range(len(hard))) and {r["batch"] for r in hard} == {3}
+    assert triples and all(label[(r["anchor"] - 3) // 7] % 2 == label[(r["positive"] - 3) // 7] % 2 or r["rank"] < 0 for r in triples)
+    assert {r["rank"] for r in states[0].collect()} == {r["rank"] for r in hard}
