@@ -17,6 +17,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Bits of the membership filter that may be broadcast: 2^22 bits are 65,536 words of 64 bits, about 1 MB.
 FILTER_BITS = 1 << 22
+#: Rows of a few numbers each that may be broadcast: under 10 MB.
+FEW = 200_000
 
 
 def text_or_empty(col: str | Column) -> Column:
@@ -133,17 +135,22 @@ def marked(df: DataFrame, key: Column, words: DataFrame, name: str, bits: int =
     return df.join(words, on, "left").select(*[df[c] for c in df.columns], F.coalesce(bit, F.lit(False)).alias(name))
 
 
+def if_few(df: DataFrame, n: int | None = None) -> DataFrame:
+    """df to be broadcast if its counted rows, of a few numbers each, are at most FEW; else as it is."""
+    return F.broadcast(df) if (df.count() if n is None else n) <= FEW else df
+
+
 def those_in(df: DataFrame, key: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """Rows of df whose key is in the one column of ids (distinct values).
 
-    While the bitmap is sparse it is the first filter and only what it lets through is
-    shuffled; where the counted ids would crowd it, all rows meet the ids in a shuffle.
+    Few ids are broadcast. While the bitmap of more is sparse it is the first filter and only what it lets through
+    is shuffled; where the counted ids would crowd it, all rows meet the ids in a shuffle.
     """
-    name = ids.columns[0]
-    if ids.count() <= bits // 8:
+    name, n = ids.columns[0], ids.count()
+    if FEW < n <= bits // 8:
         df = maybe_in(df, F.col(key), filter_words(ids, F.col(name), bits), bits)
     ids = ids.select(F.col(name).alias("__in"))
-    return df.join(ids, df[key] == ids["__in"], "left_semi")
+    return df.join(if_few(ids, n), df[key] == ids["__in"], "left_semi")
 
 
 def keep_only(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:

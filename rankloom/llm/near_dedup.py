@@ -44,14 +44,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, filter_words, maybe_in, those_in
+from .common import FEW, Scratch, filter_words, if_few, maybe_in, those_in
 
 #: Trees, labels of a tree, rows that a row is paired with, labels that a pair shares at least.
 TREES, DEPTH, WINDOW, NEED = 24, 8, 2, 4
 #: Rows of the borders between partitions that one task takes.
 BORDER = 200_000
-#: Edges from which on a round writes the minima that it joins back.
-MANY = 200_000
 #: Sets that one Arrow batch holds.
 ROWS = 500
 #: Shingles that are hashed at once; bounds a task's memory on very long texts.
@@ -247,16 +245,20 @@ def forest(reps: DataFrame, percent: int, scratch: Scratch, trees: int = TREES,
     return scratch.write(pairs, "pairs"), scratch.write(crowded, "crowded")
 
 
-def confirmed_links(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs whose full sets have 100 * |intersection| >= percent * |union|. docs: (id, text); pairs: (a, b), written."""
+def confirmed_links(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, bounded: bool = True) -> DataFrame:
+    """The pairs whose full sets have 100 * |intersection| >= percent * |union|. docs: (id, text); pairs: (a, b), written.
+
+    bounded: look at an upper bound of the overlap first, which pays where many pairs are hopeless.
+    """
     ends = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
     texts = those_in(docs, "id", ends)
     sets = scratch.write(texts.mapInArrow(_shingler(width), "id long, n long, counted binary, shingles array<bigint>"), "shingles")
-    # An upper bound of the overlap spares most hopeless pairs their sets; sets too large to be counted in bytes go on unchecked.
     of = lambda a, n, x, what: sets.select(F.col("id").alias(a), F.col("n").alias(n), F.col(what).alias(x))
-    both = scratch.write(pairs.select("a", "b").join(of("a", "n", "x", "counted"), "a").join(of("b", "m", "y", "counted"), "b"), "counted")
-    bounded = both.where("x is not null and y is not null").select("a", "b", F.expr("n + m").alias("sizes"), "x", "y").mapInArrow(_overlapping(percent), "a long, b long")
-    likely = scratch.write(bounded.union(both.where("x is null or y is null").select("a", "b")).distinct(), "likely")
+    likely = pairs.select("a", "b")
+    if bounded:  # sets too large to be counted in bytes go on unchecked
+        both = scratch.write(likely.join(of("a", "n", "x", "counted"), "a").join(of("b", "m", "y", "counted"), "b"), "counted")
+        within = both.where("x is not null and y is not null").select("a", "b", F.expr("n + m").alias("sizes"), "x", "y").mapInArrow(_overlapping(percent), "a long, b long")
+        likely = scratch.write(within.union(both.where("x is null or y is null").select("a", "b")).distinct(), "likely")
     met = likely.join(of("a", "n", "x", "shingles"), "a").join(of("b", "m", "y", "shingles"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     links = scratch.write(met.where(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b").distinct(), "links")
     scratch.drop("ends", "shingles", "counted", "likely")
@@ -307,15 +309,16 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
     Large-star and small-star rounds until every component is a star: each node has one edge, to a node
     that has none downwards. A node's edges are never gathered. Its minimum is aggregated in parts and joined
-    back to them; where edges are many it is written first, so that both sides of that join are scans and
-    adaptive execution may split a centre's rows.
+    back to them: the minima of few edges are broadcast; those of many are written first, so that both sides of
+    that join are scans and adaptive execution may split a centre's rows.
     """
     edges, k = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges0"), 0
     while True:
-        told = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("m")).first()
-        if told["n"] == told["m"] and edges.select("v").join(edges.select("u"), F.col("v") == F.col("u"), "left_semi").isEmpty():
+        n = edges.count()
+        few = 2 * n <= FEW
+        if edges.select("v").join(if_few(edges.select("u"), n), F.col("v") == F.col("u"), "left_semi").isEmpty() and edges.agg(F.count_distinct("u")).first()[0] == n:
             break
-        held = (lambda df, name: scratch.write(df, name)) if told["n"] > MANY else (lambda df, name: df)
+        held = (lambda df, name: F.broadcast(df)) if few else (lambda df, name: scratch.write(df, name))
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
         low = held(both.groupBy("u").agg(F.min("v").alias("m")), "low")
         large = scratch.write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large")
@@ -338,12 +341,12 @@ def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, scratch:
     ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "trees").union(pairs.select("b", "a", "trees"))
     best = ends.groupBy("id").agg(F.max_by("other", F.struct("trees", "other")).alias("other"))
     first = scratch.write(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "first")
-    links = confirmed_links(first, texts, width, percent, scratch)
+    links = confirmed_links(first, texts, width, percent, scratch, bounded=False)
     roots = components(links, scratch)
     scratch.drop("links")
 
-    def root_of(rows: DataFrame, key: str, name: str) -> DataFrame:
-        met = rows.join(roots.select(F.col("id").alias("__id"), F.col("root").alias("__root")), F.col(key) == F.col("__id"), "left")
+    def root_of(rows: DataFrame, key: str, name: str, n: int) -> DataFrame:
+        met = rows.join(if_few(roots.select(F.col("id").alias("__id"), F.col("root").alias("__root")), n), F.col(key) == F.col("__id"), "left")
         return met.select(*rows.columns, F.coalesce("__root", key).alias(name))
 
     def merged(links: DataFrame) -> DataFrame:
@@ -353,14 +356,14 @@ def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, scratch:
         scratch.drop("held")
         return got
 
-    others = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
-    apart = scratch.write(root_of(root_of(others, "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b"), "apart")
+    others, n = pairs.select("a", "b").join(if_few(first), ["a", "b"], "left_anti"), roots.count()
+    apart = scratch.write(root_of(root_of(others, "a", "ra", n), "b", "rb", n).where("ra <> rb").select("a", "b"), "apart")
     scratch.drop("first", "pairs")
     links = confirmed_links(apart, texts, width, percent, scratch)
     roots = merged(links)
     scratch.drop("apart")
     # Crowded regions that are not one component, and the ids of their rows.
-    placed = scratch.write(root_of(crowded, "id", "root"), "placed")
+    placed = scratch.write(root_of(crowded, "id", "root", roots.count()), "placed")
     scratch.drop("crowded")
     open_regions = placed.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     left = scratch.write(maybe_in(placed, F.col("region"), filter_words(open_regions, F.col("region"))).select("id").distinct(), "left")
@@ -382,7 +385,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = signed.where("same is not null and id is not null")
     reps = scratch.write(full.groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("labels").alias("labels")), "classes")
     roots = linked(reps.select("id", "n", "labels"), slim.where("id is not null"), width, percent, scratch)
-    named = scratch.write(reps.select("same", "id").join(roots, "id", "left").select("same", F.coalesce("root", "id").alias("component")), "named")
+    named = scratch.write(reps.select("same", "id").join(if_few(roots), "id", "left").select("same", F.coalesce("root", "id").alias("component")), "named")
     # Rows without shingles stand alone.
     alone = signed.where("same is null or id is null").select("id", "n", F.col("id").alias("component"))
     rows = full.select("id", "n", "same").join(named, "same").select("id", "n", "component").unionByName(alone)
