@@ -50,6 +50,8 @@ from .common import FEW, Scratch, filter_words, if_few, maybe_in, those_in
 TREES, DEPTH, WINDOW, NEED = 24, 8, 2, 4
 #: Rows of the borders between partitions that one task takes.
 BORDER = 200_000
+#: Tasks for a counted table of at most FEW rows.
+TASKS = 8
 #: Sets that one Arrow batch holds.
 ROWS = 500
 #: Shingles that are hashed at once; bounds a task's memory on very long texts.
@@ -316,20 +318,22 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         n = edges.count()
         few = 2 * n <= FEW
+        # Few edges are no work for as many tasks as a shuffle has partitions.
+        slim = (lambda df: df.coalesce(TASKS)) if few else (lambda df: df)
         if edges.select("v").join(if_few(edges.select("u"), n), F.col("v") == F.col("u"), "left_semi").isEmpty() and edges.agg(F.count_distinct("u")).first()[0] == n:
             break
-        held = (lambda df, name: F.broadcast(df)) if few else (lambda df, name: scratch.write(df, name))
+        held = (lambda df, name: F.broadcast(slim(df))) if few else (lambda df, name: scratch.write(df, name))
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
         low = held(both.groupBy("u").agg(F.min("v").alias("m")), "low")
-        large = scratch.write(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large")
+        large = scratch.write(slim(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()), "large")
         floor = held(large.groupBy("u").agg(F.min("v").alias("m")), "floor")
         ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
         small = large.join(floor, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         k += 1
-        edges = scratch.write(small, f"edges{k}")
+        edges = scratch.write(slim(small), f"edges{k}")
         scratch.drop("low", "large", "floor", f"edges{k - 1}")
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
-    roots = scratch.write(roots, "roots")
+    roots = scratch.write(slim(roots), "roots")
     scratch.drop(f"edges{k}")
     return roots
 
