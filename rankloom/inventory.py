@@ -206,14 +206,14 @@ def normalised(spark, d):
     return A.vecs(spark, d).select("vec_id", v.alias("v")).select("vec_id", total(S.normalised(F.col("v"))).alias("clip"), total(S.normalised(F.col("v"), how="add")).alias("added"), total(S.normalised(F.col("v"), 1e-12, "safe")).alias("safe"))
 
 
-@query("S15_S17_S20_S24_weights", sql("mined", """SELECT i, j, round(sign(pred - true_) * err, 6) AS signed, round(greatest(0, least(1000000000, pow(2500 / ((i % 97 + 1) * (j % 89 + 1) + 0.000000001), 0.35))), 6) AS weight,
-round(1.0 / (rank + 1), 6) AS linear, round(1 / sqrt(rank + 1), 6) AS root, round(1 / ln(rank + 2), 6) AS log, round((pred - true_ + 0.1) / (true_ + 0.5), 6) AS nv, round(CASE rank WHEN 0 THEN 0.3 WHEN 1 THEN 0.2 ELSE 0.5 * true_ END, 6) AS margin FROM mined"""))
+@query("S15_S17_S20_S24_weights", sql("mined", """SELECT i, j, round(sign(pred - true_) * err, 6) + 0.0 AS signed, round(greatest(0, least(1000000000, pow(2500 / ((i % 97 + 1) * (j % 89 + 1) + 0.000000001), 0.35))), 6) AS weight,
+round(1.0 / (rank + 1), 6) AS linear, round(1 / sqrt(rank + 1), 6) AS root, round(1 / ln(rank + 2), 6) AS log, round((pred - true_ + 0.1) / (true_ + 0.5), 6) + 0.0 AS nv, round(CASE rank WHEN 0 THEN 0.3 WHEN 1 THEN 0.2 ELSE 0.5 * true_ END, 6) AS margin FROM mined"""))
 def weights(spark, d):
     p, t, n = F.col("pred"), F.col("true"), F.col("rank") + 1
     margin = F.when(F.col("rank") == 0, 0.3).when(F.col("rank") == 1, 0.2).otherwise(S.margin(F.lit(0.0), t, 0.5))
     return A.mined(spark, d).select(
-        "i", "j", F.round(S.signed_error(p, t), 6).alias("signed"), F.round(S.representative_weight(F.col("i") % 97 + 1, F.col("j") % 89 + 1, F.lit(50.0), 0.35), 6).alias("weight"), F.round(S.size_vote(n, "linear"), 6).alias("linear"),
-        F.round(S.size_vote(n), 6).alias("root"), F.round(S.size_vote(n, "log"), 6).alias("log"), F.round(S.normalised_violation(p, t, F.lit(0.1), F.lit(-0.5), t), 6).alias("nv"), F.round(margin, 6).alias("margin"),
+        "i", "j", (F.round(S.signed_error(p, t), 6) + 0.0).alias("signed"), F.round(S.representative_weight(F.col("i") % 97 + 1, F.col("j") % 89 + 1, F.lit(50.0), 0.35), 6).alias("weight"), F.round(S.size_vote(n, "linear"), 6).alias("linear"),
+        F.round(S.size_vote(n), 6).alias("root"), F.round(S.size_vote(n, "log"), 6).alias("log"), (F.round(S.normalised_violation(p, t, F.lit(0.1), F.lit(-0.5), t), 6) + 0.0).alias("nv"), F.round(margin, 6).alias("margin"),
     )
 
 
@@ -340,7 +340,7 @@ def features(spark, d):
 
 @query("G18_method_accuracy", sql("preds", """, t AS (SELECT region, true_, CASE WHEN id % 11 = 0 THEN NULL ELSE pred END AS a, CASE WHEN id % 4 = 0 THEN true_ ELSE pred END AS b FROM preds),
 s AS (SELECT region, avg((coalesce(a, '-') = true_)::INT) FILTER (coalesce(a, '-') <> '') AS x, count(*) FILTER (coalesce(a, '-') <> '') AS n, avg((b = true_)::INT) FILTER (b <> '') AS y, count(*) FILTER (b <> '') AS m FROM t GROUP BY region)
-SELECT region, n AS n_valid_a, m AS n_valid_b, round(x, 6) AS accuracy_a, round(y, 6) AS accuracy_b, round(x - y, 6) AS delta FROM s"""))
+SELECT region, n AS n_valid_a, m AS n_valid_b, round(x, 6) AS accuracy_a, round(y, 6) AS accuracy_b, round(x - y, 6) + 0.0 AS delta FROM s"""))
 def method_accuracy(spark, d):
     p = A.preds(spark, d).select("region", "true", F.when(F.col("id") % 11 != 0, F.col("pred")).alias("pred_a"), F.when(F.col("id") % 4 == 0, F.col("true")).otherwise(F.col("pred")).alias("pred_b"))
     return evaluation.method_accuracy(p, ["region"], ("a", "b"))

@@ -205,7 +205,7 @@ def method_accuracy(rows: DataFrame, by: list[str], methods: tuple[str, str], tr
         cols += [F.count_if(ok).alias(f"n_valid_{m}"), F.avg(F.when(ok, F.coalesce(pred == F.col(true), F.lit(False)).cast("double"))).alias(f"__{m}")]
     got = rows.groupBy(*by).agg(*cols)
     a, b = methods
-    return got.select(*by, f"n_valid_{a}", f"n_valid_{b}", F.round(f"__{a}", 6).alias(f"accuracy_{a}"), F.round(f"__{b}", 6).alias(f"accuracy_{b}"), F.round(F.col(f"__{a}") - F.col(f"__{b}"), 6).alias("delta"))
+    return got.select(*by, f"n_valid_{a}", f"n_valid_{b}", F.round(f"__{a}", 6).alias(f"accuracy_{a}"), F.round(f"__{b}", 6).alias(f"accuracy_{b}"), (F.round(F.col(f"__{a}") - F.col(f"__{b}"), 6) + 0.0).alias("delta"))
 
 
 def with_p_values(rows: DataFrame, r: str, n: str, name: str) -> DataFrame:
