@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, html_text, near_dedup, quality, secret_scan, toxicity, url_filter
+from . import bpe, chat, decontam, exact_dedup, html_text, near_dedup, packing, quality, secret_scan, tokens, toxicity, url_filter
 from .common import text_or_empty
 
 #: The rules of the URL query, as its contract states them.
@@ -192,8 +192,13 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)
 """
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = tokens.word_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), behind=(2,))
+    return packing.pack(ids, packing.Limits(tokens=4096, segments=1024, loss=4096), with_ids=False)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_chat, op3_url_filter, op4_toxicity, op5_html, op6_decontamination, op7_secrets, op8_exact_dedup, op9_bpe, op10_near_dedup, items_nearby)
+    for f in (op1_quality, op2_chat, op3_url_filter, op4_toxicity, op5_html, op6_decontamination, op7_secrets, op8_exact_dedup, op9_bpe, op10_near_dedup, op13_packing, items_nearby)
 }
 ORACLE_SQL = {"op2_chat": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_decontamination": OP6_SQL, "items_nearby": NEARBY_SQL, "op8_exact_dedup": OP8_SQL, "op10_near_dedup": OP10_SQL}
