@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, html_text, near_dedup, packing, quality, secret_scan, tokens, toxicity, url_filter
-from .common import text_or_empty
+from . import bpe, chat, decontam, exact_dedup, html_text, near_dedup, packing, prefix_trie, quality, secret_scan, tokens, toxicity, url_filter
+from .common import Scratch, text_or_empty
 
 #: The rules of the URL query, as its contract states them.
 RULES = (
@@ -192,6 +192,30 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)
 """
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    turns = scratch.write(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), "turns")
+    shared = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    return prefix_trie.trie(prefix_trie.with_shared_start(turns, F.col("conv_id") - F.col("conv_id") % 100, shared, 5), scratch)
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, (xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda a, k: xor(a >> 1, 3988292384 * (a & 1))))) % 6)::INT AS h FROM t),
+c AS (SELECT h.conv_id, list_concat(coalesce(b.own, [])[1 : h.h], h.own[h.h + 1 :]) AS turns FROM h LEFT JOIN h b ON b.conv_id = h.conv_id - h.conv_id % 100),
+m AS (SELECT conv_id, len(turns) AS n, d, turns[1 : d] AS p, CASE WHEN d > 0 THEN length(turns[d].t) ELSE 0 END AS chars FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM c)),
+v AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, count(*) FILTER (WHERE n > d) AS longer,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256 FROM m GROUP BY p, d),
+up AS (SELECT v.*, w.conv_id AS parent_conv_id, v.p[1 : v.d - 1] AS q FROM v LEFT JOIN v w ON v.d > 0 AND w.d = v.d - 1 AND w.p = v.p[1 : v.d - 1]),
+kids AS (SELECT q AS p, count(*) AS n_children FROM up WHERE d > 0 GROUP BY q),
+below AS (SELECT p[1 : k] AS p, count(*) FILTER (WHERE longer = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM v) GROUP BY 1)
+SELECT up.conv_id, up.d::BIGINT AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM up LEFT JOIN kids ON kids.p = up.p JOIN below ON below.p = up.p
+"""
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = tokens.word_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), behind=(2,))
     return packing.pack(ids, packing.Limits(tokens=4096, segments=1024, loss=4096), with_ids=False)
@@ -199,6 +223,6 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_chat, op3_url_filter, op4_toxicity, op5_html, op6_decontamination, op7_secrets, op8_exact_dedup, op9_bpe, op10_near_dedup, op13_packing, items_nearby)
+    for f in (op1_quality, op2_chat, op3_url_filter, op4_toxicity, op5_html, op6_decontamination, op7_secrets, op8_exact_dedup, op9_bpe, op10_near_dedup, op12_prefix_trie, op13_packing, items_nearby)
 }
-ORACLE_SQL = {"op2_chat": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_decontamination": OP6_SQL, "items_nearby": NEARBY_SQL, "op8_exact_dedup": OP8_SQL, "op10_near_dedup": OP10_SQL}
+ORACLE_SQL = {"op2_chat": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_decontamination": OP6_SQL, "items_nearby": NEARBY_SQL, "op8_exact_dedup": OP8_SQL, "op10_near_dedup": OP10_SQL, "op12_prefix_trie": OP12_SQL}
