@@ -65,9 +65,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
         path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

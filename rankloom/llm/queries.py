@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, exact_dedup, html_text, near_dedup, packing, prefix_trie, quality, secret_scan, tokens, toxicity, url_filter
+from . import alignment, bpe, chat, decontam, exact_dedup, html_text, near_dedup, packing, prefix_trie, quality, secret_scan, tokens, toxicity, url_filter
 from .common import Scratch, text_or_empty
 
 #: The rules of the URL query, as its contract states them.
@@ -192,6 +192,10 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root USING (doc_id)
 """
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     turns = scratch.write(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), "turns")
@@ -223,6 +227,6 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_chat, op3_url_filter, op4_toxicity, op5_html, op6_decontamination, op7_secrets, op8_exact_dedup, op9_bpe, op10_near_dedup, op12_prefix_trie, op13_packing, items_nearby)
+    for f in (op1_quality, op2_chat, op3_url_filter, op4_toxicity, op5_html, op6_decontamination, op7_secrets, op8_exact_dedup, op9_bpe, op10_near_dedup, op11_alignment, op12_prefix_trie, op13_packing, items_nearby)
 }
 ORACLE_SQL = {"op2_chat": OP2_SQL, "op3_url_filter": OP3_SQL, "op6_decontamination": OP6_SQL, "items_nearby": NEARBY_SQL, "op8_exact_dedup": OP8_SQL, "op10_near_dedup": OP10_SQL, "op12_prefix_trie": OP12_SQL}
