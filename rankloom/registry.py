@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import clustering, curation, evaluation, kmers, logs, mining, neighbours, ordering, taxonomy
+from .operators import clustering, curation, evaluation, kmers, logs, mining, neighbours, ordering, taxonomy, trees
 from .plans import adapters as A
 from .plans.adapters import sql
 
@@ -246,7 +246,7 @@ def tree(spark, d):
     r = A.table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"), F.lit("root").alias("parent"), F.lit(0.6).alias("dist"))
     top = spark.range(1).select(F.lit("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0.9).alias("dist"))
     leaves = c.select(F.col("node").alias("leaf"))
-    got = taxonomy.tree_distances(leaves.where(F.substring("leaf", 2, 20).try_cast("long") % 100 == 0), leaves, c.unionByName(n).unionByName(r).unionByName(top), 4, 1.65)
+    got = trees.distances(leaves.where(F.substring("leaf", 2, 20).try_cast("long") % 100 == 0), leaves, c.unionByName(n).unionByName(r).unionByName(top), 1.65)
     return got.select(F.substring("i", 2, 20).try_cast("long").alias("i"), F.substring("j", 2, 20).try_cast("long").alias("j"), "distance")
 
 

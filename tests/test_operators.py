@@ -37,7 +37,7 @@ def test_codes(spark):
 
 
 @given(st.lists(st.floats(0, 50), min_size=1, max_size=9), st.integers(0, 500), st.floats(0, 0.2), st.floats(0.3, 1))
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=10_000, deadline=None)
 def test_budgets_sum_up_and_keep_their_limits(hardness, total, least, most):
     got = mining.budgets(hardness, total, least, most)
     live = [k for k, h in enumerate(hardness) if h > 0]
