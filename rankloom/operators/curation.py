@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from . import ordering
 
+#: Rows of a group up to which Spark cuts a ranking off in each task before the shuffle.
+RANKED = 1_000
+
 
 def members(rows: DataFrame, leaves: DataFrame, key: str) -> DataFrame:
     return rows.join(leaves.select(key).distinct(), key, "left_semi")
@@ -45,10 +48,17 @@ def length_between(rows: DataFrame, seq: str, low: int, high: int) -> DataFrame:
 
 
 def most_per_taxon(rows: DataFrame, prefixes: list[list[str]], cap: int, key: Column, seed: int = 0, literal: bool = True) -> DataFrame:
-    """At most ``cap`` rows for each taxon, by hash; literal: the first rank alone decides, else each rank in turn."""
+    """At most ``cap`` rows for each taxon, by hash; literal: the first rank alone decides, else each rank in turn.
+
+    Up to RANKED rows of a taxon are kept apart in each task before they meet; of more, places come from range partitions.
+    """
     for cols in prefixes[:1] if literal else prefixes:
-        w = Window.partitionBy(*cols).orderBy(S.hashed(key, seed), key)
-        rows = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= cap).drop("__n")
+        if cap <= RANKED:
+            w = Window.partitionBy(*cols).orderBy(S.hashed(key, seed), key)
+            rows = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= cap).drop("__n")
+        else:
+            placed = ordering.numbered(rows.withColumn("__h", S.hashed(key, seed)).withColumn("__k", key), cols, ["__h", "__k"])
+            rows = placed.where(F.col("__place") < cap).select(*rows.columns)
     return rows
 
 

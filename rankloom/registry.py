@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import clustering, curation, evaluation, kmers, logs, mining, neighbours, ordering, taxonomy, trees
+from .operators import clustering, curation, evaluation, kmers, logs, mining, neighbours, ordering, taxonomy, trees, vector_index
 from .plans import adapters as A
 from .plans.adapters import sql
 
@@ -325,6 +325,13 @@ def neighbours_of_all(spark, d):
     return neighbours.nearest(q, b, 5, exclude_self=True).select("q", "b", F.round("d", 6).alias("d"), F.col("place").cast("long").alias("place"))
 
 
+@query("J13_W8_indexed", ORACLE_SQL["J13_W8_neighbours"])
+def indexed(spark, d):
+    q, b = _sides(spark, d)
+    found = vector_index.search(q.select("q", "qv"), vector_index.build(b.select("b", "bv"), 64), 5, exclude_self=True)
+    return found.select("q", "b", F.round("d", 6).alias("d"), F.col("place").cast("long").alias("place"))
+
+
 @query("G10_J14_hierarchical", sql("vecs", f""", s AS (SELECT q.vec_id AS q, b.vec_id AS b, b.r0, b.r1, round(1 - list_dot_product(q.v, b.v), 9) AS d FROM {_MET}),
 z0 AS (SELECT r0, count(*) AS size FROM vecs GROUP BY r0), z1 AS (SELECT r0, r1, count(*) AS size FROM vecs GROUP BY r0, r1),
 n0 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, b) AS n FROM s), v0 AS (SELECT q, r0, round(sum(1 / sqrt(size) / (d * d + 0.000001)), 6) AS v, max(size) AS size FROM n0 JOIN z0 USING (r0) WHERE n <= 75 GROUP BY q, r0),
