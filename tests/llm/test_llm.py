@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -134,6 +135,60 @@ def test_html_of_the_pages(spark):
         assert html_text.main_text(r["html"]) == "\n".join(x for x in want if x), r["page_id"]
 
 
+def test_html_articles_in_forms_and_named_containers():
+    good = "This is the text of the page, and it is long enough to be one of its own for the rules that we have here."
+    for open_, close in (("<div class='tags'>", "</div>"), ("<div class='form'>", "</div>"), ("<form id='aspnetForm'>", "</form>"), ("<div id=newsletter><form>", "</form></div>")):
+        assert html_text.main_text(f"<body>{open_}<article><h1>Title</h1><p>{good}</p></article>{close}<footer>{good}</footer></body>") == f"Title\n{good}"
+    assert html_text.main_text(f"<article class='related'><p>{good}</p></article>") == good
+    assert html_text.main_text(f"<article><p>{good} One.</p></article><article class='related'><p>{good}</p></article>") == good + " One."
+    assert html_text.main_text(f"<div class='promo'><article><p>{good}</p></article></div><div><p>{good} Two.</p></div>") == good + " Two."
+    assert html_text.main_text(f"<form><div><p>{good}</p><p>{good}</p></div></form>") == f"{good}\n{good}"
+    assert html_text.main_text(f"<div><p>{good} Three.</p></div><form><p>{good}</p></form>") == good + " Three."
+    for page in (f"<aside><article><p>{good}</p></article></aside>", f"<article class='comment'><p>{good}</p></article>", f"<div id='respond'><form><article><p>{good}</p></article></form></div>"):
+        assert html_text.main_text(page) == ""
+
+
+def test_html_lists_in_articles():
+    good = "This is the text of the page, and it is long enough to be one of its own for the rules that we have here."
+    page = f"<article><p>{good}</p><ul><li>one item</li><li><a href=x>a linked one</a></li><li>last</li></ul><p>{good}</p><ol><li><a>a</a></li><li><a>b</a></li></ol></article>"
+    assert html_text.main_text(page) == f"{good}\none item\na linked one\nlast\n{good}"
+
+
+def test_html_of_pages_without_article():
+    draw = random.Random(4)
+    words = "the house of that was in it and on for with a river green stone".split()
+    for _ in range(60):
+        parts, want = [], []
+        for _ in range(draw.randrange(2, 6)):
+            text = " ".join(draw.choice(words) for _ in range(draw.randrange(30, 80))) + "."
+            parts.append(f"<h2>Part {len(text)}</h2><p>{text}</p>")
+            want += [f"Part {len(text)}", text]
+        links = "<ul>" + "".join(f"<li><a href=/{k}>{draw.choice(words)}</a></li>" for k in range(5)) + "</ul>"
+        pieces = [links, f"<div class='sidebar'>{parts[0]}</div>", f"<nav>{parts[0]}</nav>", "<script>x<p></script>", "<div class='cookie-banner'>We use it for the good of you.</div>"]
+        draw.shuffle(pieces)
+        page = "<html><body>" + "".join(pieces[:2]) + "<div id=content>" + "".join(parts) + "</div>" + "".join(pieces[2:]) + f"<footer>{parts[0]}</footer></body></html>"
+        assert html_text.main_text(page) == "\n".join(want)
+
+
+def test_html_hostile_pages_take_linear_time():
+    good = "This is the text of the page, and it is long enough to be one of its own for the rules that we have here."
+    for unit in ("<a b='", "<b ", "<b \">\" ", "<a \"", "<!-", "</script", "<x y='>\" ", "<div class=\"a'>", "&lt;<", "<script"):
+        for tail in ("", ">", "'", '"', "' >"):
+            began = time.time()
+            html_text.main_text(f"<article><p>{good}</p>" + unit * (1_000_000 // len(unit)) + tail)
+            assert time.time() - began < 8, (unit, tail)
+    old = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+    draw = random.Random(6)
+    for k in range(4_000):
+        page = "".join(draw.choice("<<<>>ab/ !-'\"=?") for _ in range(draw.randrange(60)))
+        tags, at, got = html_text.Tags(page), 0, []
+        tags.fails = html_text.FAILS * (k % 2)
+        while found := tags.after(at):
+            got.append(found)
+            at = found[1]
+        assert got == [(m.start(), m.end(), bool(m[1] or m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or "") for m in old.finditer(page)], page
+
+
 def test_html_unclosed_elements_end_with_what_is_around_them():
     first, last = "The first of all the texts that are in the world and for the reader of it to see.", "The last of all the texts that are in the world and for the reader of it to see."
     for middle in [
