@@ -37,8 +37,8 @@ def checked_headers(spark, d):
 @query("A3_A4_validated", sql("seqs", "SELECT 'G' || doc_id AS genome_id, substr(dna, 31, length(dna) - 60) AS seq FROM seqs WHERE length(dna) >= 100"))
 def validated(spark, d):
     path = fasta.work_folder(spark, "fasta")
-    fasta.write_fasta(_records(spark, d).where("length(seq) >= 100"), path)
-    got = fasta.validated(fasta.read_fasta(spark, path), trim=30, least=40)
+    fasta.write_fasta(_records(spark, d), path)
+    got = fasta.validated(fasta.read_fasta(spark, path), trim=30, least=40, drop=True)
     return got.select(S.genome_id(F.col("header")).alias("genome_id"), "seq")
 
 
@@ -151,12 +151,12 @@ def point_cap(spark, d):
     return panels.capped(A.tax4(spark, d).select("id"), "id", 500)
 
 
-@query("F26_run_regions", """SELECT run, list_extract((SELECT list(r
+@query("F26_run_regions", """SELECT o_orderkey AS run, list_extract((SELECT list(r
 ORDER BY (r * 1103515245 + 12345) % 2147483648, r)
-FROM range(1, 8) t(r)), (run % 7 + 1)::INT) AS region
-FROM range(20) x(run)""")
+FROM range(1, 8) t(r)), (o_orderkey % 7 + 1)::INT) AS region
+FROM orders""")
 def run_regions(spark, d):
-    return panels.run_regions(spark.range(20).select(F.col("id").alias("run")), list(range(1, 8)))
+    return panels.run_regions(A.table(spark, d, "orders").select(F.col("o_orderkey").alias("run")), list(range(1, 8)))
 
 
 @query("F27_some_regions", """SELECT id, region
@@ -169,9 +169,9 @@ def some_regions(spark, d):
     return panels.some_regions(rows, "id", "region", 2)
 
 
-@query("F23_C9_panel_points", sql("tax4", "SELECT id, r0, r1 FROM tax4 WHERE r1 = 'FRANCE' ORDER BY (id * 1103515245 + 12345) % 2147483648, id LIMIT 25"))
+@query("F23_C9_panel_points", sql("tax4", "SELECT id, r0, r1 FROM tax4 WHERE r2 = 'BUILDING' ORDER BY (id * 1103515245 + 12345) % 2147483648, id LIMIT 25"))
 def panel_points(spark, d):
-    return panels.panel_rows(A.tax4(spark, d), "id", "r1", "FRANCE", 25).select("id", "r0", "r1")
+    return panels.panel_rows(A.tax4(spark, d), "id", "r2", "BUILDING", 25).select("id", "r0", "r1")
 
 
 @query("G17_U4_region_counts_full", sql("preds", "SELECT coalesce(region::VARCHAR, 'All') AS region, count(*) AS n_rows, count(DISTINCT id // 10) AS n_seqs FROM preds GROUP BY ROLLUP (region)"))
@@ -370,6 +370,22 @@ def sampled_congruency(spark, d):
     return got.withColumn("replicate", F.col("replicate").cast("long"))
 
 
+_DISTANCES = {"euclidean": "list_distance(a.v, b.v)", "cosine": "(1 - list_cosine_similarity(a.v, b.v))", "squared": "list_distance(a.v, b.v) ** 2"}
+
+
+@query("G34_pair_congruency", sql("vecs", """, w AS (SELECT vec_id // 5 AS item, vec_id // 5 % 2 AS side, vec_id, v FROM vecs), i AS (SELECT DISTINCT item, side, run, r FROM w, range(2) t(r), range(2) u(run)),
+p AS (SELECT item, side, run, r FROM (SELECT *, row_number() OVER (PARTITION BY run, r, side ORDER BY ((item * 1009 + r + run * 100003) % 2147483648 * 1103515245 + 12369) % 2147483648, item) AS n FROM i) WHERE n <= 20),
+x AS (SELECT run, r, w.item, w.side, vec_id, v FROM w JOIN p ON p.item = w.item)""" + "".join(f""", s_{k} AS (SELECT run, r, avg(d) AS same FROM (SELECT a.run, a.r, a.item, avg({e}) AS d FROM x a JOIN x b ON a.run = b.run AND a.r = b.r AND a.item = b.item AND a.vec_id < b.vec_id GROUP BY ALL) GROUP BY run, r),
+o_{k} AS (SELECT a.run, a.r, avg({e}) AS other FROM x a JOIN x b ON a.run = b.run AND a.r = b.r AND a.side = 0 AND b.side = 1 GROUP BY a.run, a.r)""" for k, e in _DISTANCES.items()) + " UNION ALL ".join(f" SELECT '{k}' AS distance, run::BIGINT AS run, r::BIGINT AS replicate, round(same, 6) AS same, round(other, 6) AS other, round((other - same) / (other + 0.00001), 6) AS ssc FROM s_{k} JOIN o_{k} USING (run, r)" for k in _DISTANCES)))
+def pair_congruency(spark, d):
+    v = A.vecs(spark, d).select("vec_id", "v", F.floor(F.col("vec_id") / 5).alias("item")).withColumn("side", F.col("item") % 2)
+    out = None
+    for k in _DISTANCES:
+        got = evaluation.pair_congruency(v, "item", "v", "side", k, 20, 2, 2).select(F.lit(k).alias("distance"), F.col("run").cast("long").alias("run"), F.col("replicate").cast("long").alias("replicate"), "same", "other", "ssc")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @query("O13_O14_misclassified", sql("preds", """, t AS (SELECT count(*) AS t
 FROM preds),
 w AS (SELECT 'flag' AS rank, true_ AS "true", pred
@@ -543,6 +559,27 @@ def pool_and_sample(spark, d):
     return logs.pool_and_sample(m, m.where("j % 4 = 0"), "rank", "bucket", ["err", "pred"])
 
 
+_STAGES = """, t AS (SELECT rank, i, true_ AS ap, pred AS an, 0.1 AS margin, greatest(0, true_ - pred + 0.1) AS v FROM mined), s AS (SELECT 'pool' AS stage, * FROM t UNION ALL SELECT 'filtered', * FROM t WHERE round(v, 9) > 0 UNION ALL SELECT 'sampled', * FROM t WHERE i % 10 = 0)"""
+
+
+def _stages(spark, d):
+    t = A.mined(spark, d).select("rank", "i", F.col("true").alias("ap"), F.col("pred").alias("an"), F.lit(0.1).alias("margin"))
+    t = t.withColumn("violation", F.greatest(F.lit(0.0), F.col("ap") - F.col("an") + 0.1))
+    return logs.stage_stats({"pool": t, "filtered": t.where(F.round("violation", 9) > 0), "sampled": t.where("i % 10 = 0")}, "rank", ["ap", "an", "violation"])
+
+
+@query("G45_stage_stats", sql("mined", _STAGES + """, u AS (SELECT stage, rank::VARCHAR AS r, unnest(['ap', 'an', 'violation']) AS value, unnest([ap, an, v]) AS x FROM s)
+SELECT stage, coalesce(r, 'All') AS rank, value, """ + _BOX.format(v="x") + " FROM u GROUP BY GROUPING SETS ((stage, value), (stage, value, r))"))
+def stage_stats(spark, d):
+    return _stages(spark, d)[0]
+
+
+@query("G45_stage_satisfaction", sql("mined", _STAGES + """ SELECT stage, coalesce(rank::VARCHAR, 'All') AS rank, count(*) AS n_rows, round(avg((ap >= an)::INT), 6) AS wrong, round(avg((ap < an AND ap + margin > an)::INT), 6) AS inside_margin, round(avg((ap + margin <= an)::INT), 6) AS satisfied
+FROM s GROUP BY GROUPING SETS ((stage), (stage, rank))"""))
+def stage_satisfaction(spark, d):
+    return _stages(spark, d)[1]
+
+
 @query("G45_stage_counts", sql("mined", """SELECT rank::BIGINT AS rank, count(*) AS n_pool, count(*) FILTER (round(pred - true_ + 0.1, 9) > 0) AS n_filtered, count(*) FILTER (i % 10 = 0) AS n_sampled
 FROM mined
 GROUP BY rank"""))
@@ -576,7 +613,7 @@ def domain_counts(spark, d):
 @query("O18_O19_texts", sql("history", """, b AS (SELECT rank, min(loss) AS a, quantile_cont(loss, 0.25) AS q1, quantile_cont(loss, 0.5) AS q2, quantile_cont(loss, 0.75) AS q3, max(loss) AS z FROM history GROUP BY rank)
 SELECT rank, printf('%.3f', round(a, 6)) || '|' || printf('%.3f', round(q2, 6)) || '|-|<' AS told, CASE WHEN rank = 'view' THEN NULL ELSE round(q3 - q1, 5) END AS spread, '1:5,2:7' AS lent FROM b"""))
 def log_texts(spark, d):
-    b = logs.box_stats(A.history(spark, d), [["rank"]], "loss")
+    b = logs.box_stats(A.history(spark, d), [["rank"]], {"loss": F.col("loss")})
     low = F.when(F.col("rank") != "view", F.col("least"))
     five = logs.five_numbers("low", "p25", "median", "p75", "most")
     told = S.joined(F.array(F.col("least"), F.col("median"), F.lit(None).cast("double"), F.lit(0.0001)), 3)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.shared import written
 from . import ordering
 
 #: Rows of a group up to which Spark cuts a ranking off in each task before the shuffle.
@@ -105,8 +106,11 @@ def _by_hash(rows: DataFrame, key: str, seed: int, inside: tuple[str, ...]) -> D
 
 
 def excluded_taxa(rows: DataFrame, rank: str, low: int, high: int, n: int) -> DataFrame:
-    """n taxa of a size, by name hash."""
-    return rows.groupBy(rank).agg(F.count("*").alias("n_rows")).where(F.col("n_rows").between(low, high)).orderBy(F.crc32(F.col(rank).cast("binary")), rank).limit(n)
+    """n taxa of a size, in the order of their names' hashes; an error where there are fewer."""
+    found = rows.groupBy(rank).agg(F.count("*").alias("n_rows")).where(F.col("n_rows").between(low, high)).orderBy(F.sha2(F.col(rank).cast("string"), 256), rank).limit(n)
+    had = found.agg(F.count("*").alias("__had"))
+    enough = F.when(F.col("__had") < n, F.raise_error(F.concat(F.lit(f"fewer than {n} taxa of that size: "), F.col("__had").cast("string")))).otherwise(True)
+    return had.where(enough).join(F.broadcast(found)).drop("__had")
 
 
 def length_stats(rows: DataFrame, seq: str, group: str) -> DataFrame:
@@ -119,11 +123,10 @@ def length_stats(rows: DataFrame, seq: str, group: str) -> DataFrame:
         F.round(F.when(total > 1, F.sqrt(F.greatest(F.lit(0.0), spread))), 6).alias("std"),
     ]
     points = {"p1": 0.01, "p10": 0.1, "median": 0.5, "p90": 0.9, "p99": 0.99}
-    parts = []
-    for g in (F.lit("All"), F.coalesce(F.col(group).cast("string"), F.lit("All"))):
-        counted = sizes.groupBy(g.alias(group), "__len").agg(F.sum("__w").alias("__w"))
-        parts.append(ordering.weighted_quantiles(counted, [group], "__len", "__w", points, stats))
-    return parts[0].unionByName(parts[1])
+    named = F.when(F.col("__all"), F.lit("All")).otherwise(F.coalesce(F.col(group).cast("string"), F.lit("All")))
+    both = sizes.select(F.explode(F.array(F.lit(True), F.lit(False))).alias("__all"), group, "__len", "__w")
+    counted = written(both.groupBy("__all", named.alias(group), "__len").agg(F.sum("__w").alias("__w")), "lengths")
+    return ordering.weighted_quantiles(counted, ["__all", group], "__len", "__w", points, stats).drop("__all")
 
 
 def funnel(rows: DataFrame, steps: list[tuple[str, Column]], group: str | None = None) -> DataFrame:
@@ -143,10 +146,15 @@ def funnel(rows: DataFrame, steps: list[tuple[str, Column]], group: str | None =
     return out.withColumn("percent", F.round(F.try_divide(100 * F.col("removed"), F.col("removed") + F.col("remaining")), 6))
 
 
-def duplicate_depth(rows: DataFrame, seq: str, ranks: list[str]) -> DataFrame:
-    """For each repeated sequence the deepest rank its rows share, counted: (rank, n_sequences, n_extra)."""
-    agg = rows.groupBy(seq).agg(F.count("*").alias("c"), *[(F.min(r).eqNullSafe(F.max(r))).alias(r) for r in ranks]).where("c > 1")
+def duplicate_depth(rows: DataFrame, seq: str, ranks: list[str], genome: str | None = None) -> DataFrame:
+    """For each repeated sequence the deepest level its rows share, counted: (rank, n_sequences, n_extra, longest).
+
+    A genome column is a level below the ranks. Sequences meet by length and SHA-256, so none of them is moved.
+    """
+    levels = [*ranks, *([genome] if genome else [])]
+    keyed = rows.select(F.length(seq).alias("__len"), F.unhex(F.sha2(F.col(seq), 256)).alias("__sha"), *levels)
+    agg = keyed.groupBy("__len", "__sha").agg(F.count("*").alias("c"), *[(F.min(r).eqNullSafe(F.max(r))).alias(r) for r in levels]).where("c > 1")
     depth = F.lit("none")
-    for r in ranks:
+    for r in levels:
         depth = F.when(F.col(r), r).otherwise(depth)
-    return agg.groupBy(depth.alias("rank")).agg(F.count("*").alias("n_sequences"), F.sum(F.col("c") - 1).alias("n_extra"))
+    return agg.groupBy(depth.alias("rank")).agg(F.count("*").alias("n_sequences"), F.sum(F.col("c") - 1).alias("n_extra"), F.max("__len").cast("long").alias("longest"))

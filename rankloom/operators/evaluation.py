@@ -6,11 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..plans.shared import written
 from . import ordering
+from .neighbours import matrix
 
 
 def valid(pred: Column, in_train: Column, missing_counts: bool = True) -> Column:
@@ -121,9 +124,46 @@ def agreement(rows: DataFrame, label: str, cluster: str) -> DataFrame:
     return one.select(F.round(h, 6).alias("homogeneity"), F.round(c, 6).alias("completeness"), F.round(F.when(h + c == 0, 0.0).otherwise(2 * h * c / (h + c)), 6).alias("v_measure"), F.round(ari, 6).alias("adjusted_rand"))
 
 
+#: Numbers of common rows that are summed up at once.
+STRIDE = 1 << 16
+
+
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """log n! to about 1e-15 of its size: summed up to 255, then Stirling's series."""
+    small = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 256)))])
+    x = np.maximum(n, 1).astype(np.float64) + 1
+    series = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(n < 256, small[np.minimum(n, 255)], series)
+
+
+def expected_information(a: int, b: int, n: int) -> float:
+    """Expected contribution of a label of a rows and a cluster of b rows, of n in all, to their information where clusters are drawn at random.
+
+    The number k of common rows is hypergeometric. Its probability at the mode comes from log-gamma; from there on to
+    both sides each is the last one times the ratio of neighbours, until none is left that counts. Memory is STRIDE numbers,
+    whatever the number of rows; terms are as many as lie around the mode.
+    """
+    low, high = max(0, a + b - n), min(a, b)
+    mode = min(high, max(low, (a + 1) * (b + 1) // (n + 2)))
+    at = np.array([a, b, n - a, n - b, n, mode, a - mode, b - mode, n - a - b + mode])
+    f = _log_factorial(at)
+    peak = math.exp(f[0] + f[1] + f[2] + f[3] - f[4] - f[5] - f[6] - f[7] - f[8])
+    term = lambda k: np.where(k > 0, k / n * (np.log(np.maximum(k, 1.0)) + math.log(n) - math.log(a) - math.log(b)), 0.0)
+    total = float(peak * term(np.array([float(mode)]))[0])
+    for step in (1, -1):
+        last, k = peak, mode
+        while last > peak * 1e-18 and (k < high if step > 0 else k > low):
+            end = min(high, k + STRIDE) if step > 0 else max(low, k - STRIDE)
+            here = np.arange(k, end, step, dtype=np.float64)  # ratios from each of these to the next
+            ratio = (a - here) * (b - here) / ((here + 1) * (n - a - b + here + 1)) if step > 0 else here * (n - a - b + here) / ((a - here + 1) * (b - here + 1))
+            p = last * np.cumprod(ratio)
+            total += float((p * term(here + step)).sum())
+            last, k = float(p[-1]), end
+    return total
+
+
 def adjusted_mutual_information(rows: DataFrame, label: str, cluster: str) -> DataFrame:
-    """One row: ami. The expected information follows from the margins' sizes alone: equal sizes are grouped, and each pair of
-    sizes is one vectorised sum of log-gamma terms in Arrow batches."""
+    """One row: ami. The expected information follows from the margins' sizes alone: equal sizes are grouped, and each pair of sizes is one sum."""
     t = contingency(rows, label, cluster)
     margins = t.select("label", "a", "total").distinct().groupBy("a", "total").agg(F.count("*").alias("na"))
     others = t.select("cluster", "b").distinct().groupBy("b").agg(F.count("*").alias("nb"))
@@ -132,19 +172,9 @@ def adjusted_mutual_information(rows: DataFrame, label: str, cluster: str) -> Da
 
     @F.pandas_udf("double")
     def expected(a: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-        if not len(a):
-            return pd.Series([], dtype="float64")
-        top = int(n.max())
-        # log-gamma of the whole numbers up to n, as running sums of logarithms
-        lg = np.concatenate([[0.0, 0.0], np.cumsum(np.log(np.arange(1, top + 1)))])
-        out = np.zeros(len(a))
-        for at, (x, y, z) in enumerate(zip(a.astype(int), b.astype(int), n.astype(int), strict=True)):
-            k = np.arange(max(1, x + y - z), min(x, y) + 1)
-            fixed = lg[x + 1] + lg[y + 1] + lg[z - x + 1] + lg[z - y + 1] - lg[z + 1]
-            out[at] = (k / z * np.log(z * k / (x * y)) * np.exp(fixed - lg[k + 1] - lg[x - k + 1] - lg[y - k + 1] - lg[z - x - y + k + 1])).sum()
-        return pd.Series(out)
-
-    emi = pairs.agg(F.sum(F.col("m") * expected("a", "b", "total")).alias("emi"))
+        return pd.Series([expected_information(int(x), int(y), int(z)) for x, y, z in zip(a, b, n, strict=True)], dtype="float64")
+
+    emi = pairs.repartition(F.col("a"), F.col("b")).agg(F.sum(F.col("m") * expected("a", "b", "total")).alias("emi"))
     n, a, b, m = (F.col(c).cast("double") for c in ("n", "a", "b", "total"))
     mi = t.agg(F.sum(n / m * F.log(n * m / (a * b))).alias("mi"))
     hc = t.select("label", "a", "total").distinct().agg(F.sum(-a / m * F.log(a / m)).alias("hc"))
@@ -263,3 +293,55 @@ def sampled_congruency(vectors: DataFrame, item: str, vector: str, side: str, n:
     b = sets.where(F.col(side) == 1).select("replicate", "at", (F.col("s") / F.col("m")).alias("m1"), (F.col("q") / F.col("m")).alias("q1"))
     other = a.join(b, ["replicate", "at"]).groupBy("replicate").agg((F.max("q0") + F.max("q1") - 2 * F.sum(F.col("m0") * F.col("m1"))).alias("other"))
     return inside.join(other, "replicate").select("replicate", F.round("same", 6).alias("same"), F.round("other", 6).alias("other"), F.round((F.col("other") - F.col("same")) / (F.col("other") + eps), 6).alias("ssc"))
+
+
+DISTANCES = ("squared", "euclidean", "cosine")
+
+
+def pair_congruency(vectors: DataFrame, item: str, vector: str, side: str, distance: str, n: int, runs: int, replicates: int, seed: int = 24, eps: float = 1e-5) -> DataFrame:
+    """(run, replicate, same, other, ssc): like sampled_congruency, by the distances of pairs: squared, euclidean or cosine; with its runs and replicates.
+
+    An item's own vectors, one for each region, are few and meet in one task. same: mean distance of all pairs inside an item, averaged over the items drawn; other: mean distance between the vectors of the
+    items drawn of both sides. A replicate has at most 2 n items; its pairs are made block against block in tasks, one group for each
+    replicate and block of one side, and come out as sums.
+    """
+    if distance not in DISTANCES:
+        raise ValueError(f"distance must be one of {DISTANCES}")
+    items = vectors.select(item, side).distinct()
+    upto = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    items = items.select(item, side, upto(runs).alias("run")).select(item, side, "run", upto(replicates).alias("replicate"))
+    items = items.withColumn("__h", S.hashed(F.col(item) * 1_009 + F.col("replicate") + F.col("run") * 100_003, seed))
+    drawn = written(ordering.numbered(items, ["run", "replicate", side], ["__h", item]).where(F.col("__place") < n).select("run", "replicate", item), "drawn")
+    v = vectors.select(item, F.col(side).alias("side"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    held = drawn.join(v, item).select("run", "replicate", F.col(item).cast("string").alias("item"), F.col("side").cast("int").alias("side"), "v")
+
+    def inside(part: pa.Table) -> pa.Table:
+        """The mean distance of an item's pairs."""
+        x = matrix(part.column("v").combine_chunks())
+        total = sum(float(_paired(x[k : k + 512], x[k:], distance)[np.triu_indices(len(x[k : k + 512]), 1, len(x) - k)].sum()) for k in range(0, len(x), 512))
+        m = len(x)
+        return pa.table({"run": [part.column("run")[0].as_py()], "replicate": [part.column("replicate")[0].as_py()], "w": [total / (m * (m - 1) / 2) if m > 1 else None]}, schema=pa.schema([("run", pa.int32()), ("replicate", pa.int32()), ("w", pa.float64())]))
+
+    same = held.groupBy("run", "replicate", "item").applyInArrow(inside, "run int, replicate int, w double").groupBy("run", "replicate").agg(F.avg("w").alias("same"))
+
+    # Blocks of one side meet the other side's blocks: as many copies of a vector as the other side has blocks.
+    blocks = max(1, -(-n // 256))
+    mine = F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int")
+    spread = held.withColumn("mine", mine).withColumn("theirs", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    spread = spread.select("run", "replicate", "side", "v", F.when(F.col("side") == 0, F.col("mine")).otherwise(F.col("theirs")).alias("a"), F.when(F.col("side") == 0, F.col("theirs")).otherwise(F.col("mine")).alias("b"))
+
+    def between(part: pa.Table) -> pa.Table:
+        x, which = matrix(part.column("v").combine_chunks()), part.column("side").to_numpy()
+        d = [_paired(x[which == 0][k : k + 512], x[which == 1], distance) for k in range(0, int((which == 0).sum()), 512)]
+        return pa.table({"run": [part.column("run")[0].as_py()], "replicate": [part.column("replicate")[0].as_py()], "s": [float(sum(y.sum() for y in d))], "m": [int(sum(y.size for y in d))]}, schema=pa.schema([("run", pa.int32()), ("replicate", pa.int32()), ("s", pa.float64()), ("m", pa.int64())]))
+
+    other = spread.groupBy("run", "replicate", "a", "b").applyInArrow(between, "run int, replicate int, s double, m long").groupBy("run", "replicate").agg((F.sum("s") / F.sum("m")).alias("other"))
+    return same.join(other, ["run", "replicate"]).select("run", "replicate", F.round("same", 6).alias("same"), F.round("other", 6).alias("other"), F.round((F.col("other") - F.col("same")) / (F.col("other") + eps), 6).alias("ssc"))
+
+
+def _paired(x: np.ndarray, y: np.ndarray, distance: str) -> np.ndarray:
+    if distance == "cosine":
+        length = lambda z: np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-8)
+        return 1 - (x / length(x)) @ (y / length(y)).T
+    d = np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1), 0.0)
+    return np.sqrt(d) if distance == "euclidean" else d

@@ -17,17 +17,14 @@ def plain_stats(col: str) -> list[Column]:
     return [F.round(F.min(col), 6).alias("least"), F.round(F.max(col), 6).alias("most"), F.round(F.avg(col), 6).alias("mean"), F.round(F.stddev_samp(col), 6).alias("std")]
 
 
-def box_stats(rows: DataFrame, sets: list[list[str]], value: str, more: list[Column] | None = None) -> DataFrame:
-    """(columns of all sets, n_rows, statistics, quantiles): once for each set of columns; 'All' stands for what a set doesn't group by."""
-    names = list(dict.fromkeys(c for s in sets for c in s))
-    parts = []
-    for by in sets:
-        keyed = rows.select(*[(F.col(c).cast("string") if c in by else F.lit("All")).alias(c) for c in names], *[F.col(c) for c in rows.columns if c not in names])
-        parts.append(ordering.with_quantiles(keyed, names, value, POINTS, [F.count("*").alias("n_rows"), *plain_stats(value), *(more or [])]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def box_stats(rows: DataFrame, sets: list[list[str]], values: dict[str, Column], by: list[str] | None = None, more: list[Column] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(by, columns of all sets, value, n_rows, statistics, more, quantiles): of each value once for each set of columns; 'All' stands for what a set doesn't group by.
+
+    All sets and values are one table of counted values, so they share one ordering. ``more`` aggregates the columns of ``keep``.
+    """
+    long = ordering.long_form(rows, sets, values, [*(by or []), *(keep or [])])
+    groups = [*(by or []), *dict.fromkeys(c for s in sets for c in s), "value"]
+    return ordering.with_quantiles(long, groups, "x", POINTS, [F.count("*").alias("n_rows"), *plain_stats("x"), *(more or [])])
 
 
 def five_numbers(least: str, low: str, middle: str, high: str, most: str) -> Column:
@@ -42,7 +39,7 @@ def five_numbers(least: str, low: str, middle: str, high: str, most: str) -> Col
 def loss_stats(rows: DataFrame, rank: str, bucket: str, loss: str) -> DataFrame:
     """(rank, bucket, n_rows, statistics): overall, by rank and by bucket; 'All' stands for what isn't grouped."""
     held = rows.select(F.col(rank).alias("rank"), F.col(bucket).alias("bucket"), F.col(loss).alias(loss))
-    return box_stats(held, [[], ["rank"], ["bucket"]], loss)
+    return box_stats(held, [[], ["rank"], ["bucket"]], {"loss": F.col(loss)}).drop("value")
 
 
 def satisfaction(triplets: DataFrame, by: list[str]) -> DataFrame:
@@ -94,7 +91,7 @@ def pair_loss_stats(pairs: DataFrame, rank: str, bucket: str, true: str = "true"
     diff = F.col(pred) - F.col(true)
     held = pairs.select(F.col(rank).alias("rank"), F.col(bucket).alias("bucket"), F.abs(diff).alias("abs_err"), (F.abs(diff) / F.greatest(F.col(true), F.lit(eps))).alias("__rel"), F.signum(diff).alias("__sign"))
     more = [F.round(F.avg("__rel"), 6).alias("mean_rel"), F.count_if(F.col("__sign") > 0).alias("n_over"), F.count_if(F.col("__sign") < 0).alias("n_under"), F.count_if(F.col("__sign") == 0).alias("n_equal")]
-    return box_stats(held, [[], ["rank"], ["bucket"]], "abs_err", more)
+    return box_stats(held, [[], ["rank"], ["bucket"]], {"abs_err": F.col("abs_err")}, more=more, keep=["__rel", "__sign"]).drop("value")
 
 
 def region_rank_matrix(pairs: DataFrame, region_a: str, region_b: str, rank: str, err: str) -> DataFrame:
@@ -106,13 +103,20 @@ def region_rank_matrix(pairs: DataFrame, region_a: str, region_b: str, rank: str
 
 def pool_and_sample(pool: DataFrame, sample: DataFrame, rank: str, bucket: str, values: list[str]) -> DataFrame:
     """(source, value, rank, bucket, n_rows, statistics): the pool that a batch was drawn from beside what was drawn, for each value, overall, by rank and by bucket."""
-    out = None
-    for source, rows in (("pool", pool), ("sample", sample)):
-        for v in values:
-            held = rows.select(F.col(rank).alias("rank"), F.col(bucket).alias("bucket"), F.col(v).cast("double").alias("x"))
-            got = box_stats(held, [[], ["rank"], ["bucket"]], "x").select(F.lit(source).alias("source"), F.lit(v).alias("value"), "*")
-            out = got if out is None else out.unionByName(got)
-    return out
+    held = lambda rows, source: rows.select(F.lit(source).alias("source"), F.col(rank).alias("rank"), F.col(bucket).alias("bucket"), *[F.col(v).cast("double").alias(f"__v{k}") for k, v in enumerate(values)])
+    both = held(pool, "pool").unionByName(held(sample, "sample"))
+    return box_stats(both, [[], ["rank"], ["bucket"]], {v: F.col(f"__v{k}") for k, v in enumerate(values)}, by=["source"])
+
+
+def stage_stats(stages: dict[str, DataFrame], rank: str, values: list[str], ap: str = "ap", an: str = "an", margin: str = "margin") -> tuple[DataFrame, DataFrame]:
+    """(statistics, satisfaction) of the triplets that each stage of mining leaves: (stage, rank, value, n_rows, statistics) and (stage, rank, n_rows, wrong, inside_margin, satisfied), overall and by rank."""
+    both = None
+    for name, rows in stages.items():
+        got = rows.select(F.lit(name).alias("stage"), F.col(rank).alias("rank"), F.col(ap).alias("ap"), F.col(an).alias("an"), F.col(margin).alias("margin"), *[F.col(v).cast("double").alias(f"__v{k}") for k, v in enumerate(values)])
+        both = got if both is None else both.unionByName(got)
+    stats = box_stats(both, [[], ["rank"]], {v: F.col(f"__v{k}") for k, v in enumerate(values)}, by=["stage"])
+    long = both.withColumn("rank", F.explode(F.array(F.lit("All"), F.col("rank").cast("string"))))
+    return stats, satisfaction(long, ["stage", "rank"])
 
 
 def stage_counts(stages: dict[str, DataFrame], by: list[str]) -> DataFrame:

@@ -10,12 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.shared import written
+from ..plans.shared import Scratch, written
 
 
-def spread(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+#: Rows of a few numbers each that may meet in one task.
+FEW = 200_000
+
+
+def spread(rows: DataFrame, by: list[str], order: list[str], scratch: Scratch | None = None) -> DataFrame:
     """rows, range-partitioned by group and order, with their partition in ``__p``; written, so that it stays what it is."""
-    return written(rows.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()), "ordered")
+    return (scratch.write if scratch else written)(rows.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()), "ordered")
 
 
 def _before(parts: DataFrame, by: list[str], value: str) -> Column:
@@ -45,9 +49,9 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], place: str = "__p
     return out.drop("__p", "__i", "__b", *([] if size == "__all" else ["__all"]))
 
 
-def cumulated(rows: DataFrame, by: list[str], order: list[str], weight: str, name: str, total: str | None = None) -> DataFrame:
+def cumulated(rows: DataFrame, by: list[str], order: list[str], weight: str, name: str, total: str | None = None, scratch: Scratch | None = None) -> DataFrame:
     """rows with the sum of a weight over the rows before them in their group, and over all of the group if it is named."""
-    cut = spread(rows, by, order)
+    cut = spread(rows, by, order, scratch)
     sums = cut.groupBy(*by, "__p").agg(F.sum(weight).alias("__c"))
     sums = sums.select(*by, "__p", _before(sums, by, "__c").alias("__b"), F.sum("__c").over(Window.partitionBy(*by)).alias("__all"))
     inside = F.sum(weight).over(Window.partitionBy("__p", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
@@ -60,11 +64,18 @@ def cumulated(rows: DataFrame, by: list[str], order: list[str], weight: str, nam
 def quantiles(rows: DataFrame, by: list[str], value: str, points: list[float], name: str = "q", weight: str | None = None) -> DataFrame:
     """(by, n_rows, name): interpolated quantiles of a value inside each group as array<double>; nulls don't count.
 
-    Equal values are counted first (or come counted, with their weight), so a group of few values is small at once.
+    Equal values are counted first (or come counted, with their weight) and written once. Up to FEW counted values are
+    summed up group by group; more go over range partitions. The result is written, a row for each group, and what led up to it removed.
     """
+    scratch = Scratch(rows.sparkSession)
     one = F.count("*") if weight is None else F.sum(weight)
-    held = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(one.alias("__w"))
-    at = cumulated(held, by, [value], "__w", "__from", "n_rows").withColumn("__v", F.col(value).cast("double")).withColumn("__upto", F.col("__from") + F.col("__w"))
+    held = scratch.write(rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(one.alias("__w")), "counted")
+    if held.count() <= FEW:
+        upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        at = held.withColumn("__from", F.coalesce(F.sum("__w").over(upto), F.lit(0))).withColumn("n_rows", F.sum("__w").over(Window.partitionBy(*by)))
+    else:
+        at = cumulated(held, by, [value], "__w", "__from", "n_rows", scratch)
+    at = at.withColumn("__v", F.col(value).cast("double")).withColumn("__upto", F.col("__from") + F.col("__w"))
     place = lambda p: F.lit(float(p)) * (F.col("n_rows") - 1)
     low, high = [F.floor(F.round(place(p), 9)) for p in points], [F.ceil(F.round(place(p), 9)) for p in points]
     inside = lambda k: (F.col("__from") <= k) & (k < F.col("__upto"))
@@ -74,7 +85,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, points: list[float], n
     ends = [x for p in range(len(points)) for x in (F.max(F.when(inside(low[p]), F.col("__v"))).alias(f"__l{p}"), F.max(F.when(inside(high[p]), F.col("__v"))).alias(f"__h{p}"))]
     got = at.where(needed).groupBy(*by, "n_rows").agg(*ends)
     between = [F.col(f"__l{k}") + (F.col(f"__h{k}") - F.col(f"__l{k}")) * (place(p) - F.floor(F.round(place(p), 9))) for k, p in enumerate(points)]
-    return got.select(*by, "n_rows", F.array(*between).alias(name))
+    return scratch.result(got.select(*by, "n_rows", F.array(*between).alias(name)), "quantiles")
 
 
 def _beside(got: DataFrame, by: list[str], q: DataFrame, points: dict[str, float]) -> DataFrame:
@@ -91,6 +102,15 @@ def weighted_quantiles(counted: DataFrame, by: list[str], value: str, weight: st
     return _beside(counted.groupBy(*by).agg(*stats), by, quantiles(counted, by, value, list(points.values()), "__q", weight), points)
 
 
+def long_form(rows: DataFrame, sets: list[list[str]], values: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
+    """(columns of all sets, value, x, keep..): each row once for each set of columns and each value; 'All' stands for what a set doesn't group by."""
+    names = list(dict.fromkeys(c for s in sets for c in s))
+    forms = [
+        F.struct(*[(F.col(c).cast("string") if c in by else F.lit("All")).alias(c) for c in names], F.lit(v).alias("value"), x.cast("double").alias("x")) for by in sets for v, x in values.items()
+    ]
+    return rows.select(F.explode(F.array(*forms)).alias("__f"), *(keep or [])).select("__f.*", *(keep or []))
+
+
 def carried_on(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """rows in which a missing value is the last one before it in its group, across partitions too."""
     cut = spread(rows, by, order)

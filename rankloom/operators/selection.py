@@ -40,7 +40,7 @@ def thresholds(rows: DataFrame, by: str, value: str, need: dict) -> dict:
         low, high = of_group(by, {g: e[0] for g, e in open_.items()}, 0), of_group(by, {g: e[1] for g, e in open_.items()}, -1)
         width = of_group(by, {g: min(s, (1 << 63) - 1) for g, s in step.items()}, 1)
         inside = asked.where(F.col("v").between(low, high))
-        place = F.floor((F.col("v").cast("decimal(38,0)") - low) / width).cast("int")
+        place = F.call_function("div", F.col("v").cast("decimal(38,0)") - low, width).cast("int")
         got: dict = {}
         for r in inside.groupBy(by, place.alias("k")).agg(F.count("*").alias("n")).collect():
             got.setdefault(r[by], []).append((r["k"], r["n"]))
@@ -54,27 +54,32 @@ def thresholds(rows: DataFrame, by: str, value: str, need: dict) -> dict:
 
 
 def first_rows(rows: DataFrame, by: str, order: str, tie: str, cap: int | dict, scratch: Scratch | None = None) -> DataFrame:
-    """rows, at most ``cap`` (or cap[group]) of each group: those with the smallest order, among equals with the smallest tie. Both are whole numbers.
+    """rows, at most ``cap`` (or cap[group]) of each group: those with the smallest order, among equals with the smallest tie, among equals in both any. Order and tie are whole numbers.
 
-    A group of fewer rows stays whole. Rows are read a few times, so they should come from a written table, or are written here.
+    A group of fewer rows stays whole. The rows are written first, as they are read a few times.
     """
-    own = scratch or Scratch(rows.sparkSession)
-    rows = own.write(rows, "candidates")
+    own, number = scratch or Scratch(rows.sparkSession), "__row"
+    while number in rows.columns:
+        number += "_"
+    rows = own.write(rows.withColumn(number, F.monotonically_increasing_id()), "candidates")
     have = counts(rows, by)
-    most = {g: cap if isinstance(cap, int) else cap.get(g, 0) for g in have}
-    need = {g: n for g, n in most.items() if 0 < n < have[g]}
-    at = thresholds(rows, by, order, need) if need else {}
-    least = -(1 << 63)
-    below = F.col(order) < of_group(by, {g: t for g, (t, _) in at.items()}, least)
-    equal = F.col(order) == of_group(by, {g: t for g, (t, _) in at.items()}, least)
-    free = of_group(by, {g: True for g in have if g not in at and most[g] >= have[g]}, False)
-    # Among rows that stand at the threshold itself the tie decides, by a threshold of its own.
-    left = {g: need[g] - n for g, (_, n) in at.items()}
-    edge = rows.where(equal & of_group(by, dict.fromkeys(at, True), False))
-    met = counts(edge, by) if at else {}
-    ties = thresholds(edge, by, tie, {g: left[g] for g in met if left[g] < met[g]}) if any(left[g] < met[g] for g in met) else {}
-    taken = equal & (F.col(tie) <= of_group(by, {g: ties[g][0] if g in ties else (1 << 63) - 1 for g in at}, least))
-    return rows.where(free | (of_group(by, dict.fromkeys(at, True), False) & (below | taken)))
+    left = {g: cap if isinstance(cap, int) else cap.get(g, 0) for g in have}
+    kept, edge = F.lit(False), F.lit(True)
+    among = lambda groups: of_group(by, dict.fromkeys(groups, True), False)
+    # Rows at the threshold of one column are told apart by the next; no two rows have one number.
+    for column in (order, tie, number):
+        kept = kept | edge & among([g for g, n in have.items() if left[g] >= n])
+        need = {g: left[g] for g, n in have.items() if 0 < left[g] < n}
+        if not need:
+            return rows.where(kept).drop(number)
+        at = thresholds(rows.where(edge), by, column, need)
+        edge = edge & among(need)
+        value = of_group(by, {g: t for g, (t, _) in at.items()}, 0)
+        kept = kept | edge & (F.col(column) < value)
+        edge = edge & (F.col(column) == value)
+        left = {g: need[g] - n for g, (_, n) in at.items()}
+        have = counts(rows.where(edge), by)
+    return rows.where(kept | edge).drop(number)
 
 
 def shortages(rows: DataFrame, by: str, cap: int) -> DataFrame:

@@ -111,15 +111,15 @@ def top_taxa(spark, d):
     return curation.top_taxa(A.tax4(spark, d), "r1", "id", 10)
 
 
-@query("F14_excluded_taxa", sql("tax4", "SELECT r1, count(*) AS n_rows FROM tax4 GROUP BY r1 HAVING count(*) BETWEEN 40 AND 10000 ORDER BY r1"))
+@query("F14_excluded_taxa", sql("tax4", "SELECT r1, count(*) AS n_rows FROM tax4 GROUP BY r1 HAVING count(*) BETWEEN 3 AND 100000 ORDER BY sha256(r1), r1 LIMIT 7"))
 def excluded(spark, d):
-    return curation.excluded_taxa(A.tax4(spark, d), "r1", 40, 10000, 1000)
+    return curation.excluded_taxa(A.tax4(spark, d), "r1", 3, 100_000, 7)
 
 
 @query("F15_random_split", sql("tax4", "SELECT id, row_number() OVER (ORDER BY (id * 1103515245 + 12345) % 2147483648, id) <= (SELECT floor(count(*) * 0.2) FROM tax4) AS is_test FROM tax4"))
 def split(spark, d):
     t = A.tax4(spark, d).select("id")
-    test = curation.first_by_hash(t, "id", int(t.count() * 0.2)).withColumn("is_test", F.lit(True))
+    test = curation.share_by_hash(t, "id", 0.2, down=True).withColumn("is_test", F.lit(True))
     return t.join(test, "id", "left").select("id", F.coalesce("is_test", F.lit(False)).alias("is_test"))
 
 
@@ -160,14 +160,15 @@ def funnel(spark, d):
     return curation.funnel(A.seqs(spark, d), [("short", n >= 40), ("long", n <= 600), ("language", F.col("lang") != "fr")], "lang")
 
 
-@query("G4_duplicate_depth", """WITH g AS (SELECT text, count(*) AS c, count(DISTINCT lang) AS l, count(DISTINCT source) AS s
+@query("G4_duplicate_depth", """WITH g AS (SELECT text, count(*) AS c, count(DISTINCT lang) AS l, count(DISTINCT source) AS s, count(DISTINCT doc_id % 3) AS m
 FROM documents
 GROUP BY text
-HAVING count(*) > 1) SELECT CASE WHEN s = 1 THEN 'source' WHEN l = 1 THEN 'lang' ELSE 'none' END AS rank, count(*) AS n_sequences, sum(c - 1)::BIGINT AS n_extra
+HAVING count(*) > 1) SELECT CASE WHEN m = 1 THEN 'genome' WHEN s = 1 THEN 'source' WHEN l = 1 THEN 'lang' ELSE 'none' END AS rank, count(*) AS n_sequences, sum(c - 1)::BIGINT AS n_extra, max(length(text))::BIGINT AS longest
 FROM g
 GROUP BY 1""")
 def duplicate_depth(spark, d):
-    return curation.duplicate_depth(A.table(spark, d, "documents").select("text", "lang", "source"), "text", ["lang", "source"])
+    rows = A.table(spark, d, "documents").select("text", "lang", "source", (F.col("doc_id") % 3).alias("genome"))
+    return curation.duplicate_depth(rows, "text", ["lang", "source"], "genome")
 
 
 # Taxa

@@ -43,10 +43,12 @@ def read_regions(spark: SparkSession, folder: str, use_full: bool = True) -> Dat
     return rows if use_full else rows.where("region_id <> 'FULL'")
 
 
-def validated(records: DataFrame, trim: int = 0, least: int = 40, ambiguous: bool = False) -> DataFrame:
-    """Trimmed sequences; a short one or, unless allowed, a letter outside ACGT is an error."""
+def validated(records: DataFrame, trim: int = 0, least: int = 40, ambiguous: bool = False, drop: bool = False) -> DataFrame:
+    """Trimmed sequences; a short one or, unless allowed, a letter outside ACGT is an error, or is left out if dropping is asked for."""
     seq = S.trimmed(F.upper("seq"), trim) if trim else F.upper("seq")
     bad = (F.length("s") < least) | (F.lit(False) if ambiguous else ~F.col("s").rlike("^[ACGT]*$"))
+    if drop:
+        return records.withColumn("s", seq).where(~bad).withColumn("seq", F.col("s")).drop("s")
     checked = F.when(bad, F.raise_error(F.concat(F.lit("invalid sequence: "), "header"))).otherwise(F.col("s"))
     return records.withColumn("s", seq).withColumn("seq", checked).drop("s")
 

@@ -12,21 +12,18 @@ from rankloom.operators import batches, curation, mining, selection
 from rankloom.plans.shared import Scratch
 
 
-@pytest.mark.parametrize("seed, spread, ranges", [(1, 10, 4), (2, 1 << 62, 4096), (3, 3, 2), (4, 100_000, 16)])
+@pytest.mark.parametrize("seed, spread, ranges", [(2, 1 << 62, 4096), (3, 3, 2), (4, 100_000, 16)])
 def test_first_rows_equal_a_sort(spark, monkeypatch, seed, spread, ranges):
     monkeypatch.setattr(selection, "RANGES", ranges)
     draw = random.Random(seed)
     rows = [(draw.choice([-1, 0, 3, None]), draw.randrange(-spread, spread), draw.randrange(5 if seed == 3 else 1 << 62), k) for k in range(400)]
     df = spark.createDataFrame(rows, "rank int, o long, t long, id long")
-    for cap in (0, 1, 7, 90, 1_000, {0: 5, 3: 1_000}):
+    for cap in (0, 7, {0: 5, 3: 1_000}):
         got = selection.first_rows(df, "rank", "o", "t", cap).collect()
         for g in (-1, 0, 3, None):
             n = cap if isinstance(cap, int) else cap.get(g, 0)
             mine, want = sorted((r["o"], r["t"]) for r in got if r["rank"] == g), sorted((o, t) for r, o, t, _ in rows if r == g)
-            if seed != 3:
-                assert mine == want[:n]
-            else:  # rows that are equal in both come together
-                assert mine[:n] == want[:n] and all(x == mine[n - 1] for x in mine[n:]) if n else not mine
+            assert mine == want[:n]
     assert selection.first_rows(df.limit(0), "rank", "o", "t", 3).count() == 0
     short = {r["rank"]: (r["wanted"], r["have"], r["short"]) for r in selection.shortages(df, "rank", 1_000).collect()}
     assert short[0] == (1_000, sum(r[0] == 0 for r in rows), 1_000 - sum(r[0] == 0 for r in rows)) and len(short) == 4
