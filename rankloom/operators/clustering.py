@@ -87,28 +87,70 @@ def kmeans(rows: DataFrame, key: str, vector: str, label: str, spherical: bool =
     return unit.select("id", "v").mapInArrow(_assign(centres, spherical), "id long, cluster long").withColumnRenamed("id", key)
 
 
-def projection(rows: DataFrame, key: str, vector: str, dims: int = 2, iterations: int = 30) -> DataFrame:
-    """(key, x0..): coordinates along the main axes of the centred unit vectors, from a dimensions x dimensions matrix of sums."""
-    unit = rows.select(F.col(key).alias("id"), neighbours.S.normalised(F.col(vector)).alias("v"))
+#: Directions that a projection follows besides those asked for, coordinates of a block of sums.
+MORE, WIDE = 62, 1024
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, total, n = 0.0, 0.0, 0
-        for b in batches:
-            x = matrix(b.column(1))
-            gram, total, n = gram + x.T @ x, total + x.sum(0), n + len(x)
-        if n:
-            yield pa.record_batch([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64())), pa.array([gram.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "t", "g"])
 
-    parts = unit.mapInArrow(moments, "n long, t array<double>, g array<double>").collect()  # one small row for each partition
-    if not parts:
+def _added_blocks(part: pa.Table) -> pa.Table:
+    """The sums of one block of coordinates, one row for each task, as one row."""
+    total = matrix(part.column("total").combine_chunks()).sum(axis=0)
+    return pa.table({"block": [part.column("block")[0].as_py()], "total": [total.tolist()]}, schema=pa.schema([("block", pa.int32()), ("total", pa.list_(pa.float64()))]))
+
+
+def _scattered(unit: DataFrame, mean: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The scatter matrix of the centred rows times q, which has few columns: each task sums up coordinates x columns, blocks of them are added up in tasks of their own."""
+    told = unit.sparkSession.sparkContext.broadcast((mean, q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, q = told.value
+        total = np.zeros_like(q)
+        for batch in (b.slice(at, 2_000) for b in batches for at in range(0, b.num_rows, 2_000)):
+            x = matrix(batch.column(0)).reshape(batch.num_rows, len(mean)) - mean
+            total += x.T @ (x @ q)
+        starts = range(0, len(q), WIDE)
+        yield pa.record_batch([pa.array(range(len(starts)), pa.int32()), pa.array([total[k : k + WIDE].ravel().tolist() for k in starts], pa.list_(pa.float64()))], names=["block", "total"])
+
+    held = unit.select("v").mapInArrow(run, "block int, total array<double>").groupBy("block").applyInArrow(_added_blocks, "block int, total array<double>").toArrow()
+    parts = dict(zip(held.column("block").to_pylist(), held.column("total").to_pylist(), strict=True))
+    return np.concatenate([np.array(parts[k]).reshape(-1, q.shape[1]) for k in sorted(parts)])
+
+
+def projection(rows: DataFrame, key: str, vector: str, dims: int = 2, iterations: int = 30, tol: float = 1e-9) -> DataFrame:
+    """(key, x0..): coordinates along the main axes of the centred unit vectors, by randomised subspace iteration.
+
+    What travels is coordinates x (dims + MORE) sums, never coordinates x coordinates; each round reads the vectors once, and rounds
+    end when the axes stand still. Vectors of no more coordinates than that take one round.
+    """
+    unit = written(rows.select(F.col(key).alias("id"), neighbours.S.normalised(F.col(vector)).alias("v")), "vectors")
+    sums = unit.select(F.posexplode("v").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("m")).toArrow()  # one row for each coordinate
+    if not sums.num_rows:
         return unit.select(F.col("id").alias(key), *[F.lit(0.0).alias(f"x{k}") for k in range(dims)])
-    n, t = sum(r["n"] for r in parts), np.sum([r["t"] for r in parts], axis=0)
-    g = np.sum([r["g"] for r in parts], axis=0).reshape(len(t), len(t))
-    _, axes = np.linalg.eigh(g / n - np.outer(t / n, t / n))
-    axes = axes[:, ::-1][:, :dims] * np.sign(axes[:, ::-1][:, :dims].sum(axis=0) + 1e-12)
-    mean = F.array(*[F.lit(float(x)) for x in t / n])
-    centred = F.zip_with("v", mean, lambda x, m: x - m)
-    return unit.select(F.col("id").alias(key), *[neighbours.S.dot(centred, F.array(*[F.lit(float(x)) for x in axes[:, k]])).alias(f"x{k}") for k in range(dims)])
+    mean = np.zeros(sums.num_rows)
+    mean[sums.column("at").to_numpy()] = sums.column("m").to_numpy()
+    width = min(len(mean), dims + MORE)
+    q = np.eye(len(mean)) if width == len(mean) else np.linalg.qr(np.random.default_rng(0).normal(size=(len(mean), width)))[0]
+    axes = None
+    for _ in range(1 if width == len(mean) else iterations):
+        y = _scattered(unit, mean, q)
+        values, turn = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+        new = (q @ turn)[:, ::-1][:, :dims]
+        new = new * np.sign(new.sum(axis=0) + 1e-12)
+        still = axes is not None and float(np.abs(new - axes).max()) < tol
+        axes = new
+        if still:
+            break
+        q = np.linalg.qr(y)[0]
+    told = unit.sparkSession.sparkContext.broadcast((mean, axes))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mean, axes = told.value
+        for batch in batches:
+            x = (matrix(batch.column(1)).reshape(batch.num_rows, len(mean)) - mean) @ axes
+            yield pa.record_batch([batch.column(0), *[pa.array(x[:, k]) for k in range(axes.shape[1])]], names=["id", *[f"x{k}" for k in range(axes.shape[1])]])
+
+    kind = unit.schema["id"].dataType.simpleString()
+    got = unit.mapInArrow(place, f"id {kind}, " + ", ".join(f"x{k} double" for k in range(axes.shape[1])))
+    return got.select(F.col("id").alias(key), *[F.col(f"x{k}") if k < axes.shape[1] else F.lit(0.0).alias(f"x{k}") for k in range(dims)])
 
 
 def scored_subset(clusters: DataFrame, rows: DataFrame, key: str, label: str, subset) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import clustering, curation, evaluation, kmers, logs, mining, neighbours, ordering, taxonomy, trees, vector_index
+from .operators import clustering, curation, evaluation, kmers, logs, mining, neighbours, ordering, sparse, taxonomy, trees, vector_index
 from .plans import adapters as A
 from .plans.adapters import sql
+from .plans.shared import written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -333,6 +334,18 @@ def indexed(spark, d):
     return found.select("q", "b", F.round("d", 6).alias("d"), F.col("place").cast("long").alias("place"))
 
 
+@query("J13_K1_sparse_neighbours", sql("seqs", """, k AS (SELECT doc_id, substr(dna, unnest(generate_series(1, length(dna) - 6)), 7) AS kmer FROM seqs), c AS (SELECT doc_id, kmer, count(*)::DOUBLE AS n FROM k GROUP BY ALL),
+m AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY doc_id), q AS (SELECT * FROM c WHERE doc_id % 100 = 0),
+p AS (SELECT q.doc_id AS q, b.doc_id AS b, sum(q.n * b.n) AS dot FROM q JOIN c b USING (kmer) WHERE q.doc_id <> b.doc_id GROUP BY ALL),
+s AS (SELECT q, b, round(1 - dot / x.norm / y.norm, 6) AS d, row_number() OVER (PARTITION BY q ORDER BY round(1 - dot / x.norm / y.norm, 6), b) AS place FROM p JOIN m x ON x.doc_id = q JOIN m y ON y.doc_id = b)
+SELECT q, d, place FROM s WHERE place <= 3"""))
+def sparse_neighbours(spark, d):
+    v = sparse.unit_vectors(kmers.kmer_counts(A.seqs(spark, d), "doc_id", "dna", 7), "doc_id")
+    v = written(v, "sparse")
+    got = sparse.nearest(v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("q"), "at", "x"), v.select(F.col("doc_id").alias("b"), "at", "x"), 3, exclude_self=True)
+    return got.where("d < 1").select("q", F.round("d", 6).alias("d"), F.col("place").cast("long").alias("place"))
+
+
 @query("G10_J14_hierarchical", sql("vecs", f""", s AS (SELECT q.vec_id AS q, b.vec_id AS b, b.r0, b.r1, round(1 - list_dot_product(q.v, b.v), 9) AS d FROM {_MET}),
 z0 AS (SELECT r0, count(*) AS size FROM vecs GROUP BY r0), z1 AS (SELECT r0, r1, count(*) AS size FROM vecs GROUP BY r0, r1),
 n0 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, b) AS n FROM s), v0 AS (SELECT q, r0, round(sum(1 / sqrt(size) / (d * d + 0.000001)), 6) AS v, max(size) AS size FROM n0 JOIN z0 USING (r0) WHERE n <= 75 GROUP BY q, r0),
