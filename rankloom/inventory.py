@@ -29,8 +29,8 @@ def _records(spark, d) -> DataFrame:
 def checked_headers(spark, d):
     path = fasta.work_folder(spark, "headers")
     lines = _records(spark, d).select("idx", F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value"))
-    lines.repartition(1).sortWithinPartitions("idx").select("value").write.text(path)  # one file, as the scan expects one
-    got = fasta.consecutive(fasta.read_headers(spark, path))
+    lines.repartitionByRange("idx").sortWithinPartitions("idx").select("value").write.text(path)  # part files in the order of the numbers
+    got = fasta.consecutive(fasta.read_headers(spark, path), folder=True)
     return got.select("idx", S.required_genome_id(F.col("header")).alias("genome_id"), F.get(S.taxonomy_path(F.col("header")), F.lit(0)).alias("t0"))
 
 

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import written
-from . import evaluation, neighbours
+from ..plans.shared import Scratch, written
+from . import evaluation, neighbours, ordering
 from .neighbours import matrix
 
 
@@ -58,18 +58,28 @@ def _added(part: pa.Table) -> pa.Table:
     return pa.table({"cluster": [part.column("cluster")[0].as_py()], "n": [int(part.column("n").to_numpy().sum())], "total": [total.tolist()]}, schema=pa.schema([("cluster", pa.int64()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))]))
 
 
+#: Bytes of centres that a task holds at once; more are a table that is gone through in blocks.
+BLOCK = 32 << 20
+
+
 def kmeans(rows: DataFrame, key: str, vector: str, label: str, spherical: bool = True, rounds: int = 200, tol: float = 5e-4) -> DataFrame:
-    """(key, cluster): as many clusters as labels, seeded with their means; an empty cluster keeps its centre.
+    """(key, cluster): as many clusters as labels, seeded with their means; an empty cluster keeps its centre. Rounds end when centres move by less than tol on average, or no row changes its cluster.
 
     Only centres travel: each partition sums its rows by cluster, and the sums (clusters x dimensions) meet
-    on the driver, whatever the number of rows.
+    on the driver, whatever the number of rows. Where all centres are more than BLOCK bytes they stay a table.
     """
+    scratch = Scratch(rows.sparkSession)
     unit = rows.select(F.col(key).cast("long").alias("id"), (F.transform(vector, lambda x: x.cast("double")) if not spherical else neighbours.S.normalised(F.col(vector))).alias("v"), F.col(label).alias("label"))
     unit = written(unit, "vectors")
-    seeds = unit.select("label", F.posexplode("v").alias("at", "x")).groupBy("label", "at").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("c")).orderBy("label").collect()  # one row for each cluster
-    centres = np.array([r["c"] for r in seeds])
-    if not len(centres):
+    means = unit.select("label", F.posexplode("v").alias("at", "x")).groupBy("label", "at").agg(F.avg("x").alias("x")).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("c"))
+    seeds = scratch.write(ordering.numbered(means, [], ["label"], "cluster").select(F.col("cluster").cast("long").alias("cluster"), "c"), "seeds")
+    told = seeds.agg(F.count("*").alias("n"), F.coalesce(F.sum(8 * F.size("c")), F.lit(0)).alias("bytes")).first()
+    if not told["n"]:
         return unit.select(F.col("id").alias(key), F.lit(0).cast("long").alias("cluster"))
+    if told["bytes"] > BLOCK:
+        return _of_many(unit, seeds, spherical, rounds, tol, scratch).withColumnRenamed("id", key)
+    centres = matrix(seeds.orderBy("cluster").select("c").toArrow().column("c").combine_chunks())
+    scratch.clear()
     length = lambda c: np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     centres = centres / length(centres) if spherical else centres
     for _ in range(rounds):
@@ -87,6 +97,84 @@ def kmeans(rows: DataFrame, key: str, vector: str, label: str, spherical: bool =
     return unit.select("id", "v").mapInArrow(_assign(centres, spherical), "id long, cluster long").withColumnRenamed("id", key)
 
 
+def _nearest_centres(state: DataFrame, centres: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, v, was, cluster): each row's nearest centre, the lowest number of equals, beside the one it had. state: (id, v, cluster); centres: (cluster, c)."""
+    spark = state.sparkSession
+    mean = centres.select(F.posexplode("c").alias("at", "x")).groupBy("at").agg(F.avg("x").alias("x")).orderBy("at").toArrow().column("x").to_numpy()  # one row for each dimension
+    pivot = F.array(*[F.lit(float(x)) for x in mean])
+    away = F.sqrt(F.aggregate(F.zip_with("c", pivot, lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda s, x: s + x))
+    each = max(1, BLOCK // (8 * len(mean)))
+    placed = scratch.write(ordering.numbered(centres.withColumn("away", away), [], ["away", "cluster"], "place"), "placed")
+    now = state.select("id", "v", F.col("cluster").alias("was"), F.lit(-1).cast("long").alias("cluster"), F.lit(float("inf")).alias("d"))
+    for block in range(-(-placed.count() // each)):
+        held = placed.where(F.floor(F.col("place") / each) == block).orderBy("cluster").toArrow()  # BLOCK bytes
+        told = spark.sparkContext.broadcast((mean, held.column("cluster").to_numpy(), matrix(held.column("c").combine_chunks()), held.column("away").to_numpy()))
+
+        def nearer(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            mean, ids, c, away = told.value
+            for batch in (b.slice(at, 2_000) for b in batches for at in range(0, b.num_rows, 2_000)):
+                x = matrix(batch.column(1)).reshape(batch.num_rows, len(mean))
+                cluster, d = batch.column(3).to_numpy().copy(), batch.column(4).to_numpy().copy()
+                own = np.linalg.norm(x - mean, axis=1)
+                gap = np.maximum(np.maximum(away.min() - own, own - away.max()), 0.0)
+                for at in np.array_split(np.flatnonzero(gap <= d + 1e-9), max(1, batch.num_rows * len(ids) // (1 << 22))):
+                    if len(at):
+                        e = np.maximum((x[at] ** 2).sum(1)[:, None] - 2 * x[at] @ c.T + (c * c).sum(1), 0.0)
+                        k = e.argmin(axis=1)
+                        near = np.sqrt(e[np.arange(len(at)), k])
+                        better = (near < d[at]) | (near == d[at]) & (ids[k] < cluster[at])
+                        cluster[at[better]], d[at[better]] = ids[k[better]], near[better]
+                yield pa.record_batch([*batch.columns[:3], pa.array(cluster), pa.array(d)], names=["id", "v", "was", "cluster", "d"])
+
+        now = now.mapInArrow(nearer, "id long, v array<double>, was long, cluster long, d double")
+        if block % 4 == 3:
+            now = scratch.write(now, "nearest")
+    return scratch.write(now.drop("d"), "state")
+
+
+def _cluster_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (cluster, v) one row for each cluster of a batch: its count and vector sum."""
+    for batch in batches:
+        at, which = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+        if len(at):
+            total = _summed(which, matrix(batch.column(1)), len(at))
+            yield pa.record_batch([pa.array(at), pa.array(np.bincount(which)), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["cluster", "n", "total"])
+
+
+def _of_many(unit: DataFrame, centres: DataFrame, spherical: bool, rounds: int, tol: float, scratch: Scratch) -> DataFrame:
+    """(id, cluster) where the centres are a table (cluster, c): rows go through its blocks one after the other and keep the nearest centre so far.
+
+    Blocks hold centres of similar distance to one pivot, the mean of all. A row whose own distance to the pivot differs from all of a block's
+    by more than its best distance so far can't have its nearest centre there, and isn't compared. Sums by
+    cluster are rows: a batch's rows of one cluster are one of them. Each round's tables go when the next one's are written.
+    """
+    spark = unit.sparkSession
+    if spherical:
+        centres = centres.withColumn("c", neighbours.S.normalised(F.col("c"), 1e-12, "safe"))
+    state, before = unit.select("id", "v", F.lit(-1).cast("long").alias("cluster")), scratch
+    for _ in range(rounds):
+        own = Scratch(spark)
+        state = _nearest_centres(state, centres, own)
+        if state.where("was <> cluster").isEmpty():
+            before.clear()
+            return own.result(state.select("id", "cluster"), "clusters")
+        sums = state.select("cluster", "v").mapInArrow(_cluster_sums, "cluster long, n long, total array<double>").groupBy("cluster").applyInArrow(_added, "cluster long, n long, total array<double>")
+        moved = sums.select(F.col("cluster").alias("__k"), F.transform("total", lambda x: x / F.col("n")).alias("__c"))
+        new = F.coalesce("__c", "c")
+        if spherical:
+            new = neighbours.S.normalised(new, 1e-12, "safe")
+        both = own.write(centres.join(moved, F.col("cluster") == F.col("__k"), "left").select("cluster", F.col("c").alias("old"), new.alias("c")), "centres")
+        shift = both.agg(F.avg(F.sqrt(F.aggregate(F.zip_with("old", "c", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))).alias("s")).first()["s"]
+        before.clear()
+        before, centres = own, both.drop("old")
+        if shift <= tol:
+            break
+    last = Scratch(spark)
+    out = last.result(_nearest_centres(state, centres, last).select("id", "cluster"), "clusters")
+    before.clear()
+    return out
+
+
 #: Directions that a projection follows besides those asked for, coordinates of a block of sums.
 MORE, WIDE = 62, 1024
 

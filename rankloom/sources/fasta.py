@@ -28,9 +28,10 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.col("value").startswith(">")).select("file", "ord", F.regexp_replace(F.substring("value", F.lit(2), F.length("value")), r"\r$", "").alias("header"))
 
 
-def consecutive(headers: DataFrame) -> DataFrame:
-    """headers with idx, the number in {}; an error unless these are 1, 2, 3 ... in the order of the file."""
-    placed = ordering.numbered(headers.withColumn("idx", S.header_index(F.col("header"))), ["file"], ["ord"])
+def consecutive(headers: DataFrame, folder: bool = False) -> DataFrame:
+    """headers with idx, the number in {}; an error unless these are 1, 2, 3 ... in the order of each file, or of all files of a folder by name."""
+    told = headers.withColumn("idx", S.header_index(F.col("header")))
+    placed = ordering.numbered(told, [], ["file", "ord"]) if folder else ordering.numbered(told, ["file"], ["ord"])
     right = F.col("idx").eqNullSafe(F.col("__place") + 1)
     checked = F.when(~right, F.raise_error(F.concat(F.lit("index out of order: "), "header")).cast("long")).otherwise(F.col("idx"))
     return placed.withColumn("idx", checked).drop("__place")

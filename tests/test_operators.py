@@ -145,7 +145,7 @@ def points(spark, n=120, k=4, dims=6):
 
 
 @pytest.mark.parametrize("spherical", [True, False])
-def test_kmeans_against_numpy(spark, spherical):
+def test_kmeans_against_numpy(spark, monkeypatch, spherical):
     x, label, rows = points(spark)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True) if spherical else x
     c = np.stack([unit[label == k].mean(0) for k in range(4)])
@@ -161,6 +161,8 @@ def test_kmeans_against_numpy(spark, spherical):
     got = {r["id"]: r["cluster"] for r in clustering.kmeans(rows, "id", "v", "label", spherical).collect()}
     assert got == dict(enumerate(assign(c).tolist()))
     assert clustering.kmeans(rows.limit(0), "id", "v", "label").count() == 0
+    monkeypatch.setattr(clustering, "BLOCK", 100)  # the same where the centres are a table, two to a block
+    assert {r["id"]: r["cluster"] for r in clustering.kmeans(rows, "id", "v", "label", spherical).collect()} == got
 
 
 def test_clusters_of_all_scored_on_a_part(spark):
@@ -288,6 +290,14 @@ def test_scans_that_check_what_they_read(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">{1}A~x d__B\nAC\n>{3}C~x d__B\nGT\n")
     with pytest.raises(Exception, match="index out of order"):
         fasta.consecutive(fasta.read_headers(spark, str(tmp_path / "a.fasta"))).collect()
+    (tmp_path / "parts").mkdir()
+    for name, n in (("part-0", (1, 2)), ("part-1", (3,))):
+        (tmp_path / "parts" / name).write_text("".join(f">{{{k}}}A~x d__B\nAC\n" for k in n))
+    assert [r["idx"] for r in fasta.consecutive(fasta.read_headers(spark, str(tmp_path / "parts")), folder=True).orderBy("idx").collect()] == [1, 2, 3]
+    with pytest.raises(Exception, match="index out of order"):
+        fasta.consecutive(fasta.read_headers(spark, str(tmp_path / "parts"))).collect()
+    dropped = fasta.validated(fasta.read_fasta(spark, str(tmp_path / "parts")), least=3, drop=True)
+    assert dropped.count() == 0
     with pytest.raises(Exception, match="invalid sequence"):
         fasta.validated(fasta.read_fasta(spark, str(tmp_path / "a.fasta")), least=40).collect()
     (tmp_path / "map.json").write_text('{"region_indices": {"0": "FULL", "1": "V4", "2": "V4"}}')
