@@ -68,9 +68,12 @@ FROM t GROUP BY conv_id
 
 
 def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(u): the sites above, and for each supplier the URL of a page that may not be linked."""
+    """(u): the sites above; the URLs of the pages that were reported, those with page_id % 8 = 5, as far as they name more than a site; and for each supplier the URL of a page that may not be linked."""
     sites = spark.createDataFrame([(f"{site}.{domain}/",) for site in LISTED_SITES for domain in LISTED_DOMAINS], "u string")
-    return sites.union(table(spark, sf_dir, "supplier").select(F.concat(F.lit("tionble.example.net/en/"), F.col("s_suppkey").cast("string"))))
+    host, path = url_filter.split_url("url")
+    reported = table(spark, sf_dir, "pages").where("page_id % 8 = 5").select(host.alias("h"), path.alias("p")).where("h <> '' AND p NOT IN ('', '/')")
+    pages = reported.select(url_filter.canonical(F.col("h"), F.col("p")).alias("u"))
+    return sites.union(pages).union(table(spark, sf_dir, "supplier").select(F.concat(F.lit("tionble.example.net/en/"), F.col("s_suppkey").cast("string"))))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,20 +81,23 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH l AS (SELECT a || '.' || b || '/' AS u FROM (VALUES ('ads-track'), ('adult-x'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) x(a), (VALUES ('example.com'), ('example.net'), ('example.org')) y(b)
-  UNION ALL SELECT 'tionble.example.net/en/' || s_suppkey FROM supplier),
-s AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH s AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+c AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '') AS whole FROM u),
+l AS (SELECT a || '.' || b || '/' AS u FROM (VALUES ('ads-track'), ('adult-x'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) x(a), (VALUES ('example.com'), ('example.net'), ('example.org')) y(b)
+  UNION ALL SELECT whole FROM c WHERE page_id % 8 = 5 AND host <> '' AND path NOT IN ('', '/')
+  UNION ALL SELECT 'tionble.example.net/en/' || s_suppkey FROM supplier),
 r AS (SELECT *, CASE
   WHEN ('.' || host) LIKE '%.www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
   WHEN ('.' || host) LIKE '%.example.com' AND starts_with(path, '/en/') THEN 'example.com/en/'
   WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/es/') THEN 'net/es/'
   WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/fr/') THEN 'net/fr/'
-  WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule FROM u)
+  WHEN ('.' || host) LIKE '%.com' AND starts_with(path, '/') THEN 'com/' END AS rule FROM c),
+e AS (SELECT page_id FROM r JOIN (SELECT DISTINCT u FROM l) ON u = whole WHERE host <> ''
+  UNION SELECT page_id FROM r JOIN (SELECT DISTINCT u FROM l WHERE u LIKE '%/') ON ends_with('.' || host || '/', '.' || u) WHERE host <> '')
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-       WHEN EXISTS (FROM l WHERE host <> '' AND (l.u = regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '') OR ('.' || host || '/') LIKE '%.' || l.u)) THEN 'block' ELSE 'allow' END AS verdict
+  CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN page_id IN (FROM e) THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
 
