@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import curation, evaluation, panels
+from .operators import curation, evaluation, logs, mining, panels
 from .plans import adapters as A
 from .plans.adapters import sql
 from .registry import ORACLE_SQL, QUERIES, query
@@ -72,11 +72,11 @@ def region_choice(spark, d):
 FROM orders
 LEFT JOIN (SELECT l_orderkey, count(*) AS n, min(l_returnflag) || max(l_returnflag) || min(l_linestatus) || max(l_linestatus) AS flags
 FROM lineitem
-WHERE l_linenumber >= 4
 GROUP BY l_orderkey) ON o_orderkey = l_orderkey""")
 def region_records(spark, d):
-    found = A.table(spark, d, "lineitem").where("l_linenumber >= 4").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"), F.concat(F.min("l_returnflag"), F.max("l_returnflag"), F.min("l_linestatus"), F.max("l_linestatus")).alias("flags"))
-    return A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")).join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n_lines"), F.coalesce("flags", F.lit("----")).alias("codes"))
+    found = A.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"), F.concat(F.min("l_returnflag"), F.max("l_returnflag"), F.min("l_linestatus"), F.max("l_linestatus")).alias("flags"))
+    got = panels.with_records(A.table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), found, "id", {"n": 0, "flags": "----"})
+    return got.select("id", F.col("n").alias("n_lines"), F.col("flags").alias("codes"))
 
 
 # Filters and panels
@@ -95,14 +95,13 @@ def resolution(spark, d):
 
 @query("F19_W17_schedule", sql("history", "SELECT batch, rank, count(*) AS n_rows FROM history WHERE (batch = 1 OR batch % 5 = 0) AND (rank <> 'click' OR batch >= 10) GROUP BY ALL"))
 def schedule(spark, d):
-    due = (F.col("batch") == 1) | (F.col("batch") % 5 == 0)
-    introduced = (F.col("rank") != "click") | (F.col("batch") >= 10)
-    return A.history(spark, d).where(due & introduced).groupBy("batch", "rank").agg(F.count("*").alias("n_rows"))
+    batch = F.col("batch")
+    return A.history(spark, d).where(logs.due(batch, 5) & logs.introduced(F.col("rank"), batch, {"click": 10})).groupBy("batch", "rank").agg(F.count("*").alias("n_rows"))
 
 
 @query("F21_S24_triplets", sql("mined", "SELECT i AS anchor, j AS positive, round(0.5 * (true_ - pred), 6) AS margin FROM mined WHERE round(true_, 9) > round(pred, 9)"))
 def ordered_triplets(spark, d):
-    m = A.mined(spark, d).where(F.round("true", 9) > F.round("pred", 9))
+    m = mining.in_true_order(A.mined(spark, d), "pred", "true")
     return m.select(F.col("i").alias("anchor"), F.col("j").alias("positive"), F.round(S.margin(F.col("pred"), F.col("true"), 0.5), 6).alias("margin"))
 
 

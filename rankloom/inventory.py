@@ -177,8 +177,7 @@ def panel_points(spark, d):
 @query("G17_U4_region_counts_full", sql("preds", "SELECT coalesce(region::VARCHAR, 'All') AS region, count(*) AS n_rows, count(DISTINCT id // 10) AS n_seqs FROM preds GROUP BY ROLLUP (region)"))
 def region_counts(spark, d):
     rows = A.preds(spark, d).select(F.floor(F.col("id") / 10).alias("seq"), "region")
-    both = rows.select("seq", F.explode(F.array(F.lit("All"), F.col("region").cast("string"))).alias("region"))
-    return both.groupBy("region").agg(F.count("*").alias("n_rows"), F.count_distinct("seq").alias("n_seqs"))
+    return panels.region_counts(rows, "region", "seq").withColumnRenamed("n_items", "n_seqs")
 
 
 # Scalars
@@ -349,7 +348,38 @@ def method_accuracy(spark, d):
 @query("G22_p_values")
 def p_values(spark, d):
     p = A.preds(spark, d).withColumn("ok", (F.col("true") == F.col("pred")).cast("double"))
-    return evaluation.with_p_values(evaluation.correlations(p, ["region"], "conf", "ok"), "pearson", "n_rows", "p_value")
+    return evaluation.with_p_values(evaluation.correlations(p, ["region"], "conf", "ok"), "pearson", "n_rows", "p_value").transform(lambda t: evaluation.with_p_values(t, "spearman", "n_rows", "p_spearman"))
+
+
+@query("G25_by_train_size", sql("tax4", """, x AS (SELECT id, r2 AS t, CASE WHEN id % 3 = 0 THEN 'BUILDING' WHEN id % 11 = 0 THEN '' ELSE r2 END AS p, r0 FROM tax4), s AS (SELECT r2 AS taxon, count(*) AS n_train FROM tax4 WHERE id % 2 = 0 AND r2 <> 'MACHINERY' GROUP BY r2),
+k AS (SELECT * FROM x WHERE t IN (SELECT taxon FROM s)), a AS (SELECT r0, t AS taxon, count(*) AS n_true, sum((t = p)::INT) AS hit FROM k GROUP BY ALL), b AS (SELECT r0, p AS taxon, count(*) AS n_pred FROM k WHERE p <> '' GROUP BY ALL)
+SELECT r0, taxon, n_true, coalesce(n_pred, 0) AS n_pred, round(hit / n_true, 6) AS recall, round(hit / n_pred, 6) AS precision, round(2 * (hit / n_true) * (hit / n_pred) / (hit / n_true + hit / n_pred), 6) AS f1, n_train FROM a LEFT JOIN b USING (r0, taxon) JOIN s USING (taxon)"""))
+def by_train_size(spark, d):
+    t = A.tax4(spark, d)
+    rows = t.select("r0", F.col("r2").alias("true"), F.when(F.col("id") % 3 == 0, "BUILDING").when(F.col("id") % 11 == 0, "").otherwise(F.col("r2")).alias("pred"))
+    return evaluation.scores_by_train_size(rows, t.where("id % 2 = 0 AND r2 <> 'MACHINERY'"), ["r0"], "r2")
+
+
+@query("G26_absent_by_rank", sql("tax4", """, l AS (SELECT id, unnest(['r1', 'r2']) AS rank, unnest([r1, r2]) AS taxon FROM tax4)
+SELECT rank, taxon, count(*) AS n_rows, round(count(*) / (SELECT count(*) FROM tax4), 6) AS share FROM l WHERE (rank, taxon) NOT IN (SELECT (rank, taxon) FROM l JOIN tax4 USING (id) WHERE r1 < 'F' AND r2 <> 'BUILDING') GROUP BY rank, taxon"""))
+def absent_by_rank(spark, d):
+    t = A.tax4(spark, d)
+    return evaluation.absent_by_rank(t, t.where("r1 < 'F' AND r2 <> 'BUILDING'"), ["r1", "r2"])
+
+
+@query("F10_within_top_taxa", sql("tax4", "SELECT id, r1, id % 3 AS split FROM tax4 WHERE r1 IN (SELECT r1 FROM tax4 WHERE id % 3 = 0 GROUP BY r1 ORDER BY count(*) DESC, min(id) LIMIT 4)"))
+def within_top_taxa(spark, d):
+    t = A.tax4(spark, d)
+    top = curation.top_taxa(t.where("id % 3 = 0"), "r1", "id", 4)
+    return curation.within_taxa(t.select("id", "r1", (F.col("id") % 3).alias("split")), top, "r1").select("id", "r1", "split")
+
+
+@query("G41_endpoints_by_step", sql("mined", """, e AS (SELECT rank::BIGINT AS step, unnest([i, j]) % 7 AS grp FROM mined), c AS (SELECT step, grp, count(*) AS n FROM e GROUP BY ALL)
+SELECT step, grp, n AS n_ends, sum(n) OVER (PARTITION BY step)::BIGINT AS n_step, round(n / sum(n) OVER (PARTITION BY step), 6) AS share FROM c"""))
+def endpoints_by_step(spark, d):
+    m = A.mined(spark, d)
+    groups = m.select("i").union(m.select("j")).distinct().select(F.col("i").alias("id"), (F.col("i") % 7).alias("grp"))
+    return mining.endpoint_counts_by_step(m, groups, "rank").withColumn("step", F.col("step").cast("long"))
 
 
 @query("G32_ordered_contingency", sql("preds", """, c AS (SELECT true_ AS l, pred AS k, count(*) AS n FROM preds GROUP BY ALL), b AS (SELECT k, row_number() OVER (ORDER BY sum(n) DESC, k) - 1 AS col_place FROM c GROUP BY k),

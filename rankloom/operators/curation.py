@@ -86,6 +86,11 @@ def top_taxa(train: DataFrame, rank: str, order: str, n: int) -> DataFrame:
     return train.groupBy(rank).agg(F.count("*").alias("n_rows"), F.min(order).alias("first_seen")).orderBy(F.desc("n_rows"), "first_seen").limit(n)
 
 
+def within_taxa(rows: DataFrame, taxa: DataFrame, rank: str) -> DataFrame:
+    """Rows of any split whose taxon is among those, as top_taxa gives them: at most a stated number, so they are broadcast."""
+    return rows.join(F.broadcast(taxa.select(rank)), rank, "left_semi")
+
+
 def hash_rank(key: Column, seed: int) -> tuple[Column, Column]:
     return S.hashed(key, seed), key
 

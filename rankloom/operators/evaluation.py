@@ -64,14 +64,32 @@ def calibration_count(rows: DataFrame, by: list[str], conf: str, correct: str, k
 
 
 def correlations(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """(by, n_rows, pearson, spearman): average ranks come from counted values."""
+    """(by, n_rows, pearson, spearman) of groups of three rows or more; nulls in either don't count.
 
-    def ranked(col: str) -> DataFrame:
-        counts = rows.groupBy(*by, col).agg(F.count("*").alias("c"))
-        return ordering.cumulated(counts, by, [col], "c", "__before").select(*by, col, (F.col("__before") + (F.col("c") + 1) / 2).alias(f"__{col}"))
+    Rows are counted by (group, x, y) first; average ranks come from counted values and join these counts, so a value that very many rows have is one line.
+    """
+    joint = written(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c")), "joint")
 
-    both = rows.select(*by, x, y).join(ranked(x), [*by, x]).join(ranked(y), [*by, y])
-    return both.groupBy(*by).agg(F.count("*").alias("n_rows"), F.round(S.correlation(x, y), 6).alias("pearson"), F.round(S.correlation(f"__{x}", f"__{y}"), 6).alias("spearman")).where("n_rows >= 3")
+    def ranked(col: str) -> DataFrame:
+        counts = joint.groupBy(*by, col).agg(F.sum("c").alias("c"))
+        got = ordering.cumulated(counts, by, [col], "c", "__before", "__all")
+        return got.select(*[F.col(c).alias(f"__{col}_{c}") for c in by], F.col(col).alias(f"__of_{col}"), ((F.col("__before") + (F.col("c") + 1) / 2) / F.col("__all")).alias(f"r{col}"))
+
+    for col in ("x", "y"):
+        right = ranked(col)
+        on = F.col(col) == F.col(f"__of_{col}")
+        for c in by:
+            on = on & F.col(c).eqNullSafe(F.col(f"__{col}_{c}"))
+        joint = joint.join(right, on).drop(f"__of_{col}", *[f"__{col}_{c}" for c in by])
+    d = lambda c: F.col(c).cast("double")
+    means = joint.groupBy(*by).agg(*[(F.sum(d(v) * d("c")) / F.sum(d("c"))).alias(f"m{v}") for v in ("x", "y", "rx", "ry")])
+    here = F.lit(True)
+    for c in by:
+        here = here & F.col(c).eqNullSafe(F.col(f"__m_{c}"))
+    held = joint.join(F.broadcast(means.select(*[F.col(c).alias(f"__m_{c}") for c in by], "mx", "my", "mrx", "mry")) if by else means, here).drop(*[f"__m_{c}" for c in by])
+    part = lambda a, b: F.sum(d("c") * (d(a) - F.col(f"m{a}")) * (d(b) - F.col(f"m{b}")))
+    r = lambda a, b: F.round(part(a, b) / F.nullif(F.sqrt(part(a, a) * part(b, b)), F.lit(0.0)), 6)
+    return held.groupBy(*by).agg(F.sum("c").alias("n_rows"), r("x", "y").alias("pearson"), r("rx", "ry").alias("spearman")).where("n_rows >= 3")
 
 
 def confusions(rows: DataFrame, n: int, true: str = "true", pred: str = "pred") -> DataFrame:
@@ -92,11 +110,26 @@ def taxon_scores(rows: DataFrame, by: list[str], true: str = "true", pred: str =
     return t.join(p, [*by, "taxon"], "left").select(*by, "taxon", "n_true", F.coalesce("n_pred", F.lit(0)).alias("n_pred"), F.round(recall, 6).alias("recall"), F.round(precision, 6).alias("precision"), F.round(f1, 6).alias("f1"))
 
 
+def scores_by_train_size(rows: DataFrame, train: DataFrame, by: list[str], label: str, true: str = "true", pred: str = "pred") -> DataFrame:
+    """taxon_scores with n_train, over the rows alone whose true taxon the training rows have: what is predicted for others doesn't lower a precision."""
+    sizes = train.where(F.col(label).isNotNull() & (F.col(label) != "")).groupBy(F.col(label).alias("__t")).agg(F.count("*").alias("n_train"))
+    known = rows.join(sizes, F.col(true) == F.col("__t"), "left_semi")
+    return taxon_scores(known, by, true, pred).join(sizes, F.col("taxon") == F.col("__t")).drop("__t")
+
+
 def absent(rows: DataFrame, train: DataFrame, label: str) -> DataFrame:
     """(label, n_rows): labels that the training rows lack."""
     return rows.groupBy(label).agg(F.count("*").alias("n_rows")).join(train.select(label).distinct(), label, "left_anti")
 
 
+def absent_by_rank(rows: DataFrame, train: DataFrame, ranks: list[str]) -> DataFrame:
+    """(rank, taxon, n_rows, share): at each rank the labels that the training rows lack, and their share of all rows."""
+    told = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.col(r).cast("string").alias("taxon")) for r in ranks])).alias("x")).select("x.*").where("taxon IS NOT NULL AND taxon <> ''")
+    n = rows.agg(F.count("*").alias("__n"))
+    found = told(rows).groupBy("rank", "taxon").agg(F.count("*").alias("n_rows")).join(told(train).distinct(), ["rank", "taxon"], "left_anti")
+    return found.join(F.broadcast(n)).select("rank", "taxon", "n_rows", F.round(F.col("n_rows") / F.col("__n"), 6).alias("share"))
+
+
 # Clusterings
 
 

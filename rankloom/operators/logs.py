@@ -162,3 +162,16 @@ def metrics_like(history: DataFrame, name: str, pattern: str) -> DataFrame:
     quoted = lambda t: "".join("\\" + c if not c.isalnum() else c for c in t)
     regexp = f"^{quoted(head)}(.*){quoted(tail)}$" if "*" in pattern else f"^{quoted(head)}()$"
     return history.where(F.col(name).rlike(regexp)).withColumn("captured", F.regexp_extract(name, regexp, 1))
+
+
+def due(batch: Column, every: int) -> Column:
+    """Whether a batch is logged: the first one and every so many."""
+    return (batch == 1) | (batch % every == 0)
+
+
+def introduced(rank: Column, batch: Column, starts: dict[str, int]) -> Column:
+    """Whether a rank takes part at a batch; ranks that ``starts`` doesn't name do from the beginning."""
+    first = F.lit(0)
+    for name, at in starts.items():
+        first = F.when(rank == name, at).otherwise(first)
+    return batch >= first

@@ -50,7 +50,15 @@ def numbered(rows: DataFrame, by: list[str], order: list[str], place: str = "__p
 
 
 def cumulated(rows: DataFrame, by: list[str], order: list[str], weight: str, name: str, total: str | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """rows with the sum of a weight over the rows before them in their group, and over all of the group if it is named."""
+    """rows with the sum of a weight over the rows before them in their group, and over all of the group if it is named.
+
+    The rows, counted values as a rule, are written. Up to FEW of them are summed up group by group, more over range partitions.
+    """
+    rows = (scratch.write if scratch else written)(rows, "counted")
+    if rows.count() <= FEW:
+        upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        out = rows.withColumn(name, F.coalesce(F.sum(weight).over(upto), F.lit(0)))
+        return out if total is None else out.withColumn(total, F.sum(weight).over(Window.partitionBy(*by)))
     cut = spread(rows, by, order, scratch)
     sums = cut.groupBy(*by, "__p").agg(F.sum(weight).alias("__c"))
     sums = sums.select(*by, "__p", _before(sums, by, "__c").alias("__b"), F.sum("__c").over(Window.partitionBy(*by)).alias("__all"))
@@ -64,17 +72,13 @@ def cumulated(rows: DataFrame, by: list[str], order: list[str], weight: str, nam
 def quantiles(rows: DataFrame, by: list[str], value: str, points: list[float], name: str = "q", weight: str | None = None) -> DataFrame:
     """(by, n_rows, name): interpolated quantiles of a value inside each group as array<double>; nulls don't count.
 
-    Equal values are counted first (or come counted, with their weight) and written once. Up to FEW counted values are
-    summed up group by group; more go over range partitions. The result is written, a row for each group, and what led up to it removed.
+    Equal values are counted first (or come counted, with their weight) and written once. The result is written, a row for each
+    group, and what led up to it removed.
     """
     scratch = Scratch(rows.sparkSession)
     one = F.count("*") if weight is None else F.sum(weight)
-    held = scratch.write(rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(one.alias("__w")), "counted")
-    if held.count() <= FEW:
-        upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        at = held.withColumn("__from", F.coalesce(F.sum("__w").over(upto), F.lit(0))).withColumn("n_rows", F.sum("__w").over(Window.partitionBy(*by)))
-    else:
-        at = cumulated(held, by, [value], "__w", "__from", "n_rows", scratch)
+    held = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(one.alias("__w"))
+    at = cumulated(held, by, [value], "__w", "__from", "n_rows", scratch)
     at = at.withColumn("__v", F.col(value).cast("double")).withColumn("__upto", F.col("__from") + F.col("__w"))
     place = lambda p: F.lit(float(p)) * (F.col("n_rows") - 1)
     low, high = [F.floor(F.round(place(p), 9)) for p in points], [F.ceil(F.round(place(p), 9)) for p in points]

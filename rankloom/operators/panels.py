@@ -181,6 +181,25 @@ def missing_of(wanted: list[int], held: DataFrame, column: str) -> DataFrame:
     return held.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(wanted)], f"{column} long").join(held.select(F.col(column).cast("long").alias(column)), column, "left_anti")
 
 
+def require_all(wanted: list[int], held: DataFrame, column: str) -> DataFrame:
+    """held; reading it is an error that names the wanted numbers which it lacks."""
+    lost = missing_of(wanted, held.select(column).distinct(), column).agg(F.count("*").alias("__n"), F.array_join(F.sort_array(F.collect_list(column)), ", ").alias("__names"))
+    ok = F.when(F.col("__n") > 0, F.raise_error(F.concat(F.lit("missing: "), "__names"))).otherwise(True)
+    return lost.where(ok).join(held).drop("__n", "__names")
+
+
+def region_counts(rows: DataFrame, region: str, item: str) -> DataFrame:
+    """(region, n_rows, n_items) of each region, and of all of them as 'All'."""
+    both = rows.select(F.col(item).alias("item"), F.explode(F.array(F.lit("All"), F.col(region).cast("string"))).alias("region"))
+    return both.groupBy("region").agg(F.count("*").alias("n_rows"), F.count_distinct("item").alias("n_items"))
+
+
+def with_records(items: DataFrame, records: DataFrame, key: str, missing: dict) -> DataFrame:
+    """All items with what the records say of them; ``missing`` stands where there is no record. Records: one for each key."""
+    both = items.join(records, key, "left")
+    return both.select(*[F.coalesce(F.col(c), F.lit(missing[c])).alias(c) if c in missing else F.col(c) for c in both.columns])
+
+
 def full_paths(rows: DataFrame, paths: DataFrame, key: str, path: str, ranks: int = 7) -> DataFrame:
     """rows with their full path; ids are compared as numbers, whatever they are written as; what is missing or isn't ``ranks`` long has none, and says why."""
     told = paths.select(F.col(key).try_cast("long").alias("__k"), F.col(path).alias("path"))
