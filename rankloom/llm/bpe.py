@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 #: Fixed value: the split of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose tokens a worker remembers, twice.
-REMEMBERED = 120_000
+REMEMBERED = 250_000
 #: Rows whose ids are held at once, and remembered transitions.
 ROWS, STEPS = 256, 200_000
 
@@ -151,16 +151,19 @@ class Automaton:
 
 
 class _Remembered(dict):
-    """word -> (ids joined by commas, their number, labels)."""
+    """word -> its ids joined by commas. Words whose ids don't decode to their own bytes are in ``odd`` with what they decode to."""
 
     def __init__(self, machine: Automaton):
-        self.machine, self.older = machine, {}
+        self.machine, self.older, self.odd = machine, {}, {}
 
-    def __missing__(self, word: str):
+    def __missing__(self, word: str) -> str:
         out = self.older.get(word)
         if out is None:
-            ids = self.machine.encode(word.encode())
-            out = ",".join(map(str, ids)), len(ids), self.machine.decode(ids)
+            raw = word.encode()
+            ids = self.machine.encode(raw)
+            out, told = ",".join(map(str, ids)), self.machine.decode(ids)
+            if told != raw:
+                self.odd[word] = told
         if len(word) <= 64:
             if len(self) > REMEMBERED:  # words in use move on from the older half, the others go
                 self.older = dict(self)
@@ -223,13 +226,16 @@ def _coder(parts, key: str, with_ids: bool):
             for t in batch.column(1):
                 text = t.as_py() or ""
                 if special and any(s in text for s in special):
-                    got = [(str(special[w]), 1, w.encode()) if is_special else known[w] for w, is_special in pieces(text, special, split)]
+                    found = list(pieces(text, special, split))
+                    joined = ",".join([str(special[w]) if is_special else known[w] for w, is_special in found])
+                    words = [w for w, _ in found]
                 else:
-                    got = [known[w] for w in split.findall(text)]
-                joined = ",".join([g[0] for g in got])
-                counts.append(sum([g[1] for g in got]))
+                    words = split.findall(text)
+                    joined = ",".join(map(known.__getitem__, words))
+                counts.append(joined.count(",") + 1 if words else 0)
                 hashes.append(hashlib.sha256(joined.encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join([g[2] for g in got]).decode("utf-8", "replace").encode()).hexdigest())
+                told = "".join(words).encode() if not known.odd else b"".join([known.odd.get(w) or w.encode() for w in words]).decode("utf-8", "replace").encode()
+                back.append(hashlib.sha256(told).hexdigest())
                 if with_ids:
                     ids.append(np.array(joined.split(",") if joined else [], np.int32))
             out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes), pa.array(back)]
