@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import clustering, curation, evaluation, kmers, logs, mining, ordering, panels, taxonomy
+from .operators import batches, clustering, curation, evaluation, kmers, logs, mining, ordering, panels, taxonomy
 from .plans import adapters as A
 from .plans.adapters import sql
 from .registry import ORACLE_SQL, QUERIES, _triplets, query
@@ -457,6 +457,23 @@ def mined_batch(spark, d):
     return a.unionByName(triples.select("batch", "position", F.lit("triplet").alias("kind"), F.col("anchor").alias("i"), F.col("positive").alias("j"), F.col("negative").alias("k"), F.col("rank").cast("long").alias("rank"), F.col("bucket").cast("long").alias("bucket")))
 
 
+@query("M1_batches")
+def mined_batches(spark, d):
+    """Four batches from two runs: which rows each takes, and from which run."""
+    folder, sizes = fasta.work_folder(spark, "batches"), (96, 192)
+    batches.run_batches(
+        A.vecs(spark, d), "vec_id", ["r0", "r1", "r2"], "v", folder, 4, sizes, ahead=2,
+        anchors=F.col("vec_id") % 100 == 0, lookup={0: 0.9, 1: 0.5, 2: 0.2}, across=1.6, share=0.8, other_view=F.reverse, keep={-1: 0.5}, uniform_until=2, done_at=10,
+    )
+    out = None
+    for b in range(1, 5):
+        pairs, triplets = batches.batch_rows(spark, folder, b, sizes)
+        a = pairs.select("batch", "place", F.lit("pair").alias("kind"), "i", "j", F.lit(None).cast("long").alias("k"))
+        both = a.unionByName(triplets.select("batch", "place", F.lit("triplet").alias("kind"), F.col("anchor").alias("i"), F.col("positive").alias("j"), F.col("negative").alias("k")))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 @query("M2_mined_triplets")
 def mined_triplets(spark, d):
     got, _ = mining.mine_triplets(_pairs(spark, d), [0, 1, 2], 40_000, 7_680)
