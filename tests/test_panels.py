@@ -76,3 +76,14 @@ def test_against_sql(spark, sf, name):
     want = con.sql(registry.ORACLE_SQL[name])
     assert sorted(want.columns) == cols
     assert plain(got.select(*cols).collect()) == plain(want.select(*[duckdb.ColumnExpression(c) for c in cols]).fetchall())
+
+
+def test_required_numbers_and_records(spark):
+    held = spark.createDataFrame([(4, "a"), (5, "b")], "k long, x string")
+    assert panels.require_all([5, 4], held, "k").count() == 2
+    with pytest.raises(Exception, match="missing: 7, 9"):
+        panels.require_all([9, 4, 7], held, "k").collect()
+    items = spark.createDataFrame([(4,), (6,)], "k long")
+    assert {tuple(r) for r in panels.with_records(items, held, "k", {"x": "-"}).collect()} == {(4, "a"), (6, "-")}
+    counts = panels.region_counts(spark.createDataFrame([(1, "V3"), (1, "V4"), (2, "V4")], "i long, region string"), "region", "i")
+    assert {tuple(r) for r in counts.collect()} == {("All", 3, 2), ("V3", 1, 1), ("V4", 2, 2)}
