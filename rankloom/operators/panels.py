@@ -61,8 +61,9 @@ def length_quantiles(rows: DataFrame, seq: str, by: list[str], points: tuple[flo
 
 
 def repeated_share(rows: DataFrame, taxon: str) -> DataFrame:
-    """(n_taxa, n_repeated, percent): taxa with more than one row."""
-    sizes = rows.groupBy(taxon).agg(F.count("*").alias("c"))
+    """(n_taxa, n_repeated, percent): taxa (or whole texts) with more than one row. They meet by length and SHA-256, so no text is moved."""
+    text = F.col(taxon).cast("string")
+    sizes = rows.groupBy(F.length(text).alias("n"), F.unhex(F.sha2(text, 256)).alias("sha")).agg(F.count("*").alias("c"))
     return sizes.agg(F.count("*").alias("n_taxa"), F.count_if(F.col("c") > 1).alias("n_repeated"), F.round(F.avg((F.col("c") > 1).cast("double")) * 100, 6).alias("percent"))
 
 
