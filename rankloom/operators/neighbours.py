@@ -85,51 +85,68 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 1, distance: str = "co
     return out
 
 
-def hierarchical(queries: DataFrame, base: DataFrame, ranks: list[str], ks: list[int], size_how: str = "sqrt", exclude_self: bool = False) -> DataFrame:
+def _path(names: list[str]):
+    return F.array(*[F.col(x).cast("string") for x in names]) if names else F.array().cast("array<string>")
+
+
+def nearest_within(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+    """(q, b, d, place): each query's k nearest base rows by cosine among those with the query's path, ties by id.
+
+    queries: (q, qv, path); base: (b, bv, path); a path is an array of strings. A path that only one side has finds nothing.
+    """
+    near = None
+    for block in _blocks(queries, "q", "qv"):
+        held = block.select(F.col("q").cast("long").alias("q"), F.transform("qv", lambda x: x.cast("double")).alias("qv"), "path").toArrow()  # BLOCK bytes at most
+        groups: dict[tuple, list[int]] = {}
+        for at, p in enumerate(held.column("path").to_pylist()):
+            groups.setdefault(tuple(p), []).append(at)
+        told = base.sparkSession.sparkContext.broadcast((held.column("q").to_numpy(), matrix(held.column("qv").combine_chunks()), {p: np.array(v) for p, v in groups.items()}))
+
+        def search(batches: Iterator[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
+            ids, x, groups = told.value
+            best = _Nearest(len(ids), k)
+            for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+                rows, y = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))
+                own: dict[tuple, list[int]] = {}
+                for at, p in enumerate(batch.column(2).to_pylist()):
+                    own.setdefault(tuple(p), []).append(at)
+                for p, at in own.items():
+                    if p in groups:
+                        d = _distances(x[groups[p]], y[at], "cosine")
+                        best.see(np.where(rows[at][None, :] == ids[groups[p]][:, None], np.inf, d) if exclude_self else d, rows[at], groups[p])
+            yield best.out(ids, ["q", "b", "d"])
+
+        found = base.select(F.col("b").cast("long").alias("b"), "bv", "path").mapInArrow(search, "q long, b long, d double")
+        top = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("d", "b"))).where(F.col("place") <= k)
+        near = top if near is None else near.unionByName(top)
+    return near
+
+
+def hierarchical(queries: DataFrame, base: DataFrame, ranks: list[str], ks: list[int], size_how: str = "sqrt", exclude_self: bool = False, region: str | None = None) -> DataFrame:
     """(q, p_.., c_..): rank by rank, the k nearest base rows inside the predicted prefix vote; confidence multiplies.
 
     A vote weighs 1 / sqrt(size of its taxon among the candidates) times 1 / (d^2 + 1e-6); ties
     go to the larger votes, then the larger taxon, then the larger name. queries: (q, qv); base: (b, bv, ranks).
+    The last of ks stands for all further ranks. With ``region``, a column of base, the result also names the
+    region of the nearest row that voted for the first rank's winner.
     """
     state = queries.select(F.col("q").cast("long").alias("q"), "qv", F.lit(1.0).alias("conf"))
     done: list[str] = []
-    for r, (rank, k) in enumerate(zip(ranks, ks, strict=True)):
+    kept: list[str] = []
+    for r, rank in enumerate(ranks):
         sizes = base.groupBy(*ranks[: r + 1]).agg(F.count("*").alias("size"))
-        prefix = F.array(*[F.col(x).cast("string") for x in ranks[:r]]) if r else F.array().cast("array<string>")
-        side = base.select(F.col("b").cast("long").alias("b"), "bv", prefix.alias("prefix"))
-        near = None
-        for block in _blocks(state, "q", "qv"):
-            wanted = F.array(*[F.col(x).cast("string") for x in done]) if done else F.array().cast("array<string>")
-            held = block.select("q", F.transform("qv", lambda x: x.cast("double")).alias("qv"), wanted.alias("prefix")).toArrow()  # BLOCK bytes at most
-            groups: dict[tuple, list[int]] = {}
-            for at, p in enumerate(held.column("prefix").to_pylist()):
-                groups.setdefault(tuple(p), []).append(at)
-            told = base.sparkSession.sparkContext.broadcast((held.column("q").to_numpy(), matrix(held.column("qv").combine_chunks()), {p: np.array(v) for p, v in groups.items()}))
-
-            def search(batches: Iterator[pa.RecordBatch], told=told, k=k) -> Iterator[pa.RecordBatch]:
-                ids, x, groups = told.value
-                best = _Nearest(len(ids), k)
-                for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-                    rows, y = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))
-                    own: dict[tuple, list[int]] = {}
-                    for at, p in enumerate(batch.column(2).to_pylist()):
-                        own.setdefault(tuple(p), []).append(at)
-                    for p, at in own.items():
-                        if p in groups:
-                            d = _distances(x[groups[p]], y[at], "cosine")
-                            best.see(np.where(rows[at][None, :] == ids[groups[p]][:, None], np.inf, d) if exclude_self else d, rows[at], groups[p])
-                yield best.out(ids, ["q", "b", "d"])
-
-            found = side.mapInArrow(search, "q long, b long, d double")
-            top = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy("d", "b"))).where(F.col("place") <= k)
-            near = top if near is None else near.unionByName(top)
-        named = near.join(base.select(F.col("b").cast("long").alias("b"), *ranks[: r + 1]), "b").join(sizes, ranks[: r + 1]).select("q", F.col(rank).alias("taxon"), "size", "d")
-        votes = named.groupBy("q", "taxon").agg(F.round(F.sum(S.size_vote(F.col("size"), size_how) * S.distance_vote(F.col("d"))), 6).alias("vote"), F.max("size").alias("size"))
-        won = votes.groupBy("q").agg(F.max(F.struct("vote", "size", "taxon")).alias("w"), F.sum("vote").alias("all"))
+        near = nearest_within(state.select("q", "qv", _path(done).alias("path")), base.select("b", "bv", _path(ranks[:r]).alias("path")), ks[min(r, len(ks) - 1)], exclude_self)
+        carried = [region] if region and not r else []
+        named = near.join(base.select(F.col("b").cast("long").alias("b"), *dict.fromkeys(ranks[: r + 1] + carried)), "b").join(sizes, ranks[: r + 1])
+        closest = [F.min(F.struct("d", "b", region)).alias("closest")] if carried else []
+        votes = named.withColumn("taxon", F.col(rank)).groupBy("q", "taxon").agg(F.round(F.sum(S.size_vote(F.col("size"), size_how) * S.distance_vote(F.col("d"))), 6).alias("vote"), F.max("size").alias("size"), *closest)
+        won = votes.groupBy("q").agg(F.max(F.struct("vote", "size", "taxon", *(["closest"] if carried else []))).alias("w"), F.sum("vote").alias("all"))
         share = F.col("conf") * F.col("w.vote") / F.col("all")
-        state = written(state.join(won, "q").select("q", "qv", share.alias("conf"), *done, *[f"c_{x}" for x in ranks[:r]], F.col("w.taxon").alias(f"p_{rank}"), share.alias(f"c_{rank}")), "voted")
+        more = [F.col("w.closest")[region].alias("best_region")] if carried else []
+        state = written(state.join(won, "q").select("q", "qv", share.alias("conf"), *done, *[f"c_{x}" for x in ranks[:r]], *kept, F.col("w.taxon").alias(f"p_{rank}"), share.alias(f"c_{rank}"), *more), "voted")
         done.append(f"p_{rank}")
-    return state.select("q", *done, *[F.round(f"c_{x}", 6).alias(f"c_{x}") for x in ranks])
+        kept = ["best_region"] if region else []
+    return state.select("q", *done, *[F.round(f"c_{x}", 6).alias(f"c_{x}") for x in ranks], *kept)
 
 
 def centroids(rows: DataFrame, by: list[str], vector: str) -> DataFrame:

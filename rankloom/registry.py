@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import clustering, curation, evaluation, kmers, logs, mining, neighbours, ordering, sparse, taxonomy, trees, vector_index
+from .operators import classification, clustering, curation, evaluation, kmers, logs, mining, neighbours, ordering, sparse, taxonomy, trees, vector_index
 from .plans import adapters as A
 from .plans.adapters import sql
 from .plans.shared import written
@@ -381,6 +381,66 @@ def prototypes(spark, d):
     return got.select("q", "predicted", F.round("confidence", 5).alias("confidence"))
 
 
+# Classification at all seven ranks
+
+_RANKS = [f"t{k}" for k in range(7)]
+#: Taxa of a vector: names under their parent's, so that a name has one path.
+_TAXA = ["label % 2", "label", "vec_id % 3", "vec_id % 2", "vec_id // 6 % 2", "vec_id // 12 % 2", "vec_id // 24 % 3"]
+_K_BY_RANK = [75, 50, 10, 10, 7, 5, 3]
+_SEVEN = "seven AS (SELECT vec_id, 'R' || vec_id % 4 AS region, list_transform(embedding, lambda x: x::DOUBLE) AS v, " + ", ".join(
+    " || '.' || ".join(f"({e})::BIGINT::VARCHAR" for e in _TAXA[: k + 1]) + f" AS t{k}" for k in range(7)
+) + " FROM embeddings)"
+
+
+def _seven(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The query set, every row whose id is divisible by 100, and all rows with seven ranks and a region."""
+    v = A.table(spark, d, "embeddings")
+    parts = [F.expr(e.replace("//", "div")).cast("long").cast("string") for e in _TAXA]
+    rows = v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("bv"), F.concat(F.lit("R"), (F.col("vec_id") % 4).cast("string")).alias("region"), *[F.concat_ws(".", *parts[: k + 1]).alias(f"t{k}") for k in range(7)])
+    return rows.where("b % 100 = 0").select(F.col("b").alias("q"), F.col("bv").alias("qv")), rows
+
+
+def _voted_sql() -> str:
+    steps = ["WITH " + _SEVEN, "s AS (SELECT q.vec_id AS q, b.*, round(1 - list_dot_product(q.v, b.v), 9) AS d FROM seven q JOIN seven b ON q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id)"]
+    for r, k in enumerate(_K_BY_RANK):
+        inside = f" JOIN w{r - 1} w ON s.q = w.q AND s.t{r - 1} = w.taxon AND w.n = 1" if r else ""
+        steps.append(f"n{r} AS (SELECT s.*, row_number() OVER (PARTITION BY s.q ORDER BY d, vec_id) AS n FROM s{inside})")
+        steps.append(f"""v{r} AS (SELECT q, t{r} AS taxon, round(sum(1 / sqrt(size) / (d * d + 0.000001)), 6) AS v, max(size) AS size, arg_min(region, (d, vec_id)) AS region
+FROM n{r} JOIN (SELECT t{r}, count(*) AS size FROM seven GROUP BY t{r}) USING (t{r}) WHERE n <= {k} GROUP BY q, t{r})""")
+        steps.append(f"w{r} AS (SELECT *, v / sum(v) OVER (PARTITION BY q) AS c, row_number() OVER (PARTITION BY q ORDER BY v DESC, size DESC, taxon DESC) AS n FROM v{r})")
+    cols = [f"w{r}.taxon AS p_t{r}, round({' * '.join(f'w{j}.c' for j in range(r + 1))}, 6) AS c_t{r}" for r in range(7)]
+    return ",\n".join(steps) + f"\nSELECT w0.q, {', '.join(cols)}, w0.region AS best_region FROM w0 " + " ".join(f"JOIN w{r} ON w{r}.q = w0.q AND w{r}.n = 1" for r in range(1, 7)) + " WHERE w0.n = 1"
+
+
+def _prototype_sql(size_alpha: int, quality_alpha: int) -> str:
+    steps = ["WITH " + _SEVEN, "u AS (SELECT * REPLACE (list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 0.00000001)) AS v) FROM seven)"]
+    for r in range(7):
+        above = f"t{r - 1}" if r else "0 AS t"
+        inside = f" JOIN w{r - 1} w ON u.vec_id = w.q AND w.n = 1 JOIN p{r} p ON p.above = w.taxon" if r else " JOIN p0 p ON TRUE"
+        steps.append(f"""e{r} AS (SELECT {above.split()[0]} AS above, taxon, list(s ORDER BY k) AS s, max(n) AS n FROM (SELECT {above}, t{r} AS taxon, k, sum(x) AS s, count(*) AS n
+FROM (SELECT *, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM u) GROUP BY ALL) GROUP BY ALL)""")
+        steps.append(f"""p{r} AS (SELECT above, taxon, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) AS c, n / (n + {size_alpha}) * sqrt(list_dot_product(s, s)) / (n + {quality_alpha}) AS f FROM e{r})""")
+        steps.append(f"m{r} AS (SELECT u.vec_id AS q, p.taxon, round(list_dot_product(u.v, p.c) * p.f, 9) AS sim FROM u{inside} WHERE u.vec_id % 100 = 0)")
+        steps.append(f"""w{r} AS (SELECT q, taxon, 1 / sum(exp((sim - most) / 0.02)) OVER (PARTITION BY q) AS c, n
+FROM (SELECT *, max(sim) OVER (PARTITION BY q) AS most, row_number() OVER (PARTITION BY q ORDER BY sim DESC, taxon) AS n FROM m{r}))""")
+    steps.append("""near AS (SELECT w6.q, arg_min(b.region, (round(1 - list_dot_product(a.v, b.v), 9), b.vec_id)) AS best_region
+FROM w6 JOIN seven a ON a.vec_id = w6.q JOIN seven b ON b.t6 = w6.taxon WHERE w6.n = 1 GROUP BY w6.q)""")
+    cols = [f"w{r}.taxon AS p_t{r}, round({' * '.join(f'w{j}.c' for j in range(r + 1))}, 6) AS c_t{r}" for r in range(7)]
+    return ",\n".join(steps) + f"\nSELECT near.q, {', '.join(cols)}, best_region FROM near " + " ".join(f"JOIN w{r} ON w{r}.q = near.q AND w{r}.n = 1" for r in range(7))
+
+
+@query("G10_J14_seven_ranks", _voted_sql())
+def seven_voted(spark, d):
+    q, b = _seven(spark, d)
+    return neighbours.hierarchical(q, b, _RANKS, _K_BY_RANK, exclude_self=True, region="region")
+
+
+@query("G12_seven_ranks", _prototype_sql(1, 1))
+def seven_prototypes(spark, d):
+    q, b = _seven(spark, d)
+    return classification.prototype_hierarchy(q, b, _RANKS, size_alpha=1.0, quality_alpha=1.0, region="region")
+
+
 # Evaluation
 
 _RIGHT = "(true_ = pred)::INT"
