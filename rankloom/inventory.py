@@ -10,7 +10,7 @@ from .operators import batches, clustering, curation, evaluation, kmers, logs, m
 from .plans import adapters as A
 from .plans.adapters import sql
 from .registry import ORACLE_SQL, QUERIES, _triplets, query
-from .sources import fasta
+from .sources import fasta, fasta_format
 from .streaming import state
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -34,6 +34,26 @@ def checked_headers(spark, d):
     return got.select("idx", S.required_genome_id(F.col("header")).alias("genome_id"), F.get(S.taxonomy_path(F.col("header")), F.lit(0)).alias("t0"))
 
 
+@query("A1_A17_fasta_format", sql("seqs", "SELECT 'G' || doc_id AS genome_id, lang AS t0, length(dna)::BIGINT AS n, sha256(dna) AS dna_sha256 FROM seqs"))
+def fasta_format_rows(spark, d):
+    spark.dataSource.register(fasta_format.FastaSource)
+    path, h = fasta.work_folder(spark, "format"), F.col("header")
+    told = F.concat(F.lit("G"), F.col("doc_id").cast("string"), F.lit("~c1 d__"), "lang", F.lit(";p__"), "source")
+    A.seqs(spark, d).select(told.alias("header"), F.col("dna").alias("seq")).write.format("fasta").mode("append").option("lineWidth", 80).save(path)
+    got = spark.read.format("fasta").load(path)
+    return got.select(S.genome_id(h).alias("genome_id"), F.get(S.taxonomy_path(h), F.lit(0)).alias("t0"), F.length("seq").cast("long").alias("n"), F.sha2("seq", 256).alias("dna_sha256"))
+
+
+@query("A2_A6_fasta_format_headers", "SELECT row_number() OVER (ORDER BY doc_id) AS idx, 'G' || doc_id AS genome_id FROM documents")
+def fasta_format_headers(spark, d):
+    spark.dataSource.register(fasta_format.FastaSource)
+    path = fasta.work_folder(spark, "format")
+    lines = _records(spark, d).select("idx", F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value"))
+    lines.repartitionByRange("idx").sortWithinPartitions("idx").select("value").write.text(path)  # part files in the order of the numbers
+    got = fasta.consecutive(spark.read.format("fasta").option("headersOnly", True).load(path), folder=True)
+    return got.select("idx", S.required_genome_id(F.col("header")).alias("genome_id"))
+
+
 @query("A3_A4_validated", sql("seqs", "SELECT 'G' || doc_id AS genome_id, substr(dna, 31, length(dna) - 60) AS seq FROM seqs WHERE length(dna) >= 100"))
 def validated(spark, d):
     path = fasta.work_folder(spark, "fasta")
