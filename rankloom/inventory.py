@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import batches, clustering, curation, evaluation, kmers, logs, mining, ordering, panels, taxonomy
+from .operators import batches, clustering, curation, evaluation, kmers, logs, mining, ordering, panels, points, taxonomy
 from .plans import adapters as A
 from .plans.adapters import sql
 from .registry import ORACLE_SQL, QUERIES, _triplets, query
@@ -461,6 +461,89 @@ def evaluated(spark, d):
     return clustering.evaluated(A.vecs(spark, d), "vec_id", "v", ["r1", "r2"], {"all": F.lit(True), "even": F.col("vec_id") % 2 == 0}, rounds=5)
 
 
+@query("C5_evaluated_runs")
+def evaluated_runs(spark, d):
+    v = A.vecs(spark, d).select((F.col("vec_id") - F.col("vec_id") % 3).alias("item"), (F.col("vec_id") % 3).alias("region"), "v", "r0", "r1")
+    runs = [0, 1]
+    items = v.select("item").distinct().withColumn("run", F.explode(F.array(*[F.lit(r).cast("long") for r in runs])))
+    plan = items.withColumn("region", panels.region_choice(F.col("item") * 1_009 + F.col("run"), 3))
+    return clustering.evaluated_runs(v, plan, runs, "item", "region", "v", ["r1"], {"all": F.lit(True), "even": F.col("item") % 2 == 0}, rounds=5)
+
+
+@query("F23_C9_points", sql("tax4", """, p1 AS (SELECT r0 FROM tax4 GROUP BY r0 ORDER BY count(*) DESC, min(id) LIMIT 3),
+o1 AS (SELECT r0 FROM tax4 GROUP BY r0 ORDER BY count(*) DESC, min(id) LIMIT 1),
+p2 AS (SELECT r1 FROM tax4 WHERE r0 IN (FROM o1) GROUP BY r1 ORDER BY count(*) DESC, min(id) LIMIT 2),
+h AS (SELECT *, 1 + (id * 1103515245 + 12345) % 2147483648 % 6 AS region FROM tax4)
+SELECT 'top' AS panel_name, id, region, r0 AS color_label, '' AS shape_label FROM h WHERE r0 IN (FROM p1)
+UNION ALL SELECT 'inside', id, region, r1, r2 FROM h WHERE r0 IN (FROM o1) AND r1 IN (FROM p2)
+UNION ALL SELECT 'one', id, region, r0, '' FROM h WHERE r2 = 'MACHINERY'
+UNION ALL SELECT 'regions', id, x, id::VARCHAR, '' FROM (SELECT id FROM tax4 WHERE r2 = 'BUILDING' ORDER BY (id * 1103515245 + 12345) % 2147483648, id LIMIT 10), range(1, 7) t(x)"""))
+def panel_tables(spark, d):
+    t, regions = A.tax4(spark, d), list(range(1, 7))
+    parts = {
+        "top": points.top_taxa_points(t, "r0", "id", 3),
+        "inside": points.top_inside_points(t, "r0", "r1", "r2", "id", 2),
+        "one": points.taxon_points(t, "r2", "MACHINERY", "r0"),
+        "regions": points.invariance_points(t, "id", "r2", "BUILDING", 10, regions),
+    }
+    return points.panel_points(parts, "id", regions).select("panel_name", "id", "region", "color_label", "shape_label")
+
+
+@query("G16_depth_counts", sql("preds", """, k AS (SELECT DISTINCT true_ FROM preds WHERE id % 3 = 0 AND true_ <> 'A'), g AS (SELECT DISTINCT region FROM preds),
+n AS (SELECT region, CASE WHEN pred <> true_ OR true_ NOT IN (FROM k) THEN 0 WHEN status <> 'O' THEN 1 ELSE 2 END AS depth FROM preds),
+c AS (SELECT region, depth, count(*) AS n_rows FROM n GROUP BY ALL)
+SELECT g.region, r.d AS depth, r.name AS deepest, coalesce(c.n_rows, 0)::BIGINT AS n_rows, round(coalesce(c.n_rows, 0) / sum(coalesce(c.n_rows, 0)) OVER (PARTITION BY g.region), 6) AS share
+FROM g CROSS JOIN (VALUES (0::BIGINT, 'None'), (1, 'flag'), (2, 'status')) r(d, name) LEFT JOIN c ON c.region = g.region AND c.depth = r.d"""))
+def depth_counts(spark, d):
+    p = A.preds(spark, d).select("id", "region", F.col("true").alias("flag"), "status", "pred")
+    rows = evaluation.known_taxa(p, p.where("id % 3 = 0 AND flag <> 'A'").select("flag", F.lit("O").alias("status")), ["flag", "status"])
+    depth = evaluation.deepest_correct(F.array("flag", "status"), F.array("pred", F.lit("O")), F.col("known"))
+    return evaluation.depth_counts(rows.withColumn("depth", depth), "depth", ["flag", "status"], ["region"])
+
+
+@query("G31_dominant_at_least", sql("vecs", """, c AS (SELECT r1 AS l, r2 AS k, count(*) AS n FROM vecs GROUP BY ALL),
+t AS (SELECT *, sum(n) OVER (PARTITION BY l) AS a, sum(n) OVER (PARTITION BY k) AS b, row_number() OVER (PARTITION BY l ORDER BY n DESC, k) AS o FROM c)
+SELECT l AS label, k AS cluster, round(n / b, 6) AS precision, round(n / a, 6) AS recall, round(2 * (n / b) * (n / a) / greatest(n / b + n / a, 0.000000001), 6) AS f1 FROM t WHERE o = 1"""))
+def dominant_at_least(spark, d):
+    return evaluation.dominant_clusters(A.vecs(spark, d), "r1", "r2", least=True)
+
+
+@query("J7_resolved_ids", sql("tax4", """, m AS (SELECT 'd__' || r_name AS key, r_regionkey::BIGINT AS id FROM region UNION ALL SELECT n_name, 100 + n_nationkey FROM nation UNION ALL SELECT 'p__' || n_name, 200 + n_nationkey FROM nation WHERE n_nationkey % 2 = 0),
+l AS (SELECT id, 0 AS rank, r0 AS label, 'd__' || r0 AS ranked FROM tax4 UNION ALL SELECT id, 1, r1, 'p__' || r1 FROM tax4)
+SELECT l.id, l.rank::INT AS rank, l.label, coalesce(a.id, b.id) AS taxon_id FROM l LEFT JOIN m a ON a.key = l.ranked LEFT JOIN m b ON b.key = l.label"""))
+def resolved_ids(spark, d):
+    n, r = A.table(spark, d, "nation"), A.table(spark, d, "region")
+    ids = r.select(F.concat(F.lit("d__"), "r_name").alias("key"), F.col("r_regionkey").cast("long").alias("taxon_id"))
+    ids = ids.unionByName(n.select(F.col("n_name").alias("key"), (F.col("n_nationkey") + 100).cast("long").alias("taxon_id")))
+    ids = ids.unionByName(n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("p__"), "n_name").alias("key"), (F.col("n_nationkey") + 200).cast("long").alias("taxon_id")))
+    rows = A.tax4(spark, d).select("id", F.posexplode(F.array("r0", "r1")).alias("rank", "label"))
+    return taxonomy.resolved_ids(rows, ids, "label", "rank").select("id", "rank", "label", "taxon_id")
+
+
+@query("K5_start_slack", sql("seqs", """SELECT doc_id, substr(dna, 1 + least(greatest(length(dna) - 300, 0), doc_id % 50)::INT, 300) AS s FROM seqs"""))
+def start_slack(spark, d):
+    return A.seqs(spark, d).select("doc_id", S.clamped(F.col("dna"), 300, F.col("doc_id") % 50).alias("s"))
+
+
+@query("A22_snapshot", "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 7 <> 0 THEN s_acctbal END AS score FROM supplier")
+def snapshot(spark, d):
+    path = fasta.work_folder(spark, "snapshot")
+    s = A.table(spark, d, "supplier").select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("score"))
+    fasta.write_json(s.where("score IS NULL"), path)
+    fasta.write_json(s, path)
+    return spark.read.schema(s.schema).json(path)
+
+
+@query("O14_misclassified_files", sql("preds", """SELECT 'flag' AS rank, id::VARCHAR AS sequence_index, true_ AS true_taxon, pred AS predicted_taxon, (SELECT count(*) FROM preds) AS total_num_seqs FROM preds WHERE true_ <> pred
+UNION ALL SELECT 'status', id::VARCHAR, status, 'O', (SELECT count(*) FROM preds) FROM preds WHERE status <> 'O'"""))
+def misclassified_files(spark, d):
+    path = fasta.work_folder(spark, "misclassified")
+    p = A.preds(spark, d).select("id", F.col("true").alias("true_flag"), F.col("pred").alias("pred_flag"), F.col("status").alias("true_status"), F.lit("O").alias("pred_status"))
+    for rank in ("flag", "status"):
+        fasta.write_misclassified(p, path, rank, "id")
+    return fasta.read_misclassified(spark, path, "flag").unionByName(fasta.read_misclassified(spark, path, "status"))
+
+
 # Mining as a whole
 
 

@@ -246,6 +246,19 @@ def scored_subset(clusters: DataFrame, rows: DataFrame, key: str, label: str, su
     return evaluation.agreement(clusters.join(rows.where(subset).select(key, label), key), label, "cluster")
 
 
+def evaluated_runs(vectors: DataFrame, plan: DataFrame, runs: list[int], item: str, region: str, vector: str, ranks: list[str], cases: dict, methods: tuple[bool, ...] = (True, False), rounds: int = 200) -> DataFrame:
+    """evaluated for each run, with run: a run clusters the items' vectors of the regions that its plan names.
+
+    vectors: (item, region, vector, ranks); plan: (run, item, region). An item without a vector of its region isn't in the run.
+    """
+    out = None
+    for run in runs:
+        rows = vectors.join(plan.where(F.col("run") == run).select(item, region), [item, region])
+        one = evaluated(rows, item, vector, ranks, cases, methods, rounds).withColumn("run", F.lit(run).cast("long"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def evaluated(rows: DataFrame, key: str, vector: str, ranks: list[str], cases: dict, methods: tuple[bool, ...] = (True, False), rounds: int = 200) -> DataFrame:
     """(spherical, rank, case, n_rows, homogeneity, completeness, v_measure, adjusted_rand): every method, seeded and judged by every rank, scored on every case.
 

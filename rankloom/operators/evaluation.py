@@ -32,12 +32,33 @@ def macro_accuracy(rows: DataFrame, by: list[str], true: str = "true", pred: str
     return each.groupBy(*by).agg(F.count("*").alias("n_taxa"), F.round(F.avg("a"), 6).alias("macro_accuracy"))
 
 
-def deepest_correct(trues: Column, preds: Column) -> Column:
-    """Number of leading ranks that are right; stops at the first that is wrong, empty or null."""
+def deepest_correct(trues: Column, preds: Column, known: Column | None = None) -> Column:
+    """Number of leading ranks that are right; stops at the first that is wrong, empty or null, or whose true taxon isn't among the training rows (``known``, one boolean a rank)."""
+    if known is not None:
+        trues = F.zip_with(trues, known, lambda t, k: F.when(k, t))
     both = F.zip_with(trues, preds, lambda t, p: F.coalesce((t == p) & (t != ""), F.lit(False)))
     return F.aggregate(both, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, ok: F.struct((s["n"] + F.when(s["on"] & ok, 1).otherwise(0)).alias("n"), (s["on"] & ok).alias("on")), lambda s: s["n"])
 
 
+def known_taxa(rows: DataFrame, train: DataFrame, ranks: list[str]) -> DataFrame:
+    """rows with known: for each rank whether its true taxon has a training row. Taxa are one row each before they meet the rows."""
+    flags = []
+    for r in ranks:
+        seen = train.where(F.col(r).isNotNull()).select(F.col(r).alias(f"__{r}")).distinct().withColumn(f"__k_{r}", F.lit(True))
+        rows = rows.join(seen, F.col(r) == F.col(f"__{r}"), "left").drop(f"__{r}")
+        flags.append(F.coalesce(f"__k_{r}", F.lit(False)))
+    return rows.withColumn("known", F.array(*flags)).drop(*[f"__k_{r}" for r in ranks])
+
+
+def depth_counts(rows: DataFrame, depth: str, names: list[str], by: list[str]) -> DataFrame:
+    """(by, depth, deepest, n_rows, share): how many rows are right down to each rank, 'None' for depth 0; ranks that no row reaches are there with 0."""
+    counts = rows.groupBy(*by, F.col(depth).cast("long").alias("depth")).agg(F.count("*").alias("n_rows"))
+    total = counts.groupBy(*by).agg(F.sum("n_rows").alias("__all"))
+    each = total.select(*by, "__all", F.posexplode(F.array(*[F.lit(n) for n in ["None", *names]])).alias("depth", "deepest")).withColumn("depth", F.col("depth").cast("long"))
+    n = F.coalesce("n_rows", F.lit(0))
+    return each.join(counts, [*by, "depth"], "left").select(*by, "depth", "deepest", n.alias("n_rows"), F.round(n / F.col("__all"), 6).alias("share"))
+
+
 def confidence_spread(rows: DataFrame, by: list[str], conf: str) -> DataFrame:
     stats = [F.count("*").alias("n_rows"), F.min(conf).alias("least"), F.max(conf).alias("most")]
     return ordering.with_quantiles(rows.select(*by, conf), by, conf, {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}, stats)
@@ -229,11 +250,11 @@ def ordered_contingency(rows: DataFrame, label: str, cluster: str) -> DataFrame:
     return both.join(order, "label").select("label", "cluster", "n", "row_place", "col_place")
 
 
-def dominant_clusters(rows: DataFrame, label: str, cluster: str) -> DataFrame:
-    """(label, cluster, precision, recall, f1) of each label's largest cluster, the lowest id on ties."""
+def dominant_clusters(rows: DataFrame, label: str, cluster: str, least: bool = False) -> DataFrame:
+    """(label, cluster, precision, recall, f1) of each label's largest cluster, the lowest id on ties. F1 divides by the sum plus 1e-9, or by at least 1e-9."""
     best = contingency(rows, label, cluster).groupBy("label").agg(F.max(F.struct("n", (-F.col("cluster")).alias("c"), "a", "b")).alias("m"))
     p, r = F.col("m.n") / F.col("m.b"), F.col("m.n") / F.col("m.a")
-    return best.select("label", (-F.col("m.c")).alias("cluster"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / (p + r + 1e-9), 6).alias("f1"))
+    return best.select("label", (-F.col("m.c")).alias("cluster"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(2 * p * r / (F.greatest(p + r, F.lit(1e-9)) if least else p + r + 1e-9), 6).alias("f1"))
 
 
 def congruency(vectors: DataFrame, item: str, vector: str, side: str, eps: float = 1e-5) -> DataFrame:

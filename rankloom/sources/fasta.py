@@ -100,6 +100,25 @@ def write_table(df: DataFrame, path: str, sep: str = ",", digits: int = 6, appen
     df.select(*[F.when(F.col(c).isNotNull(), e).alias(c) for c, e in zip(df.columns, cols, strict=True)]).write.mode("append" if append else "errorifexists").csv(path, header=True, sep=sep)
 
 
+def write_json(df: DataFrame, path: str, overwrite: bool = True) -> None:
+    """A snapshot as lines of JSON, nulls written out; it takes the place of an earlier one."""
+    df.write.mode("overwrite" if overwrite else "errorifexists").option("ignoreNullFields", False).json(path)
+
+
+def write_misclassified(rows: DataFrame, path: str, rank: str, key: str) -> None:
+    """sequence_index, true_taxon, predicted_taxon of the rows whose true_<rank> and pred_<rank> differ, a folder for the rank: each part file begins with the header, and counts/ says total_num_seqs=N."""
+    folder = f"{path}/{rank}"
+    rows.agg(F.count("*").alias("n")).select(F.concat(F.lit("total_num_seqs="), F.col("n").cast("string")).alias("value")).write.text(f"{folder}/counts")
+    wrong = rows.where(~F.col(f"true_{rank}").eqNullSafe(F.col(f"pred_{rank}")))
+    write_table(wrong.select(F.col(key).alias("sequence_index"), F.col(f"true_{rank}").alias("true_taxon"), F.col(f"pred_{rank}").alias("predicted_taxon")), f"{folder}/rows")
+
+
+def read_misclassified(spark: SparkSession, path: str, rank: str) -> DataFrame:
+    """(rank, sequence_index, true_taxon, predicted_taxon, total_num_seqs) as write_misclassified wrote them, all but the count as strings."""
+    total = spark.read.text(f"{path}/{rank}/counts").select(F.substring_index("value", "=", -1).cast("long").alias("total_num_seqs"))  # one row
+    return read_strings(spark, f"{path}/{rank}/rows").select(F.lit(rank).alias("rank"), "*").join(F.broadcast(total))
+
+
 def read_scores(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
     """(key, value) of a tab-separated cache of results; a value that is no number is null."""
     rows = read_strings(spark, path, "\t")
