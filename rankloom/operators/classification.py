@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..plans.shared import Scratch
-from .neighbours import ROWS, _blocks, _path, centroids, matrix, nearest_within
+from .neighbours import ROWS, _blocks, _path, matrix, nearest_within
 
 
-def damped(size_alpha: float | None = None, quality_alpha: float | None = None):
+def damped(size_alpha: float | None = None, quality_alpha: float | None = None) -> Column:
     """The factor of a prototype's similarity: n / (n + alpha), and the length of its members' sum over (n + alpha)."""
     factor = F.lit(1.0)
     if size_alpha is not None:
@@ -23,6 +24,13 @@ def damped(size_alpha: float | None = None, quality_alpha: float | None = None):
     return factor
 
 
+def vector_sums(rows: DataFrame, by: list[str], vector: Column, dims: int, n: Column) -> DataFrame:
+    """(by, n, sum): vectors added place by place, one row of ``dims`` sums for each group and task before the shuffle."""
+    each = rows.select(*by, n.alias("__n"), vector.alias("__v"))
+    told = each.groupBy(*by).agg(F.sum("__n").alias("n"), *[F.sum(F.get("__v", F.lit(k))).alias(f"__s{k}") for k in range(dims)])
+    return told.select(*by, "n", F.array(*[F.col(f"__s{k}") for k in range(dims)]).cast("array<double>").alias("sum"))
+
+
 def compete(queries: DataFrame, protos: DataFrame, kappa: float) -> DataFrame:
     """(q, taxon, share): the most similar prototype with the query's path, the first name of equals, and its softmax share.
 
@@ -71,11 +79,17 @@ def prototype_hierarchy(
     among those of the whole predicted path (equals: the least b; empty if there is none). What the ranks wrote is removed.
     """
     scratch = Scratch(queries.sparkSession)
+    one = base.where(F.col("bv").isNotNull()).select(F.size("bv")).first()
+    dims = one[0] if one else 0
+    # Vectors are read once: the sums of a rank are those of the rank below added up.
+    rows = base.where(F.col(ranks[0]).isNotNull())
+    sums = scratch.write(vector_sums(rows, ranks, S.normalised(F.col("bv")), dims, F.lit(1)), "sums")
     state = queries.select(F.col("q").cast("long").alias("q"), "qv", F.lit(1.0).alias("conf"))
-    rows, done = base, []
+    done: list[str] = []
     for r, rank in enumerate(ranks):
-        rows = rows.where(F.col(rank).isNotNull())
-        found = centroids(rows, ranks[: r + 1], "bv")
+        sums, rows = sums.where(F.col(rank).isNotNull()), rows.where(F.col(rank).isNotNull())
+        found = vector_sums(sums, ranks[: r + 1], F.col("sum"), dims, F.col("n"))
+        found = found.withColumn("resultant", F.sqrt(S.dot(F.col("sum"), F.col("sum"))) / F.col("n")).withColumn("centroid", S.normalised(F.col("sum"), 1e-12, "safe"))
         protos = scratch.write(found.select(_path(ranks[:r]).alias("path"), F.col(rank).cast("string").alias("taxon"), "centroid", damped(size_alpha, quality_alpha).alias("factor")), "prototypes")
         won = compete(state.select("q", "qv", _path(done).alias("path")), protos, kappa)
         conf = F.col("conf") * F.coalesce("share", F.lit(0.0))
