@@ -52,6 +52,8 @@ def test_budgets():
     assert sum(mining.budgets([1.0, 1.0, 1.0], 10, 0, 1)) == 10
     assert mining.budgets([0, 0], 5) == [0, 0]
     assert mining.budgets([51.0, 47.0, 2.0], 100, 0.05, 0.5) == [50, 45, 5]
+    assert sum(mining.budgets([0.25, 0.25, 5e-324, 5e-324], 16, 0.0, 0.3125)) == 16
+    assert sum(mining.budgets([1e-200, 1e-200], 7, exponent=2.0)) == 7
     # With all others at the least, the hardest takes what is left, over its most.
     assert mining.budgets([100.0, 1.0, 1.0], 100, 0.05, 0.5) == [90, 5, 5]
 
