@@ -1,7 +1,7 @@
 """spark.read.format("fasta"): byte ranges of each file as partitions, headers alone where only they are asked for; and its writer.
 
     spark.dataSource.register(FastaSource)
-    spark.read.format("fasta").option("headersOnly", True).load("/data/silva")      # (file, ord, header)
+    spark.read.format("fasta").option("headersOnly", True).load("/data/in")      # (file, ord, header)
     spark.read.format("fasta").option("splitBytes", 1 << 20).load("/data/x.fasta")  # (file, ord, header, seq)
     rows.select("header", "seq").write.format("fasta").mode("append").option("lineWidth", 80).save("/data/out")
 
