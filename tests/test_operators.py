@@ -8,8 +8,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from rankloom import registry
 from rankloom.functions import scalars as S
 from rankloom.operators import clustering, curation, evaluation, kmers, mining, neighbours, ordering, taxonomy
+from rankloom.plans import adapters
 from rankloom.sources import fasta
 
 
@@ -322,3 +324,13 @@ def test_a_batch_from_the_rows(spark):
     assert 0 < len(hard) <= 120 and sorted(r["position"] for r in hard) == list(range(len(hard))) and {r["batch"] for r in hard} == {3}
     assert triples and all(label[(r["anchor"] - 3) // 7] % 2 == label[(r["positive"] - 3) // 7] % 2 or r["rank"] < 0 for r in triples)
     assert {r["rank"] for r in states[0].collect()} == {r["rank"] for r in hard}
+
+
+def test_all_taxa_of_a_size_are_excluded(spark, sf):
+    got = registry.QUERIES["F14_excluded_taxa"](spark, sf).collect()
+    sizes = {r["r1"]: r["count"] for r in adapters.tax4(spark, sf).groupBy("r1").count().collect() if 3 <= r["count"] <= 100_000}
+    assert {r["r1"]: r["n_rows"] for r in got} == sizes and len(sizes) > 7
+    rows = spark.createDataFrame([("a",), ("a",), ("b",), ("b",), ("c",)], "r string")
+    assert curation.excluded_taxa(rows, "r", 2, 2, 1).count() == 1
+    with pytest.raises(Exception, match="fewer than 3"):
+        curation.excluded_taxa(rows, "r", 2, 2, 3).collect()
