@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rankloom import registry
 from rankloom.functions import scalars as S
 from rankloom.operators import clustering, curation, evaluation, kmers, mining, neighbours, ordering, taxonomy
-from rankloom.plans import adapters
+from rankloom.plans import adapters, shared
 from rankloom.sources import fasta
 
 
@@ -334,3 +334,13 @@ def test_all_taxa_of_a_size_are_excluded(spark, sf):
     assert curation.excluded_taxa(rows, "r", 2, 2, 1).count() == 1
     with pytest.raises(Exception, match="fewer than 3"):
         curation.excluded_taxa(rows, "r", 2, 2, 3).collect()
+
+
+def test_shared_ranks_spread_a_large_taxon_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(shared, "PAIRS", 64)
+    monkeypatch.setattr(shared, "QUERIES", 3)
+    rows = spark.createDataFrame([(k, None if k == 7 else "a", f"b{k % 3}") for k in range(60)], "id long, r0 string, r1 string")
+    got = taxonomy.shared_ranks(rows.where("id % 10 = 0 OR id = 7"), rows, "id", ["r0", "r1"])
+    assert got.rdd.getNumPartitions() > 2
+    asked = range(0, 60, 10)
+    assert {(r["i"], r["j"]): r["shared_rank"] for r in got.collect()} == {(i, j): int(i % 3 == j % 3) for i in asked for j in range(60) if i != j and j != 7}
