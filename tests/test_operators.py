@@ -344,3 +344,23 @@ def test_shared_ranks_spread_a_large_taxon_over_tasks(spark, monkeypatch):
     assert got.rdd.getNumPartitions() > 2
     asked = range(0, 60, 10)
     assert {(r["i"], r["j"]): r["shared_rank"] for r in got.collect()} == {(i, j): int(i % 3 == j % 3) for i in asked for j in range(60) if i != j and j != 7}
+
+
+def test_labelled_pairs_in_blocks_against_plain_reading(spark, monkeypatch):
+    monkeypatch.setattr(shared, "PAIRS", 64)
+    monkeypatch.setattr(shared, "QUERIES", 3)
+    monkeypatch.setattr(mining, "CELLS", 8)
+    draw = np.random.default_rng(5)
+    v = draw.normal(size=(40, 6)).round(3)
+    data = [(k, ["a", "b", None][k % 3], f"c{k % 2}", None if k in (4, 11) else v[k].tolist()) for k in range(40)]
+    rows = spark.createDataFrame(data, "id long, r0 string, r1 string, v array<double>")
+    got = mining.labelled_pairs(rows, "id", ["r0", "r1"], "v", {0: 0.8, 1: 0.3}, 1.6, F.col("id") % 4 == 0)
+    assert got.rdd.getNumPartitions() > 4
+    want = {}
+    for i in range(0, 40, 4):
+        for j in range(40):
+            if i != j and (j % 4 or i < j):
+                a, b = data[i], data[j]
+                rank = -1 if a[1] is None or a[1] != b[1] else 0 if a[2] != b[2] else 1
+                want[i, j] = (rank, {-1: 1.6, 0: 0.8, 1: 0.3}[rank], None if a[3] is None or b[3] is None else pytest.approx(1 - v[i] @ v[j], abs=2e-9))
+    assert {(r["i"], r["j"]): (r["rank"], r["true"], r["pred"]) for r in got.collect()} == want
