@@ -364,3 +364,19 @@ def test_labelled_pairs_in_blocks_against_plain_reading(spark, monkeypatch):
                 rank = -1 if a[1] is None or a[1] != b[1] else 0 if a[2] != b[2] else 1
                 want[i, j] = (rank, {-1: 1.6, 0: 0.8, 1: 0.3}[rank], None if a[3] is None or b[3] is None else pytest.approx(1 - v[i] @ v[j], abs=2e-9))
     assert {(r["i"], r["j"]): (r["rank"], r["true"], r["pred"]) for r in got.collect()} == want
+
+
+def test_products_with_many_queries_take_few_rows(spark, monkeypatch):
+    assert 50_000 * neighbours.step(50_000) <= neighbours.CELLS and neighbours.step(1) == neighbours.ROWS and neighbours.step(1 << 40) == 1
+    v = np.random.default_rng(9).normal(size=(50, 4))
+    rows = spark.createDataFrame([(k, x.tolist(), ["a" if k % 2 else "b"]) for k, x in enumerate(v)], "b long, bv array<double>, path array<string>")
+    asked = rows.where("b % 5 = 0").select(F.col("b").alias("q"), F.col("bv").alias("qv"), "path")
+    sizes = []
+    step = neighbours.step
+    monkeypatch.setattr(neighbours, "CELLS", 30)
+    monkeypatch.setattr(neighbours, "step", lambda n: sizes.append(step(n)) or sizes[-1])
+    for inside, got in ((False, neighbours.nearest(asked.drop("path"), rows.drop("path"), 3, exclude_self=True)), (True, neighbours.nearest_within(asked, rows, 3, exclude_self=True))):
+        d = np.round(1 - v @ v.T, 9)
+        want = {(q, b) for q in range(0, 50, 5) for b in sorted((b for b in range(50) if b != q and (not inside or b % 2 == q % 2)), key=lambda b: (d[q, b], b))[:3]}  # noqa: B023
+        assert {(r["q"], r["b"]) for r in got.collect()} == want
+    assert sizes == [3, 3]
