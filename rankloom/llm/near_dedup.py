@@ -277,6 +277,17 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
 
 
+def _least_shared(percent: int) -> str:
+    """100 * (100 + percent) times what the shingles shared by two prefixes exceed, if one set has n_a shingles and the other low to high, as SQL.
+
+    A prefix lacks ceil(t * n) - 1 shingles of its set, and the prefix that ends first holds all but n - overlap of its own in common; so the
+    prefixes share overlap - ceil(t * max) + 1 at least. Over the sizes that can be similar enough, this is least at either end.
+    """
+    low, high = f"greatest(low, {percent} * n_a div 100)", f"least(high, 100 * n_a div {max(1, percent)} + 1)"
+    at = lambda n: f"{100 * percent} * (n_a + {n}) - {percent * (100 + percent)} * greatest(n_a, {n})"
+    return f"least({at(low)}, {at(high)})"
+
+
 def prefix_pairs(docs: DataFrame, roots: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """All pairs (a < b) of different components that may reach the threshold, none missing. docs: (id, text), roots: (id, root)."""
     cut = _prefixer(width, percent, common_shingles(docs, width))
@@ -287,6 +298,7 @@ def prefix_pairs(docs: DataFrame, roots: DataFrame, width: int, percent: int, sc
     rows = maybe_in(rows, F.col("s"), filter_words(shared, F.col("s"))).join(shared, "s").join(roots, "id", "left")
     rows = scratch.write(rows.select("s", F.coalesce("root", "id").alias("c"), "id", "n", "rest", "parts"), "postings")
     groups = rows.groupBy("s", "c").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("rest").alias("rest"), F.max("parts").alias("parts"))
+    groups = scratch.write(groups, "groups")
 
     def side(df: DataFrame, end: str, salt) -> DataFrame:
         return df.withColumn("salt", salt).select("s", "salt", *[F.col(k).alias(f"{k}_{end}") for k in df.columns if k not in ("s", "parts")])
@@ -296,13 +308,26 @@ def prefix_pairs(docs: DataFrame, roots: DataFrame, width: int, percent: int, sc
     room = f"{100 + percent} * least(rest_a, rest_b) >= {percent} * "
     met = x.join(y, ["s", "salt"]).where(f"c_a < c_b AND 100 * high_a >= {percent} * low_b AND 100 * high_b >= {percent} * low_a AND {room} (low_a + low_b)")
     met = scratch.write(met.select("s", "c_a", "c_b", "id_a", "id_b", (F.col("id_a").eqNullSafe(F.col("last_a")) & F.col("id_b").eqNullSafe(F.col("last_b"))).alias("single")), "met")
-    of = lambda end: rows.select("s", *[F.col(k).alias(f"{k}_{end}") for k in ("c", "id", "n", "rest")])
-    many = met.where("not single").select("s", "c_a", "c_b").join(of("a"), ["s", "c_a"]).join(of("b"), ["s", "c_b"])
-    many = many.where(f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a AND {room} (n_a + n_b)")
-    pairs = met.where("single").select("id_a", "id_b").union(many.select("id_a", "id_b"))
+    # Of two components that are not one row each, the one with fewer shingles goes out row by row.
+    wide = groups.groupBy("c").agg(F.count("*").alias("k"), F.min("low").alias("low"), F.max("high").alias("high"))
+    of = lambda end: wide.select(*[F.col(k).alias(f"{k}_{end}") for k in wide.columns])
+    several = met.where("not single").select("s", "c_a", "c_b").join(of("a"), "c_a").join(of("b"), "c_b")
+    ends = [F.when(F.col("k_b") <= F.col("k_a"), F.col(f"{k}_{x}")).otherwise(F.col(f"{k}_{y}")) for k, x, y in (("c", "a", "b"), ("c", "b", "a"), ("low", "a", "b"), ("high", "a", "b"))]
+    several = scratch.write(several.select("s", *[c.alias(k) for c, k in zip(ends, ("many", "few", "low", "high"), strict=True)]), "several")
+    own = rows.select("s", F.col("c").alias("few"), F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"))
+    theirs = rows.select("s", F.col("c").alias("many"), F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"))
+    # Two sets that reach the threshold share more than one shingle of their prefixes, the more the nearer their sizes are; a row that shares
+    # fewer with a whole component has no link to it.
+    tried = several.select("many", "few", "low", "high").distinct().join(own, "few").join(groups.select("s", F.col("c").alias("many")), ["s", "many"])
+    shared = tried.groupBy("many", "id_a", "n_a", "low", "high").agg(F.count("*").alias("shared"))
+    near = shared.where(f"100 * {100 + percent} * shared > {_least_shared(percent)}").select("many", "id_a", "n_a")
+    near = scratch.write(near, "near")
+    met_rows = several.select("s", "many", "few").join(own, ["s", "few"]).join(near, ["many", "id_a", "n_a"], "left_semi").join(theirs, ["s", "many"])
+    met_rows = met_rows.where(f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a AND {room} (n_a + n_b)")
+    pairs = met.where("single").select("id_a", "id_b").union(met_rows.select("id_a", "id_b"))
     pairs = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).where("a < b").distinct()
     pairs = scratch.write(pairs, "pairs")
-    scratch.drop("prefixes", "shared", "postings", "met")
+    scratch.drop("prefixes", "shared", "postings", "groups", "met", "several", "near")
     return pairs
 
 

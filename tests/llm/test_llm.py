@@ -8,6 +8,7 @@ import re
 import time
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import zstandard
@@ -412,6 +413,26 @@ def test_no_pair_is_lost_without_the_forest(spark):
     assert {i: root.get(i, i) for i, _ in texts} == {i: c for i, (_, c) in _brute(texts, 2).items()}
 
 
+def test_prefix_pairs_between_components(spark, monkeypatch):
+    """Rows that share a third of a large component's text are candidates of an eighth of its rows, not of each; no link between components is lost."""
+    monkeypatch.setattr(near_dedup, "common_shingles", lambda docs, width: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    draw = random.Random(11)
+    words = [f"w{k}" for k in range(4000)]
+    base = draw.sample(words, 120)
+    altered = lambda n: [draw.choice(words) if k in at else w for at in [set(draw.sample(range(120), n))] for k, w in enumerate(base)]
+    texts = [altered(1) for _ in range(60)] + [altered(draw.randint(3, 8)) for _ in range(30)]
+    texts += [draw.sample(words, 80) + base[k : k + 40] for k in range(40)]
+    texts = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = {k: set(near_dedup.shingle_set(t, 2).tolist()) for k, t in texts}
+    roots = [(k, 0) for k in range(60)] + [(k, k - (k - 60) % 2) for k in range(60, 90)]
+    docs, t = spark.createDataFrame(texts, "id long, text string"), Scratch(spark)
+    found = {tuple(r) for r in near_dedup.prefix_pairs(docs, spark.createDataFrame(roots, "id long, root long"), 2, 80, t).collect()}
+    root = dict(roots)
+    links = {(a, b) for a, b in itertools.combinations(sets, 2) if root.get(a, a) != root.get(b, b) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert links and links <= found
+    assert len([p for p in found if p[0] < 60 and p[1] >= 90]) < 40 * 60 // 4
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "x alpha y z beta"), (2, "alpha " + "y " * 30 + "beta"), (2, "beta, ALPHA"), (None, "beta alpha")], "doc_id long, text string")
     items = spark.createDataFrame([(9, "Beta alpha"), (8, "none of it"), (7, None)], "item_id long, text string")
