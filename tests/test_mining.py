@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import batches, curation, mining, selection
-from rankloom.plans.shared import Scratch
+from rankloom.plans.shared import Scratch, written
 
 
 @pytest.mark.parametrize("seed, spread, ranges", [(2, 1 << 62, 4096), (3, 3, 2), (4, 100_000, 16)])
@@ -98,3 +98,30 @@ def test_batches_go_on_where_a_run_was_stopped(spark, tmp_path):
     rows.limit(3).write.parquet(f"{tmp_path}/b/run=4/pairs")
     batches.run_batches(*args, f"{tmp_path}/b", 5, sizes, ahead=3, **how)
     assert _told(spark, f"{tmp_path}/b", 5, sizes) == want
+
+
+def test_mining_of_written_pairs_writes_only_what_may_be_drawn(spark, monkeypatch):
+    """Pairs that come once are scanned: the same rows as by grouping them all, and no table as large as theirs is written on the way."""
+    draw = random.Random(4)
+    pairs = [(i, j, draw.choice([-1, -1, 0, 0, 1]), draw.choice([0.4, 0.9, 1.5]), round(draw.random() * 2, 9)) for i in range(10) for j in range(10, 300)]
+    pairs = written(spark.createDataFrame(pairs, "i long, j long, rank int, true double, pred double"), "pairs")
+    sizes = spark.createDataFrame([(k, [1 + k % 7, 1 + k % 3]) for k in range(300)], "id long, sizes array<long>")
+    counts, write = [], Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        counts.append(out.count())
+        return out
+
+    how = {"sizes": sizes, "baselines": [2.0, 2.0]}
+
+    def rows(**once) -> list:
+        found = [mining.mine_triplets(pairs, [0, 1], 40, 60, **once)[0], mining.mine_pairs(pairs, 40, 60, **once, **how)[0]]
+        return [sorted(map(str, df.select(sorted(df.columns)).collect())) for df in found]
+
+    whole = rows()
+    monkeypatch.setattr(mining, "SPARE", 2)
+    monkeypatch.setattr(Scratch, "write", counted)
+    assert rows(once=True) == whole and all(whole)
+    # The weighted draw may take all rows of two ranks in before it is sure; the triplets never do.
+    assert max(counts[:4]) < 1_000 < pairs.count()
