@@ -111,20 +111,21 @@ def _signer(width: int, n_labels: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xor, mul = _seeds(n_labels)
         for batch in batches:
-            sets, sizes, signs = [], [], []
+            sets, sizes, signs, counted = [], [], [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), width)
                 sizes.append(len(s))
                 sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 signs.append(labels(s, xor, mul) if len(s) else None)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signs, pa.binary())], names=["id", "n", "same", "labels"])
+                counted.append(_counted(s))
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in (sets, signs, counted))], names=["id", "n", "same", "labels", "counted"])
 
     return sign
 
 
 def _counted(s: np.ndarray) -> bytes | None:
     """How many shingles fall into each of 256 buckets; None where a byte can't hold a count."""
-    in_bucket = np.bincount(s & 255, minlength=256)
+    in_bucket = np.bincount(s.view(np.int64) & 255, minlength=256)
     return in_bucket.astype(np.uint8).tobytes() if len(s) and in_bucket.max() < 256 else None
 
 
@@ -132,8 +133,7 @@ def _shingler(width: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             sets = [shingle_set(t.as_py(), width).view(np.int64) for t in batch.column(1)]
-            counted = [_counted(s) for s in sets]
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(counted, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "n", "counted", "shingles"])
+            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "n", "shingles"])
 
     return cut
 
@@ -144,7 +144,7 @@ def _prefixer(width: int, percent: int, common: tuple[np.ndarray, np.ndarray]):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 4 * ROWS) for b in batches for at in range(0, b.num_rows, 4 * ROWS)):
-            sizes, prefixes, counted = [], [], []
+            sizes, prefixes = [], []
             for t in batch.column(1):
                 s = shingle_set(t.as_py(), width).view(np.int64)
                 n = len(s)
@@ -152,9 +152,8 @@ def _prefixer(width: int, percent: int, common: tuple[np.ndarray, np.ndarray]):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.lexsort((s, np.where(known[at] == s, counts[at], 0)))]
                 sizes.append(n)
-                counted.append(_counted(s))
                 prefixes.append(s[: n - (percent * n + 99) // 100 + 1])
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(counted, pa.binary())], names=["id", "n", "prefix", "counted"])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["id", "n", "prefix"])
 
     return cut
 
@@ -247,21 +246,21 @@ def forest(reps: DataFrame, percent: int, scratch: Scratch, trees: int = TREES,
     return scratch.write(pairs, "pairs"), scratch.write(crowded, "crowded")
 
 
-def confirmed_links(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, bounded: bool = True) -> DataFrame:
+def confirmed_links(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, counts: DataFrame | None = None) -> DataFrame:
     """The pairs whose full sets have 100 * |intersection| >= percent * |union|. docs: (id, text); pairs: (a, b), written.
 
-    bounded: look at an upper bound of the overlap first, which pays where many pairs are hopeless.
+    counts: (id, n, counted), written; with it an upper bound of the overlap is looked at before any text is read, which pays where many pairs are hopeless.
     """
-    ends = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
-    texts = those_in(docs, "id", ends)
-    sets = scratch.write(texts.mapInArrow(_shingler(width), "id long, n long, counted binary, shingles array<bigint>"), "shingles")
-    of = lambda a, n, x, what: sets.select(F.col("id").alias(a), F.col("n").alias(n), F.col(what).alias(x))
     likely = pairs.select("a", "b")
-    if bounded:  # sets too large to be counted in bytes go on unchecked
-        both = scratch.write(likely.join(of("a", "n", "x", "counted"), "a").join(of("b", "m", "y", "counted"), "b"), "counted")
+    if counts is not None:  # sets too large to be counted in bytes go on unchecked
+        of = lambda a, n, x: counts.select(F.col("id").alias(a), F.col("n").alias(n), F.col("counted").alias(x))
+        both = scratch.write(likely.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b"), "counted")
         within = both.where("x is not null and y is not null").select("a", "b", F.expr("n + m").alias("sizes"), "x", "y").mapInArrow(_overlapping(percent), "a long, b long")
         likely = scratch.write(within.union(both.where("x is null or y is null").select("a", "b")).distinct(), "likely")
-    met = likely.join(of("a", "n", "x", "shingles"), "a").join(of("b", "m", "y", "shingles"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
+    ends = scratch.write(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    sets = scratch.write(those_in(docs, "id", ends).mapInArrow(_shingler(width), "id long, n long, shingles array<bigint>"), "shingles")
+    of = lambda a, n, x: sets.select(F.col("id").alias(a), F.col("n").alias(n), F.col("shingles").alias(x))
+    met = likely.join(of("a", "n", "x"), "a").join(of("b", "m", "y"), "b").withColumn("common", F.size(F.array_intersect("x", "y")))
     links = scratch.write(met.where(100 * F.col("common") >= percent * (F.col("n") + F.col("m") - F.col("common"))).select("a", "b").distinct(), "links")
     scratch.drop("ends", "shingles", "counted", "likely")
     return links
@@ -271,7 +270,7 @@ def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     """Shingles that several texts of a sample hold, sorted, with their counts; at most COMMON of about SAMPLE texts."""
     n = docs.count()
     some = docs.where(F.xxhash64("id") <= F.lit(SAMPLE * (1 << 64) // n - (1 << 63))) if n > SAMPLE else docs
-    held = some.mapInArrow(_shingler(width), "id long, n long, counted binary, shingles array<bigint>").select(F.explode("shingles").alias("s"))
+    held = some.mapInArrow(_shingler(width), "id long, n long, shingles array<bigint>").select(F.explode("shingles").alias("s"))
     rows = held.groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).collect()
     rows.sort()
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
@@ -291,7 +290,7 @@ def _least_shared(percent: int) -> str:
 def prefix_pairs(docs: DataFrame, roots: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """All pairs (a < b) of different components that may reach the threshold, none missing. docs: (id, text), roots: (id, root)."""
     cut = _prefixer(width, percent, common_shingles(docs, width))
-    sets = scratch.write(docs.mapInArrow(cut, "id long, n long, prefix array<bigint>, counted binary"), "prefixes")
+    sets = scratch.write(docs.mapInArrow(cut, "id long, n long, prefix array<bigint>"), "prefixes")
     # rest: how many shingles of the set can still be shared when this is the first one that is.
     rows = sets.select("id", "n", F.posexplode("prefix").alias("place", "s")).select("s", "id", "n", (F.col("n") - F.col("place")).alias("rest"))
     shared = scratch.write(rows.groupBy("s").count().where("count > 1").select("s", F.ceil(F.col("count") / SALT).cast("int").alias("parts")), "shared")
@@ -364,13 +363,14 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(id, root) of all classes that have a link. reps: (id, n, labels); texts: (id, text)."""
-    pairs, crowded = forest(reps, percent, scratch)
+    """(id, root) of all classes that have a link. reps: (id, n, labels, counted), written; texts: (id, text)."""
+    pairs, crowded = forest(reps.select("id", "n", "labels"), percent, scratch)
+    counts = reps.select("id", "n", "counted")
     scratch.drop("neighbours")
     ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "trees").union(pairs.select("b", "a", "trees"))
     best = ends.groupBy("id").agg(F.max_by("other", F.struct("trees", "other")).alias("other"))
     first = scratch.write(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "first")
-    links = confirmed_links(first, texts, width, percent, scratch, bounded=False)
+    links = confirmed_links(first, texts, width, percent, scratch)
     roots = components(links, scratch)
     scratch.drop("links")
 
@@ -388,7 +388,7 @@ def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, scratch:
     others, n = pairs.select("a", "b").join(if_few(first), ["a", "b"], "left_anti"), roots.count()
     apart = scratch.write(root_of(root_of(others, "a", "ra", n), "b", "rb", n).where("ra <> rb").select("a", "b"), "apart")
     scratch.drop("first", "pairs")
-    links = confirmed_links(apart, texts, width, percent, scratch)
+    links = confirmed_links(apart, texts, width, percent, scratch, counts)
     roots = merged(links)
     scratch.drop("apart")
     # Crowded regions that are not one component, and the ids of their rows.
@@ -398,7 +398,7 @@ def linked(reps: DataFrame, texts: DataFrame, width: int, percent: int, scratch:
     left = scratch.write(maybe_in(placed, F.col("region"), filter_words(open_regions, F.col("region"))).select("id").distinct(), "left")
     scratch.drop("placed")
     if not left.isEmpty():
-        links = confirmed_links(prefix_pairs(those_in(texts, "id", left), roots, width, percent, scratch), texts, width, percent, scratch)
+        links = confirmed_links(prefix_pairs(those_in(texts, "id", left), roots, width, percent, scratch), texts, width, percent, scratch, counts)
         if not links.isEmpty():
             roots = merged(links)
         scratch.drop("pairs", "links")
@@ -410,10 +410,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id_col, n_shingles, component_id (smallest id reachable over links), kept. The result reads tables of ``scratch``."""
     scratch = scratch or Scratch(docs.sparkSession)
     slim = docs.select(F.col(id_col).try_cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = scratch.write(slim.mapInArrow(_signer(width, TREES * DEPTH), "id long, n long, same binary, labels binary"), "signatures")
+    signed = scratch.write(slim.mapInArrow(_signer(width, TREES * DEPTH), "id long, n long, same binary, labels binary, counted binary"), "signatures")
     full = signed.where("same is not null and id is not null")
-    reps = scratch.write(full.groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("labels").alias("labels")), "classes")
-    roots = linked(reps.select("id", "n", "labels"), slim.where("id is not null"), width, percent, scratch)
+    reps = scratch.write(full.groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.first("counted").alias("counted")), "classes")
+    roots = linked(reps.select("id", "n", "labels", "counted"), slim.where("id is not null"), width, percent, scratch)
     named = scratch.write(reps.select("same", "id").join(if_few(roots), "id", "left").select("same", F.coalesce("root", "id").alias("component")), "named")
     # Rows without shingles stand alone.
     alone = signed.where("same is null or id is null").select("id", "n", F.col("id").alias("component"))

@@ -413,6 +413,29 @@ def test_no_pair_is_lost_without_the_forest(spark):
     assert {i: root.get(i, i) for i, _ in texts} == {i: c for i, (_, c) in _brute(texts, 2).items()}
 
 
+def test_texts_of_hopeless_pairs_are_not_read(spark):
+    """Counts of shingles rule pairs out before their ends and texts are looked up; the links stay those of all pairs."""
+    draw = random.Random(12)
+    words = [f"w{k}" for k in range(4000)]
+    shared = draw.sample(words, 30)
+    texts = [(k, " ".join(draw.sample(words, 90) + shared)) for k in range(30)]
+    texts += [(30 + k, texts[k][1] + " more") for k in range(3)]
+    docs, t, ends = spark.createDataFrame(texts, "id long, text string"), Scratch(spark), []
+
+    class Told(Scratch):
+        def write(self, df, name, compression=None):
+            out = super().write(df, name, compression)
+            if name == "ends":
+                ends.extend(r["id"] for r in out.collect())
+            return out
+
+    pairs = t.write(spark.createDataFrame(list(itertools.combinations(range(33), 2)), "a long, b long"), "pairs")
+    counts = t.write(docs.mapInArrow(near_dedup._signer(2, 192), "id long, n long, same binary, labels binary, counted binary").select("id", "n", "counted"), "counts")
+    found = near_dedup.confirmed_links(pairs, docs, 2, 80, Told(spark), counts)
+    assert {tuple(r) for r in found.collect()} == {(k, 30 + k) for k in range(3)}
+    assert sorted(ends) == [0, 1, 2, 30, 31, 32]
+
+
 def test_prefix_pairs_between_components(spark, monkeypatch):
     """Rows that share a third of a large component's text are candidates of an eighth of its rows, not of each; no link between components is lost."""
     monkeypatch.setattr(near_dedup, "common_shingles", lambda docs, width: (np.empty(0, np.int64), np.empty(0, np.int64)))
