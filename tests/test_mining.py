@@ -125,3 +125,16 @@ def test_mining_of_written_pairs_writes_only_what_may_be_drawn(spark, monkeypatc
     assert rows(once=True) == whole and all(whole)
     # The weighted draw may take all rows of two ranks in before it is sure; the triplets never do.
     assert max(counts[:4]) < 1_000 < pairs.count()
+
+
+def test_redrawn_positives_of_a_large_group(spark, monkeypatch):
+    """A large group's keys are dealt over several counted tasks by blocks of draws; every draw is the largest of all its keys."""
+    monkeypatch.setattr(mining, "DRAWS", 500)
+    rows = [(1, 1, 100 + k, k / 60) for k in range(60)] + [(2, 2, 7, 0.5), (2, 2, 7, 0.5), (3, 1, 8, 0.1)]
+    got = mining.redrawn_positives(spark.createDataFrame(rows, "anchor long, rank int, positive long, pred double"), None, 2.0)
+    found = {(r["anchor"], r["rank"], r["draw"]): r["positive"] for r in got.collect()}
+    groups = {(1, 1): rows[:60], (2, 2): rows[60:62], (3, 1): rows[62:]}
+    key = lambda a, r, p, pred, draw: (round(2 * pred - math.log(-math.log((((a * 100003 + p * 17 + draw * 7919 + r * 131) * 1103515245 + 12345) % 2**31 + 0.5) / 2**31)), 9), p)
+    assert found == {(a, r, draw): max(key(*row, draw) for row in held)[1] for (a, r), held in groups.items() for draw in range(1, len(held) + 1)}
+    parts = got.withColumn("part", F.spark_partition_id()).where("anchor = 1").groupBy("part").count().collect()
+    assert len(parts) > 1 and got.count() == 63
