@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept
+
 #: Fixed value: the split of byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose tokens a worker remembers, twice.
-REMEMBERED = 250_000
+#: Words whose tokens a worker remembers, twice; most words of a large corpus are met once, so more of them take memory and save no time.
+REMEMBERED = 60_000
 #: Rows whose ids are held at once, and remembered transitions.
 ROWS, STEPS = 256, 200_000
 
@@ -74,16 +77,16 @@ class Automaton:
             self.target[uv], self.left[uv], self.birth[uv] = after, u, rank
             alive.add(uv)
         self.step.clear()
-        self.tree: list[dict[int, int]] = [{}]
-        self.ends = [-1]
+        self.parent, self.without, self.made, self.target, self.left, self.birth = (array("i", x) for x in (self.parent, self.without, self.made, self.target, self.left, self.birth))
+        self.tree: dict[int, int] = {}  # node * 256 + byte -> node; one table takes less than one for each node
+        self.ends = array("i", [-1])
         for k in alive:
             node = 0
             for b in self.label[k]:
-                if b not in self.tree[node]:
-                    self.tree[node][b] = len(self.tree)
-                    self.tree.append({})
+                to = self.tree.setdefault(node << 8 | b, len(self.ends))
+                if to == len(self.ends):
                     self.ends.append(-1)
-                node = self.tree[node][b]
+                node = to
             self.ends[node] = k
         self.longest = max(map(len, self.label), default=1)
 
@@ -103,7 +106,7 @@ class Automaton:
         """The tokens that the word goes on with at a place, shortest first."""
         tree, ends, node, out = self.tree, self.ends, 0, []
         for b in word[at : at + self.longest]:
-            node = tree[node].get(b)
+            node = tree.get(node << 8 | b)
             if node is None:
                 break
             if ends[node] >= 0:
@@ -191,15 +194,12 @@ def packed(path: str) -> bytes:
     return zlib.compress(json.dumps(load(path)).encode(), 1)
 
 
-_MACHINES: dict[str, tuple[Automaton, _Remembered]] = {}
-
-
 def _machine(key: str, parts: bytes) -> tuple[Automaton, _Remembered]:
-    if key not in _MACHINES:
-        _MACHINES.clear()
+    def make() -> tuple[Automaton, _Remembered]:
         machine = Automaton(*json.loads(zlib.decompress(parts)))
-        _MACHINES[key] = machine, _Remembered(machine)
-    return _MACHINES[key]
+        return machine, _Remembered(machine)
+
+    return kept(("bpe", key), make)
 
 
 def pieces(text: str, special: dict[str, int], split=regex.compile(SPLIT)) -> Iterator[tuple[str, bool]]:

@@ -9,10 +9,14 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What a Python worker keeps from task to task, see kept().
+_KEPT: dict = {}
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Bits of the membership filter that may be broadcast: 2^22 bits are 65,536 words of 64 bits, about 1 MB.
@@ -89,6 +93,17 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def kept(key: object, make: Callable[[], object]) -> object:
+    """What make() gives, kept by a Python worker from task to task while they ask for the same key.
+
+    Another key's goes first: workers serve one operator after the other, and would else hold the tables of all of them.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def among_least(df: DataFrame, key: str, sample: int) -> DataFrame:
     """df, less most rows whose hash of the key is not among the ``sample`` smallest.
 

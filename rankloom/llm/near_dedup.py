@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FEW, Scratch, filter_words, if_few, maybe_in, those_in
+from .common import FEW, Scratch, filter_words, if_few, kept, maybe_in, those_in
 
 #: Trees, labels of a tree, rows that a row is paired with, labels that a pair shares at least.
 TREES, DEPTH, WINDOW, NEED = 24, 8, 2, 4
@@ -74,15 +74,12 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
-
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; words are runs without ASCII white space, A-Z in lower case."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(kept("shingles", _Words).__getitem__, words), np.uint64, len(words))
     n = min(width, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among_least, held_out
+from .common import among_least, held_out, kept
 
 #: Labelled rows of each label that a model may be fitted on, and the most bytes of such a text.
 SAMPLE, LONGEST = 4000, 16_384
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = told.value
-        sizes = _Sizes(held.good, held.bad) if held.weights is not None else None
+        sizes = kept(("quality", held.good, held.bad), lambda: _Sizes(held.good, held.bad)) if held.weights is not None else None
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             got = scores(held, sizes, [str(t.as_py() or "") for t in batch.column(1)])
             yield pa.record_batch([*[batch.column(sent.index(c)) for c in out], pa.array(got)], names=[*[f"c{k}" for k in range(len(out))], "score"])

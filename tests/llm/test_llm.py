@@ -6,10 +6,12 @@ import math
 import random
 import re
 import time
+import weakref
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -65,6 +67,20 @@ def test_bpe_equals_the_library():
         assert machine.decode(ids).decode() == t
 
 
+def test_worker_keeps_one_operators_tables():
+    """The automaton and its words go when the worker's next tasks are another operator's, and the words are bounded."""
+    path, texts = public_tokenizers.path("byte_bpe_50k.json"), pa.record_batch([pa.array([1]), pa.array(["some words of a text"])], names=["id", "text"])
+    machine, known = bpe._machine(path, bpe.packed(path))
+    held = weakref.ref(machine)
+    for k in range(150_000):
+        known[f"w{k}"]
+    assert len(known) + len(known.older) <= 130_000
+    del machine, known
+    for work in (near_dedup._signer(5, 8), near_dedup._shingler(5)):
+        assert len(list(work(iter([texts])))) == 1
+    assert held() is None
+
+
 def test_bpe_round_trip(spark):
     docs = spark.createDataFrame([(1, "Hello  wörld\n"), (2, None)], "doc_id long, text string")
     back = bpe.decode(bpe.encode(docs, PATH), PATH)
