@@ -32,6 +32,24 @@ def test_sparse_neighbours_equal_dense_ones(spark, monkeypatch, products, cells)
         assert all(r["n_scored"] <= ok.sum() for r in got)
 
 
+def test_few_pairs_of_sparse_vectors_are_scored():
+    draw = np.random.default_rng(7)
+    roots = draw.random((20, 3000)) * (draw.random((20, 3000)) < 0.03)
+    x = roots[np.arange(1200) % 20] * (draw.random((1200, 3000)) > 0.1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    at = [np.flatnonzero(v) for v in x]
+    block = sparse.Queries(np.arange(0, 1200, 10), at[::10], [x[k][at[k]] for k in range(0, 1200, 10)])
+    best, pairs = sparse._Nearest(120, 3), 0
+    for low in range(0, 1200, 100):
+        ids = np.arange(low, low + 100)
+        pairs += block.see(best, ids, np.repeat(np.arange(100), [len(at[k]) for k in ids]), np.concatenate([at[k] for k in ids]), np.concatenate([x[k][at[k]] for k in ids]), True)[1]
+    d = np.round(1 - x[::10] @ x.T, 9)
+    d[np.arange(120), np.arange(0, 1200, 10)] = np.inf
+    assert np.allclose(best.d, np.sort(d, axis=1)[:, :3], atol=2e-9)
+    assert np.allclose(np.take_along_axis(d, best.b, 1), best.d, atol=2e-9)
+    assert pairs < 120 * 1200 / 4
+
+
 def test_sparse_neighbours_of_nothing(spark):
     v = spark.createDataFrame([], "id long, at array<long>, x array<double>")
     one = spark.createDataFrame([(1, [5], [1.0])], "id long, at array<long>, x array<double>")
