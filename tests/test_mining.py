@@ -6,9 +6,11 @@ import random
 import shutil
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
-from rankloom.operators import batches, curation, mining, selection
+from rankloom.operators import batches, crossed, curation, mining, selection
+from rankloom.plans import shared
 from rankloom.plans.shared import Scratch, written
 
 
@@ -138,3 +140,49 @@ def test_redrawn_positives_of_a_large_group(spark, monkeypatch):
     assert found == {(a, r, draw): max(key(*row, draw) for row in held)[1] for (a, r), held in groups.items() for draw in range(1, len(held) + 1)}
     parts = got.withColumn("part", F.spark_partition_id()).where("anchor = 1").groupBy("part").count().collect()
     assert len(parts) > 1 and got.count() == 63
+
+
+def test_pairs_made_anew_are_mined_like_written_ones(spark, monkeypatch):
+    """Labels, drops, draws, distances and negatives of pairs that are never rows equal those of a written table of them."""
+    monkeypatch.setattr(shared, "QUERIES", 15)
+    monkeypatch.setattr(shared, "PAIRS", 1_500)
+    monkeypatch.setattr(mining, "SPARE", 1)
+    draw = random.Random(11)
+    data = [(k, draw.choice("ab"), draw.choice(["x", "y", "z", None]), None if k in (7, 20) else [draw.gauss(0, 1) for _ in range(4)], [draw.choice([3, 30, 60]), draw.choice([2, 9])]) for k in range(200)]
+    data = [(k, a, b, v and [x / math.sqrt(sum(y * y for y in v)) for x in v], s) for k, a, b, v, s in data]
+    rows = written(spark.createDataFrame(data, "id long, r0 string, r1 string, v array<double>, sizes array<long>"), "rows")
+    sizes, asked, lookup, baselines = rows.select("id", "sizes"), F.col("id") % 7 == 0, {0: 0.8, 1: 0.3}, [30.0, 4.0]
+    more = spark.createDataFrame([(k, 1_000 + k, 7, 0.0, k / 50) for k in range(40)], "i long, j long, rank int, true double, pred double")
+    plain = mining.labelled_pairs(rows, "id", ["r0", "r1"], "v", lookup, 1.6, asked)
+    plain = mining.dropped_by_rank(plain, {-1: 0.5}, F.col("i") * 1_000_003 + F.col("j"), 4)
+    plain = written(mining.thinned_by_size(plain, sizes, baselines, 0.5, 0.1, 0.2, 4).unionByName(more).where("rank >= -1"), "labelled")
+    how = {"keep": {-1: 0.5}, "baselines": baselines, "alpha": 0.5, "floor": 0.1, "warm": 0.2, "seed": 4}
+    anew = crossed.Crossed(rows, "id", ["r0", "r1"], "v", lookup, 1.6, asked, how, more, Scratch(spark))
+    whole = sorted(map(tuple, anew.above(dict.fromkeys((-1, 0, 1, 7), 0)).fillna(9.0).collect()))
+    assert whole == sorted(map(tuple, mining._oriented(plain).fillna(9.0).select("i", "j", "rank", "true", "pred").collect())) and len(whole) == sum(n for ranges in anew.counted().values() for n in ranges.values())
+    every = spark.createDataFrame([(k, r) for k in range(200) for r in (0, 1)], "anchor long, rank int")
+    want = mining._drawn_negatives(mining._oriented(plain), every, 1.0, 4, Scratch(spark))
+    assert sorted(map(tuple, anew.negatives(every, 1.0, 4).collect())) == sorted(map(tuple, want.collect()))
+
+    def mined(pairs, **once) -> list:
+        hard, triples, _ = mining.mine(pairs, 0, 25, 60, 30, 50, [0, 1], seed=4, sizes=sizes, baselines=baselines, **once)
+        return [sorted(map(str, df.select(sorted(df.columns)).collect())) for df in (hard, triples)]
+
+    got = mined(anew)
+    assert got == mined(plain, once=True) and all(got)
+
+
+def test_a_batch_is_mined_without_writing_its_pairs(spark, monkeypatch):
+    draw = random.Random(3)
+    rows = spark.createDataFrame([(k, k % 2, k % 4, [draw.gauss(0, 1) for _ in range(3)]) for k in range(300)], "key long, top long, label long, v array<double>")
+    counts, write = {}, DataFrameWriter.parquet
+
+    def counted(self, path, *args, **kw):
+        write(self, path, *args, **kw)
+        counts[path] = spark.read.parquet(path).count()
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    pairs, triplets, _ = mining.mine_batch(rows, "key", ["top", "label"], "v", 3, F.lit(True), {0: 0.8, 1: 0.3}, 1.6, share=0.8, other_view=F.reverse, caps=(20, 20), totals=(30, 30))
+    assert pairs.count() and triplets.count()
+    # 240 rows have 28,680 pairs; ranges of hashes are at most 2,048 for each of four ranks.
+    assert max(counts.values()) < 12_000
