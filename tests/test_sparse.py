@@ -86,3 +86,22 @@ def test_expected_information_of_large_margins():
         assert abs(evaluation.expected_information(a, b, n) - plain(a, b, n)) < 1e-9 * max(1, abs(plain(a, b, n)))
     wide = evaluation.expected_information(300_000_000, 500_000_000, 1_000_000_000)
     assert 0 < wide < 1e-6  # about 1 / 2n for large margins
+
+
+def test_rows_are_bounded_on_all_coordinates_that_are_laid_out(monkeypatch):
+    """Weight on very many coordinates leaves no slack: hardly more pairs are scored than are wanted, from the first rows on."""
+    monkeypatch.setattr(sparse, "WIDE", 16)
+    draw = np.random.default_rng(9)
+    at = [np.sort(draw.choice(9_000, 60, replace=False)) for _ in range(900)]
+    x = [v / np.linalg.norm(v) for v in draw.random((900, 60))]
+    dense = np.zeros((900, 9_000))
+    for k in range(900):
+        dense[k, at[k]] = x[k]
+    block, best, pairs = sparse.Queries(np.arange(0, 900, 15), at[::15], x[::15]), sparse._Nearest(60, 3), 0
+    for low in range(0, 900, 300):
+        ids = np.arange(low, low + 300)
+        pairs += block.see(best, ids, np.repeat(np.arange(300), 60), np.concatenate(at[low : low + 300]), np.concatenate(x[low : low + 300]), True)[1]
+    d = np.round(1 - dense[::15] @ dense.T, 9)
+    d[np.arange(60), np.arange(0, 900, 15)] = np.inf
+    assert np.allclose(best.d, np.sort(d, axis=1)[:, :3], atol=2e-9) and np.allclose(np.take_along_axis(d, best.b, 1), best.d, atol=2e-9)
+    assert pairs < 60 * 3 * 4
